@@ -321,6 +321,7 @@ ORACLES: dict[str, str] = {
       LEFT JOIN subtype_txt ON fields.k = subtype_txt.k
       LEFT JOIN ring_txt ON fields.k = ring_txt.k""",
     "dump_scan": DUMP_TOTALS,
+    "dump_scan_any_layout": DUMP_TOTALS,
     "dump_scan_gzip": DUMP_TOTALS,
     "dump_first_records": f"""WITH {RECORDS.replace("{later}", "0")}
     SELECT count(*) AS records, count(name) AS named, sum(population)::BIGINT AS population

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starscan.demo.records import raw_records, write_dump
 from starscan.demo.starmap import bodies, stars, systems, table
 from starscan.functions import counts as C
-from starscan.functions.geometry import AXES, around, round2
+from starscan.functions.geometry import AXES, round2
 from starscan.functions.links import fill_template, link_columns, merge_templates
 from starscan.operators import report as R
 from starscan.operators import search as S
@@ -36,17 +36,13 @@ HIT_COLUMNS = ["name", "distance_ly", *COUNT_COLUMNS, "population", "faction_cou
 
 
 def _maps_as_text(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({name: C.canonical_json(F.col(name)) for name in HISTOGRAM_COLUMNS})
+    return rows.withColumns({n: F.expr(C.canonical_json(n)) for n in HISTOGRAM_COLUMNS})
 
 
 def _near(spark: SparkSession, sf_dir: str, names: list[str], radius: float) -> DataFrame:
     """The catalogue around some stars and those stars themselves, rolled up only there."""
     points = S.reference_points(stars(spark, sf_dir), S.clean_references(names))
-    axes = [F.col(axis) for axis in AXES]
-    keep = F.lit(False)
-    for _, *origin in points:
-        keep = keep | around(axes, origin, radius)
-    return systems(spark, sf_dir, near=keep)
+    return systems(spark, sf_dir, near=S.reach([origin for _, *origin in points], radius))
 
 
 # --- search ---
@@ -94,9 +90,8 @@ def multi_ref_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multi_ref_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One reference per supplier, too many to list on the driver."""
     catalogue = systems(spark, sf_dir)
-    wanted = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("ref_ord"),
-        F.concat(F.lit("STAR "), F.col("s_suppkey").cast("string")).alias("reference_system"),
+    wanted = table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS ref_ord", "concat('STAR ', s_suppkey) AS reference_system"
     )
     located = S.locate(stars(spark, sf_dir), wanted)
     found = S.search_around(catalogue, located, 4.0, limit=5)
@@ -104,35 +99,28 @@ def multi_ref_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("sTAR "), (F.col("c_custkey") * 7).cast("string")).alias("reference_system")
+    wanted = table(spark, sf_dir, "customer").selectExpr(
+        "concat('sTAR ', c_custkey * 7) AS reference_system"
     )
     return S.locate(stars(spark, sf_dir), wanted)
 
 
 def vector_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as points (first three dimensions times 100) around each label's first one."""
-    points = table(spark, sf_dir, "embeddings").select(
-        "vec_id",
-        "label",
-        *[
-            (F.get("embedding", F.lit(i)).cast("double") * 100).alias(axis)
-            for i, axis in enumerate(AXES)
-        ],
+    points = table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id", "label", *[f"double(embedding[{i}]) * 100 AS {a}" for i, a in enumerate(AXES)]
     )
     references = (
         points.groupBy("label")
         .agg(F.min(F.struct("vec_id", *AXES)).alias("first"))
-        .select(
-            F.col("label").alias("ref_label"),
-            F.col("first.vec_id").alias("ref_vec"),
-            *[F.col(f"first.{axis}").alias(f"r{axis}") for axis in AXES],
+        .selectExpr(
+            "label AS ref_label",
+            "first.vec_id AS ref_vec",
+            *[f"first.{axis} AS r{axis}" for axis in AXES],
         )
     )
-    pairs = S.radius_join(points, references, 10.0)
-    return pairs.where("vec_id <> ref_vec").select(
-        "ref_label", "vec_id", round2(F.col("distance")).alias("distance")
-    )
+    pairs = S.radius_join(points, references, 10.0).where("vec_id <> ref_vec")
+    return pairs.selectExpr("ref_label", "vec_id", f"{round2('distance')} AS distance")
 
 
 # --- roll-ups over body rows ---
@@ -152,22 +140,19 @@ def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derived_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     derived = C.derived_counts(
-        F.col("body_type_counts"),
-        F.col("body_subtype_counts"),
-        F.col("water_world_count"),
-        F.col("earthlike_world_count"),
+        "body_type_counts", "body_subtype_counts", "water_world_count", "earthlike_world_count"
     )
-    return systems(spark, sf_dir).select("name", *[c.alias(n) for n, c in derived.items()])
+    return systems(spark, sf_dir).selectExpr("name", *[f"{c} AS {n}" for n, c in derived.items()])
 
 
 def alias_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON text to a map and the sum under an alias; broken text counts as empty."""
-    text = F.when(F.col("event_type") == "error", F.concat("props", F.lit("}"))).otherwise(
-        F.col("props")
+    text = "CASE WHEN event_type = 'error' THEN concat(props, '}') ELSE props END"
+    parsed = table(spark, sf_dir, "events").selectExpr(
+        "event_id", f"{C.parse_counts(text)} AS counts"
     )
-    parsed = C.parse_counts(text)
-    return table(spark, sf_dir, "events").select(
-        "event_id", C.alias_sum(parsed, ["K"]).alias("k_sum"), F.size(parsed).alias("key_count")
+    return parsed.selectExpr(
+        "event_id", f"{C.alias_sum('counts', ['K'])} AS k_sum", "size(counts) AS key_count"
     )
 
 
@@ -176,10 +161,8 @@ def alias_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    records = raw_records(spark, sf_dir).select(
-        "record_no",
-        F.explode(parse_records(F.col("value"))).alias("record"),
-        F.lit("orders").alias("source_tag"),
+    records = raw_records(spark, sf_dir).selectExpr(
+        "record_no", f"explode({parse_records('value')}) AS record", "'orders' AS source_tag"
     )
     return ingest.system_rows(records, ingest.utc_now()).where("name is not null")
 
@@ -198,17 +181,24 @@ def record_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _both_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = raw_records(spark, sf_dir).withColumn("record_no", F.col("record_no") * 2)
-    second = raw_records(spark, sf_dir, 2).withColumn("record_no", F.col("record_no") * 2 + 1)
+    first = raw_records(spark, sf_dir).selectExpr("record_no * 2 AS record_no", "value")
+    second = raw_records(spark, sf_dir, 2).selectExpr("record_no * 2 + 1 AS record_no", "value")
     return first.unionByName(second)
 
 
-def dump_scan(spark: SparkSession, sf_dir: str, compression: str) -> DataFrame:
-    """Writes the records as array dumps and reads them back."""
+def dump_scan(
+    spark: SparkSession, sf_dir: str, compression: str = "none", layout: str = "lines"
+) -> DataFrame:
+    """Writes the records as array dumps and reads them back; for layout ``any`` each record
+    is spread over lines."""
     configure(spark)
     path = scratch_path(spark, "dump")
-    write_dump(raw_records(spark, sf_dir), path, compression=compression)
-    rows = ingest.system_rows(read_dump(spark, f"{path}/*/*"), ingest.utc_now())
+    records = raw_records(spark, sf_dir)
+    if layout == "any":
+        records = records.withColumn("value", F.replace("value", F.lit(", "), F.lit(",\n  ")))
+    write_dump(records, path, compression=compression)
+    dump = read_dump(spark, f"{path}/*/*", layout=layout)
+    rows = ingest.system_rows(dump, ingest.utc_now())
     return rows.agg(
         F.count(F.lit(1)).alias("records"),
         F.count("name").alias("named"),
@@ -276,11 +266,11 @@ def staged_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged Parquet in several parts, read back as one relation."""
     configure(spark)
     path = scratch_path(spark, "staged")
-    rows = systems(spark, sf_dir).select(
+    rows = systems(spark, sf_dir).selectExpr(
         "*",
-        F.col("system_address").alias("seq"),
-        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("imported_at"),
-        F.lit("orders").alias("source_tag"),
+        "system_address AS seq",
+        "timestamp_ntz'2024-01-01 00:00:00' AS imported_at",
+        "'orders' AS source_tag",
     )
     write_staged(rows, path, compression="snappy", rows_per_file=5000)
     back = _maps_as_text(read_staged(spark, path))
@@ -301,29 +291,22 @@ def load_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_counts(table(spark, sf_dir, "events"), "user_id")
 
 
-def _accounts(spark: SparkSession, sf_dir: str, name: str, prefix: str) -> DataFrame:
-    columns = ["key", "name", "nation", "balance"]
-    source = [f"{prefix}_{c}" for c in ("custkey" if prefix == "c" else "suppkey", "name",
-                                        "nationkey", "acctbal")]
-    return table(spark, sf_dir, name).select(
-        *[F.col(s).alias(c) for s, c in zip(source, columns)]
-    )
+def _accounts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return table(spark, sf_dir, name).toDF("key", "name", "nation", "balance")
 
 
 def patch_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers patched by customers: equal keys are updated, negative balances to null."""
-    base = _accounts(spark, sf_dir, "supplier", "s")
-    patch = _accounts(spark, sf_dir, "customer", "c").withColumn(
-        "balance", F.when(F.col("balance") >= 0, F.col("balance"))
+    base = _accounts(spark, sf_dir, "supplier")
+    patch = _accounts(spark, sf_dir, "customer").withColumn(
+        "balance", F.expr("CASE WHEN balance >= 0 THEN balance END")
     )
     return upsert(base, patch, "key")
 
 
 def run_log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = table(spark, sf_dir, "events").select(
-        F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("key"),
-        F.col("props").alias("value"),
-        "ts",
+    log = table(spark, sf_dir, "events").selectExpr(
+        "concat(event_type, '/', user_id) AS key", "props AS value", "ts"
     )
     return catalog.latest_values(log)
 
@@ -340,12 +323,11 @@ def _results(spark: SparkSession, sf_dir: str, limit: int = 40) -> DataFrame:
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of whole texts, which hold every kind of character."""
     templates = merge_templates(TEMPLATES)
-    text = F.col("text")
-    return table(spark, sf_dir, "conversations").select(
+    return table(spark, sf_dir, "conversations").selectExpr(
         "conv_id",
         "turn",
-        *[column.alias(name) for name, column in link_columns(text, templates).items()],
-        fill_template("{{{name_query}}}", text).alias("braced"),
+        *[f"{link} AS {name}" for name, link in link_columns("text", templates).items()],
+        f"{fill_template('{{{name_query}}}', 'text')} AS braced",
     )
 
 
@@ -370,14 +352,14 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixed-width line for every system, at a distance made from its population."""
     rows = R.complete_results(
-        systems(spark, sf_dir).select(
+        systems(spark, sf_dir).selectExpr(
             "*",
-            F.lit(HOME).alias("reference_system"),
-            S.is_claimable().alias("claimable"),
-            (F.col("population") / 100.0).alias("distance_ly"),
+            f"'{HOME}' AS reference_system",
+            f"{S.CLAIMABLE} AS claimable",
+            "population / 100D AS distance_ly",
         )
     )
-    return rows.select("name", R.table_line().alias("line"))
+    return rows.selectExpr("name", f"{R.table_line()} AS line")
 
 
 def pack_messages(spark: SparkSession, sf_dir: str, radius: float, limit: int) -> DataFrame:
@@ -416,7 +398,8 @@ QUERIES: dict[str, Query] = {
     "alias_sum": alias_sum,
     "record_fields": record_fields,
     "record_rollup": record_rollup,
-    "dump_scan": partial(dump_scan, compression="none"),
+    "dump_scan": dump_scan,
+    "dump_scan_any_layout": partial(dump_scan, layout="any"),
     "dump_scan_gzip": partial(dump_scan, compression="gzip"),
     "dump_first_records": dump_first_records,
     "import_full": import_full,

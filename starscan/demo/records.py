@@ -7,120 +7,71 @@ bodies that are no objects. Which form a record takes follows from its own colum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from starscan.demo.starmap import table
 
-
-def _text(value: Column) -> Column:
-    return F.concat(F.lit('"'), value.cast("string"), F.lit('"'))
-
-
-def _field(name: str, value: Column | str) -> Column:
-    return F.concat(F.lit(f'"{name}": '), F.lit(value) if isinstance(value, str) else value)
-
-
-def _choose(selector: Column, choices: dict[int, Column], default: Column | None = None) -> Column:
-    chosen = F.lit(None).cast("string") if default is None else default
-    for number, value in choices.items():
-        chosen = F.when(selector == number, value).otherwise(chosen)
-    return chosen
+# SQL expressions over one order: k its key, c its customer, s its status, p its priority,
+# n its population. Each gives the text of some JSON members, or null for none.
+MEMBERS = [
+    """CASE k % 11
+         WHEN 0 THEN format_string('"system_name": "Sys %d"', k)
+         WHEN 1 THEN format_string('"name": %d', k)
+         WHEN 2 THEN format_string('"name": "", "system_name": "Alt %d"', k)
+         WHEN 3 THEN '"name": null'
+         ELSE format_string('"name": "Star %d"', k) END""",
+    """CASE k % 7
+         WHEN 1 THEN format_string('"id64": "bad", "systemAddress": "%d"', k)
+         WHEN 2 THEN format_string('"id64": null, "system_address": %d', k)
+         WHEN 4 THEN format_string('"id64": %d', k * 1000)
+         WHEN 5 THEN format_string('"id64": %d', k * 1000)
+         WHEN 6 THEN format_string('"id64": %d.75', k) END""",
+    """CASE k % 5
+         WHEN 0 THEN format_string('"x": %d, "y": %d.5, "z": %d', x, abs(y), z)
+         WHEN 1 THEN format_string('"coords": {"x": null, "y": %d, "z": %d}, "x": 7', y, z)
+         WHEN 2 THEN format_string('"coords": {"y": %d, "z": %d}, "x": 7', y, z)
+         WHEN 3 THEN format_string('"coords": {"x": "%d", "y": "n/a", "z": "%d.25"}', x, abs(z))
+         WHEN 4 THEN format_string('"coords": {"x": %d, "y": %d, "z": %d.125}', x, y, abs(z)) END""",
+    """CASE k % 4
+         WHEN 1 THEN format_string('"population": %d', n)
+         WHEN 2 THEN format_string('"population": %d.9', n)
+         WHEN 3 THEN format_string('"population": "%d"', n) END""",
+    """CASE
+         WHEN k % 13 = 0 THEN '"controllingFaction": {}, "controllingFactionName": "Z"'
+         WHEN s = 'O' THEN concat('"controllingFaction": "', p, '"')
+         WHEN s = 'P' THEN concat('"controllingFaction": {"faction": "', p, '"}')
+         WHEN c % 2 = 0 THEN concat('"controllingFactionName": "', p, '"') END""",
+    """CASE c % 6
+         WHEN 1 THEN '"factions": ["a", {"name": "b"}, {"faction": "a"}, null]'
+         WHEN 2 THEN '"factions": {"k": 1}'
+         WHEN 3 THEN concat('"factions": ["x", "', p, '"]')
+         WHEN 4 THEN '"factions": []'
+         WHEN 5 THEN format_string('"factions": [%d, %d, "", {"name": ""}]', k, k % 3) END""",
+    """concat('"bodies": [', array_join(transform(
+         CASE WHEN c % 6 > 0 THEN sequence(1, c % 6) END,
+         i -> CASE (k + i) % 5
+           WHEN 0 THEN '7'
+           WHEN 1 THEN '{"type": "Planet", "subType": "Water world", "rings": [{"type": "Icy"}, 3]}'
+           WHEN 2 THEN '{"type": "Star", "rings": []}'
+           WHEN 3 THEN '{"subtype": "Earth-like world", "rings": [{"ringType": "Metallic"}, {}]}'
+           WHEN 4 THEN '{"type": "Planet", "subType": "Icy body é", "rings": ["r"]}' END),
+       ', '), ']')""",
+]
 
 
 def raw_records(spark: SparkSession, sf_dir: str, edition: int = 1) -> DataFrame:
     """(record_no, value): the JSON text of each record. A second ``edition`` describes the
     same systems with a population larger by one."""
-    orders = table(spark, sf_dir, "orders")
-    key, customer = F.col("o_orderkey"), F.col("o_custkey")
-    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
-    number = key.cast("string")
-    people = F.floor("o_totalprice") + (edition - 1)
-
-    name = _choose(
-        key % 11,
-        {
-            0: _field("system_name", _text(F.concat(F.lit("Sys "), number))),
-            1: _field("name", number),
-            2: F.concat(
-                F.lit('"name": "", "system_name": '), _text(F.concat(F.lit("Alt "), number))
-            ),
-            3: _field("name", "null"),
-        },
-        _field("name", _text(F.concat(F.lit("Star "), number))),
-    )
-    identity = _choose(
-        key % 7,
-        {
-            1: F.concat(F.lit('"id64": "bad", "systemAddress": '), _text(number)),
-            2: F.concat(F.lit('"id64": null, "system_address": '), number),
-            4: _field("id64", (key * 1000).cast("string")),
-            5: _field("id64", (key * 1000).cast("string")),
-            6: _field("id64", F.concat(number, F.lit(".75"))),
-        },
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS k",
+        "o_custkey AS c",
+        "o_orderstatus AS s",
+        "o_orderpriority AS p",
+        f"floor(o_totalprice) + {edition - 1} AS n",
+        *[f"(o_orderkey * {m}) % 401 - 200 AS {axis}" for m, axis in zip((37, 53, 91), "xyz")],
     )
-    x, y, z = ((key * k) % 401 - 200 for k in (37, 53, 91))
-    place = _choose(
-        key % 5,
-        {
-            0: F.format_string('"x": %d, "y": %d.5, "z": %d', x, F.abs(y), z),
-            1: F.format_string('"coords": {"x": null, "y": %d, "z": %d}, "x": 7', y, z),
-            2: F.format_string('"coords": {"y": %d, "z": %d}, "x": 7', y, z),
-            3: F.format_string('"coords": {"x": "%d", "y": "n/a", "z": "%d.25"}', x, F.abs(z)),
-            4: F.format_string('"coords": {"x": %d, "y": %d, "z": %d.125}', x, y, F.abs(z)),
-        },
-    )
-    inhabitants = _choose(
-        key % 4,
-        {
-            1: _field("population", people.cast("string")),
-            2: _field("population", F.concat(people.cast("string"), F.lit(".9"))),
-            3: _field("population", _text(people)),
-        },
-    )
-    ruler = (
-        F.when(key % 13 == 0, F.lit('"controllingFaction": {}, "controllingFactionName": "Z"'))
-        .when(status == "O", _field("controllingFaction", _text(priority)))
-        .when(
-            status == "P",
-            F.concat(F.lit('"controllingFaction": {"faction": '), _text(priority), F.lit("}")),
-        )
-        .when(customer % 2 == 0, _field("controllingFactionName", _text(priority)))
-    )
-    factions = _choose(
-        customer % 6,
-        {
-            1: F.lit('"factions": ["a", {"name": "b"}, {"faction": "a"}, null]'),
-            2: F.lit('"factions": {"k": 1}'),
-            3: F.concat(F.lit('"factions": ["x", '), _text(priority), F.lit("]")),
-            4: F.lit('"factions": []'),
-            5: F.format_string('"factions": [%d, %d, "", {"name": ""}]', key, key % 3),
-        },
-    )
-    body = [
-        "7",
-        '{"type": "Planet", "subType": "Water world", "rings": [{"type": "Icy"}, 3]}',
-        '{"type": "Star", "rings": []}',
-        '{"subtype": "Earth-like world", "rings": [{"ringType": "Metallic"}, {}]}',
-        '{"type": "Planet", "subType": "Icy body \\u00e9", "rings": ["r"]}',
-    ]
-    kinds = F.array(*[F.lit(b) for b in body])
-    planets = F.transform(
-        F.when(customer % 6 > 0, F.sequence(F.lit(1), (customer % 6).cast("int"))),
-        lambda i: F.get(kinds, ((key + i) % len(body)).cast("int")),
-    )
-    fields = [
-        name,
-        identity,
-        place,
-        inhabitants,
-        ruler,
-        factions,
-        F.concat(F.lit('"bodies": ['), F.array_join(planets, ", "), F.lit("]")),
-    ]
-    return orders.select(
-        key.alias("record_no"),
-        F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")).alias("value"),
+    return orders.selectExpr(
+        "k AS record_no", f"concat('{{', concat_ws(', ', {', '.join(MEMBERS)}), '}}') AS value"
     )
 
 
@@ -128,30 +79,19 @@ def write_dump(
     records: DataFrame, path: str, *, rows_per_file: int = 50_000, compression: str = "none"
 ) -> None:
     """Records as JSON-array dump files, one object per line, in ``record_no`` order."""
-    lines = records.select(
-        F.floor(F.col("record_no") / rows_per_file).alias("file_no"),
-        F.col("record_no").alias("line_no"),
-        F.concat("value", F.lit(",")).alias("value"),
+    lines = records.selectExpr(
+        f"record_no div {rows_per_file} AS file_no", "record_no AS line_no", "value"
     )
-    edges = lines.groupBy("file_no").agg(F.max("line_no").alias("last"))
-    brackets = edges.select(
+    ends = lines.groupBy("file_no").agg({"line_no": "max"}).toDF("file_no", "last")
+    brackets = ends.selectExpr(
         "file_no",
-        F.inline(
-            F.array(
-                F.struct(F.lit(-1).cast("bigint").alias("line_no"), F.lit("[").alias("value")),
-                F.struct((F.col("last") + 1).alias("line_no"), F.lit("]").alias("value")),
-            )
-        ),
+        "inline(array(struct(-1L AS line_no, '[' AS value), struct(last + 1 AS line_no, ']' AS value)))",
     )
-    last_lines = lines.join(edges, "file_no").select(
-        "file_no",
-        "line_no",
-        F.when(F.col("line_no") == F.col("last"), F.rtrim("value", F.lit(",")))
-        .otherwise(F.col("value"))
-        .alias("value"),
+    separated = lines.join(ends, "file_no").selectExpr(
+        "file_no", "line_no", "concat(value, CASE WHEN line_no < last THEN ',' ELSE '' END) AS value"
     )
     (
-        last_lines.unionByName(brackets)
+        separated.unionByName(brackets)
         .repartition("file_no")
         .sortWithinPartitions("file_no", "line_no")
         .select("file_no", "value")

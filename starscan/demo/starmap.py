@@ -2,67 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from starscan.operators.rollup import roll_up_rows, without_bodies
 from starscan.schema import COUNT_COLUMNS, HISTOGRAM_COLUMNS
 
+# Given schemas spare a look into the files for every query.
+TABLES = {
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_returnflag string, l_linestatus string""",
+    "part": "p_partkey bigint, p_type string, p_size int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "events": """event_id bigint, ts timestamp, user_id bigint, event_type string, value double,
+        props string""",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, customer, status = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
-
-    def place(value: Column) -> Column:
-        return (value % 401 - 200) / F.lit(8.0)
-
-    return table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("addr:"), key.cast("string")).alias("system_key"),
-        key.alias("system_address"),
-        F.concat(F.lit("Star "), key.cast("string")).alias("name"),
-        place(key * 37).alias("x"),
-        place(key * 53 + customer).alias("y"),
-        place(key * 91).alias("z"),
-        F.floor("o_totalprice").alias("population"),
-        F.when(status == "P", "")
-        .when(status != "F", F.col("o_orderpriority"))
-        .alias("controlling_faction"),
-        F.when((status == "O") | (customer % 3 == 0), 1).otherwise(0).alias("faction_count"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('addr:', o_orderkey) AS system_key",
+        "o_orderkey AS system_address",
+        "concat('Star ', o_orderkey) AS name",
+        "((o_orderkey * 37) % 401 - 200) / 8D AS x",
+        "((o_orderkey * 53 + o_custkey) % 401 - 200) / 8D AS y",
+        "((o_orderkey * 91) % 401 - 200) / 8D AS z",
+        "floor(o_totalprice) AS population",
+        """CASE o_orderstatus WHEN 'F' THEN NULL WHEN 'P' THEN '' ELSE o_orderpriority END
+           AS controlling_faction""",
+        "CASE WHEN o_orderstatus = 'O' OR o_custkey % 3 = 0 THEN 1 ELSE 0 END AS faction_count",
     )
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_returnflag", "l_linestatus"
-    )
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
-    flag, kind = F.col("l_returnflag"), F.col("p_type")
-    subtypes = {
-        "ECONOMY": "Water world",
-        "SMALL": "Earth-like world",
-        "MEDIUM": "High metal content world",
-        "PROMO": "icy body",
-        "LARGE": "Rocky ice body",
-        "STANDARD": "Gas giant",
-    }
-    subtype = F.lit(None).cast("string")
-    for part_type, name in subtypes.items():
-        subtype = F.when(kind == part_type, name).otherwise(subtype)
-    return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("system_address"),
-        F.when(flag == "N", "Planet").when(flag == "R", "Star").otherwise("Unknown").alias("type"),
-        F.when(flag != "R", subtype).alias("subtype"),
-        F.when(
-            F.col("l_linestatus") == "O",
-            F.when(F.col("p_size") % 2 == 0, "Icy").otherwise("Metallic"),
-        ).alias("ring"),
+    items, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    return items.join(parts, items["l_partkey"] == parts["p_partkey"]).selectExpr(
+        "l_orderkey AS system_address",
+        "CASE l_returnflag WHEN 'N' THEN 'Planet' WHEN 'R' THEN 'Star' ELSE 'Unknown' END AS type",
+        """CASE WHEN l_returnflag <> 'R' THEN CASE p_type
+             WHEN 'ECONOMY' THEN 'Water world'
+             WHEN 'SMALL' THEN 'Earth-like world'
+             WHEN 'MEDIUM' THEN 'High metal content world'
+             WHEN 'PROMO' THEN 'icy body'
+             WHEN 'LARGE' THEN 'Rocky ice body'
+             WHEN 'STANDARD' THEN 'Gas giant' END END AS subtype""",
+        """CASE WHEN l_linestatus = 'O' THEN
+             CASE WHEN p_size % 2 = 0 THEN 'Icy' ELSE 'Metallic' END END AS ring""",
     )
 
 
-def systems(spark: SparkSession, sf_dir: str, near: Column | None = None) -> DataFrame:
+def systems(spark: SparkSession, sf_dir: str, near: str | None = None) -> DataFrame:
     """The whole catalogue, or the part of it that passes ``near`` (a predicate on the star's
     own columns); bodies of other stars are then left out before they are rolled up."""
     chosen, matter = stars(spark, sf_dir), bodies(spark, sf_dir)

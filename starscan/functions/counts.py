@@ -4,13 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def no_counts() -> Column:
-    return F.create_map().cast("map<string,int>")
-
+NO_COUNTS = "CAST(map() AS map<string,int>)"
 
 # --- fixed values: body subtype names that make up each derived count ---
 HIGH_METAL_ALIASES = ["High metal content world", "High metal content body"]
@@ -31,80 +25,67 @@ GAS_GIANT_ALIASES = [
 # --- end of fixed values ---
 
 
-def count_where(items: Column, predicate) -> Column:
-    return F.size(F.filter(items, predicate))
+def count_where(items: str, condition: str) -> str:
+    """Number of elements for which ``condition`` on ``i`` holds."""
+    return f"size(filter({items}, i -> {condition}))"
 
 
-def histogram(labels: Column) -> Column:
+def histogram(labels: str) -> str:
     """array<string> without nulls -> map of label to number of occurrences."""
-    return F.map_from_entries(
-        F.transform(
-            F.array_sort(F.array_distinct(labels)),
-            lambda label: F.struct(label, count_where(labels, lambda other: other == label)),
-        )
-    )
+    return f"""map_from_entries(transform(sort_array(array_distinct({labels})),
+      label -> struct(label, {count_where(labels, "i = label")})))"""
 
 
-def canonical_json(counts: Column) -> Column:
-    """Keys sorted, ``", "`` and ``": "`` separators, non-ASCII text kept."""
-    members = F.transform(
-        F.array_sort(F.map_entries(counts)),
-        lambda e: F.concat(quoted(e["key"]), F.lit(": "), e["value"].cast("string")),
-    )
-    return F.concat(F.lit("{"), F.array_join(members, ", "), F.lit("}"))
+def merged_histogram(parts: str, label: str) -> str:
+    """Adds up partial counts: array<struct<label, n>> -> map of label to total."""
+    return f"""map_from_entries(transform(
+      sort_array(array_distinct(transform({parts}, p -> p.{label}))),
+      k -> struct(k, aggregate(filter({parts}, p -> p.{label} = k), 0,
+                               (total, p) -> total + CAST(p.n AS int)))))"""
 
 
-def quoted(text: Column) -> Column:
-    """``text`` as a JSON string literal."""
-    boxed = F.to_json(F.array(text))
-    return F.substr(boxed, F.lit(2), F.length(boxed) - 2)
+def canonical_json(counts: str) -> str:
+    """Keys sorted, ``", "`` and ``": "`` separators, non-ASCII text kept."""
+    member = "concat(btrim(to_json(array(e.key)), '[]'), ': ', e.value)"
+    members = f"transform(array_sort(map_entries({counts})), e -> {member})"
+    return f"concat('{{', array_join({members}, ', '), '}}')"
 
 
-def parse_counts(json_text: Column) -> Column:
+def parse_counts(json_text: str) -> str:
     """JSON object text to a map; null, malformed or non-object text gives an empty map.
 
     Values that are not numbers become null, which ``alias_sum`` counts as zero. The parser
     would ignore anything after the first value, so the text is parsed as an array's only item.
     """
-    boxed = F.try_parse_json(F.concat(F.lit("["), json_text, F.lit("]")))
-    items = F.try_variant_get(boxed, "$", "array<variant>")
-    members = F.when(
-        F.size(items) == 1, F.try_variant_get(F.get(items, F.lit(0)), "$", "map<string,variant>")
-    )
-    counts = F.transform_values(members, lambda _, v: F.try_variant_get(v, "$", "int"))
-    return F.coalesce(counts, no_counts())
+    items = f"try_variant_get(try_parse_json(concat('[', {json_text}, ']')), '$', 'array<variant>')"
+    members = f"try_variant_get(get({items}, 0), '$', 'map<string,variant>')"
+    counts = f"transform_values({members}, (k, v) -> try_variant_get(v, '$', 'int'))"
+    return f"coalesce(CASE WHEN size({items}) = 1 THEN {counts} END, {NO_COUNTS})"
 
 
-def alias_sum(counts: Column, aliases: Iterable[str]) -> Column:
-    wanted = sorted({alias.casefold() for alias in aliases})
-    hits = F.filter(F.map_entries(counts), lambda e: F.lower(e["key"]).isin(wanted))
-    total = F.aggregate(
-        hits, F.lit(0), lambda acc, e: acc + F.coalesce(e["value"], F.lit(0))
-    )
-    return F.coalesce(total, F.lit(0))
+def alias_sum(counts: str, aliases: Iterable[str]) -> str:
+    """Sum of the values whose key is one of the aliases in any case."""
+    wanted = ", ".join(f"'{a}'" for a in sorted({alias.casefold() for alias in aliases}))
+    hits = f"filter(map_entries({counts}), e -> lower(e.key) IN ({wanted}))"
+    return f"coalesce(aggregate({hits}, 0, (total, e) -> total + coalesce(e.value, 0)), 0)"
 
 
 def derived_counts(
-    types: Column, subtypes: Column, water_worlds: Column, earthlike_worlds: Column
-) -> dict[str, Column]:
+    types: str, subtypes: str, water_worlds: str, earthlike_worlds: str
+) -> dict[str, str]:
     """The four counts shown in reports next to the stored ones.
 
     Without any named gas giant, every planet that belongs to no other group counts as one.
     """
-    high_metal = alias_sum(subtypes, HIGH_METAL_ALIASES)
-    icy = alias_sum(subtypes, ICY_ALIASES)
-    rocky_ice = alias_sum(subtypes, ROCKY_ICE_ALIASES)
+    groups = {
+        "hmcw_count": alias_sum(subtypes, HIGH_METAL_ALIASES),
+        "icy_world_count": alias_sum(subtypes, ICY_ALIASES),
+        "rocky_icy_world_count": alias_sum(subtypes, ROCKY_ICE_ALIASES),
+    }
     named = alias_sum(subtypes, GAS_GIANT_ALIASES)
-    remaining = alias_sum(types, ["Planet"]) - (
-        F.coalesce(water_worlds, F.lit(0))
-        + F.coalesce(earthlike_worlds, F.lit(0))
-        + high_metal
-        + icy
-        + rocky_ice
-    )
-    return {
-        "hmcw_count": high_metal,
-        "icy_world_count": icy,
-        "rocky_icy_world_count": rocky_ice,
-        "gas_giant_count": F.when(named > 0, named).otherwise(F.greatest(F.lit(0), remaining)),
+    worlds = [f"coalesce({water_worlds}, 0)", f"coalesce({earthlike_worlds}, 0)"]
+    others = " + ".join([*worlds, *groups.values()])
+    remaining = f"greatest(0, {alias_sum(types, ['Planet'])} - ({others}))"
+    return groups | {
+        "gas_giant_count": f"CASE WHEN {named} > 0 THEN {named} ELSE {remaining} END"
     }

@@ -5,30 +5,40 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 AXES = ("x", "y", "z")
+REF_AXES = ("rx", "ry", "rz")
+
 
+def number(value: float) -> str:
+    """A double literal."""
+    if not math.isfinite(value):
+        return f"double('{value}')"
+    return f"({float(value)!r}D)"
 
-def distance(point: Sequence[Column], origin: Sequence[Column]) -> Column:
-    dx, dy, dz = (p - o for p, o in zip(point, origin))
-    return F.sqrt(dx * dx + dy * dy + dz * dz)
 
+def distance(point: Sequence[str], origin: Sequence[str]) -> str:
+    squares = [f"({p} - {o}) * ({p} - {o})" for p, o in zip(point, origin)]
+    return f"sqrt({' + '.join(squares)})"
 
-def round2(value: Column) -> Column:
+
+def round2(value: str) -> str:
     """Two decimals, halves away from zero after scaling (``round(1.005, 2)`` is 1.0)."""
-    return F.round(value * 100.0) / 100.0
+    return f"(round({value} * 100D) / 100D)"
+
 
+def span(axis: str, low: float, high: float, radius: float) -> str:
+    slack = 1e-9 * max(1.0, abs(low), abs(high), abs(radius))
+    return f"{axis} BETWEEN {number(low - radius - slack)} AND {number(high + radius + slack)}"
 
-def around(point: Sequence[Column], origin: Sequence[float], radius: float) -> Column:
-    """Axis-aligned box holding the ball. Plain comparisons with literals, so that Parquet
-    min/max statistics can skip row groups; widened so that rounding cannot lose a point."""
-    keep = F.lit(True)
-    for axis, centre in zip(point, origin):
-        slack = 1e-9 * max(1.0, abs(centre), abs(radius))
-        keep = keep & axis.between(centre - radius - slack, centre + radius + slack)
-    return keep
+
+def around(origins: Sequence[Sequence[float]], radius: float) -> str:
+    """The axis-aligned box that holds the balls around all origins.
+
+    Plain comparisons with literals, so that Parquet min/max statistics can skip row groups;
+    widened so that rounding cannot lose a point.
+    """
+    ranges = [(min(values), max(values)) for values in zip(*origins)]
+    return " AND ".join(span(axis, *range_, radius) for axis, range_ in zip(AXES, ranges))
 
 
 def cell_size(radius: float, largest_coordinate: float) -> float:
@@ -41,22 +51,15 @@ def cell_size(radius: float, largest_coordinate: float) -> float:
     return max(radius * (1 + 1e-6), abs(largest_coordinate) * 1e-9, 1.0)
 
 
-def cell(point: Sequence[Column], edge: float) -> list[Column]:
-    return [F.floor(axis / F.lit(edge)) for axis in point]
+def cell(point: Sequence[str], edge: float) -> list[str]:
+    return [f"floor({axis} / {number(edge)})" for axis in point]
 
 
-def neighbour_cells(origin: Sequence[Column], edge: float) -> Column:
+def neighbour_cells(origin: Sequence[str], edge: float) -> str:
     """array<struct<cx,cy,cz>>: the origin's cell and its 26 neighbours."""
     cx, cy, cz = cell(origin, edge)
-    steps = (-1, 0, 1)
-    return F.array(
-        *[
-            F.struct((cx + i).alias("cx"), (cy + j).alias("cy"), (cz + k).alias("cz"))
-            for i in steps
-            for j in steps
-            for k in steps
-        ]
-    )
+    return f"""transform(sequence(0, 26), i -> struct(
+      {cx} + i div 9 - 1 AS cx, {cy} + (i div 3) % 3 - 1 AS cy, {cz} + i % 3 - 1 AS cz))"""
 
 
 def is_searchable(radius: float) -> bool:

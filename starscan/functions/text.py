@@ -2,55 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def literal(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
-def pad_left(text: Column, width: int) -> Column:
+
+def pad_left(text: str, width: int) -> str:
     """Right-align; longer text is kept whole (``lpad`` alone would cut it)."""
-    return F.when(F.length(text) < width, F.lpad(text, width, " ")).otherwise(text)
+    return f"lpad({text}, greatest({width}, length({text})), ' ')"
 
 
-def pad_right(text: Column, width: int) -> Column:
-    return F.when(F.length(text) < width, F.rpad(text, width, " ")).otherwise(text)
+def pad_right(text: str, width: int) -> str:
+    return f"rpad({text}, greatest({width}, length({text})), ' ')"
 
 
-def one_decimal(value: Column) -> Column:
+def one_decimal(value: str) -> str:
     """A non-negative double with one decimal, rounded on its exact binary value, ties to even.
 
     ``format_string('%.1f')`` rounds the shortest decimal form half up: 0.25 gives 0.3 there
-    and 0.2 here. ``20 * value`` is compared with the odd number 2n+1 without rounding error by
-    splitting it into 16v + 4v (both exact) and recovering what their sum loses.
+    and 0.2 here. A product with 10 or 20 is not exact, so it is kept as the rounded sum of two
+    exact products (8v + 2v, 16v + 4v) and the part that rounding lost.
     """
-    tenths = F.floor(value * 10.0)
-    # value * 10 may round up to the next whole number; step back in that case
-    big, small = value * 8.0, value * 2.0
-    ten, ten_lost = _two_sum(big, small)
-    n = tenths - F.when((ten - tenths) + ten_lost < 0, 1).otherwise(0)
-    twenty, twenty_lost = _two_sum(value * 16.0, value * 4.0)
-    excess = (twenty - (n * 2 + 1)) + twenty_lost
-    up = (excess > 0) | ((excess == 0) & (n % 2 == 1))
-    rounded = n + F.when(up, 1).otherwise(0)
-    return F.concat(
-        F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string")
-    )
-
-
-def _two_sum(a: Column, b: Column) -> tuple[Column, Column]:
+    ten, ten_lost = _two_sum(f"({value} * 8D)", f"({value} * 2D)")
+    twenty, twenty_lost = _two_sum(f"({value} * 16D)", f"({value} * 4D)")
+    # the product may have been rounded up to the next whole number: step back then
+    tenths = f"(floor({ten}) - CASE WHEN ({ten} - floor({ten})) + {ten_lost} < 0 THEN 1 ELSE 0 END)"
+    excess = f"(({twenty} - ({tenths} * 2 + 1)) + {twenty_lost})"
+    rounded = f"""({tenths} + CASE
+      WHEN {excess} > 0 OR ({excess} = 0 AND {tenths} % 2 = 1) THEN 1 ELSE 0 END)"""
+    return f"concat({rounded} div 10, '.', {rounded} % 10)"
+
+
+def _two_sum(a: str, b: str) -> tuple[str, str]:
     """The rounded sum and the part lost by rounding."""
-    total = a + b
-    b_kept = total - a
-    return total, (a - (total - b_kept)) + (b - b_kept)
+    total = f"({a} + {b})"
+    b_kept = f"({total} - {a})"
+    return total, f"(({a} - ({total} - {b_kept})) + ({b} - {b_kept}))"
 
 
-def number_text(value: Column) -> Column:
+def number_text(value: str) -> str:
     """A double as its shortest decimal text, without an exponent from 1e7 up to 1e16."""
-    plain = value.cast("string")
-    wide = F.regexp_replace(value.cast("decimal(38,3)").cast("string"), r"0{1,2}$", "")
-    return F.when((F.abs(value) >= 1e7) & (F.abs(value) < 1e16), wide).otherwise(plain)
+    wide = f"regexp_replace(CAST(CAST({value} AS decimal(38,3)) AS string), '0{{1,2}}$', '')"
+    return f"""CASE WHEN abs({value}) >= 1e7 AND abs({value}) < 1e16 THEN {wide}
+      ELSE CAST({value} AS string) END"""
 
 
-def query_escape(text: Column) -> Column:
+def query_escape(text: str) -> str:
     """URL query encoding: letters, digits and ``_.-~`` stay, a space becomes ``+``."""
-    encoded = F.url_encode(text)
-    return F.replace(F.replace(encoded, F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    return f"replace(replace(url_encode({text}), '%7E', '~'), '*', '%2A')"

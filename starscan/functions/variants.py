@@ -1,67 +1,56 @@
-"""Column helpers for loosely typed JSON values held as VARIANT."""
+"""Loosely typed JSON values held as VARIANT."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def get(value: str, path: str, type_name: str) -> str:
+    return f"try_variant_get({value}, '{path}', '{type_name}')"
 
-def get(value: Column, path: str, as_type: str) -> Column:
-    return F.try_variant_get(value, path, as_type)
 
+def as_type(value: str, type_name: str) -> str:
+    return get(value, "$", type_name)
 
-def as_type(value: Column, type_name: str) -> Column:
-    return F.try_variant_get(value, "$", type_name)
 
-
-def kind(value: Column) -> Column:
+def kind(value: str) -> str:
     """STRING, BIGINT, DECIMAL(..), DOUBLE, BOOLEAN, VOID, ARRAY<..> or OBJECT<..>."""
-    return F.schema_of_variant(value)
-
+    return f"schema_of_variant({value})"
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("OBJECT"), F.lit(False))
 
+def is_object(value: str) -> str:
+    return f"coalesce(startswith({kind(value)}, 'OBJECT'), false)"
 
-def is_array(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("ARRAY"), F.lit(False))
 
+def is_string(value: str) -> str:
+    return f"coalesce({kind(value)} = 'STRING', false)"
 
-def is_string(value: Column) -> Column:
-    return F.coalesce(kind(value) == "STRING", F.lit(False))
 
-
-def text(value: Column) -> Column:
+def text(value: str) -> str:
     """The value as text; booleans are spelled ``True`` / ``False``."""
     plain = as_type(value, "string")
-    return F.when(kind(value) == "BOOLEAN", F.initcap(plain)).otherwise(plain)
+    return f"CASE WHEN {kind(value)} = 'BOOLEAN' THEN initcap({plain}) ELSE {plain} END"
 
 
-def truthy_text(value: Column) -> Column:
+def truthy_text(value: str) -> str:
     """``text`` of a value that is not null, empty, zero or false; NULL for those."""
-    plain = as_type(value, "string")
-    shape = kind(value)
-    return (
-        F.when(shape == "STRING", F.nullif(plain, F.lit("")))
-        .when(shape == "BOOLEAN", F.when(as_type(value, "boolean"), F.lit("True")))
-        .when(shape.rlike("^(ARRAY|OBJECT)"), F.when(~plain.isin("[]", "{}"), plain))
-        .when(shape != "VOID", F.when(as_type(value, "double") != 0, plain))
-    )
+    plain, shape = as_type(value, "string"), kind(value)
+    return f"""CASE
+      WHEN {shape} = 'STRING' THEN nullif({plain}, '')
+      WHEN {shape} = 'BOOLEAN' THEN CASE WHEN {as_type(value, "boolean")} THEN 'True' END
+      WHEN {shape} RLIKE '^(ARRAY|OBJECT)' THEN CASE WHEN {plain} NOT IN ('[]', '{{}}') THEN {plain} END
+      WHEN {shape} <> 'VOID' THEN CASE WHEN {as_type(value, "double")} <> 0 THEN {plain} END
+    END"""
 
 
-def first_truthy_text(*values: Column) -> Column:
-    return F.coalesce(*[truthy_text(v) for v in values])
+def first_truthy_text(*values: str) -> str:
+    return f"coalesce({', '.join(truthy_text(v) for v in values)})"
 
 
-def is_truthy(value: Column) -> Column:
+def is_truthy(value: str) -> str:
     items = as_type(value, "array<variant>")
-    return F.coalesce(F.size(items) > 0, truthy_text(value).isNotNull())
+    return f"coalesce(size({items}) > 0, {truthy_text(value)} IS NOT NULL)"
 
 
-def objects(value: Column, struct_type: str) -> Column:
+def objects(value: str, struct_type: str) -> str:
     """The object elements of an array value as structs; [] when it is not an array."""
     items = as_type(value, f"array<{struct_type}>")
-    return F.coalesce(
-        F.filter(items, lambda item: item.isNotNull()),
-        F.array().cast(f"array<{struct_type}>"),
-    )
+    return f"coalesce(filter({items}, o -> o IS NOT NULL), CAST(array() AS array<{struct_type}>))"

@@ -2,98 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from starscan.functions import variants as V
 from starscan.functions.geometry import AXES
 
+NAME = V.first_truthy_text("record.name", "record.system_name")
 
-def system_name(record: Column) -> Column:
-    return V.first_truthy_text(record["name"], record["system_name"])
+# the first of the id fields that can be read as a whole number
+ADDRESS = f"""coalesce({", ".join(
+    V.as_type(f"record.{field}", "bigint")
+    for field in ("id64", "systemAddress", "system_address"))})"""
 
+POPULATION = V.as_type("record.population", "bigint")
 
-def system_address(record: Column) -> Column:
-    """The first of the id fields that can be read as a whole number."""
-    return F.coalesce(
-        *[
-            V.as_type(record[field], "bigint")
-            for field in ("id64", "systemAddress", "system_address")
-        ]
-    )
-
+SYSTEM_KEY = """CASE
+  WHEN system_address IS NOT NULL THEN concat('addr:', system_address)
+  WHEN x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL
+    THEN concat('coords:', lower(name), format_string('|%.8f|%.8f|%.8f', x, y, z))
+  ELSE concat('name:', lower(name)) END"""
 
-def coordinate(record: Column, axis: str) -> Column:
-    """``coords.<axis>`` when that key is there, even if null; the top-level field otherwise."""
-    nested = V.as_type(record["coords"], "map<string,variant>")
-    has_key = F.coalesce(F.map_contains_key(nested, F.lit(axis)), F.lit(False))
-    value = F.when(has_key, F.element_at(nested, F.lit(axis))).otherwise(record[axis])
-    return V.as_type(value, "double")
 
-
-def system_key(name: Column, address: Column, x: Column, y: Column, z: Column) -> Column:
-    coords = F.format_string("|%.8f|%.8f|%.8f", x, y, z)
-    located = x.isNotNull() & y.isNotNull() & z.isNotNull()
-    return (
-        F.when(address.isNotNull(), F.concat(F.lit("addr:"), address.cast("string")))
-        .when(located, F.concat(F.lit("coords:"), F.lower(name), coords))
-        .otherwise(F.concat(F.lit("name:"), F.lower(name)))
-    )
+COORDS = V.as_type("record.coords", "map<string,variant>")
 
 
-def population(record: Column) -> Column:
-    return V.as_type(record["population"], "bigint")
+def coordinate(axis: str) -> str:
+    """``coords.<axis>`` when that key is there, even if null; the top-level field otherwise.
+    ``_coords`` is ``COORDS``."""
+    value = f"""CASE WHEN coalesce(map_contains_key(_coords, '{axis}'), false)
+      THEN _coords['{axis}'] ELSE record.{axis} END"""
+    return V.as_type(value, "double")
 
 
-def controlling_faction(record: Column) -> Column:
+def controlling_faction() -> str:
     """An object gives its name (no further fallback), text gives itself, anything else the
     separate name field."""
-    value = record["controllingFaction"]
-    from_object = F.coalesce(
-        V.truthy_text(V.get(value, "$.name", "variant")), V.get(value, "$.faction", "string")
-    )
-    return (
-        F.when(V.is_object(value), from_object)
-        .when(V.is_string(value), V.as_type(value, "string"))
-        .otherwise(V.as_type(record["controllingFactionName"], "string"))
-    )
+    value = "record.controllingFaction"
+    return f"""CASE
+      WHEN {V.is_object(value)} THEN coalesce(
+        {V.truthy_text(V.get(value, "$.name", "variant"))}, {V.get(value, "$.faction", "string")})
+      WHEN {V.is_string(value)} THEN {V.as_type(value, "string")}
+      ELSE {V.as_type("record.controllingFactionName", "string")} END"""
 
 
-def faction_count(record: Column, controlling: Column) -> Column:
+def faction_count() -> str:
     """Distinct faction names together with the controlling one.
 
     A JSON null inside the list counts as a faction called "None". A truthy value that is not
     a list leaves only the controlling faction to count.
     """
-    own = F.nullif(controlling, F.lit(""))
-    members = V.as_type(record["factions"], "array<variant>")
-
-    def label(member: Column) -> Column:
-        fields = (V.get(member, f"$.{key}", "variant") for key in ("name", "faction"))
-        return (
-            F.when(V.kind(member) == "VOID", F.lit("None"))
-            .when(V.is_object(member), V.first_truthy_text(*fields))
-            .otherwise(F.nullif(V.text(member), F.lit("")))
-        )
-
-    labels = F.transform(F.coalesce(members, F.array().cast("array<variant>")), label)
-    return F.size(F.array_distinct(F.array_compact(F.array_append(labels, own))))
+    members = V.as_type("record.factions", "array<variant>")
+    named = V.first_truthy_text(V.get("m", "$.name", "variant"), V.get("m", "$.faction", "variant"))
+    labels = f"""transform(coalesce({members}, CAST(array() AS array<variant>)), m -> CASE
+      WHEN {V.kind("m")} = 'VOID' THEN 'None'
+      WHEN {V.is_object("m")} THEN {named}
+      ELSE nullif({V.text("m")}, '') END)"""
+    own = "nullif(controlling_faction, '')"
+    return f"size(array_distinct(array_compact(array_append({labels}, {own}))))"
 
 
 def normalise(records: DataFrame) -> DataFrame:
     """Adds the typed columns to rows with a ``record``; nameless records get a null name."""
-    record = F.col("record")
-    typed = records.select(
-        "*",
-        system_name(record).alias("name"),
-        system_address(record).alias("system_address"),
-        *[coordinate(record, axis).alias(axis) for axis in AXES],
-        population(record).alias("population"),
-        controlling_faction(record).alias("controlling_faction"),
+    typed = records.selectExpr("*", f"{COORDS} AS _coords").selectExpr(
+        *records.columns,
+        f"{NAME} AS name",
+        f"{ADDRESS} AS system_address",
+        *[f"{coordinate(axis)} AS {axis}" for axis in AXES],
+        f"{POPULATION} AS population",
+        f"{controlling_faction()} AS controlling_faction",
     )
-    return typed.withColumns(
-        {
-            "system_key": system_key(*[F.col(c) for c in ("name", "system_address", *AXES)]),
-            "faction_count": faction_count(record, F.col("controlling_faction")),
-        }
+    return typed.selectExpr(
+        "*", f"{SYSTEM_KEY} AS system_key", f"{faction_count()} AS faction_count"
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starscan.functions.counts import canonical_json, derived_counts, no_counts
+from starscan.functions.counts import NO_COUNTS, canonical_json, derived_counts
 from starscan.functions.links import link_columns
-from starscan.functions.text import number_text, one_decimal, pad_left, pad_right
+from starscan.functions.text import literal, number_text, one_decimal, pad_left, pad_right
 from starscan.schema import HISTOGRAM_COLUMNS, RESULT_COLUMNS
 
 # --- fixed values: report texts, headings and widths ---
@@ -60,6 +60,7 @@ TABLE_HEADER = " ".join(
 )
 # --- end of fixed values ---
 
+MESSAGE_COLUMNS = ["ref_ord", "reference_system", "part_no", "part_count", "content"]
 TABLE_HEAD = TABLE_HEADER + "\n" + "-" * len(TABLE_HEADER)
 
 
@@ -70,59 +71,49 @@ def complete_results(
     templates: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Adds derived counts, rule text and links; keeps ``ref_ord`` and ``rank`` when present."""
-    maps = {name: F.coalesce(F.col(name), no_counts()) for name in HISTOGRAM_COLUMNS}
-    filled = hits.withColumns(maps).withColumns(
-        derived_counts(
-            F.col("body_type_counts"),
-            F.col("body_subtype_counts"),
-            F.col("water_world_count"),
-            F.col("earthlike_world_count"),
-        )
-        | link_columns(F.col("name"), templates, include_links)
-        | {"claimable_rule": F.lit(CLAIMABLE_RULE)}
+    maps = [f"coalesce({name}, {NO_COUNTS}) AS {name}" for name in HISTOGRAM_COLUMNS]
+    added = (
+        derived_counts(*HISTOGRAM_COLUMNS[:2], "water_world_count", "earthlike_world_count")
+        | link_columns("name", templates, include_links)
+        | {"claimable_rule": literal(CLAIMABLE_RULE)}
     )
     order = [name for name in ("ref_ord", "rank") if name in hits.columns]
-    return filled.select(*order, *RESULT_COLUMNS)
+    plain = [name for name in hits.columns if name not in HISTOGRAM_COLUMNS]
+    return hits.selectExpr(*plain, *maps).selectExpr(
+        *order, *[f"{added[name]} AS {name}" if name in added else name for name in RESULT_COLUMNS]
+    )
 
 
 def report_rows(results: DataFrame) -> DataFrame:
     """The 24 report columns as text, under their headings."""
-    return results.select(*[_cell(source).alias(head) for head, source in CSV_HEADINGS.items()])
+    return results.selectExpr(*[f"{_cell(c)} AS `{head}`" for head, c in CSV_HEADINGS.items()])
 
 
-def _cell(source: str) -> Column:
-    value = F.col(source)
-    if source == "claimable":
-        return F.when(value, "yes").otherwise("no")
-    if source == "claimable_rule":
-        return F.coalesce(value, F.lit(CLAIMABLE_RULE))
-    if source in HISTOGRAM_COLUMNS:
-        return canonical_json(F.coalesce(value, no_counts()))
-    if source == "distance_ly":
-        return F.coalesce(number_text(value), F.lit(""))
-    return F.coalesce(value.cast("string"), F.lit(""))
+def _cell(column: str) -> str:
+    if column == "claimable":
+        return "CASE WHEN claimable THEN 'yes' ELSE 'no' END"
+    if column == "claimable_rule":
+        return f"coalesce(claimable_rule, {literal(CLAIMABLE_RULE)})"
+    if column in HISTOGRAM_COLUMNS:
+        return canonical_json(f"coalesce({column}, {NO_COUNTS})")
+    text = number_text(column) if column == "distance_ly" else f"CAST({column} AS string)"
+    return f"coalesce({text}, '')"
 
 
-def table_line(row: Column | None = None) -> Column:
+def table_line() -> str:
     """One fixed-width line: the name is cut, numbers widen when they do not fit."""
-
-    def field(name: str) -> Column:
-        return F.col(name) if row is None else row[name]
-
-    name = F.coalesce(F.substring(field("name"), 1, NAME_WIDTH), F.lit(""))
-    dist = one_decimal(F.coalesce(field("distance_ly"), F.lit(0.0)))
+    name = pad_right(f"coalesce(substring(name, 1, {NAME_WIDTH}), '')", NAME_WIDTH)
+    dist = pad_left(one_decimal("coalesce(distance_ly, 0D)"), 6)
     counts = [
-        pad_left(F.coalesce(field(column), F.lit(0)).cast("string"), width)
+        pad_left(f"CAST(coalesce({column}, 0) AS string)", width)
         for _, width, column in TABLE_COLUMNS
     ]
-    return F.concat_ws(" ", pad_right(name, NAME_WIDTH), pad_left(dist, 6), *counts)
+    return f"concat_ws(' ', {', '.join([name, dist, *counts])})"
 
 
-def link_line() -> Column:
-    return F.concat(
-        F.lit("- **"), F.col("name"), F.lit("** | [Inara]("), F.col("inara_url"),
-        F.lit(") | [EDGIS]("), F.col("edgis_url"), F.lit(")"),
-    )
+LINK_LINE = (
+    "concat('- **', name, '** | [Inara](', inara_url, ') | [EDGIS](', edgis_url, ')')"
+)
 
 
 def messages(
@@ -143,90 +134,64 @@ def messages(
     ``reference_system``) lists every reference asked for: those without hits get one message
     that says so.
     """
-    lines = results.select(
-        "ref_ord",
-        F.struct("rank", table_line().alias("line"), link_line().alias("link")).alias("_row"),
-    )
-    gathered = lines.groupBy("ref_ord").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
-    opening = F.concat(
-        F.lit(f"Radius: **{radius:.1f} ly** | Filter: **{body_filter}** | Claimable only: "),
-        F.lit(f"**{'yes' if claimable_only else 'no'}** | Limit: **{limit}** | Treffer: **"),
-        F.coalesce(F.size("_rows"), F.lit(0)).cast("string"),
-        F.lit("**"),
+    info = (
+        f"Radius: **{radius:.1f} ly** | Filter: **{body_filter}** | Claimable only: "
+        f"**{'yes' if claimable_only else 'no'}** | Limit: **{limit}** | Treffer: **"
     )
-    framed = references.join(gathered, "ref_ord", "left").withColumns(
-        {"_title": F.concat(F.lit("## "), "reference_system"), "_info": opening}
+    table_open, table_close = f"\n```text\n{TABLE_HEAD}\n", "\n```\n"
+    lines = results.selectExpr(
+        "ref_ord", f"struct(rank, {table_line()} AS line, {LINK_LINE} AS link) AS _row"
     )
-    frame_length = (
-        F.length("_title") + F.length("_info") + len(f"\n\n```text\n{TABLE_HEAD}\n```\n")
+    gathered = lines.groupBy("ref_ord").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    framed = references.join(gathered, "ref_ord", "left").selectExpr(
+        "ref_ord",
+        "reference_system",
+        "coalesce(_rows, array()) AS _rows",
+        "concat('## ', reference_system) AS _title",
+        f"concat({literal(info)}, coalesce(array_size(_rows), 0), '**') AS _info",
     )
-    parts = framed.withColumn("_starts", part_starts(F.col("_rows"), frame_length, cap))
+    frame_length = f"length(_title) + length(_info) + {len(table_open + table_close) + 1}"
+    parts = framed.selectExpr("*", f"{part_starts('_rows', frame_length, cap)} AS _starts")
     with_hits = (
-        parts.where(F.size("_starts") > 0)
-        .select("*", F.posexplode("_starts").alias("_part", "_start"))
-        .withColumn("part_no", F.col("_part") + 1)
-        .withColumn("part_count", F.size("_starts"))
-        .withColumn(
-            "_end",
-            F.coalesce(F.get("_starts", F.col("part_no")), F.size("_rows") + 1),
+        parts.selectExpr("*", "posexplode(_starts) AS (_part, _start)")
+        .selectExpr(
+            "*",
+            "_part + 1 AS part_no",
+            "size(_starts) AS part_count",
+            "slice(_rows, _start, coalesce(get(_starts, _part + 1), size(_rows) + 1) - _start)"
+            " AS _slice",
+        )
+        .selectExpr(
+            *MESSAGE_COLUMNS[:-1],
+            f"""concat(_title,
+              CASE WHEN part_count > 1 THEN concat('\nTeil ', part_no, '/', part_count) ELSE '' END,
+              '\n', _info, {literal(table_open)}, array_join(_slice.line, '\n'),
+              {literal(table_close)}, array_join(_slice.link, '\n')) AS content""",
         )
-        .withColumn("_slice", F.slice("_rows", F.col("_start"), F.col("_end") - F.col("_start")))
-        .withColumn("content", _message())
     )
-    without_hits = parts.where(F.coalesce(F.size("_starts"), F.lit(0)) <= 0).select(
-        "*",
-        F.lit(1).alias("part_no"),
-        F.lit(1).alias("part_count"),
-        F.concat(F.col("_title"), F.lit("\n"), F.col("_info"), F.lit(f"\n\n{NO_HITS}")).alias(
-            "content"
-        ),
+    without_hits = parts.where("size(_rows) = 0").selectExpr(
+        "ref_ord",
+        "reference_system",
+        "1 AS part_no",
+        "1 AS part_count",
+        f"concat(_title, '\n', _info, '\n\n', {literal(NO_HITS)}) AS content",
     )
-    shown = ["ref_ord", "reference_system", "part_no", "part_count", "content"]
-    return with_hits.select(*shown).unionByName(without_hits.select(*shown))
+    return with_hits.unionByName(without_hits)
 
 
-def part_starts(rows: Column, frame_length: Column, cap: int) -> Column:
+def part_starts(rows: str, frame_length: str, cap: int) -> str:
     """1-based positions at which a new message starts.
 
     A row goes into the current message unless that would exceed the cap; a row too long for
     any message stands alone. The length of a message is its frame plus, per row, table line
     and link line with their line breaks (one less break for the first link).
     """
-    fresh = F.struct(
-        F.array().cast("array<int>").alias("starts"), F.lit(0).alias("used"), F.lit(0).alias("seen")
-    )
-
-    def add(state: Column, row: Column) -> Column:
-        own = F.length(row["line"]) + 1 + F.length(row["link"])
-        position = state["seen"] + 1
-        grown = state["used"] + 1 + own
-        starts_new = (state["seen"] == 0) | (grown > cap)
-        return F.struct(
-            F.when(starts_new, F.array_append(state["starts"], position))
-            .otherwise(state["starts"])
-            .alias("starts"),
-            F.when(starts_new, frame_length + own).otherwise(grown).alias("used"),
-            position.alias("seen"),
-        )
-
-    return F.aggregate(rows, fresh, add, lambda state: state["starts"])
-
-
-def _message() -> Column:
-    part = F.when(
-        F.col("part_count") > 1,
-        F.concat(
-            F.lit("\nTeil "),
-            F.col("part_no").cast("string"),
-            F.lit("/"),
-            F.col("part_count").cast("string"),
-        ),
-    ).otherwise("")
-    return F.concat(
-        F.col("_title"), part, F.lit("\n"), F.col("_info"),
-        F.lit(f"\n```text\n{TABLE_HEAD}\n"), _stacked("line"), F.lit("\n```\n"), _stacked("link"),
-    )
-
-
-def _stacked(field: str) -> Column:
-    return F.array_join(F.transform("_slice", lambda row: row[field]), "\n")
+    own = "length(row.line) + 1 + length(row.link)"
+    new = f"(s.seen = 0 OR s.used + 1 + {own} > {cap})"
+    return f"""aggregate({rows},
+      named_struct('starts', CAST(array() AS array<int>), 'used', 0, 'seen', 0),
+      (s, row) -> named_struct(
+        'starts', CASE WHEN {new} THEN array_append(s.starts, s.seen + 1) ELSE s.starts END,
+        'used', CASE WHEN {new} THEN {frame_length} + {own} ELSE s.used + 1 + {own} END,
+        'seen', s.seen + 1),
+      s -> s.starts)"""

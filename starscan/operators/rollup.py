@@ -5,11 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starscan.functions import variants as V
-from starscan.functions.counts import count_where, histogram, no_counts
+from starscan.functions.counts import NO_COUNTS, count_where, histogram, merged_histogram
 
 # --- fixed values: labels with a count column of their own ---
 PLANET = "Planet"
@@ -25,57 +25,57 @@ _BODY_RENAMED = "array<struct<type:variant,subtype:variant,subtype_alt:variant,r
 _RING = "struct<type:variant,ringType:variant>"
 
 
-def roll_up_nested(rows: DataFrame, bodies: Column) -> DataFrame:
+def roll_up_nested(rows: DataFrame, bodies: str) -> DataFrame:
     """Adds the six counts and three histogram maps for a VARIANT column of bodies."""
-
-    def reduced(body: Column) -> Column:
-        rings = V.objects(body["rings"], _RING)
-        return F.struct(
-            F.coalesce(V.truthy_text(body["type"]), F.lit(UNKNOWN)).alias("type"),
-            V.first_truthy_text(body["subtype"], body["subtype_alt"]).alias("subtype"),
-            V.is_truthy(body["rings"]).alias("ringed"),
-            F.transform(
-                rings,
-                lambda r: F.coalesce(
-                    V.first_truthy_text(r["type"], r["ringType"]), F.lit(UNKNOWN)
-                ),
-            ).alias("rings"),
-        )
-
-    objects = V.objects(bodies, _BODY).cast(_BODY_RENAMED)
-    listed = rows.withColumn("_bodies", F.transform(objects, reduced))
-    each = F.col("_bodies")
-    labelled = listed.withColumns(
-        {
-            "_types": F.transform(each, lambda b: b["type"]),
-            "_subtypes": F.array_compact(F.transform(each, lambda b: b["subtype"])),
-            "_rings": F.flatten(F.transform(each, lambda b: b["rings"])),
-        }
+    ring = f"coalesce({V.first_truthy_text('r.type', 'r.ringType')}, '{UNKNOWN}')"
+    reduced = f"""transform(CAST({V.objects(bodies, _BODY)} AS {_BODY_RENAMED}), b -> struct(
+      coalesce({V.truthy_text("b.type")}, '{UNKNOWN}') AS type,
+      {V.first_truthy_text("b.subtype", "b.subtype_alt")} AS subtype,
+      {V.is_truthy("b.rings")} AS ringed,
+      transform({V.objects("b.rings", _RING)}, r -> {ring}) AS rings))"""
+    labelled = rows.selectExpr("*", f"{reduced} AS _bodies").selectExpr(
+        "*",
+        "_bodies.type AS _types",
+        "array_compact(_bodies.subtype) AS _subtypes",
+        "flatten(_bodies.rings) AS _rings",
+    )
+    return labelled.selectExpr(
+        *[f"`{name}`" for name in rows.columns],
+        "size(_bodies) AS total_bodies",
+        f"{count_where('_types', f"i = '{PLANET}'")} AS total_planets",
+        f"{count_where('_types', f"i = '{STAR}'")} AS total_stars",
+        f"{count_where('_bodies.ringed', 'i')} AS ringed_body_count",
+        f"{count_where('_subtypes', f"i = '{WATER_WORLD}'")} AS water_world_count",
+        f"{count_where('_subtypes', f"i = '{EARTHLIKE_WORLD}'")} AS earthlike_world_count",
+        f"{histogram('_types')} AS body_type_counts",
+        f"{histogram('_subtypes')} AS body_subtype_counts",
+        f"{histogram('_rings')} AS ring_type_counts",
     )
-    types, subtypes = F.col("_types"), F.col("_subtypes")
-    return labelled.withColumns(
-        {
-            "total_bodies": F.size(each),
-            "total_planets": count_where(types, lambda t: t == PLANET),
-            "total_stars": count_where(types, lambda t: t == STAR),
-            "ringed_body_count": count_where(each, lambda b: b["ringed"]),
-            "water_world_count": count_where(subtypes, lambda s: s == WATER_WORLD),
-            "earthlike_world_count": count_where(subtypes, lambda s: s == EARTHLIKE_WORLD),
-            "body_type_counts": histogram(types),
-            "body_subtype_counts": histogram(subtypes),
-            "ring_type_counts": histogram(F.col("_rings")),
-        }
-    ).drop("_bodies", "_types", "_subtypes", "_rings")
+
+
+def _totals(weight: str) -> list:
+    conditions = {
+        "total_bodies": "true",
+        "total_planets": f"type = '{PLANET}'",
+        "total_stars": f"type = '{STAR}'",
+        "ringed_body_count": "ring IS NOT NULL",
+        "water_world_count": f"subtype = '{WATER_WORLD}'",
+        "earthlike_world_count": f"subtype = '{EARTHLIKE_WORLD}'",
+    }
+    return [
+        F.expr(f"CAST(sum(CASE WHEN {condition} THEN {weight} ELSE 0 END) AS int) AS {name}")
+        for name, condition in conditions.items()
+    ]
 
 
 def body_totals(bodies: DataFrame, key: str) -> DataFrame:
     """The six counts per system from body rows (``type``, ``subtype``, ``ring``)."""
-    return bodies.groupBy(key).agg(*_totals(F.lit(1)))
+    return bodies.groupBy(key).agg(*_totals("1"))
 
 
 def label_counts(bodies: DataFrame, key: str, label: str) -> DataFrame:
     """(key, label, n): one histogram as rows; bodies without the label are skipped."""
-    return bodies.where(F.col(label).isNotNull()).groupBy(key, label).agg(F.count("*").alias("n"))
+    return bodies.where(f"{label} IS NOT NULL").groupBy(key, label).agg(F.count("*").alias("n"))
 
 
 def roll_up_rows(bodies: DataFrame, key: str) -> DataFrame:
@@ -84,61 +84,22 @@ def roll_up_rows(bodies: DataFrame, key: str) -> DataFrame:
     Bodies are first counted per (system, type, subtype, ring), which combines map-side, so a
     system with very many bodies reaches its final group as a handful of rows.
     """
-    combos = bodies.groupBy(key, "type", "subtype", "ring").agg(F.count("*").alias("n"))
-    gathered = combos.groupBy(key).agg(
-        *_totals(F.col("n")),
-        *[
-            F.collect_list(F.when(F.col(label).isNotNull(), F.struct(label, "n"))).alias(
-                f"_{label}"
-            )
-            for label in ("type", "subtype", "ring")
-        ],
-    )
-    return gathered.select(
-        key,
-        *[c for c in gathered.columns if c != key and not c.startswith("_")],
-        _merged("type").alias("body_type_counts"),
-        _merged("subtype").alias("body_subtype_counts"),
-        _merged("ring").alias("ring_type_counts"),
-    )
+    labels = {
+        "type": "body_type_counts",
+        "subtype": "body_subtype_counts",
+        "ring": "ring_type_counts",
+    }
+    combos = bodies.groupBy(key, *labels).agg(F.count("*").alias("n"))
+    # collect_list skips nulls: combinations without the label
+    gathered = [
+        F.expr(f"collect_list(CASE WHEN {label} IS NOT NULL THEN struct({label}, n) END) AS {name}")
+        for label, name in labels.items()
+    ]
+    merged = {name: F.expr(merged_histogram(name, label)) for label, name in labels.items()}
+    return combos.groupBy(key).agg(*_totals("n"), *gathered).withColumns(merged)
 
 
 def without_bodies(rows: DataFrame, counts: list[str], histograms: list[str]) -> DataFrame:
     """Zero counts and empty maps where an outer join found no bodies."""
-    return rows.withColumns(
-        {name: F.coalesce(F.col(name), F.lit(0)) for name in counts}
-        | {name: F.coalesce(F.col(name), no_counts()) for name in histograms}
-    )
-
-
-def _totals(weight: Column) -> list[Column]:
-    def total(condition: Column | None, name: str) -> Column:
-        counted = weight if condition is None else F.when(condition, weight).otherwise(0)
-        return F.sum(counted).cast("int").alias(name)
-
-    return [
-        total(None, "total_bodies"),
-        total(F.col("type") == PLANET, "total_planets"),
-        total(F.col("type") == STAR, "total_stars"),
-        total(F.col("ring").isNotNull(), "ringed_body_count"),
-        total(F.col("subtype") == WATER_WORLD, "water_world_count"),
-        total(F.col("subtype") == EARTHLIKE_WORLD, "earthlike_world_count"),
-    ]
-
-
-def _merged(label: str) -> Column:
-    """Adds up the partial counts of each label gathered in ``_<label>``."""
-    parts = F.col(f"_{label}")
-    return F.map_from_entries(
-        F.transform(
-            F.array_sort(F.array_distinct(F.transform(parts, lambda p: p[label]))),
-            lambda k: F.struct(
-                k,
-                F.aggregate(
-                    F.filter(parts, lambda p: p[label] == k),
-                    F.lit(0),
-                    lambda acc, p: acc + p["n"].cast("int"),
-                ),
-            ),
-        )
-    )
+    filled = [(name, "0") for name in counts] + [(name, NO_COUNTS) for name in histograms]
+    return rows.withColumns({name: F.expr(f"coalesce({name}, {empty})") for name, empty in filled})

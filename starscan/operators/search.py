@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starscan.functions import geometry as G
+from starscan.functions.text import literal
 from starscan.operators.topk import top_k_per_group
 
-BODY_FILTERS = ("any", "ww", "elw", "ww_or_elw", "ww_and_elw")
+# --- fixed values: body filters by name ---
+BODY_FILTERS = {
+    "any": "true",
+    "ww": "water_world_count > 0",
+    "elw": "earthlike_world_count > 0",
+    "ww_or_elw": "(water_world_count > 0 OR earthlike_world_count > 0)",
+    "ww_and_elw": "(water_world_count > 0 AND earthlike_world_count > 0)",
+}
+# --- end of fixed values ---
+
+CLAIMABLE = "(coalesce(controlling_faction, '') = '' AND coalesce(faction_count, 0) = 0)"
+LOCATED = "x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"
 
 # A reference list given on the driver takes part in the join as 27 cells of about 100 bytes
 # per reference. Up to this many (under 30 MB) it is broadcast; beyond, Spark decides by size.
@@ -19,36 +31,25 @@ MAX_BROADCAST_REFERENCES = 10_000
 # Up to this many references the scan is pruned by one box each, beyond by their common box.
 MAX_BOXES = 32
 
-
-def body_predicate(body_filter: str) -> Column:
-    has_water, has_earthlike = F.col("water_world_count") > 0, F.col("earthlike_world_count") > 0
-    choices = {
-        "any": F.lit(True),
-        "ww": has_water,
-        "elw": has_earthlike,
-        "ww_or_elw": has_water | has_earthlike,
-        "ww_and_elw": has_water & has_earthlike,
-    }
-    chosen = body_filter.lower()
-    if chosen not in choices:
-        raise ValueError(f"body_filter must be one of: {', '.join(BODY_FILTERS)}")
-    return choices[chosen]
+# Nearest first by rounded distance, then most bodies, then name; nulls last throughout. The
+# key makes the order total.
+RESULT_ORDER = [
+    ("distance_ly", F.asc_nulls_last),
+    ("total_bodies", F.desc_nulls_last),
+    ("name", F.asc_nulls_last),
+    ("system_key", F.asc),
+]
 
 
-def is_claimable() -> Column:
-    no_owner = F.coalesce(F.col("controlling_faction"), F.lit("")) == ""
-    return no_owner & (F.coalesce(F.col("faction_count"), F.lit(0)) == 0)
+def result_order() -> list[Column]:
+    return [direction(name) for name, direction in RESULT_ORDER]
 
 
-def result_order() -> list[Column]:
-    """Nearest first by rounded distance, then most bodies, then name; nulls last throughout.
-    The key makes the order total."""
-    return [
-        F.asc_nulls_last("distance_ly"),
-        F.desc_nulls_last("total_bodies"),
-        F.asc_nulls_last("name"),
-        F.asc("system_key"),
-    ]
+def row_filter(body_filter: str, claimable_only: bool = False) -> str:
+    chosen = body_filter.lower()
+    if chosen not in BODY_FILTERS:
+        raise ValueError(f"body_filter must be one of: {', '.join(BODY_FILTERS)}")
+    return f"{BODY_FILTERS[chosen]} AND {CLAIMABLE if claimable_only else 'true'}"
 
 
 def clean_references(references: Iterable[str]) -> list[str]:
@@ -56,6 +57,10 @@ def clean_references(references: Iterable[str]) -> list[str]:
     return list(dict.fromkeys(r.strip() for r in references if r.strip()))
 
 
+def _stars_by_name(systems: DataFrame) -> DataFrame:
+    return systems.selectExpr("lower(name) AS _name", "struct(system_key, x, y, z) AS _star")
+
+
 def locate(systems: DataFrame, references: DataFrame) -> DataFrame:
     """Coordinates (``rx``, ``ry``, ``rz``) for rows with a ``reference_system`` name.
 
@@ -63,17 +68,14 @@ def locate(systems: DataFrame, references: DataFrame) -> DataFrame:
     it may lack coordinates, like the name may be unknown: both leave nulls.
     """
     wanted = references.withColumn("_name", F.lower("reference_system"))
-    stars = systems.select(
-        F.lower("name").alias("_name"),
-        F.struct("system_key", *G.AXES).alias("_star"),
-    )
     hits = (
-        stars.join(wanted.select("_name").distinct(), "_name", "left_semi")
+        _stars_by_name(systems)
+        .join(wanted.select("_name").distinct(), "_name", "left_semi")
         .groupBy("_name")
         .agg(F.min("_star").alias("_star"))
     )
-    return wanted.join(hits, "_name", "left").select(
-        *references.columns, *[F.col(f"_star.{axis}").alias(f"r{axis}") for axis in G.AXES]
+    return wanted.join(hits, "_name", "left").selectExpr(
+        *references.columns, *[f"_star.{axis} AS r{axis}" for axis in G.AXES]
     )
 
 
@@ -83,16 +85,13 @@ def reference_points(systems: DataFrame, references: Sequence[str]) -> list[tupl
     Raises when one is unknown or has no coordinates.
     """
     names = sorted({name.lower() for name in references})
-    found = {
-        row["_name"]: row["_star"]
-        for row in systems.select(
-            F.lower("name").alias("_name"), F.struct("system_key", *G.AXES).alias("_star")
-        )
+    located = (
+        _stars_by_name(systems)
         .where(F.col("_name").isin(names))
         .groupBy("_name")
         .agg(F.min("_star").alias("_star"))
-        .collect()
-    }
+    )
+    found = {row["_name"]: row["_star"] for row in located.collect()}
     points = []
     for name in references:
         star = found.get(name.lower())
@@ -109,15 +108,15 @@ def within_radius(
 
     ``distance_ly`` is rounded for display; the radius test uses the exact distance.
     """
-    if not G.is_searchable(radius):
-        return systems.withColumn("distance_ly", F.lit(0.0)).limit(0)
-    point = [F.col(axis) for axis in G.AXES]
-    exact = G.distance(point, [F.lit(value) for value in origin])
+    exact = G.distance(G.AXES, [G.number(value) for value in origin])
+    near = (
+        f"{G.around([origin], radius)} AND {exact} <= {G.number(radius)}"
+        if G.is_searchable(radius)
+        else "false"
+    )
     return systems.where(
-        G.around(point, origin, radius)
-        & (exact <= radius)
-        & (F.lower("name") != F.lower(F.lit(reference)))
-    ).withColumn("distance_ly", G.round2(exact))
+        f"{near} AND lower(name) <> lower({literal(reference)})"
+    ).selectExpr("*", f"{G.round2(exact)} AS distance_ly")
 
 
 def search_one(
@@ -130,21 +129,28 @@ def search_one(
     limit: int = 200,
 ) -> DataFrame:
     """Ordered top ``limit`` around one reference."""
-    keep = _filters(body_filter, claimable_only)
+    keep = row_filter(body_filter, claimable_only)
     ((_, *origin),) = reference_points(systems, [reference])
-    hits = within_radius(systems, reference, origin, radius).where(keep)
     return (
-        hits.withColumn("reference_system", F.lit(reference))
-        .withColumn("claimable", is_claimable())
+        within_radius(systems, reference, origin, radius)
+        .where(keep)
+        .selectExpr(
+            "*", f"{literal(reference)} AS reference_system", f"{CLAIMABLE} AS claimable"
+        )
         .orderBy(*result_order())
         .limit(limit)
     )
 
 
 def reference_table(spark: SparkSession, points: Sequence[tuple]) -> DataFrame:
-    rows = [(i, *point) for i, point in enumerate(points, start=1)]
-    schema = "ref_ord int, reference_system string, rx double, ry double, rz double"
-    return spark.createDataFrame(rows, schema)
+    """(ref_ord, reference_system, rx, ry, rz) from (name, x, y, z), numbered from 1."""
+    names, *axes = zip(*points) if points else ((), (), (), ())
+    columns = {
+        "ref_ord": pa.array(range(1, len(names) + 1), pa.int32()),
+        "reference_system": pa.array(names, pa.string()),
+    }
+    columns |= {f"r{axis}": pa.array(values, pa.float64()) for axis, values in zip(G.AXES, axes)}
+    return spark.createDataFrame(pa.table(columns))
 
 
 def radius_join(
@@ -154,24 +160,22 @@ def radius_join(
 
     ``references`` has ``rx``, ``ry``, ``rz``; ``largest_coordinate`` bounds their absolute
     values. Each reference is listed under its cell and the 26 around it, so a point meets only
-    references in reach of its own cell, and the exact distance decides.
+    references in reach of its own cell, and the exact distance decides. A crowded cell makes a
+    skewed join key: when the references are too large to broadcast, adaptive execution splits
+    its points over several tasks.
     """
-    if not G.is_searchable(radius):
-        return points.join(references, F.lit(False)).withColumn("distance", F.lit(0.0))
-    edge = G.cell_size(radius, largest_coordinate)
-    origin = [F.col(f"r{axis}") for axis in G.AXES]
-    point = [F.col(axis) for axis in G.AXES]
-    cx, cy, cz = G.cell(point, edge)
-    listed = references.where(
-        reduce(Column.__and__, [axis.isNotNull() for axis in origin])
-    ).select("*", F.inline(G.neighbour_cells(origin, edge)))
-    placed = points.where(reduce(Column.__and__, [axis.isNotNull() for axis in point])).withColumns(
-        {"cx": cx, "cy": cy, "cz": cz}
+    edge = G.cell_size(radius, largest_coordinate) if G.is_searchable(radius) else 1.0
+    reach = G.number(radius) if G.is_searchable(radius) else "-1D"
+    listed = references.where("rx IS NOT NULL AND ry IS NOT NULL AND rz IS NOT NULL").selectExpr(
+        "*", f"inline({G.neighbour_cells(G.REF_AXES, edge)})"
+    )
+    placed = points.where(LOCATED).selectExpr(
+        "*", *[f"{place} AS c{axis}" for axis, place in zip(G.AXES, G.cell(G.AXES, edge))]
     )
     return (
         placed.join(listed, ["cx", "cy", "cz"])
-        .withColumn("distance", G.distance(point, origin))
-        .where(F.col("distance") <= radius)
+        .withColumn("distance", F.expr(G.distance(G.AXES, G.REF_AXES)))
+        .where(f"distance <= {reach}")
         .drop("cx", "cy", "cz")
     )
 
@@ -188,13 +192,12 @@ def search_around(
 ) -> DataFrame:
     """Top ``limit`` per row of ``references`` (``ref_ord``, ``reference_system``, rx, ry, rz),
     numbered in ``rank``. Each reference has its own radius, order and limit."""
-    candidates = systems.where(_filters(body_filter, claimable_only))
+    candidates = systems.where(row_filter(body_filter, claimable_only))
     hits = (
         radius_join(candidates, references, radius, largest_coordinate)
-        .where(F.lower("name") != F.lower("reference_system"))
-        .withColumn("distance_ly", G.round2(F.col("distance")))
-        .withColumn("claimable", is_claimable())
-        .drop("distance", "rx", "ry", "rz")
+        .where("lower(name) <> lower(reference_system)")
+        .selectExpr("*", f"{G.round2('distance')} AS distance_ly", f"{CLAIMABLE} AS claimable")
+        .drop("distance", *G.REF_AXES)
     )
     return top_k_per_group(hits, ["ref_ord"], result_order(), limit)
 
@@ -209,14 +212,13 @@ def search_many(
     limit: int = 200,
 ) -> DataFrame:
     """``search_around`` for a list of names; any unknown name stops the whole search."""
-    names = clean_references(references)
-    points = reference_points(systems, names)
+    points = reference_points(systems, clean_references(references))
     table = reference_table(systems.sparkSession, points)
     if len(points) <= MAX_BROADCAST_REFERENCES:
         table = F.broadcast(table)
     largest = max((abs(value) for _, *origin in points for value in origin), default=0.0)
     return search_around(
-        systems.where(_reach(points, radius)),
+        systems.where(reach([origin for _, *origin in points], radius)),
         table,
         radius,
         largest,
@@ -226,21 +228,9 @@ def search_many(
     )
 
 
-def _filters(body_filter: str, claimable_only: bool) -> Column:
-    keep = body_predicate(body_filter)
-    return keep & is_claimable() if claimable_only else keep
-
-
-def _reach(points: Sequence[tuple], radius: float) -> Column:
+def reach(origins: Sequence[Sequence[float]], radius: float) -> str:
     """A scan-level predicate no hit can fail: the references' boxes, or their common box."""
-    if not points or not G.is_searchable(radius):
-        return F.lit(False)
-    axes = [F.col(axis) for axis in G.AXES]
-    if len(points) <= MAX_BOXES:
-        return reduce(Column.__or__, [G.around(axes, origin, radius) for _, *origin in points])
-    keep = F.lit(True)
-    for axis, values in zip(axes, list(zip(*points))[1:]):
-        low, high = min(values), max(values)
-        slack = 1e-9 * max(1.0, abs(low), abs(high), radius)
-        keep = keep & axis.between(low - radius - slack, high + radius + slack)
-    return keep
+    if not origins or not G.is_searchable(radius):
+        return "false"
+    groups = [[origin] for origin in origins] if len(origins) <= MAX_BOXES else [origins]
+    return " OR ".join(f"({G.around(group, radius)})" for group in groups)

@@ -11,6 +11,7 @@ import time
 import uuid
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,9 +65,15 @@ def latest_values(log: DataFrame) -> DataFrame:
 
 
 def set_meta(spark: SparkSession, root: str, **values: object) -> None:
-    now = utc_now()
-    rows = [(key, str(value), now) for key, value in values.items()]
-    spark.createDataFrame(rows, RUN_LOG).coalesce(1).write.mode("append").parquet(f"{root}/run_log")
+    entries = pa.table(
+        {
+            "key": list(values),
+            "value": [str(value) for value in values.values()],
+            "ts": pa.array([utc_now()] * len(values), pa.timestamp("us")),
+        }
+    )
+    log = spark.createDataFrame(entries).coalesce(1)
+    log.write.mode("append").parquet(f"{root}/run_log")
 
 
 def get_meta(spark: SparkSession, root: str, key: str, default: str = "") -> str:
@@ -86,32 +93,37 @@ def systems(spark: SparkSession, root: str) -> DataFrame:
 def spatial_order(rows: DataFrame) -> DataFrame:
     """Rows ordered by coarse cell, so that Parquet min/max statistics skip files and row
     groups outside a search box. x and the key come last to let a crowded cell be split."""
-    names = ["_cx", "_cy", "_cz"]
-    placed = rows.withColumns(
-        dict(zip(names, cell([F.col(axis) for axis in AXES], LAYOUT_EDGE)))
+    cells = ["_cx", "_cy", "_cz"]
+    placed = rows.selectExpr(
+        "*", *[f"{place} AS {name}" for name, place in zip(cells, cell(AXES, LAYOUT_EDGE))]
     )
-    order = [*names, "x", "system_key"]
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop(*names)
+    order = [*cells, "x", "system_key"]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop(*cells)
 
 
 def import_source(
-    spark: SparkSession, root: str, source: str, mode: str = "full", *, keep_staging: bool = False
+    spark: SparkSession, root: str, source: str, mode: str = "full", *, layout: str = "lines"
 ) -> ImportStats:
     """Parquet files or folders are loaded as staged rows, anything else is read as a dump."""
     if source.lower().endswith(".parquet") or files.is_directory(spark, source):
         return import_parquet(spark, root, source, mode)
-    return import_dump(spark, root, source, mode=mode, keep_staging=keep_staging)
+    return import_dump(spark, root, source, mode=mode, layout=layout)
 
 
 def import_dump(
-    spark: SparkSession, root: str, *dumps: str, mode: str = "full", keep_staging: bool = False
+    spark: SparkSession,
+    root: str,
+    *dumps: str,
+    mode: str = "full",
+    layout: str = "lines",
+    keep_staging: bool = False,
 ) -> ImportStats:
     """Of several records with a key the last one counts: later file (by path), later position."""
     started = time.monotonic()
     mode = _checked(mode)
     configure(spark)
     staging = scratch_path(spark, "staging")
-    staged = stage(spark, staging, *dumps)
+    staged = stage(spark, staging, *dumps, layout=layout)
     named = staged.where("name is not null")
     counts = load_counts(named, "system_key").first()
     seen = staged.where("is_record").count()

@@ -23,17 +23,16 @@ def utc_now() -> datetime:
 def system_rows(records: DataFrame, imported_at: datetime) -> DataFrame:
     """All columns of the systems table next to the input's own; nameless rows stay, with a
     null name. One map-side pass: no shuffle."""
-    typed = roll_up_nested(normalise(records), F.col("record.bodies"))
-    stamped = typed.withColumn(
-        "imported_at", F.lit(imported_at.isoformat(sep=" ")).cast("timestamp_ntz")
+    typed = roll_up_nested(normalise(records), "record.bodies").selectExpr(
+        "*", f"timestamp_ntz'{imported_at.isoformat(sep=' ')}' AS imported_at"
     )
-    return stamped.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in SYSTEMS.fields],
+    return typed.selectExpr(
+        *[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in SYSTEMS.fields],
         *[c for c in records.columns if c not in ("record", *SYSTEM_COLUMNS)],
     )
 
 
-def stage(spark: SparkSession, staging: str, *dumps: str) -> DataFrame:
+def stage(spark: SparkSession, staging: str, *dumps: str, layout: str = "lines") -> DataFrame:
     """Parses the dumps once into ``staging`` and returns the staged rows.
 
     Later steps (counts, latest per key, load) read the flat copy, so neither a lost shuffle
@@ -41,10 +40,8 @@ def stage(spark: SparkSession, staging: str, *dumps: str) -> DataFrame:
     records and bracket lines, for the counts and the array check.
     """
     configure(spark)
-    scanned = scan_dump(spark, *dumps)
-    rows = system_rows(
-        scanned.withColumn("is_record", F.col("record").isNotNull()), utc_now()
-    )
+    scanned = scan_dump(spark, *dumps, layout=layout)
+    rows = system_rows(scanned.withColumn("is_record", F.col("record").isNotNull()), utc_now())
     rows.write.option("compression", "zstd").parquet(staging)
     staged = spark.read.parquet(staging)
     assert_whole_arrays(staged)
@@ -59,18 +56,18 @@ def convert_dump(
     compression: str = "zstd",
     rows_per_file: int = 1_000_000,
     max_systems: int | None = None,
+    layout: str = "lines",
 ) -> dict[str, int]:
     """Dump to Parquet parts in the staged layout; returns records seen and rows written."""
     configure(spark)
+    scratch = scratch_path(spark, "convert")
     if max_systems is not None:
-        chosen = first_records(read_dump(spark, dump), max_systems)
+        chosen = first_records(read_dump(spark, dump, layout=layout), max_systems)
         rows = system_rows(chosen.withColumn("is_record", F.lit(True)), utc_now())
-        scratch = scratch_path(spark, "first")
-        rows.write.parquet(scratch)
+        rows.write.option("compression", "zstd").parquet(scratch)
         staged = spark.read.parquet(scratch)
     else:
-        scratch = scratch_path(spark, "convert")
-        staged = stage(spark, scratch, dump)
+        staged = stage(spark, scratch, dump, layout=layout)
     named = staged.where("name is not null")
     write_staged(named, parquet_path, compression=compression, rows_per_file=rows_per_file)
     counts = staged.agg(

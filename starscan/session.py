@@ -8,14 +8,17 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Runtime settings results depend on. Everything else (executors, memory, shuffle width) is the
-# cluster's business.
+# Runtime settings that results or plans depend on. Everything else (executors, memory, shuffle
+# width) is the cluster's business.
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # a repeated key in a JSON object: the last value wins
     "spark.sql.variant.allowDuplicateKeys": "true",
     # prune to the best k per group before the shuffle for every limit a search may ask for
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+    # HotSpot never compiles larger methods; without whole-stage code the wide projections of
+    # the ingest run compiled in pieces instead of interpreted in one
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -33,7 +36,8 @@ def local_session(cores: int | str = "*", app: str = "starscan", **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # no Python call-site capture on every column expression
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)

@@ -8,9 +8,11 @@ several files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from starscan.sources.fragments import record_texts
+
 # The only fields anything downstream reads. Parsing to these skips the rest of a record
 # (stations, signals, ...) in the JSON tokenizer; VARIANT keeps their loose types.
 RECORD_FIELDS = [
@@ -31,65 +33,71 @@ RECORD_FIELDS = [
 ]
 RECORD_TYPE = "struct<" + ",".join(f"{name}:variant" for name in RECORD_FIELDS) + ">"
 
-_BLANK = " \t\r\n﻿"
-
+_BLANK = r" \t\r\n\uFEFF"
 
-def parse_records(line: Column) -> Column:
-    """array<struct of RECORD_FIELDS> of the objects on one line; [] for a bracket-only line.
 
-    Malformed JSON, or an element that is not an object, raises.
+def parse_records(line: str) -> str:
+    """SQL expression: array<struct of RECORD_FIELDS> of the objects on one line, [] for a
+    bracket-only line. Malformed JSON, or an element that is not an object, raises.
     """
-    body = F.btrim(line, F.lit(_BLANK + ",[]"))
-    return F.from_json(
-        F.concat(F.lit("["), body, F.lit("]")), f"array<{RECORD_TYPE}>", {"mode": "FAILFAST"}
-    )
+    body = f"concat('[', btrim({line}, '{_BLANK},[]'), ']')"
+    return f"from_json({body}, 'array<{RECORD_TYPE}>', map('mode', 'FAILFAST'))"
 
 
-def scan_dump(spark: SparkSession, *paths: str) -> DataFrame:
-    """Every object of the dumps plus the lines that open and close an array.
+def scan_dump(spark: SparkSession, *paths: str, layout: str = "lines") -> DataFrame:
+    """Every object of the dumps plus the text that opens and closes an array.
 
-    One row per object (``record``), or per bracket line (``record`` is null). ``opens`` and
-    ``closes`` tell whether the line starts with ``[`` or ends with ``]``. Lines must hold whole
-    objects, any number of them; an object spread over lines stops the job.
+    One row per object (``record``), or per bracket without one (``record`` is null). ``opens``
+    and ``closes`` tell whether the row's text starts with ``[`` or ends with ``]``.
+
+    With layout ``lines`` each line must hold whole objects, any number of them; an object
+    spread over lines stops the job. Layout ``any`` takes every valid JSON array at the price
+    of shuffling the text.
 
     ``seq`` is the arrival number: it grows strictly in file order but is not dense, which is
     all that "the later record wins" needs, and costs no second pass over the dump.
     """
-    lines = spark.read.text(list(paths)).select(
-        F.explode_outer(parse_records(F.col("value"))).alias("record"),
-        F.startswith(F.ltrim("value", F.lit(_BLANK)), F.lit("[")).alias("opens"),
-        F.endswith(F.rtrim("value", F.lit(_BLANK)), F.lit("]")).alias("closes"),
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_name").alias("source_tag"),
-        F.col("_metadata.file_size").alias("file_size"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.col("_metadata.file_block_length").alias("block_length"),
+    if layout == "lines":
+        texts = spark.read.text(list(paths)).selectExpr(
+            "value AS text",
+            "_metadata.file_path AS source_file",
+            "_metadata.file_name AS source_tag",
+            "_metadata.file_size AS file_size",
+            "_metadata.file_block_start AS block_start",
+            "_metadata.file_block_length AS block_length",
+        )
+    elif layout == "any":
+        texts = record_texts(spark, *paths)
+    else:
+        raise ValueError("layout must be 'lines' or 'any'")
+    parsed = texts.selectExpr(
+        f"explode_outer({parse_records('text')}) AS record",
+        f"startswith(ltrim('{_BLANK}', text), '[') AS opens",
+        f"endswith(rtrim('{_BLANK}', text), ']') AS closes",
+        *[name for name in texts.columns if name != "text"],
     )
-    row_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = lines.withColumn("row_in_task", row_in_task)
-    return numbered.where(F.col("record").isNotNull() | F.col("opens") | F.col("closes")).select(
-        "record", "opens", "closes", _arrival_number(), "source_file", "source_tag", "block_start"
+    if layout == "lines":
+        row_in_task = "monotonically_increasing_id() & ((1L << 33) - 1) AS row_in_task"
+        parsed = parsed.selectExpr("*", row_in_task).selectExpr("*", ARRIVAL_NUMBER)
+    return parsed.where("record IS NOT NULL OR opens OR closes").select(
+        "record", "opens", "closes", "seq", "source_file", "source_tag", "block_start"
     )
 
 
-def read_dump(spark: SparkSession, *paths: str) -> DataFrame:
+def read_dump(spark: SparkSession, *paths: str, layout: str = "lines") -> DataFrame:
     """Every element of the top-level arrays."""
-    return scan_dump(spark, *paths).where("record is not null").drop("opens", "closes")
-
-
-def _arrival_number() -> Column:
-    """Split offset plus row number inside the reading task.
-
-    A split that starts a task yields fewer rows than it has bytes, so its numbers stay below
-    the next split's offset. Only a file's last split may share a task with others, and nothing
-    follows it. The check holds Spark's packing of splits to that.
-    """
-    in_order = (F.col("row_in_task") < F.col("block_length")) | (
-        F.col("block_start") + F.col("block_length") >= F.col("file_size")
-    )
-    broken = F.raise_error(F.lit("split layout gives no arrival order")).cast("bigint")
-    number = F.col("block_start") + F.col("row_in_task") + 1
-    return F.when(in_order, number).otherwise(broken).alias("seq")
+    scanned = scan_dump(spark, *paths, layout=layout)
+    return scanned.where("record IS NOT NULL").drop("opens", "closes")
+
+
+# Split offset plus row number inside the reading task. A split that starts a task yields fewer
+# rows than it has bytes, so its numbers stay below the next split's offset. Only a file's last
+# split may share a task with others, and nothing follows it. The check holds Spark's packing of
+# splits to that.
+ARRIVAL_NUMBER = """CASE
+  WHEN row_in_task < block_length OR block_start + block_length >= file_size
+    THEN block_start + row_in_task + 1
+  ELSE CAST(raise_error('split layout gives no arrival order') AS bigint) END AS seq"""
 
 
 def assert_whole_arrays(scanned: DataFrame) -> None:

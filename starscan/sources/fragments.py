@@ -1,0 +1,120 @@
+"""JSON-array dumps in any layout: pretty-printed, on a single line, or mixed.
+
+The text is cut after every ``}`` instead of every line end, so a plain file is still read by
+many tasks and no task needs a whole file. Which cuts end a top-level object follows from two
+running sums over the fragments of a file: quotes (odd means inside a string) and bracket depth.
+Both are summed inside chunks of fragments first and then over one row per chunk.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import functions as F
+
+CHUNK_BITS = 16
+_CHUNK = ["source_file", "block_start", "chunk"]
+
+
+def _net_brackets(pieces: str, first: int) -> str:
+    """Opening minus closing brackets in every second piece, from piece ``first`` on."""
+    text = f"array_join(filter({pieces}, (p, i) -> i % 2 = {first}), '')"
+    opening = f"length({text}) - length(translate({text}, '{{[', ''))"
+    closing = f"length({text}) - length(translate({text}, ']', ''))"
+    return f"(({opening}) - ({closing}))"
+
+
+def _fragments(spark: SparkSession, *paths: str) -> DataFrame:
+    """One row per fragment; ``gain0`` and ``gain1`` are the changes of depth, its closing
+    brace included, if the fragment starts outside or inside a string."""
+    cut = spark.read.option("lineSep", "}").text(list(paths))
+    placed = cut.selectExpr(
+        "value",
+        "_metadata.file_path AS source_file",
+        "_metadata.file_name AS source_tag",
+        "_metadata.file_block_start AS block_start",
+        "monotonically_increasing_id() AS row_no",
+        # between quotes: pieces 0, 2, ... lie outside strings if the fragment starts outside
+        r"split(regexp_replace(value, r'\\.', ''), '\"') AS pieces",
+    )
+    return placed.selectExpr(
+        "value",
+        "source_file",
+        "source_tag",
+        "block_start",
+        "row_no",
+        f"row_no >> {CHUNK_BITS} AS chunk",
+        "(size(pieces) - 1) % 2 AS quotes",
+        f"{_net_brackets('pieces', 0)} - CASE WHEN size(pieces) % 2 = 1 THEN 1 ELSE 0 END AS gain0",
+        f"{_net_brackets('pieces', 1)} - CASE WHEN size(pieces) % 2 = 0 THEN 1 ELSE 0 END AS gain1",
+    )
+
+
+def numbered_fragments(spark: SparkSession, *paths: str) -> DataFrame:
+    """Fragments with the ``record_no`` (per file, from 0) of the object they belong to."""
+    in_chunk = Window.partitionBy(*_CHUNK).orderBy("row_no")
+    before = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    through = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier_chunks = (
+        Window.partitionBy("source_file")
+        .orderBy("block_start", "chunk")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+
+    def total(value: str, window: WindowSpec) -> Column:
+        return F.coalesce(F.sum(F.expr(value)).over(window), F.lit(0))
+
+    # relative to a chunk entered outside a string (0) and inside one (1)
+    relative = (
+        _fragments(spark, *paths)
+        .withColumn("inside", total("quotes", before) % 2)
+        .withColumn("quotes_through", (F.col("inside") + F.col("quotes")) % 2)
+        .withColumn("depth0", total("CASE WHEN inside = 0 THEN gain0 ELSE gain1 END", through))
+        .withColumn("depth1", total("CASE WHEN inside = 0 THEN gain1 ELSE gain0 END", through))
+    )
+    chunks = relative.groupBy(*_CHUNK).agg(
+        F.sum("quotes").alias("quotes"),
+        F.max_by("depth0", "row_no").alias("gain0"),
+        F.max_by("depth1", "row_no").alias("gain1"),
+    )
+    entered = (
+        chunks.withColumn("entry_inside", total("quotes", earlier_chunks) % 2)
+        .withColumn("gain", F.expr("CASE WHEN entry_inside = 0 THEN gain0 ELSE gain1 END"))
+        .withColumn("entry_depth", total("gain", earlier_chunks))
+        .select(*_CHUNK, "entry_inside", "entry_depth")
+    )
+    # an object of the top-level array ends outside strings, back at the depth of the array
+    ended = relative.join(entered, _CHUNK).withColumn(
+        "ends",
+        F.expr("""(quotes_through + entry_inside) % 2 = 0
+          AND entry_depth + CASE WHEN entry_inside = 0 THEN depth0 ELSE depth1 END = 1"""),
+    )
+    ends = (
+        ended.groupBy(*_CHUNK)
+        .agg(F.count_if("ends").alias("n"))
+        .withColumn("earlier", total("n", earlier_chunks))
+        .select(*_CHUNK, "earlier")
+    )
+    return ended.join(ends, _CHUNK).withColumn(
+        "record_no",
+        F.col("earlier") + F.coalesce(F.count_if("ends").over(before), F.lit(0)),
+    )
+
+
+def record_texts(spark: SparkSession, *paths: str) -> DataFrame:
+    """(source_file, source_tag, block_start, seq, text): the text of every object in arrival
+    order, and what follows the last one."""
+    return (
+        numbered_fragments(spark, *paths)
+        .groupBy("source_file", "source_tag", "record_no")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("block_start", "row_no", "value"))).alias("parts"),
+            F.max("ends").alias("whole"),
+        )
+        .selectExpr(
+            "source_file",
+            "source_tag",
+            "parts[0].block_start AS block_start",
+            "record_no + 1 AS seq",
+            "concat(array_join(parts.value, '}'), CASE WHEN whole THEN '}' ELSE '' END) AS text",
+        )
+    )

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from starscan.functions.counts import canonical_json, parse_counts
 from starscan.schema import HISTOGRAM_COLUMNS, STAGED
@@ -35,26 +34,15 @@ def resolve_inputs(spark: SparkSession, path: str) -> list[str]:
 def read_staged(spark: SparkSession, path: str) -> DataFrame:
     """Staged rows, all parts as one relation, histograms as maps."""
     staged = spark.read.schema(STAGED).parquet(*resolve_inputs(spark, path))
-    return staged.select(
-        *[
-            parse_counts(F.col(name)).alias(name.removesuffix("_json"))
-            if name.removesuffix("_json") in HISTOGRAM_COLUMNS
-            else F.col(name)
-            for name in STAGED.fieldNames()
-        ]
+    return staged.selectExpr(
+        *[f"{parse_counts(text)} AS {name}" if text else name for name, text in _staged_names()]
     )
 
 
-def staged_columns() -> list[Column]:
-    """The staged layout from rows with histogram maps, typed as declared."""
-    return [
-        (
-            canonical_json(F.col(field.name.removesuffix("_json")))
-            if field.name.removesuffix("_json") in HISTOGRAM_COLUMNS
-            else F.col(field.name).cast(field.dataType)
-        ).alias(field.name)
-        for field in STAGED.fields
-    ]
+def _staged_names() -> list[tuple[str, str | None]]:
+    """(column, its JSON text column in staged files or None)."""
+    names = [name.removesuffix("_json") for name in STAGED.fieldNames()]
+    return [(name, f"{name}_json" if name in HISTOGRAM_COLUMNS else None) for name in names]
 
 
 def write_staged(
@@ -70,7 +58,13 @@ def write_staged(
     if compression not in CODECS:
         raise ValueError(f"compression must be one of {', '.join(CODECS)}")
     (
-        rows.select(*staged_columns())
+        rows.selectExpr(
+            *[
+                f"CAST({canonical_json(name) if text else name} AS {field.dataType.simpleString()})"
+                f" AS {text or name}"
+                for (name, text), field in zip(_staged_names(), STAGED.fields)
+            ]
+        )
         .write.mode(mode)
         .option("compression", compression)
         .option("maxRecordsPerFile", rows_per_file)
