@@ -39,10 +39,13 @@ def _maps_as_text(rows: DataFrame) -> DataFrame:
     return rows.withColumns({n: F.expr(C.canonical_json(n)) for n in HISTOGRAM_COLUMNS})
 
 
-def _near(spark: SparkSession, sf_dir: str, names: list[str], radius: float) -> DataFrame:
-    """The catalogue around some stars and those stars themselves, rolled up only there."""
+def _near(
+    spark: SparkSession, sf_dir: str, names: list[str], radius: float
+) -> tuple[DataFrame, list[tuple]]:
+    """The catalogue around some stars, rolled up only there, and where those stars are."""
     points = S.reference_points(stars(spark, sf_dir), S.clean_references(names))
-    return systems(spark, sf_dir, near=S.reach([origin for _, *origin in points], radius))
+    reach = S.reach([origin for _, *origin in points], radius)
+    return systems(spark, sf_dir, near=reach), points
 
 
 # --- search ---
@@ -51,38 +54,44 @@ def _near(spark: SparkSession, sf_dir: str, names: list[str], radius: float) ->
 def radius_search(
     spark: SparkSession, sf_dir: str, body_filter: str, claimable_only: bool, limit: int
 ) -> DataFrame:
+    catalogue, points = _near(spark, sf_dir, [HOME], RADIUS)
     found = S.search_one(
-        _near(spark, sf_dir, [HOME], RADIUS),
+        catalogue,
         HOME,
         RADIUS,
         body_filter=body_filter,
         claimable_only=claimable_only,
         limit=limit,
+        points=points,
     )
     return found.select(*HIT_COLUMNS)
 
 
 def query_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalogue = _near(spark, sf_dir, [HOME], RADIUS)
+    catalogue, _ = _near(spark, sf_dir, [HOME], RADIUS)
     return _maps_as_text(planner.query_systems(catalogue, HOME.upper(), RADIUS))
 
 
 def query_systems_without_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalogue = _near(spark, sf_dir, [HOME], RADIUS)
-    found = planner.query_systems(catalogue, HOME, RADIUS, include_links=False, limit=50)
+    catalogue, points = _near(spark, sf_dir, [HOME], RADIUS)
+    found = planner.query_systems(
+        catalogue, HOME, RADIUS, include_links=False, limit=50, points=points
+    )
     return found.select("name", "edsm_url", "inara_url", "edgis_url")
 
 
 def multi_ref_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalogue, points = _near(spark, sf_dir, REFERENCES, RADIUS)
     found = S.search_many(
-        _near(spark, sf_dir, REFERENCES, RADIUS), REFERENCES, RADIUS, body_filter="any", limit=60
+        catalogue, REFERENCES, RADIUS, body_filter="any", limit=60, points=points
     )
     return found.select("ref_ord", "reference_system", "rank", *HIT_COLUMNS)
 
 
 def multi_ref_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalogue, points = _near(spark, sf_dir, REFERENCES, RADIUS)
     found = planner.query_multiple_systems(
-        _near(spark, sf_dir, REFERENCES, RADIUS), REFERENCES, RADIUS, claimable_only=True, limit=40
+        catalogue, REFERENCES, RADIUS, claimable_only=True, limit=40, points=points
     )
     return _maps_as_text(found).orderBy("ref_ord", "rank")
 
@@ -315,8 +324,9 @@ def run_log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf_dir: str, limit: int = 40) -> DataFrame:
+    catalogue, points = _near(spark, sf_dir, REFERENCES, RADIUS)
     return planner.query_multiple_systems(
-        _near(spark, sf_dir, REFERENCES, RADIUS), REFERENCES, RADIUS, limit=limit
+        catalogue, REFERENCES, RADIUS, limit=limit, points=points
     )
 
 
@@ -363,9 +373,8 @@ def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_messages(spark: SparkSession, sf_dir: str, radius: float, limit: int) -> DataFrame:
-    return planner.report_messages(
-        _near(spark, sf_dir, REFERENCES, RADIUS), REFERENCES, radius, limit=limit
-    )
+    catalogue, points = _near(spark, sf_dir, REFERENCES, radius)
+    return planner.report_messages(catalogue, REFERENCES, radius, limit=limit, points=points)
 
 
 def _search(body_filter: str, claimable_only: bool = False, limit: int = 200) -> Query:

@@ -46,8 +46,8 @@ def merged_histogram(parts: str, label: str) -> str:
 
 def canonical_json(counts: str) -> str:
     """Keys sorted, ``", "`` and ``": "`` separators, non-ASCII text kept."""
-    member = "concat(btrim(to_json(array(e.key)), '[]'), ': ', e.value)"
-    members = f"transform(array_sort(map_entries({counts})), e -> {member})"
+    member = f"concat(btrim(to_json(array(k)), '[]'), ': ', element_at({counts}, k))"
+    members = f"transform(sort_array(map_keys({counts})), k -> {member})"
     return f"concat('{{', array_join({members}, ', '), '}}')"
 
 

@@ -127,10 +127,12 @@ def search_one(
     body_filter: str = "ww_or_elw",
     claimable_only: bool = False,
     limit: int = 200,
+    points: Sequence[tuple] | None = None,
 ) -> DataFrame:
-    """Ordered top ``limit`` around one reference."""
+    """Ordered top ``limit`` around one reference. ``points`` spares the look-up if its
+    ``reference_points`` are known."""
     keep = row_filter(body_filter, claimable_only)
-    ((_, *origin),) = reference_points(systems, [reference])
+    ((_, *origin),) = points or reference_points(systems, [reference])
     return (
         within_radius(systems, reference, origin, radius)
         .where(keep)
@@ -210,9 +212,12 @@ def search_many(
     body_filter: str = "ww_or_elw",
     claimable_only: bool = False,
     limit: int = 200,
+    points: Sequence[tuple] | None = None,
 ) -> DataFrame:
-    """``search_around`` for a list of names; any unknown name stops the whole search."""
-    points = reference_points(systems, clean_references(references))
+    """``search_around`` for a list of names; any unknown name stops the whole search.
+    ``points`` spares the look-up if their ``reference_points`` are known."""
+    if points is None:
+        points = reference_points(systems, clean_references(references))
     table = reference_table(systems.sparkSession, points)
     if len(points) <= MAX_BROADCAST_REFERENCES:
         table = F.broadcast(table)

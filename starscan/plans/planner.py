@@ -1,8 +1,12 @@
-"""Search to finished results: the 24-column rows, and the messages made from them."""
+"""Search to finished results: the 24-column rows, and the messages made from them.
+
+``points`` are the references' coordinates (``search.reference_points``) when the caller has
+them already; otherwise the names are looked up in ``systems``.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -25,6 +29,7 @@ def query_systems(
     limit: int = 200,
     include_links: bool = True,
     templates: Mapping[str, str] | None = None,
+    points: Sequence[tuple] | None = None,
 ) -> DataFrame:
     """The nearest ``limit`` systems around one reference, in order."""
     hits = search_one(
@@ -34,6 +39,7 @@ def query_systems(
         body_filter=body_filter,
         claimable_only=claimable_only,
         limit=limit,
+        points=points,
     )
     return complete_results(hits, include_links=include_links, templates=templates)
 
@@ -48,6 +54,7 @@ def query_multiple_systems(
     limit: int = 200,
     include_links: bool = True,
     templates: Mapping[str, str] | None = None,
+    points: Sequence[tuple] | None = None,
 ) -> DataFrame:
     """All references in one relation: ``ref_ord`` tells the list position, ``rank`` the place
     within a reference. Order by both to get the concatenated results."""
@@ -58,6 +65,7 @@ def query_multiple_systems(
         body_filter=body_filter,
         claimable_only=claimable_only,
         limit=limit,
+        points=points,
     )
     return complete_results(hits, include_links=include_links, templates=templates)
 
@@ -71,6 +79,7 @@ def report_messages(
     claimable_only: bool = False,
     limit: int = 200,
     templates: Mapping[str, str] | None = None,
+    points: Sequence[tuple] | None = None,
 ) -> DataFrame:
     """The messages of every reference, also of those without hits."""
     names = clean_references(references)
@@ -82,6 +91,7 @@ def report_messages(
         claimable_only=claimable_only,
         limit=limit,
         templates=templates,
+        points=points,
     )
     listed = reference_table(systems.sparkSession, [(name, 0.0, 0.0, 0.0) for name in names])
     return messages(

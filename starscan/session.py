@@ -21,10 +21,16 @@ REQUIRED_CONF = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+MIN_PARTITIONS = "spark.sql.files.minPartitionNum"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
+    if spark.conf.get(MIN_PARTITIONS, None) is None:
+        # arrival numbers need the same splits each time a dump is scanned, so their layout
+        # must not follow executors that come and go
+        spark.conf.set(MIN_PARTITIONS, str(spark.sparkContext.defaultParallelism))
     return spark
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from starscan.session import scratch_path
 from starscan.sources.fragments import record_texts
 
 # The only fields anything downstream reads. Parsing to these skips the rest of a record
@@ -119,12 +120,19 @@ def assert_whole_arrays(scanned: DataFrame) -> None:
 def first_records(records: DataFrame, n: int) -> DataFrame:
     """The first ``n`` records in arrival order over all files, nameless ones included.
 
-    Splits are counted first; whole splits before the cut pass a plain filter and only the
-    split holding the cut is numbered, so no task sorts more than one split.
+    Records are counted per block first; whole blocks before the cut pass a plain filter and
+    only the block holding the cut is numbered, so no task sorts more than one block.
     """
     if n <= 0:
         return records.limit(0)
-    counts = records.groupBy("source_file", "block_start").agg(F.count(F.lit(1)).alias("n"))
+    spark = records.sparkSession
+    counted = scratch_path(spark, "blocks")
+    # Written out so that every use sees the same blocks: a filter on the file would reach the
+    # scan, and a scan of fewer files may be split differently.
+    records.groupBy("source_file", "block_start").agg(F.count(F.lit(1)).alias("n")).write.parquet(
+        counted
+    )
+    counts = spark.read.parquet(counted)
     file = _holding(counts.groupBy("source_file").agg(F.sum("n").alias("n")), "source_file", n)
     if file is None:
         return records
@@ -138,13 +146,15 @@ def first_records(records: DataFrame, n: int) -> DataFrame:
     )
     in_cut = same_file & (F.col("block_start") == block["block_start"])
     by_arrival = Window.partitionBy("source_file", "block_start").orderBy("seq")
+    # asking for seq keeps its numbering in the plan, and that keeps the filter above the scan
+    numbered = records.where("seq > 0")
     cut = (
-        records.where(in_cut)
+        numbered.where(in_cut)
         .withColumn("position", F.row_number().over(by_arrival))
         .where(F.col("position") <= left_over)
         .drop("position")
     )
-    return records.where(earlier).unionByName(cut)
+    return numbered.where(earlier).unionByName(cut)
 
 
 def _holding(counts: DataFrame, order: str, n: int) -> Row | None:

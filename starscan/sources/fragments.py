@@ -101,8 +101,8 @@ def numbered_fragments(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def record_texts(spark: SparkSession, *paths: str) -> DataFrame:
-    """(source_file, source_tag, block_start, seq, text): the text of every object in arrival
-    order, and what follows the last one."""
+    """(source_file, source_tag, block_start, seq, text): the text of every object and what
+    follows the last one. ``seq`` numbers a file's texts from 1, in blocks of a fixed size."""
     return (
         numbered_fragments(spark, *paths)
         .groupBy("source_file", "source_tag", "record_no")
@@ -113,7 +113,7 @@ def record_texts(spark: SparkSession, *paths: str) -> DataFrame:
         .selectExpr(
             "source_file",
             "source_tag",
-            "parts[0].block_start AS block_start",
+            f"record_no >> {CHUNK_BITS} AS block_start",
             "record_no + 1 AS seq",
             "concat(array_join(parts.value, '}'), CASE WHEN whole THEN '}' ELSE '' END) AS text",
         )
