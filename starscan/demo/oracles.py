@@ -271,7 +271,7 @@ ORACLES: dict[str, str] = {
     "query_systems": f"""WITH {ranked(
         f"refs(ref_ord, reference_system) AS (VALUES (1, '{HOME.upper()}'))",
         RADIUS, "ww_or_elw", 200)}
-    SELECT {", ".join(RESULT_COLUMNS)} FROM hits""",
+    SELECT ref_ord, rank, {", ".join(RESULT_COLUMNS)} FROM hits""",
     "query_systems_without_links": f"""WITH {ranked(
         f"refs(ref_ord, reference_system) AS (VALUES (1, '{HOME}'))", RADIUS, "ww_or_elw", 50)}
     SELECT name, '' AS edsm_url, 'https://inara.cz/elite/starsystem/?search=' || {escaped("name")}

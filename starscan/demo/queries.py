@@ -364,6 +364,8 @@ def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.complete_results(
         systems(spark, sf_dir).selectExpr(
             "*",
+            "1 AS ref_ord",
+            "1 AS rank",
             f"'{HOME}' AS reference_system",
             f"{S.CLAIMABLE} AS claimable",
             "population / 100D AS distance_ly",

@@ -70,17 +70,18 @@ def complete_results(
     include_links: bool = True,
     templates: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Adds derived counts, rule text and links; keeps ``ref_ord`` and ``rank`` when present."""
+    """The report columns of search hits: derived counts, rule text and links added."""
     maps = [f"coalesce({name}, {NO_COUNTS}) AS {name}" for name in HISTOGRAM_COLUMNS]
     added = (
         derived_counts(*HISTOGRAM_COLUMNS[:2], "water_world_count", "earthlike_world_count")
         | link_columns("name", templates, include_links)
         | {"claimable_rule": literal(CLAIMABLE_RULE)}
     )
-    order = [name for name in ("ref_ord", "rank") if name in hits.columns]
     plain = [name for name in hits.columns if name not in HISTOGRAM_COLUMNS]
     return hits.selectExpr(*plain, *maps).selectExpr(
-        *order, *[f"{added[name]} AS {name}" if name in added else name for name in RESULT_COLUMNS]
+        "ref_ord",
+        "rank",
+        *[f"{added[name]} AS {name}" if name in added else name for name in RESULT_COLUMNS],
     )
 
 
@@ -100,6 +101,15 @@ def _cell(column: str) -> str:
     return f"coalesce({text}, '')"
 
 
+def csv_line() -> str:
+    """The report columns as one line; a field is quoted when it holds a separator, a quote or
+    a line break."""
+    cells = [_cell(column) for column in CSV_HEADINGS.values()]
+    fields = f"array({', '.join(cells)})"
+    quoted = """CASE WHEN f RLIKE '[;"\\\\r\\\\n]' THEN concat('"', replace(f, '"', '""'), '"') ELSE f END"""
+    return f"array_join(transform({fields}, f -> {quoted}), ';')"
+
+
 def table_line() -> str:
     """One fixed-width line: the name is cut, numbers widen when they do not fit."""
     name = pad_right(f"coalesce(substring(name, 1, {NAME_WIDTH}), '')", NAME_WIDTH)

@@ -129,18 +129,23 @@ def search_one(
     limit: int = 200,
     points: Sequence[tuple] | None = None,
 ) -> DataFrame:
-    """Ordered top ``limit`` around one reference. ``points`` spares the look-up if its
-    ``reference_points`` are known."""
+    """Ordered top ``limit`` around one reference, numbered in ``rank``. ``points`` spares the
+    look-up if its ``reference_points`` are known."""
     keep = row_filter(body_filter, claimable_only)
     ((_, *origin),) = points or reference_points(systems, [reference])
     return (
         within_radius(systems, reference, origin, radius)
         .where(keep)
         .selectExpr(
-            "*", f"{literal(reference)} AS reference_system", f"{CLAIMABLE} AS claimable"
+            "*",
+            "1 AS ref_ord",
+            f"{literal(reference)} AS reference_system",
+            f"{CLAIMABLE} AS claimable",
         )
         .orderBy(*result_order())
         .limit(limit)
+        # the limited rows are one ordered partition, so their ids are consecutive
+        .selectExpr("*", "int(monotonically_increasing_id() + 1) AS rank")
     )
 
 

@@ -5,38 +5,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from starscan.operators.report import report_rows
-
-_ORDER = ["ref_ord", "rank"]
-
-
-def _ordered(results: DataFrame) -> DataFrame:
-    order = [name for name in _ORDER if name in results.columns]
-    return results.orderBy(*order) if order else results
+from starscan.functions.text import literal
+from starscan.operators.report import CSV_HEADINGS, csv_line
 
 
 def write_csv(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Semicolon-separated UTF-8 with headings, CRLF line ends and doubled quotes."""
+    """Semicolon-separated UTF-8 with headings, CRLF line ends and doubled quotes.
+
+    Lines are written as text: the CSV writer would turn line feeds inside a name into CRLF.
+    The headings are the first line of the first part, so the parts in order make one file.
+    """
+    headings = results.sparkSession.range(1).selectExpr(
+        "0 AS ref_ord", "0 AS rank", f"{literal(';'.join(CSV_HEADINGS))} AS value"
+    )
+    lines = results.selectExpr("ref_ord", "rank", f"{csv_line()} AS value")
     (
-        report_rows(_ordered(results))
+        headings.unionByName(lines)
+        .orderBy("ref_ord", "rank")
+        .select("value")
         .write.mode(mode)
-        .option("sep", ";")
-        .option("header", True)
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("nullValue", "")
         .option("lineSep", "\r\n")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
+        .text(path)
     )
 
 
 def write_json(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON object per row; histograms stay objects, missing values stay null."""
     (
-        _ordered(results)
-        .drop(*_ORDER)
+        results.orderBy("ref_ord", "rank")
+        .drop("ref_ord", "rank")
         .write.mode(mode)
         .option("ignoreNullFields", False)
         .json(path)
