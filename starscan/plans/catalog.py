@@ -128,7 +128,7 @@ def import_dump(
     counts = load_counts(named, "system_key").first()
     seen = staged.where("is_record").count()
     latest = keep_latest(named, "system_key", [F.desc("source_file"), F.desc("seq")])
-    paths = [path for dump in dumps for path in files.glob(spark, dump)]
+    paths = [path for dump in dumps for path in files.inputs(spark, dump)]
     _load(spark, root, latest, mode, ", ".join(path.rpartition("/")[2] for path in paths[:10]))
     stats = ImportStats(
         systems_seen=seen,

@@ -41,6 +41,7 @@ def local_session(cores: int | str = "*", app: str = "starscan", **conf: str) ->
         "spark.sql.shuffle.partitions": width,
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         # no Python call-site capture on every column expression
         "spark.python.sql.dataFrameDebugging.enabled": "false",

@@ -2,8 +2,8 @@
 
 Spark picks the codec by extension (.gz, .zst, .zstd) and cuts plain files into splits of
 ``spark.sql.files.maxPartitionBytes``, so a plain dump is parsed by as many tasks as it has
-splits. A compressed file cannot be cut and is read by one task per file; ship big dumps as
-several files.
+splits. A compressed file cannot be cut: one task unpacks it and its lines are then spread over
+the cluster for parsing. Ship big dumps as several files to unpack them in parallel, too.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starscan.session import scratch_path
+from starscan.sources import files
 from starscan.sources.fragments import record_texts
 
 # The only fields anything downstream reads. Parsing to these skips the rest of a record
@@ -37,6 +38,22 @@ RECORD_TYPE = "struct<" + ",".join(f"{name}:variant" for name in RECORD_FIELDS)
 _BLANK = r" \t\r\n\uFEFF"
 
 
+COMPRESSED = (".gz", ".zst", ".zstd")
+
+LINEAGE = ["_metadata.file_path AS source_file", "_metadata.file_name AS source_tag"]
+
+ROW_IN_TASK = "(monotonically_increasing_id() & ((1L << 33) - 1))"
+
+# Split offset plus row number inside the reading task. A split that starts a task yields fewer
+# rows than it has bytes, so its numbers stay below the next split's offset. Only a file's last
+# split may share a task with others, and nothing follows it. The check holds Spark's packing of
+# splits to that.
+ARRIVAL_NUMBER = """CASE
+  WHEN row_in_task < block_length OR block_start + block_length >= file_size
+    THEN block_start + row_in_task + 1
+  ELSE CAST(raise_error('split layout gives no arrival order') AS bigint) END"""
+
+
 def parse_records(line: str) -> str:
     """SQL expression: array<struct of RECORD_FIELDS> of the objects on one line, [] for a
     bracket-only line. Malformed JSON, or an element that is not an object, raises.
@@ -58,49 +75,69 @@ def scan_dump(spark: SparkSession, *paths: str, layout: str = "lines") -> DataFr
     ``seq`` is the arrival number: it grows strictly in file order but is not dense, which is
     all that "the later record wins" needs, and costs no second pass over the dump.
     """
-    if layout == "lines":
-        texts = spark.read.text(list(paths)).selectExpr(
-            "value AS text",
-            "_metadata.file_path AS source_file",
-            "_metadata.file_name AS source_tag",
-            "_metadata.file_size AS file_size",
-            "_metadata.file_block_start AS block_start",
-            "_metadata.file_block_length AS block_length",
-        )
-    elif layout == "any":
-        texts = record_texts(spark, *paths)
-    else:
+    if layout == "any":
+        return _scanned(_parsed(record_texts(spark, *paths)))
+    if layout != "lines":
         raise ValueError("layout must be 'lines' or 'any'")
-    parsed = texts.selectExpr(
-        f"explode_outer({parse_records('text')}) AS record",
+    found = [name for path in paths for name in files.inputs(spark, path)]
+    packed = [name for name in found if name.lower().endswith(COMPRESSED)]
+    if not packed:
+        return _plain_lines(spark, list(paths))
+    if len(packed) == len(found):
+        return _packed_lines(spark, list(paths))
+    plain = [name for name in found if not name.lower().endswith(COMPRESSED)]
+    return _plain_lines(spark, plain).unionByName(_packed_lines(spark, packed))
+
+
+def _parsed(texts: DataFrame) -> DataFrame:
+    return texts.selectExpr(
+        f"posexplode_outer({parse_records('text')}) AS (position, record)",
         f"startswith(ltrim('{_BLANK}', text), '[') AS opens",
         f"endswith(rtrim('{_BLANK}', text), ']') AS closes",
         *[name for name in texts.columns if name != "text"],
     )
-    if layout == "lines":
-        row_in_task = "monotonically_increasing_id() & ((1L << 33) - 1) AS row_in_task"
-        parsed = parsed.selectExpr("*", row_in_task).selectExpr("*", ARRIVAL_NUMBER)
+
+
+def _scanned(parsed: DataFrame) -> DataFrame:
     return parsed.where("record IS NOT NULL OR opens OR closes").select(
         "record", "opens", "closes", "seq", "source_file", "source_tag", "block_start"
     )
 
 
+def _plain_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    lines = spark.read.text(paths).selectExpr(
+        "value AS text",
+        *LINEAGE,
+        "_metadata.file_block_start AS block_start",
+        "_metadata.file_size AS file_size",
+        "_metadata.file_block_length AS block_length",
+    )
+    numbered = _parsed(lines).selectExpr("*", f"{ROW_IN_TASK} AS row_in_task")
+    return _scanned(numbered.selectExpr("*", f"{ARRIVAL_NUMBER} AS seq"))
+
+
+def _packed_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    lines = spark.read.text(paths).selectExpr(
+        "value AS text", *LINEAGE, f"{ROW_IN_TASK} AS row_in_task"
+    )
+    parsed = _parsed(lines.repartition("source_file", "row_in_task"))
+    return _scanned(
+        parsed.selectExpr(
+            "*",
+            # 33 bits for the line and 30 for the object on it: a line holds less than 2^31 bytes
+            "(row_in_task << 30) + coalesce(position, 0) + 1 AS seq",
+            # no splits here, so blocks of a fixed number of lines
+            "row_in_task >> 16 AS block_start",
+        )
+    )
+
+
 def read_dump(spark: SparkSession, *paths: str, layout: str = "lines") -> DataFrame:
     """Every element of the top-level arrays."""
     scanned = scan_dump(spark, *paths, layout=layout)
     return scanned.where("record IS NOT NULL").drop("opens", "closes")
 
 
-# Split offset plus row number inside the reading task. A split that starts a task yields fewer
-# rows than it has bytes, so its numbers stay below the next split's offset. Only a file's last
-# split may share a task with others, and nothing follows it. The check holds Spark's packing of
-# splits to that.
-ARRIVAL_NUMBER = """CASE
-  WHEN row_in_task < block_length OR block_start + block_length >= file_size
-    THEN block_start + row_in_task + 1
-  ELSE CAST(raise_error('split layout gives no arrival order') AS bigint) END AS seq"""
-
-
 def assert_whole_arrays(scanned: DataFrame) -> None:
     """Each file must open with ``[``, close with ``]`` and hold at least one object.
 

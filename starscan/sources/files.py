@@ -23,10 +23,18 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def is_directory(spark: SparkSession, path: str) -> bool:
+    if any(mark in path for mark in "*?[{"):
+        return False
     hadoop_path, fs = _path(spark, path)
     return fs.exists(hadoop_path) and fs.getFileStatus(hadoop_path).isDirectory()
 
 
+def inputs(spark: SparkSession, path: str) -> list[str]:
+    """What a scan of ``path`` reads: a folder's entries, or the matches of a name or pattern."""
+    pattern = f"{path.rstrip('/')}/*" if is_directory(spark, path) else path
+    return glob(spark, pattern)
+
+
 def total_size(spark: SparkSession, paths: list[str]) -> int:
     total = 0
     for path in paths:

@@ -98,6 +98,17 @@ def test_codecs(spark, tmp_path, suffix):
     assert back(read_dump(spark, str(path))) == records
 
 
+def test_plain_and_compressed_together(spark, tmp_path, small_splits):
+    records = make_records(120)
+    text = "[" + ",\n".join(
+        ",".join(json.dumps(r) for r in records[i : i + 3]) for i in range(0, 120, 3)) + "]"
+    (tmp_path / "a.json.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "b.json").write_text(text)
+    df = read_dump(spark, str(tmp_path))
+    assert back(df) == records + records
+    assert df.select("source_file", "seq").distinct().count() == 240
+
+
 def test_object_over_lines_stops_the_line_layout(spark, tmp_path):
     path = tmp_path / "dump.json"
     path.write_text(json.dumps(make_records(3), indent=1))
