@@ -30,24 +30,24 @@ def text(value: str) -> str:
     return f"CASE WHEN {kind(value)} = 'BOOLEAN' THEN initcap({plain}) ELSE {plain} END"
 
 
-def truthy_text(value: str) -> str:
-    """``text`` of a value that is not null, empty, zero or false; NULL for those."""
+def loose_text(value: str) -> str:
+    """``text`` of a value that is not empty, zero or false; '' or NULL for those.
+
+    Reads the value once in the common case; turn '' into NULL where it is cheap to name the
+    result twice.
+    """
     plain, shape = as_type(value, "string"), kind(value)
     return f"""CASE
-      WHEN {shape} = 'STRING' THEN nullif({plain}, '')
+      WHEN {shape} = 'STRING' THEN {plain}
       WHEN {shape} = 'BOOLEAN' THEN CASE WHEN {as_type(value, "boolean")} THEN 'True' END
       WHEN {shape} RLIKE '^(ARRAY|OBJECT)' THEN CASE WHEN {plain} NOT IN ('[]', '{{}}') THEN {plain} END
       WHEN {shape} <> 'VOID' THEN CASE WHEN {as_type(value, "double")} <> 0 THEN {plain} END
     END"""
 
 
-def first_truthy_text(*values: str) -> str:
-    return f"coalesce({', '.join(truthy_text(v) for v in values)})"
-
-
-def is_truthy(value: str) -> str:
-    items = as_type(value, "array<variant>")
-    return f"coalesce(size({items}) > 0, {truthy_text(value)} IS NOT NULL)"
+def first_filled(*texts: str) -> str:
+    """The first text that is neither NULL nor ''."""
+    return f"coalesce({', '.join(f"nullif({t}, '')" for t in texts)})"
 
 
 def objects(value: str, struct_type: str) -> str:

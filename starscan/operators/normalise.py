@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame
 from starscan.functions import variants as V
 from starscan.functions.geometry import AXES
 
-NAME = V.first_truthy_text("record.name", "record.system_name")
-
 # the first of the id fields that can be read as a whole number
 ADDRESS = f"""coalesce({", ".join(
     V.as_type(f"record.{field}", "bigint")
@@ -40,7 +38,8 @@ def controlling_faction() -> str:
     value = "record.controllingFaction"
     return f"""CASE
       WHEN {V.is_object(value)} THEN coalesce(
-        {V.truthy_text(V.get(value, "$.name", "variant"))}, {V.get(value, "$.faction", "string")})
+        {V.first_filled(V.loose_text(V.get(value, "$.name", "variant")))},
+        {V.get(value, "$.faction", "string")})
       WHEN {V.is_string(value)} THEN {V.as_type(value, "string")}
       ELSE {V.as_type("record.controllingFactionName", "string")} END"""
 
@@ -52,20 +51,31 @@ def faction_count() -> str:
     a list leaves only the controlling faction to count.
     """
     members = V.as_type("record.factions", "array<variant>")
-    named = V.first_truthy_text(V.get("m", "$.name", "variant"), V.get("m", "$.faction", "variant"))
-    labels = f"""transform(coalesce({members}, CAST(array() AS array<variant>)), m -> CASE
+    named = V.first_filled(
+        V.loose_text(V.get("m", "$.name", "variant")),
+        V.loose_text(V.get("m", "$.faction", "variant")),
+    )
+    labels = f"""transform({members}, m -> CASE
       WHEN {V.kind("m")} = 'VOID' THEN 'None'
       WHEN {V.is_object("m")} THEN {named}
-      ELSE nullif({V.text("m")}, '') END)"""
-    own = "nullif(controlling_faction, '')"
-    return f"size(array_distinct(array_compact(array_append({labels}, {own}))))"
+      ELSE {V.text("m")} END)"""
+    own = "CASE WHEN controlling_faction <> '' THEN 1 ELSE 0 END"
+    distinct = f"array_distinct(array_append({labels}, controlling_faction))"
+    return f"""CASE WHEN {members} IS NULL THEN {own}
+      ELSE size(filter({distinct}, label -> label <> '')) END"""
 
 
 def normalise(records: DataFrame) -> DataFrame:
     """Adds the typed columns to rows with a ``record``; nameless records get a null name."""
-    typed = records.selectExpr("*", f"{COORDS} AS _coords").selectExpr(
+    read = records.selectExpr(
+        "*",
+        f"{COORDS} AS _coords",
+        f"{V.loose_text('record.name')} AS _name",
+        f"{V.loose_text('record.system_name')} AS _system_name",
+    )
+    typed = read.selectExpr(
         *records.columns,
-        f"{NAME} AS name",
+        f"{V.first_filled('_name', '_system_name')} AS name",
         f"{ADDRESS} AS system_address",
         *[f"{coordinate(axis)} AS {axis}" for axis in AXES],
         f"{POPULATION} AS population",

@@ -27,12 +27,25 @@ _RING = "struct<type:variant,ringType:variant>"
 
 def roll_up_nested(rows: DataFrame, bodies: str) -> DataFrame:
     """Adds the six counts and three histogram maps for a VARIANT column of bodies."""
-    ring = f"coalesce({V.first_truthy_text('r.type', 'r.ringType')}, '{UNKNOWN}')"
-    reduced = f"""transform(CAST({V.objects(bodies, _BODY)} AS {_BODY_RENAMED}), b -> struct(
-      coalesce({V.truthy_text("b.type")}, '{UNKNOWN}') AS type,
-      {V.first_truthy_text("b.subtype", "b.subtype_alt")} AS subtype,
-      {V.is_truthy("b.rings")} AS ringed,
-      transform({V.objects("b.rings", _RING)}, r -> {ring}) AS rings))"""
+    # inner transforms read each VARIANT field once, outer ones clean up the plain values
+    ring_labels = f"""transform(
+      transform(filter(b.rings, r -> r IS NOT NULL), r -> struct(
+        {V.loose_text("r.type")} AS type, {V.loose_text("r.ringType")} AS alt)),
+      r -> coalesce({V.first_filled("r.type", "r.alt")}, '{UNKNOWN}'))"""
+    reduced = f"""transform(
+      transform(CAST({V.objects(bodies, _BODY)} AS {_BODY_RENAMED}), b -> struct(
+        {V.loose_text("b.type")} AS type,
+        {V.loose_text("b.subtype")} AS subtype,
+        {V.loose_text("b.subtype_alt")} AS alt,
+        b.rings AS any_rings,
+        {V.as_type("b.rings", f"array<{_RING}>")} AS rings)),
+      b -> struct(
+        coalesce({V.first_filled("b.type")}, '{UNKNOWN}') AS type,
+        {V.first_filled("b.subtype", "b.alt")} AS subtype,
+        CASE WHEN b.any_rings IS NULL THEN false WHEN b.rings IS NOT NULL THEN size(b.rings) > 0
+          ELSE coalesce({V.loose_text("b.any_rings")} <> '', false) END AS ringed,
+        CASE WHEN b.rings IS NULL THEN CAST(array() AS array<string>)
+          ELSE {ring_labels} END AS rings))"""
     labelled = rows.selectExpr("*", f"{reduced} AS _bodies").selectExpr(
         "*",
         "_bodies.type AS _types",

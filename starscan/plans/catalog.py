@@ -124,15 +124,13 @@ def import_dump(
     configure(spark)
     staging = scratch_path(spark, "staging")
     staged = stage(spark, staging, *dumps, layout=layout)
-    named = staged.where("name is not null")
-    counts = load_counts(named, "system_key").first()
-    seen = staged.where("is_record").count()
+    named = staged.where("name IS NOT NULL")
     latest = keep_latest(named, "system_key", [F.desc("source_file"), F.desc("seq")])
     paths = [path for dump in dumps for path in files.inputs(spark, dump)]
-    _load(spark, root, latest, mode, ", ".join(path.rpartition("/")[2] for path in paths[:10]))
+    source = ", ".join(path.rpartition("/")[2] for path in paths[:10])
     stats = ImportStats(
-        systems_seen=seen,
-        systems_written=counts["distinct_keys"],
+        systems_seen=staged.where("is_record").count(),
+        systems_written=_load(spark, root, named, latest, mode, source),
         parquet_file_count=len(files.glob(spark, f"{staging}/*.parquet")),
         dump_size_bytes=files.total_size(spark, paths),
         elapsed_s=time.monotonic() - started,
@@ -150,14 +148,13 @@ def import_parquet(spark: SparkSession, root: str, path: str, mode: str = "full"
     configure(spark)
     inputs = resolve_inputs(spark, path)
     staged = read_staged(spark, path)
-    counts = load_counts(staged, "system_key").first()
     newest = [F.desc("seq"), F.desc("source_tag"), F.desc("imported_at")]
+    latest = keep_latest(staged, "system_key", newest)
     source = inputs[0].rpartition("/")[2] if len(inputs) == 1 else f"{len(inputs)} parquet files"
-    _load(spark, root, keep_latest(staged, "system_key", newest), mode, source)
     parts = [part for pattern in inputs for part in files.glob(spark, pattern)]
     stats = ImportStats(
-        systems_seen=counts["row_count"],
-        systems_written=counts["distinct_keys"],
+        systems_seen=staged.count(),
+        systems_written=_load(spark, root, staged, latest, mode, source),
         parquet_file_count=len(parts),
         dump_size_bytes=files.total_size(spark, parts),
         elapsed_s=time.monotonic() - started,
@@ -173,12 +170,16 @@ def _checked(mode: str) -> str:
     return cleaned
 
 
-def _load(spark: SparkSession, root: str, latest: DataFrame, mode: str, source: str) -> None:
-    rows = latest.select(*SYSTEM_COLUMNS)
+def _load(
+    spark: SparkSession, root: str, rows: DataFrame, latest: DataFrame, mode: str, source: str
+) -> int:
+    """Makes ``latest`` of ``rows`` the current version, or part of it; returns its row count."""
+    loaded = latest.select(*SYSTEM_COLUMNS)
     if mode == "patch":
-        rows = upsert(systems(spark, root), rows, "system_key")
+        loaded = upsert(systems(spark, root), loaded, "system_key")
     version = f"{utc_now():%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
-    spatial_order(rows).write.option("compression", "zstd").parquet(f"{root}/versions/{version}")
+    path = f"{root}/versions/{version}"
+    spatial_order(loaded).write.option("compression", "zstd").parquet(path)
     set_meta(
         spark,
         root,
@@ -188,6 +189,9 @@ def _load(spark: SparkSession, root: str, latest: DataFrame, mode: str, source:
         last_import_source=source,
         last_import_finished_utc=utc_now().isoformat(timespec="seconds"),
     )
+    if mode == "full":  # the version holds just these rows: its file footers know the number
+        return spark.read.schema(SYSTEMS).parquet(path).count()
+    return load_counts(rows, "system_key").first()["distinct_keys"]
 
 
 def _logged(stats: ImportStats) -> dict[str, object]:
