@@ -348,7 +348,7 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "csv")
     write_csv(_results(spark, sf_dir), path)
-    return spark.read.option("lineSep", "\r\n").text(path).distinct()
+    return spark.read.option("lineSep", "\r\n").text(path)
 
 
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from starscan.operators.rollup import roll_up_rows, without_bodies
 from starscan.schema import COUNT_COLUMNS, HISTOGRAM_COLUMNS
@@ -21,6 +22,9 @@ TABLES = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
+# Counted keys of 8 bytes; as a broadcast hash table well under 100 MB.
+MAX_BROADCAST_KEYS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
@@ -41,8 +45,12 @@ def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bodies(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """All bodies, or those of the orders in ``only`` (``l_orderkey``): other line items are
+    dropped before they are joined to their parts."""
     items, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    if only is not None:
+        items = items.join(only, "l_orderkey", "left_semi")
     return items.join(parts, items["l_partkey"] == parts["p_partkey"]).selectExpr(
         "l_orderkey AS system_address",
         "CASE l_returnflag WHEN 'N' THEN 'Planet' WHEN 'R' THEN 'Star' ELSE 'Unknown' END AS type",
@@ -59,13 +67,16 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def systems(spark: SparkSession, sf_dir: str, near: str | None = None) -> DataFrame:
-    """The whole catalogue, or the part of it that passes ``near`` (a predicate on the star's
-    own columns); bodies of other stars are then left out before they are rolled up."""
-    chosen, matter = stars(spark, sf_dir), bodies(spark, sf_dir)
+    """The whole catalogue, or the part of it that passes ``near``, a predicate on the star's
+    own columns."""
+    chosen, only = stars(spark, sf_dir), None
     if near is not None:
         chosen = chosen.where(near)
-        matter = matter.join(chosen.select("system_address"), "system_address", "left_semi")
-    rolled = roll_up_rows(matter, "system_address")
+        only = chosen.selectExpr("system_address AS l_orderkey")
+        if only.count() <= MAX_BROADCAST_KEYS:
+            # spares a shuffle of all line items, which Spark would plan from file sizes
+            only = F.broadcast(only)
+    rolled = roll_up_rows(bodies(spark, sf_dir, only), "system_address")
     return without_bodies(
         chosen.join(rolled, "system_address", "left"), COUNT_COLUMNS, HISTOGRAM_COLUMNS
     )
