@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Counted text keys of about 100 bytes in a broadcast hash table: 100 MB.
+MAX_BROADCAST_KEYS = 1_000_000
+
 
 def keep_latest(rows: DataFrame, key: str, newest_first: Sequence[Column]) -> DataFrame:
     """One row per key: the first in ``newest_first`` order.
@@ -27,12 +30,17 @@ def load_counts(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def upsert(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
+def upsert(
+    base: DataFrame, patch: DataFrame, key: str, patch_rows: int | None = None
+) -> DataFrame:
     """``patch`` rows replace ``base`` rows with the same key (nulls included) or are added.
 
-    Both sides hold each key once. Only the patch's keys take part in the join; adaptive
-    execution broadcasts them when their measured size allows, and then the base is not
-    shuffled at all.
+    Both sides hold each key once. Only the patch's keys take part in the join. With a known,
+    moderate number of them (``patch_rows``) they are broadcast and the base is not shuffled;
+    otherwise Spark decides by its own size estimates.
     """
-    kept = base.join(patch.select(key), key, "left_anti").select(*patch.columns)
+    keys = patch.select(key)
+    if patch_rows is not None and patch_rows <= MAX_BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    kept = base.join(keys, key, "left_anti").select(*patch.columns)
     return kept.unionByName(patch)

@@ -174,9 +174,10 @@ def _load(
     spark: SparkSession, root: str, rows: DataFrame, latest: DataFrame, mode: str, source: str
 ) -> int:
     """Makes ``latest`` of ``rows`` the current version, or part of it; returns its row count."""
-    loaded = latest.select(*SYSTEM_COLUMNS)
+    loaded, written = latest.select(*SYSTEM_COLUMNS), None
     if mode == "patch":
-        loaded = upsert(systems(spark, root), loaded, "system_key")
+        written = load_counts(rows, "system_key").first()["distinct_keys"]
+        loaded = upsert(systems(spark, root), loaded, "system_key", patch_rows=written)
     version = f"{utc_now():%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
     path = f"{root}/versions/{version}"
     spatial_order(loaded).write.option("compression", "zstd").parquet(path)
@@ -189,9 +190,9 @@ def _load(
         last_import_source=source,
         last_import_finished_utc=utc_now().isoformat(timespec="seconds"),
     )
-    if mode == "full":  # the version holds just these rows: its file footers know the number
-        return spark.read.schema(SYSTEMS).parquet(path).count()
-    return load_counts(rows, "system_key").first()["distinct_keys"]
+    if written is None:  # the version holds just these rows: its file footers know the number
+        written = spark.read.schema(SYSTEMS).parquet(path).count()
+    return written
 
 
 def _logged(stats: ImportStats) -> dict[str, object]:

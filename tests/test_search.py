@@ -199,6 +199,9 @@ def test_upsert_twice_is_upsert_once(spark):
     once = upsert(base, patch, "k")
     assert sorted(map(tuple, once.collect())) == [(1, "a"), (2, None), (3, "c")]
     assert sorted(map(tuple, upsert(once, patch, "k").collect())) == [(1, "a"), (2, None), (3, "c")]
+    counted = upsert(base, patch, "k", patch_rows=2)
+    assert sorted(map(tuple, counted.collect())) == [(1, "a"), (2, None), (3, "c")]
+    assert "BroadcastHashJoin" in counted._jdf.queryExecution().executedPlan().toString()
 
 
 def test_rounding_of_distances(spark):
