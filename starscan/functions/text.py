@@ -22,23 +22,27 @@ def one_decimal(value: str) -> str:
 
     ``format_string('%.1f')`` rounds the shortest decimal form half up: 0.25 gives 0.3 there
     and 0.2 here. A product with 10 or 20 is not exact, so it is kept as the rounded sum of two
-    exact products (8v + 2v, 16v + 4v) and the part that rounding lost.
+    exact products (8v + 2v, 16v + 4v) and the part that rounding lost. Each transform names
+    the values the next one uses.
     """
-    ten, ten_lost = _two_sum(f"({value} * 8D)", f"({value} * 2D)")
-    twenty, twenty_lost = _two_sum(f"({value} * 16D)", f"({value} * 4D)")
+    sums = f"""transform(array({value}),
+      v -> struct(v, v * 8D + v * 2D AS ten, v * 16D + v * 4D AS twenty))"""
     # the product may have been rounded up to the next whole number: step back then
-    tenths = f"(floor({ten}) - CASE WHEN ({ten} - floor({ten})) + {ten_lost} < 0 THEN 1 ELSE 0 END)"
-    excess = f"(({twenty} - ({tenths} * 2 + 1)) + {twenty_lost})"
-    rounded = f"""({tenths} + CASE
-      WHEN {excess} > 0 OR ({excess} = 0 AND {tenths} % 2 = 1) THEN 1 ELSE 0 END)"""
-    return f"concat({rounded} div 10, '.', {rounded} % 10)"
-
-
-def _two_sum(a: str, b: str) -> tuple[str, str]:
-    """The rounded sum and the part lost by rounding."""
-    total = f"({a} + {b})"
+    tenths = f"""transform({sums}, s -> struct(
+      s.twenty, {_lost("s.twenty", "s.v * 16D", "s.v * 4D")} AS twenty_lost,
+      floor(s.ten) - CASE WHEN (s.ten - floor(s.ten)) + {_lost("s.ten", "s.v * 8D", "s.v * 2D")} < 0
+        THEN 1 ELSE 0 END AS n))"""
+    excess = f"""transform({tenths},
+      s -> struct(s.n, (s.twenty - (s.n * 2 + 1)) + s.twenty_lost AS over))"""
+    rounded = f"""transform({excess}, s -> s.n + CASE
+      WHEN s.over > 0 OR (s.over = 0 AND s.n % 2 = 1) THEN 1 ELSE 0 END)"""
+    return f"get(transform({rounded}, n -> concat(n div 10, '.', n % 10)), 0)"
+
+
+def _lost(total: str, a: str, b: str) -> str:
+    """What rounding lost when ``a + b`` gave ``total``."""
     b_kept = f"({total} - {a})"
-    return total, f"(({a} - ({total} - {b_kept})) + ({b} - {b_kept}))"
+    return f"(({a} - ({total} - {b_kept})) + ({b} - {b_kept}))"
 
 
 def number_text(value: str) -> str:
