@@ -1,0 +1,78 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from starscan.llm import queries, warc
+from starscan.session import scratch_path
+
+FAKE = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:5>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+LONG = "x é" * 400
+
+
+def rows_of(frame):
+    return sorted((tuple(r) for r in frame.collect()), key=str)
+
+
+def expected(pages):
+    keeper = {}
+    for page, _, html in pages:
+        if page is not None:
+            keeper[html or ""] = max(page, keeper.get(html or "", page))
+    out = []
+    for page, _, html in pages:
+        data = (html or "").encode()
+        main = keeper.get(html or "")
+        again = len(data) >= 1000 and main is not None and main != page
+        digest = hashlib.sha1(data).hexdigest()
+        out.append((page, len(data), digest, "revisit" if again else "response", main if again else None))
+    return sorted(out, key=str)
+
+
+PAGES = [
+    (1, "http://a/\r\nX: y", "<p>one</p>"),
+    (2, None, None),
+    (3, "http://b", LONG),
+    (4, "http://b", LONG),
+    (4, "http://b", LONG),
+    (None, "http://c", LONG),
+    (6, "http://d", FAKE + LONG + FAKE * 3),
+    (7, "http://e", "WARC/1.1\r\n" * 200),
+    (8, "http://f", "\r\n\r\n" + FAKE[:20]),
+    (-9, "", "y" * 999),
+    (10, "", "y" * 999),
+]
+
+
+@pytest.mark.parametrize("split_bytes", [700, 1 << 24])
+def test_round_trip(spark, split_bytes):
+    frame = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    frame = frame.withColumn("kind", F.lit("clash")).withColumn("payload", F.lit(1))
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(split_bytes))
+    try:
+        found = rows_of(queries.warc_round_trip(spark, frame.coalesce(1)))
+    finally:
+        spark.conf.set(key, old)
+    assert found == expected(PAGES)
+
+
+def test_empty(spark):
+    frame = spark.createDataFrame([], "page_id long, url string, html string")
+    assert queries.warc_round_trip(spark, frame).collect() == []
+
+
+def test_shuffled_keepers(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MAX_BROADCAST_KEEPERS", 0)
+    frame = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    assert rows_of(queries.warc_round_trip(spark, frame)) == expected(PAGES)
+
+
+def test_binary_payload_survives(spark):
+    data = bytes(range(256)) * 5
+    frame = spark.createDataFrame([(1, "u", bytearray(data))], "id long, url string, payload binary")
+    path = scratch_path(spark, "warc")
+    warc.write_archive(warc.with_revisits(frame, spark), path)
+    row = warc.read_archive(spark, path).head()
+    assert (row.payload_bytes, row.found_digest) == (len(data), hashlib.sha1(data).hexdigest())
