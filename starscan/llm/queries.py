@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starscan.llm import warc
+from starscan.llm import bitpack, packing, warc
 from starscan.session import scratch_path
 
 
@@ -13,6 +15,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The file of a public vocabulary, in the folder that TOKENIZERS_DIR names if it is set."""
+    folder = os.environ.get("TOKENIZERS_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces packed into sequences of at most 1024 ids."""
+    return packing.pack_documents(
+        spark, _table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2
+    )
+
+
+def op7_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as bit-packed ids, and what the files say when they are read back."""
+    return bitpack_round_trip(spark, _table(spark, sf_dir, "documents"))
+
+
+def bitpack_round_trip(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    path = scratch_path(spark, "ids")
+    bitpack.write_ids(docs, path, vocabulary("word_bpe_49k.json"), vocabulary_size=49_408, end_id=1)
+    return bitpack.read_documents(spark, path, with_ids=False)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record, and what the archives say when they are read back."""
     return warc_round_trip(spark, _table(spark, sf_dir, "pages"))
@@ -35,7 +65,11 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {"op10_warc": op10_warc}
+QUERIES = {
+    "op6_packing": op6_packing,
+    "op7_bitpack": op7_bitpack,
+    "op10_warc": op10_warc,
+}
 
 ORACLES = {
     "op10_warc": """
