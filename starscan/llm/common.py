@@ -47,15 +47,17 @@ def lookup(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame
     )
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about ``CHUNK_BYTES`` of text, or a single row."""
+def text_chunks(
+    batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds at most ``size`` bytes of text, or a single row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             done = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, done + CHUNK_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, done + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
 

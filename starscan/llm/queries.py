@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starscan.llm import bitpack, packing, warc
+from starscan.llm import bitpack, bpe, packing, pii, warc
 from starscan.session import scratch_path
 
 
@@ -25,6 +25,24 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by merge replay and decoded again."""
+    return encode_and_decode(_table(spark, sf_dir, "documents"))
+
+
+def encode_and_decode(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
+    return bpe.decode_documents(encoded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces packed into sequences of at most 1024 ids."""
     return packing.pack_documents(
@@ -43,6 +61,27 @@ def bitpack_round_trip(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return bitpack.read_documents(spark, path, with_ids=False)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
+def personal_data(docs: DataFrame) -> DataFrame:
+    def text(spans: Column) -> Column:
+        one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+        return F.array_join(F.transform(spans, one), ",")
+
+    found = pii.find(docs)
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(text(base), 256).alias("base_sha256"),
+        text(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record, and what the archives say when they are read back."""
     return warc_round_trip(spark, _table(spark, sf_dir, "pages"))
@@ -66,8 +105,10 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
 
 QUERIES = {
+    "op4_bpe": op4_bpe,
     "op6_packing": op6_packing,
     "op7_bitpack": op7_bitpack,
+    "op9_pii": op9_pii,
     "op10_warc": op10_warc,
 }
 

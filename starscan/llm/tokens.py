@@ -20,8 +20,8 @@ from starscan.llm.common import ranges
 
 #: Pieces whose ids a worker remembers between chunks (about 200 bytes each).
 CACHE_PIECES = 700_000
-#: Pieces handed to the tokenizer at once.
-AT_ONCE = 2_000
+#: Longer pieces are not remembered.
+CACHE_CHARS = 64
 
 _SPACE = (
     r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -43,18 +43,19 @@ class Ragged:
 class PieceCache:
     """Ids of strings by an encoder, remembered for the first ``CACHE_PIECES`` strings."""
 
-    def __init__(self, encode: Callable[[list[str]], list]):
+    def __init__(self, encode: Callable[[list[str]], list], at_once: int = 2_000):
         self.encode = encode
+        self.at_once = at_once
         self.known: dict[str, np.ndarray] = {}
 
     def __call__(self, pieces: list[str]) -> Ragged:
         found = [self.known.get(p) for p in pieces]
         missing = [i for i, ids in enumerate(found) if ids is None]
-        for at in range(0, len(missing), AT_ONCE):
-            part = missing[at : at + AT_ONCE]
+        for at in range(0, len(missing), self.at_once):
+            part = missing[at : at + self.at_once]
             for i, ids in zip(part, self.encode([pieces[i] for i in part]), strict=True):
                 found[i] = np.asarray(ids, np.int32)
-                if len(self.known) < CACHE_PIECES:
+                if len(self.known) < CACHE_PIECES and len(pieces[i]) <= CACHE_CHARS:
                     self.known[pieces[i]] = found[i]
         ids = np.concatenate(found) if found else np.zeros(0, np.int32)
         return Ragged(ids, np.fromiter(map(len, found), np.int64, len(found)))
