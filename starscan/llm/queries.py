@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starscan.llm import bitpack, bpe, packing, pii, warc
+from starscan.llm import bitpack, bpe, embdedup, packing, pii, topk, warc
 from starscan.session import scratch_path
 
 
@@ -25,6 +25,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best neighbours of every fiftieth vector among all vectors."""
+    return nearest(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def nearest(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
+    vectors = topk.integer_vectors(embeddings, "vec_id", "embedding", 256)
+    return topk.top_k(spark, vectors.where("id % 50 = 0"), vectors, k=5)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded by merge replay and decoded again."""
     return encode_and_decode(_table(spark, sf_dir, "documents"))
@@ -61,6 +71,11 @@ def bitpack_round_trip(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return bitpack.read_documents(spark, path, with_ids=False)
 
 
+def op8_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors at a cosine of 0.9 or more."""
+    return embdedup.near_copies(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return personal_data(_table(spark, sf_dir, "documents"))
@@ -105,14 +120,56 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
 
 QUERIES = {
+    "op3_topk": op3_topk,
     "op4_bpe": op4_bpe,
     "op6_packing": op6_packing,
     "op7_bitpack": op7_bitpack,
+    "op8_embdedup": op8_embdedup,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
 }
 
 ORACLES = {
+    "op3_topk": """
+        WITH v AS (
+            SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS vec
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum([q.vec[i] * c.vec[i] FOR i IN range(1, len(c.vec) + 1)]) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        ), r AS (
+            SELECT query_id, vec_id, score,
+                   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+            FROM s
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+    "op8_embdedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS vec
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+              AND len([x FOR x IN embedding IF x <> 0]) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.vec, b.vec) >= 0.9
+        ), reach(a, b) AS (
+            SELECT vec_id, vec_id FROM embeddings
+            UNION
+            SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a
+        ), root AS (
+            SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+        ), n AS (
+            SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a
+        )
+        SELECT root.vec_id, coalesce(n_links, 0) AS n_links, component_id,
+               root.vec_id = component_id AS kept
+        FROM root LEFT JOIN n USING (vec_id)
+    """,
     "op10_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
