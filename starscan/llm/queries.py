@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starscan.llm import bitpack, bpe, embdedup, packing, pii, topk, warc
+from starscan.llm import bitpack, bpe, embdedup, packing, pii, simhash, topk, warc
 from starscan.session import scratch_path
 
 
@@ -25,6 +25,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the groups that links of at most 4 bits make."""
+    return fingerprint_groups(spark, _table(spark, sf_dir, "documents"))
+
+
+def fingerprint_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    return simhash.near_duplicates(spark, docs, bits=4, words_per_shingle=4).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best neighbours of every fiftieth vector among all vectors."""
     return nearest(spark, _table(spark, sf_dir, "embeddings"))
@@ -120,6 +131,7 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_topk": op3_topk,
     "op4_bpe": op4_bpe,
     "op6_packing": op6_packing,
