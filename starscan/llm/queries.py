@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starscan.llm import bitpack, bpe, embdedup, packing, pii, simhash, topk, warc
+from starscan.llm import bitpack, bpe, embdedup, lm, packing, pii, simhash, topk, warc
 from starscan.session import scratch_path
 
 
@@ -36,6 +36,11 @@ def fingerprint_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of six sevenths of them."""
+    return lm.score_texts(spark, _table(spark, sf_dir, "documents"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best neighbours of every fiftieth vector among all vectors."""
     return nearest(spark, _table(spark, sf_dir, "embeddings"))
@@ -132,6 +137,7 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_lm": op2_lm,
     "op3_topk": op3_topk,
     "op4_bpe": op4_bpe,
     "op6_packing": op6_packing,
