@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starscan.llm import bitpack, bpe, embdedup, lm, packing, pii, simhash, topk, warc
+from starscan.llm import bitpack, bpe, embdedup, lm, packing, pii, quality, simhash, topk, warc
 from starscan.session import scratch_path
 
 
@@ -69,6 +69,21 @@ def encode_and_decode(docs: DataFrame) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of all documents, and whether they are selected."""
+    return quality_grades(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def quality_grades(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    model = quality.fit_on(spark, docs, labels)
+    return quality.with_grades(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.col("__expected").alias("expected_grade"),
+        F.col("__top").alias("top_probability"),
+        (F.col("__top") >= quality.LEAST).alias("kept"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces packed into sequences of at most 1024 ids."""
     return packing.pack_documents(
@@ -140,6 +155,7 @@ QUERIES = {
     "op2_lm": op2_lm,
     "op3_topk": op3_topk,
     "op4_bpe": op4_bpe,
+    "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_bitpack": op7_bitpack,
     "op8_embdedup": op8_embdedup,
