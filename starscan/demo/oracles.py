@@ -2,16 +2,43 @@
 
 from __future__ import annotations
 
-from starscan.demo.queries import HOME, RADIUS
-from starscan.operators.report import (
-    CLAIMABLE_RULE,
-    CSV_HEADINGS,
-    MESSAGE_CAP,
-    NO_HITS,
-    TABLE_HEAD,
-)
 from starscan.schema import COUNT_COLUMNS, HISTOGRAM_COLUMNS, RESULT_COLUMNS
 
+# --- fixed values, written out so that a wrong one in the code under test shows ---
+HOME = "Star 7"
+RADIUS = 8.0
+CLAIMABLE_RULE = "claimable = controlling_faction leer UND faction_count = 0; Permit-/Architekt-/externe Anspruchsstatus werden dabei nicht berücksichtigt"
+MESSAGE_CAP = 1900
+NO_HITS = "Keine Treffer."
+TABLE_HEAD = "System                   Dist  WW  ELW  HMCW  Icy R-Icy  GG  Rng\n----------------------------------------------------------------"
+CSV_HEADINGS = {
+    "Referenzsystem": "reference_system",
+    "System": "name",
+    "Distanz (ly)": "distance_ly",
+    "WW": "water_world_count",
+    "ELW": "earthlike_world_count",
+    "HMCW": "hmcw_count",
+    "Icy": "icy_world_count",
+    "Rocky-Icy": "rocky_icy_world_count",
+    "Gas Giants": "gas_giant_count",
+    "Rings": "ringed_body_count",
+    "Bodies gesamt": "total_bodies",
+    "Planeten": "total_planets",
+    "Sterne": "total_stars",
+    "Population": "population",
+    "Faction Count": "faction_count",
+    "Controlling Faction": "controlling_faction",
+    "Claimable": "claimable",
+    "Claimable-Regel": "claimable_rule",
+    "Body Types": "body_type_counts",
+    "Body Subtypes": "body_subtype_counts",
+    "Ring Types": "ring_type_counts",
+    "EDSM": "edsm_url",
+    "Inara": "inara_url",
+    "EDGIS": "edgis_url",
+}
+# --- end of fixed values ---
+
 HITS = ", ".join(
     ["name", "distance_ly", *COUNT_COLUMNS, "population", "faction_count", "controlling_faction",
      "claimable"]
@@ -186,16 +213,14 @@ def imported(later: int) -> str:
     QUALIFY row_number() OVER (PARTITION BY system_key ORDER BY k DESC) = 1"""
 
 
-DUMP_TOTALS = f"""{records()} SELECT (SELECT count(*) FROM orders) AS records, count(*) AS named,
-    (SELECT count(*) FROM orders) AS numbered,
-    (SELECT sum(population) FROM typed)::BIGINT AS population,
-    (SELECT sum(CASE WHEN (o_orderkey + i) % 5 <> 0 THEN 1 ELSE 0 END)
-     FROM (SELECT o_orderkey, unnest(range(1, o_custkey % 6 + 1)) AS i FROM orders))::BIGINT
-      AS total_bodies,
-    (SELECT sum(CASE c % 6 WHEN 1 THEN 3 WHEN 3 THEN 2 WHEN 5 THEN plain_members ELSE 0 END
-       + CASE WHEN controlling_faction IS NULL OR c % 6 = 3 THEN 0 ELSE 1 END) FROM typed)::BIGINT
-      AS faction_count
-    FROM fields"""
+def scanned(rows_per_file: int) -> str:
+    """Named records with their file and their place among all records of the file."""
+    return f"""{records()}, places AS (
+      SELECT k, k // {rows_per_file} AS file_no,
+        row_number() OVER (PARTITION BY k // {rows_per_file} ORDER BY k) AS place FROM typed)
+    SELECT file_no, place, true AS tagged, {RECORD_FIELDS}, {RECORD_COUNTS}
+    FROM fields JOIN places USING (k) LEFT JOIN rolled USING (k)"""
+
 
 CELLS = {
     "distance_ly": "distance_ly::VARCHAR",
@@ -272,6 +297,21 @@ ORACLES: dict[str, str] = {
         f"refs(ref_ord, reference_system) AS (VALUES (1, '{HOME.upper()}'))",
         RADIUS, "ww_or_elw", 200)}
     SELECT ref_ord, rank, {", ".join(RESULT_COLUMNS)} FROM hits""",
+    "query_catalog": f"""WITH {ranked(
+        f"refs(ref_ord, reference_system) AS (VALUES (1, '{HOME.upper()}'))",
+        RADIUS, "ww_or_elw", 200)}
+    SELECT ref_ord, rank, {", ".join(RESULT_COLUMNS)} FROM hits""",
+    "missing_references": f"""WITH {STARS}, asked AS (
+      SELECT 'sTAR ' || (c_custkey * 13) AS reference_system FROM customer)
+    SELECT reference_system FROM asked
+    WHERE lower(reference_system) NOT IN (SELECT lower(name) FROM stars)""",
+    "run_log_sources": """SELECT 1::BIGINT AS version, 12::BIGINT AS sources
+    UNION ALL SELECT 2, 1""",
+    "typed_tables": f"""WITH {SYSTEMS} SELECT system_key, name, x, y, z, population,
+      {", ".join(COUNT_COLUMNS)} FROM systems""",
+    "table_statistics": f"WITH {SYSTEMS} " + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", min({c})::INT AS least, max({c})::INT AS largest,
+      (count(*) - count({c}))::INT AS nulls FROM systems""" for c in COUNT_COLUMNS),
     "query_systems_without_links": f"""WITH {ranked(
         f"refs(ref_ord, reference_system) AS (VALUES (1, '{HOME}'))", RADIUS, "ww_or_elw", 50)}
     SELECT name, '' AS edsm_url, 'https://inara.cz/elite/starsystem/?search=' || {escaped("name")}
@@ -320,13 +360,13 @@ ORACLES: dict[str, str] = {
     FROM fields LEFT JOIN rolled ON fields.k = rolled.k LEFT JOIN type_txt ON fields.k = type_txt.k
       LEFT JOIN subtype_txt ON fields.k = subtype_txt.k
       LEFT JOIN ring_txt ON fields.k = ring_txt.k""",
-    "dump_scan": DUMP_TOTALS,
-    "dump_scan_any_layout": DUMP_TOTALS,
-    "dump_scan_gzip": DUMP_TOTALS,
-    "dump_first_records": f"""WITH {RECORDS.replace("{later}", "0")}
-    SELECT count(*) AS records, count(name) AS named, sum(population)::BIGINT AS population
-    FROM (SELECT *, row_number() OVER (ORDER BY (k // 4000)::VARCHAR, k) AS position FROM typed)
-    WHERE position <= 5555""",
+    "dump_scan": scanned(50_000),
+    "dump_scan_any_layout": scanned(50_000),
+    "dump_scan_gzip": scanned(50_000),
+    "dump_first_records": f"""{records()}, places AS (
+      SELECT k, row_number() OVER (ORDER BY (k // 4000)::VARCHAR, k) AS place FROM typed)
+    SELECT {RECORD_FIELDS}, {RECORD_COUNTS}
+    FROM fields JOIN places USING (k) LEFT JOIN rolled USING (k) WHERE place <= 5555""",
     "import_full": imported(1),
     "import_patch": imported(1),
     "import_statistics": f"""{records()}, counts AS (

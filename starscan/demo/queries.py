@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starscan.demo.records import raw_records, write_dump
@@ -21,7 +22,7 @@ from starscan.plans import catalog, ingest, planner
 from starscan.schema import COUNT_COLUMNS, HISTOGRAM_COLUMNS
 from starscan.session import configure, scratch_path
 from starscan.sinks import write_csv, write_json
-from starscan.sources.dump import first_records, parse_records, read_dump
+from starscan.sources.dump import parse_records, read_dump, read_first
 from starscan.sources.parquet import read_staged, write_staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,13 @@ def _near(
     return systems(spark, sf_dir, near=reach), points
 
 
+def _written(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
+    """A copy in the scratch folder, for rows that are used several times."""
+    path = scratch_path(spark, label)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 # --- search ---
 
 
@@ -98,15 +106,86 @@ def multi_ref_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multi_ref_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One reference per supplier, too many to list on the driver."""
-    catalogue = systems(spark, sf_dir)
     wanted = table(spark, sf_dir, "supplier").selectExpr(
         "s_suppkey AS ref_ord", "concat('STAR ', s_suppkey) AS reference_system"
     )
-    located = S.locate(stars(spark, sf_dir), wanted)
-    found = S.search_around(catalogue, located, 4.0, limit=5)
+    located = _written(spark, S.locate(stars(spark, sf_dir), wanted), "located")
+    # bodies are rolled up only for stars in reach of a reference
+    near = S.radius_join(stars(spark, sf_dir).select("system_key", *AXES), located, 4.0)
+    catalogue = systems(
+        spark, sf_dir, keys=_written(spark, near.select("system_key").distinct(), "near")
+    )
+    catalogue = _written(spark, catalogue, "catalogue")
+    found = S.search_around(catalogue, located, 4.0, limit=5, skip_unknown=True)
     return found.select("reference_system", "rank", "name", "distance_ly", "total_bodies")
 
 
+def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' references that no star answers to."""
+    wanted = table(spark, sf_dir, "customer").selectExpr(
+        "concat('sTAR ', c_custkey * 13) AS reference_system"
+    )
+    located = S.locate(stars(spark, sf_dir), wanted)
+    return S.unlocated(located).select("reference_system")
+
+
+def _loaded(spark: SparkSession, sf_dir: str, parts: int = 12) -> str:
+    """The root of a catalogue loaded from the staged star map in several files."""
+    configure(spark)
+    staged, root = scratch_path(spark, "staged"), scratch_path(spark, "catalog")
+    rows = systems(spark, sf_dir).selectExpr(
+        "*",
+        "system_address AS seq",
+        "timestamp_ntz'2024-01-01 00:00:00' AS imported_at",
+        "'orders' AS source_tag",
+    )
+    write_staged(rows.repartition(parts, "system_key"), staged)
+    catalog.import_parquet(spark, root, staged)
+    return root
+
+
+def query_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search in a loaded catalogue, the reference looked up in its sorted names."""
+    root = _loaded(spark, sf_dir)
+    points = catalog.reference_points(spark, root, [HOME.upper()])
+    found = planner.query_systems(catalog.systems(spark, root), HOME.upper(), RADIUS, points=points)
+    return _maps_as_text(found)
+
+
+def run_log_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files each load has read, of a load of twelve and a patch of one."""
+    root = _loaded(spark, sf_dir)
+    patch = scratch_path(spark, "patch")
+    write_dump(raw_records(spark, sf_dir).where("record_no % 50 = 0"), patch, rows_per_file=1 << 40)
+    catalog.import_dump(spark, root, f"{patch}/*/*", mode="patch")
+    return catalog.run_sources(spark, root).groupBy("version").agg(F.count("*").alias("sources"))
+
+
+def _published(spark: SparkSession, sf_dir: str) -> str:
+    root = _loaded(spark, sf_dir)
+    database = f"published_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{scratch_path(spark, 'database')}'")
+    catalog.publish(spark, root, database)
+    return database
+
+
+def typed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed table of a published catalogue."""
+    published = spark.table(f"{_published(spark, sf_dir)}.systems")
+    return published.select("system_key", "name", *AXES, "population", *COUNT_COLUMNS)
+
+
+def table_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and largest value and nulls of the counts, as the session catalog has them."""
+    database = _published(spark, sf_dir)
+    found = []
+    for name in COUNT_COLUMNS:
+        rows = spark.sql(f"DESCRIBE EXTENDED {database}.systems {name}").collect()
+        known = {row["info_name"]: row["info_value"] for row in rows}
+        found.append((name, int(known["min"]), int(known["max"]), int(known["num_nulls"])))
+    return spark.createDataFrame(found, "column string, least int, largest int, nulls int")
+
+
 def reference_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "customer").selectExpr(
         "concat('sTAR ', c_custkey * 7) AS reference_system"
@@ -208,13 +287,17 @@ def dump_scan(
     write_dump(records, path, compression=compression)
     dump = read_dump(spark, f"{path}/*/*", layout=layout)
     rows = ingest.system_rows(dump, ingest.utc_now())
-    return rows.agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count("name").alias("named"),
-        F.count_distinct("source_file", "seq").alias("numbered"),
-        F.sum("population").alias("population"),
-        F.sum("total_bodies").alias("total_bodies"),
-        F.sum("faction_count").alias("faction_count"),
+    arrival = Window.partitionBy("source_file").orderBy("seq")
+    return (
+        rows.withColumn("place", F.row_number().over(arrival).cast("long"))
+        .where("name is not null")
+        .select(
+            F.regexp_extract("source_file", "file_no=([0-9]+)", 1).cast("long").alias("file_no"),
+            "place",
+            F.expr("endswith(source_file, concat('/', source_tag))").alias("tagged"),
+            *RECORD_COLUMNS,
+            *COUNT_COLUMNS,
+        )
     )
 
 
@@ -222,12 +305,9 @@ def dump_first_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     path = scratch_path(spark, "dump")
     write_dump(raw_records(spark, sf_dir), path, rows_per_file=4000)
-    chosen = first_records(read_dump(spark, f"{path}/*/*"), 5555)
-    return ingest.system_rows(chosen, ingest.utc_now()).agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count("name").alias("named"),
-        F.sum("population").alias("population"),
-    )
+    chosen = read_first(spark, f"{path}/*/*", n=5555)
+    rows = ingest.system_rows(chosen, ingest.utc_now()).where("name is not null")
+    return rows.select(*RECORD_COLUMNS, *COUNT_COLUMNS)
 
 
 def import_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +333,7 @@ def import_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the run log says after converting a dump and loading the parts."""
     dump, parts = scratch_path(spark, "dump"), scratch_path(spark, "parts")
     root = scratch_path(spark, "catalog")
-    write_dump(_both_editions(spark, sf_dir), dump, rows_per_file=1_000_000_000)
+    write_dump(_both_editions(spark, sf_dir), dump, rows_per_file=6000)
     seen = ingest.convert_dump(spark, f"{dump}/*/*", parts)
     catalog.init_catalog(spark, root)
     catalog.import_source(spark, root, parts)
@@ -395,7 +475,9 @@ QUERIES: dict[str, Query] = {
     "claimable_only": _search("any", claimable_only=True),
     "query_systems": query_systems,
     "query_systems_without_links": query_systems_without_links,
+    "query_catalog": query_catalog,
     "reference_lookup": reference_lookup,
+    "missing_references": missing_references,
     "multi_ref_topk": multi_ref_topk,
     "multi_ref_union": multi_ref_union,
     "multi_ref_grid": multi_ref_grid,
@@ -416,6 +498,9 @@ QUERIES: dict[str, Query] = {
     "import_full": import_full,
     "import_patch": import_patch,
     "import_statistics": import_statistics,
+    "run_log_sources": run_log_sources,
+    "typed_tables": typed_tables,
+    "table_statistics": table_statistics,
     "staged_roundtrip": staged_roundtrip,
     "keep_latest": latest_event,
     "load_counts": load_count,

@@ -66,12 +66,17 @@ def bodies(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> D
     )
 
 
-def systems(spark: SparkSession, sf_dir: str, near: str | None = None) -> DataFrame:
+def systems(
+    spark: SparkSession, sf_dir: str, near: str | None = None, keys: DataFrame | None = None
+) -> DataFrame:
     """The whole catalogue, or the part of it that passes ``near``, a predicate on the star's
-    own columns."""
+    own columns, or that has a ``system_key`` in ``keys``."""
     chosen, only = stars(spark, sf_dir), None
     if near is not None:
         chosen = chosen.where(near)
+    if keys is not None:
+        chosen = chosen.join(keys, "system_key", "left_semi")
+    if near is not None or keys is not None:
         only = chosen.selectExpr("system_address AS l_orderkey")
         if only.count() <= MAX_BROADCAST_KEYS:
             # spares a shuffle of all line items, which Spark would plan from file sizes

@@ -1,48 +1,51 @@
 """The systems table under a root folder: versions, run log, full load and patch.
 
-``<root>/versions/<id>`` holds immutable Parquet versions; ``<root>/run_log`` is append-only.
-A load writes a new version and then appends the log rows that make it current, so readers see
-the old table or the new one, and a load that dies leaves only an unused folder.
+``<root>/data`` holds immutable Parquet files and ``<root>/names`` a narrow copy of each load's names
+and places, sorted by name. ``<root>/versions/<n>`` lists the files of version ``n``. A load writes new
+files and then creates the next version, which fails if another load has created it meanwhile; so
+readers see the old table or the new one, no load is lost unnoticed, and a load that dies leaves only
+unused files. A patch rewrites the files that hold its keys and lists all others again.
+``<root>/run_log`` and ``<root>/run_sources`` are append-only.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
-from dataclasses import asdict, dataclass
+from collections.abc import Sequence
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starscan.functions.geometry import AXES, cell
-from starscan.operators.latest import keep_latest, load_counts, upsert
+from starscan.operators import search
+from starscan.operators.latest import MAX_BROADCAST_KEYS, keep_latest, upsert
 from starscan.plans.ingest import stage, utc_now
-from starscan.schema import RUN_LOG, SCHEMA_VERSION, SYSTEM_COLUMNS, SYSTEMS
+from starscan.schema import NAMES, RUN_LOG, RUN_SOURCES, SCHEMA_VERSION, SYSTEM_COLUMNS, SYSTEMS
 from starscan.session import configure, scratch_path
 from starscan.sources import files
 from starscan.sources.parquet import read_staged, resolve_inputs
 
 MODES = ("full", "patch")
-# Edge of the coarse cells that order a version on disk.
+# Edge of the coarse cells that order the files on disk.
 LAYOUT_EDGE = 256.0
 
 
-@dataclass
-class ImportStats:
-    systems_seen: int
-    systems_written: int
-    parquet_file_count: int
-    dump_size_bytes: int
-    elapsed_s: float
+class LoadConflict(RuntimeError):
+    """Another load has become current while this one ran; nothing has changed, run it again."""
 
-    @property
-    def systems_per_sec(self) -> float:
-        return self.systems_seen / self.elapsed_s if self.elapsed_s else 0.0
 
-    @property
-    def bytes_per_sec(self) -> float:
-        return self.dump_size_bytes / self.elapsed_s if self.elapsed_s else 0.0
+class LoadResult(NamedTuple):
+    """Records read, systems written, Parquet files, and bytes of the source, in some seconds."""
+
+    seen: int
+    written: int
+    parts: int
+    size: int
+    seconds: float
 
 
 def init_catalog(spark: SparkSession, root: str) -> None:
@@ -81,13 +84,51 @@ def get_meta(spark: SparkSession, root: str, key: str, default: str = "") -> str
     return row["value"] if row else default
 
 
-def systems(spark: SparkSession, root: str) -> DataFrame:
-    """The current version of the systems table."""
-    configure(spark)
-    version = get_meta(spark, root, "current_version")
-    if not version:
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The versions that have not been removed, in ascending order."""
+    return sorted(int(files.base_name(path)) for path in files.glob(spark, f"{root}/versions/[0-9]*"))
+
+
+def manifest(spark: SparkSession, root: str, version: int | None = None) -> dict:
+    """What a version, by default the current one, consists of."""
+    known = versions(spark, root)
+    if not known:
+        return {"version": 0, "files": [], "names": []}
+    return json.loads(files.read_text(spark, f"{root}/versions/{version or known[-1]:010d}"))
+
+
+def _rows(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
+    if not names:
         return spark.createDataFrame([], SYSTEMS)
-    return spark.read.schema(SYSTEMS).parquet(f"{root}/versions/{version}")
+    return spark.read.schema(SYSTEMS).parquet(*[f"{root}/data/{name}" for name in names])
+
+
+def systems(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The current version of the systems table, or an earlier one that is still there."""
+    configure(spark)
+    return _rows(spark, root, manifest(spark, root, version)["files"])
+
+
+def names(spark: SparkSession, root: str) -> DataFrame:
+    """(name_lower, system_key, x, y, z, part) of the current version.
+
+    Sorted by ``name_lower`` in each load, so that a filter on it reads few row groups. Rows of
+    files that a patch has replaced are left out by a join with the version's list of files.
+    """
+    current = manifest(spark, root)
+    if not current["names"]:
+        return spark.createDataFrame([], NAMES)
+    found = spark.read.schema(NAMES).parquet(*[f"{root}/names/{load}" for load in current["names"]])
+    if len(current["names"]) == 1:
+        return found
+    live = pa.table({"part": pa.array([files.base_name(name) for name in current["files"]], pa.string())})
+    # one short row per file of the version
+    return found.join(F.broadcast(spark.createDataFrame(live)), "part", "left_semi")
+
+
+def reference_points(spark: SparkSession, root: str, references: Sequence[str]) -> list[tuple]:
+    """Places of references, looked up in the names of the current version."""
+    return search.reference_points(names(spark, root), references)
 
 
 def spatial_order(rows: DataFrame) -> DataFrame:
@@ -102,12 +143,21 @@ def spatial_order(rows: DataFrame) -> DataFrame:
 
 
 def import_source(
-    spark: SparkSession, root: str, source: str, mode: str = "full", *, layout: str = "lines"
-) -> ImportStats:
-    """Parquet files or folders are loaded as staged rows, anything else is read as a dump."""
+    spark: SparkSession,
+    root: str,
+    source: str,
+    mode: str = "full",
+    *,
+    layout: str = "lines",
+    database: str | None = None,
+) -> LoadResult:
+    """Parquet files or folders are loaded as staged rows, anything else is read as a dump.
+
+    With a ``database`` the load is also published to its typed tables.
+    """
     if source.lower().endswith(".parquet") or files.is_directory(spark, source):
-        return import_parquet(spark, root, source, mode)
-    return import_dump(spark, root, source, mode=mode, layout=layout)
+        return import_parquet(spark, root, source, mode, database=database)
+    return import_dump(spark, root, source, mode=mode, layout=layout, database=database)
 
 
 def import_dump(
@@ -117,7 +167,8 @@ def import_dump(
     mode: str = "full",
     layout: str = "lines",
     keep_staging: bool = False,
-) -> ImportStats:
+    database: str | None = None,
+) -> LoadResult:
     """Of several records with a key the last one counts: later file (by path), later position."""
     started = time.monotonic()
     mode = _checked(mode)
@@ -127,21 +178,21 @@ def import_dump(
     named = staged.where("name IS NOT NULL")
     latest = keep_latest(named, "system_key", [F.desc("source_file"), F.desc("seq")])
     paths = [path for dump in dumps for path in files.inputs(spark, dump)]
-    source = ", ".join(path.rpartition("/")[2] for path in paths[:10])
-    stats = ImportStats(
-        systems_seen=staged.where("is_record").count(),
-        systems_written=_load(spark, root, named, latest, mode, source),
-        parquet_file_count=len(files.glob(spark, f"{staging}/*.parquet")),
-        dump_size_bytes=files.total_size(spark, paths),
-        elapsed_s=time.monotonic() - started,
+    result = LoadResult(
+        seen=staged.where("is_record").count(),
+        written=_load(spark, root, latest, mode, paths),
+        parts=len(files.glob(spark, f"{staging}/*.parquet")),
+        size=files.total_size(spark, paths),
+        seconds=time.monotonic() - started,
     )
     if not keep_staging:
         files.delete(spark, staging)
-    set_meta(spark, root, **_logged(stats))
-    return stats
+    return _log_result(spark, root, result, database)
 
 
-def import_parquet(spark: SparkSession, root: str, path: str, mode: str = "full") -> ImportStats:
+def import_parquet(
+    spark: SparkSession, root: str, path: str, mode: str = "full", *, database: str | None = None
+) -> LoadResult:
     """Of several rows with a key the one with the highest ``seq`` counts."""
     started = time.monotonic()
     mode = _checked(mode)
@@ -150,17 +201,15 @@ def import_parquet(spark: SparkSession, root: str, path: str, mode: str = "full"
     staged = read_staged(spark, path)
     newest = [F.desc("seq"), F.desc("source_tag"), F.desc("imported_at")]
     latest = keep_latest(staged, "system_key", newest)
-    source = inputs[0].rpartition("/")[2] if len(inputs) == 1 else f"{len(inputs)} parquet files"
     parts = [part for pattern in inputs for part in files.glob(spark, pattern)]
-    stats = ImportStats(
-        systems_seen=staged.count(),
-        systems_written=_load(spark, root, staged, latest, mode, source),
-        parquet_file_count=len(parts),
-        dump_size_bytes=files.total_size(spark, parts),
-        elapsed_s=time.monotonic() - started,
+    result = LoadResult(
+        seen=staged.count(),
+        written=_load(spark, root, latest, mode, parts),
+        parts=len(parts),
+        size=files.total_size(spark, parts),
+        seconds=time.monotonic() - started,
     )
-    set_meta(spark, root, **_logged(stats))
-    return stats
+    return _log_result(spark, root, result, database)
 
 
 def _checked(mode: str) -> str:
@@ -171,36 +220,123 @@ def _checked(mode: str) -> str:
 
 
 def _load(
-    spark: SparkSession, root: str, rows: DataFrame, latest: DataFrame, mode: str, source: str
+    spark: SparkSession, root: str, latest: DataFrame, mode: str, sources: Sequence[str]
 ) -> int:
-    """Makes ``latest`` of ``rows`` the current version, or part of it; returns its row count."""
-    loaded, written = latest.select(*SYSTEM_COLUMNS), None
-    if mode == "patch":
-        written = load_counts(rows, "system_key").first()["distinct_keys"]
-        loaded = upsert(systems(spark, root), loaded, "system_key", patch_rows=written)
-    version = f"{utc_now():%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
-    path = f"{root}/versions/{version}"
-    spatial_order(loaded).write.option("compression", "zstd").parquet(path)
+    """Makes the rows ``latest`` the next version, or part of it; returns how many there are."""
+    before = manifest(spark, root)
+    load = uuid.uuid4().hex
+    loaded, kept, written = latest.select(*SYSTEM_COLUMNS), [], None
+    if mode == "patch" and before["files"]:
+        staging = scratch_path(spark, "patch")
+        loaded.write.parquet(staging)
+        loaded = spark.read.schema(SYSTEMS).parquet(staging)
+        written = loaded.count()
+        keys = loaded.select("system_key")
+        if written <= MAX_BROADCAST_KEYS:
+            keys = F.broadcast(keys)
+        # one row per file of the base; only its key column is read
+        touched = {
+            row["part"]
+            for row in _rows(spark, root, before["files"])
+            .select("system_key", F.col("_metadata.file_name").alias("part"))
+            .join(keys, "system_key", "left_semi")
+            .select("part")
+            .distinct()
+            .collect()
+        }
+        kept = [name for name in before["files"] if files.base_name(name) not in touched]
+        replaced = _rows(spark, root, [name for name in before["files"] if name not in set(kept)])
+        loaded = upsert(replaced, loaded, "system_key", patch_rows=written)
+    data = f"{root}/data/{load}"
+    spatial_order(loaded).write.option("compression", "zstd").parquet(data)
+    added = [f"{load}/{files.base_name(path)}" for path in files.glob(spark, f"{data}/*.parquet")]
+    fresh = _rows(spark, root, added)
+    (
+        fresh.selectExpr("lower(name) AS name_lower", "system_key", *AXES, "_metadata.file_name AS part")
+        .repartitionByRange("name_lower", "system_key")
+        .sortWithinPartitions("name_lower", "system_key")
+        .write.option("compression", "zstd")
+        .parquet(f"{root}/names/{load}")
+    )
+    if written is None:  # the new files hold just these rows: their footers know the number
+        written = fresh.count()
+    version = before["version"] + 1
+    contents = {
+        "version": version,
+        "files": kept + added,
+        "names": ([*before["names"], load] if kept else [load]),
+    }
+    if not files.create_new(spark, f"{root}/versions/{version:010d}", json.dumps(contents)):
+        raise LoadConflict(f"version {version} of {root} has been created by another load")
+    listed = pa.table(
+        {
+            "version": pa.array([version] * len(sources), pa.int64()),
+            "source": pa.array(list(sources), pa.string()),
+        }
+    )
+    spark.createDataFrame(listed, RUN_SOURCES).write.mode("append").parquet(f"{root}/run_sources")
     set_meta(
         spark,
         root,
         schema_version=SCHEMA_VERSION,
         current_version=version,
         last_import_mode=mode,
-        last_import_source=source,
+        last_import_source=", ".join(files.base_name(path) for path in sources),
         last_import_finished_utc=utc_now().isoformat(timespec="seconds"),
     )
-    if written is None:  # the version holds just these rows: its file footers know the number
-        written = spark.read.schema(SYSTEMS).parquet(path).count()
     return written
 
 
-def _logged(stats: ImportStats) -> dict[str, object]:
-    rates = {
-        "systems_per_sec": round(stats.systems_per_sec, 2),
-        "bytes_per_sec": round(stats.bytes_per_sec, 2),
-    }
-    return {f"last_import_{key}": value for key, value in (asdict(stats) | rates).items()}
+def run_sources(spark: SparkSession, root: str) -> DataFrame:
+    """(version, source): every file that a load has read."""
+    path = f"{root}/run_sources"
+    if not files.exists(spark, path):
+        return spark.createDataFrame([], RUN_SOURCES)
+    return spark.read.schema(RUN_SOURCES).parquet(path)
+
+
+def remove_old_versions(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Deletes all but the newest versions, and the files that only they hold; returns how many files.
+
+    Readers of a removed version fail, so keep as many as have long-running readers.
+    """
+    known = versions(spark, root)
+    if keep < 1:
+        raise ValueError("at least the current version is kept")
+    held = [manifest(spark, root, version) for version in known[-keep:]]
+    used = {name for version in held for name in version["files"]}
+    named = {load for version in held for load in version["names"]}
+    for version in known[:-keep]:
+        files.delete(spark, f"{root}/versions/{version:010d}")
+    started = {files.base_name(path) for path in files.glob(spark, f"{root}/names/*")}
+    gone = [
+        path
+        for path in files.glob(spark, f"{root}/data/*/*.parquet")
+        if "/".join(path.split("/")[-2:]) not in used and path.split("/")[-2] in started
+    ]
+    for path in gone:
+        files.delete(spark, path)
+    for load in started - named:
+        files.delete(spark, f"{root}/names/{load}")
+    return len(gone)
+
+
+def _log_result(spark: SparkSession, root: str, result: LoadResult, database: str | None) -> LoadResult:
+    per_second = lambda n: round(n / result.seconds, 2) if result.seconds else 0.0
+    set_meta(
+        spark,
+        root,
+        last_import_systems_seen=result.seen,
+        last_import_systems_written=result.written,
+        last_import_parquet_file_count=result.parts,
+        last_import_dump_size_bytes=result.size,
+        last_import_elapsed_s=result.seconds,
+        last_import_systems_per_sec=per_second(result.seen),
+        last_import_bytes_per_sec=per_second(result.size),
+    )
+    if database:
+        publish(spark, root, database)
+    return result
 
 
 def create_tables(spark: SparkSession, database: str = "default") -> None:
@@ -216,6 +352,18 @@ def create_tables(spark: SparkSession, database: str = "default") -> None:
     )
 
 
+def publish(spark: SparkSession, root: str, database: str) -> None:
+    """Fills the typed tables with the current version and run log, and computes their statistics.
+
+    Copies the whole table, for readers that know only the session catalog.
+    """
+    create_tables(spark, database)
+    systems(spark, root).write.mode("overwrite").insertInto(f"{database}.systems")
+    latest_values(read_log(spark, root)).write.mode("overwrite").insertInto(f"{database}.app_meta")
+    analyze_table(spark, f"{database}.systems")
+    analyze_table(spark, f"{database}.app_meta")
+
+
 def analyze_table(spark: SparkSession, table: str) -> None:
     """Row count and size, and column statistics for every column type that has them."""
     fields = spark.table(table).schema.fields

@@ -12,8 +12,8 @@ from starscan.operators.rollup import roll_up_nested
 from starscan.schema import SYSTEM_COLUMNS, SYSTEMS
 from starscan.session import configure, scratch_path
 from starscan.sources import files
-from starscan.sources.dump import assert_whole_arrays, first_records, read_dump, scan_dump
-from starscan.sources.parquet import write_staged
+from starscan.sources.dump import assert_whole_arrays, read_first, scan_dump
+from starscan.sources.parquet import check_codec, write_staged
 
 
 def utc_now() -> datetime:
@@ -55,21 +55,29 @@ def convert_dump(
     *,
     compression: str = "zstd",
     rows_per_file: int = 1_000_000,
+    row_group_bytes: int = 128 * 1024 * 1024,
     max_systems: int | None = None,
     layout: str = "lines",
 ) -> dict[str, int]:
     """Dump to Parquet parts in the staged layout; returns records seen and rows written."""
     configure(spark)
+    check_codec(spark, compression)
     scratch = scratch_path(spark, "convert")
     if max_systems is not None:
-        chosen = first_records(read_dump(spark, dump, layout=layout), max_systems)
+        chosen = read_first(spark, dump, n=max_systems, layout=layout)
         rows = system_rows(chosen.withColumn("is_record", F.lit(True)), utc_now())
         rows.write.option("compression", "zstd").parquet(scratch)
         staged = spark.read.parquet(scratch)
     else:
         staged = stage(spark, scratch, dump, layout=layout)
     named = staged.where("name is not null")
-    write_staged(named, parquet_path, compression=compression, rows_per_file=rows_per_file)
+    write_staged(
+        named,
+        parquet_path,
+        compression=compression,
+        rows_per_file=rows_per_file,
+        row_group_bytes=row_group_bytes,
+    )
     counts = staged.agg(
         F.count_if("is_record").alias("systems_seen"), F.count("name").alias("systems_written")
     ).first()

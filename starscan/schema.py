@@ -54,6 +54,19 @@ RUN_LOG = T.StructType(
     ]
 )
 
+RUN_SOURCES = T.StructType(
+    [T.StructField("version", T.LongType()), T.StructField("source", T.StringType())]
+)
+
+NAMES = T.StructType(
+    [
+        T.StructField("name_lower", T.StringType()),
+        T.StructField("system_key", T.StringType()),
+        *[T.StructField(axis, T.DoubleType()) for axis in ("x", "y", "z")],
+        T.StructField("part", T.StringType()),
+    ]
+)
+
 SCHEMA_VERSION = "4"
 
 RESULT_COLUMNS = [

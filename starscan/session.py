@@ -15,7 +15,7 @@ REQUIRED_CONF = {
     # a repeated key in a JSON object: the last value wins
     "spark.sql.variant.allowDuplicateKeys": "true",
     # prune to the best k per group before the shuffle for every limit a search may ask for
-    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+    "spark.sql.optimizer.windowGroupLimitThreshold": str(2**31 - 1),
     # HotSpot never compiles larger methods; without whole-stage code the wide projections of
     # the ingest run compiled in pieces instead of interpreted in one
     "spark.sql.codegen.hugeMethodLimit": "8000",

@@ -148,10 +148,29 @@ def assert_whole_arrays(scanned: DataFrame) -> None:
         F.max_by("closes", "seq").alias("closes"),
         F.count_if("is_record").alias("objects"),
     )
-    bad = files.where("not opens or not closes or objects = 0").limit(5).collect()
-    if bad:
-        names = ", ".join(row["source_file"] for row in bad)
-        raise ValueError(f"not a top-level JSON array of objects: {names}")
+    bad = files.where("not opens or not closes or objects = 0")
+    first = bad.orderBy("source_file").limit(5).collect()
+    if first:
+        names = ", ".join(row["source_file"] for row in first)
+        raise ValueError(f"{bad.count()} not a top-level JSON array of objects: {names}")
+
+
+def read_first(spark: SparkSession, *paths: str, n: int, layout: str = "lines") -> DataFrame:
+    """The first ``n`` records of the dumps in arrival order.
+
+    Files are taken in order and counted, in growing groups, until they hold ``n`` records; files
+    behind that are not read.
+    """
+    waiting = sorted({name for path in paths for name in files.inputs(spark, path)})
+    taken: list[str] = []
+    found, size = 0, 1
+    while waiting and found < n:
+        group, waiting, size = waiting[:size], waiting[size:], 2 * size
+        found += read_dump(spark, *group, layout=layout).count()
+        taken += group
+    if not taken:
+        return read_dump(spark, *paths, layout=layout).limit(0)
+    return first_records(read_dump(spark, *taken, layout=layout), n)
 
 
 def first_records(records: DataFrame, n: int) -> DataFrame:

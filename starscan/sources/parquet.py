@@ -9,26 +9,29 @@ from starscan.schema import HISTOGRAM_COLUMNS, STAGED
 from starscan.sources import files
 
 CODECS = ("zstd", "snappy", "gzip", "brotli", "none")
+# Codecs that Spark does not bring itself.
+NEEDS_CLASS = {"brotli": "org.apache.hadoop.io.compress.BrotliCodec"}
 
 
 def resolve_inputs(spark: SparkSession, path: str) -> list[str]:
-    """A glob stands as it is, a directory for its ``*.parquet`` entries (not deeper), a file
-    for itself; otherwise the parts written next to it as ``stem*.parquet``."""
-    if any(mark in path for mark in "*?["):
-        return [path]
-    if files.is_directory(spark, path):
-        found = files.glob(spark, f"{path.rstrip('/')}/*.parquet")
-        if not found:
-            raise FileNotFoundError(f"no Parquet files in {path}")
-        return found
-    if files.exists(spark, path):
+    """The Parquet files a path stands for.
+
+    A pattern is left to the reader. A folder holds them itself, not deeper. Any other name is a
+    file or, if there is none, the common beginning of parts: ``a.parquet`` for ``a*.parquet``.
+    """
+    if set(path) & set("*?["):
         return [path]
-    parent, _, file_name = path.rpartition("/")
-    stem = file_name.rsplit(".", 1)[0]
-    siblings = files.glob(spark, f"{parent}/{stem}*.parquet" if parent else f"{stem}*.parquet")
-    if not siblings:
-        raise FileNotFoundError(path)
-    return siblings
+    beginning = path.removesuffix("." + files.base_name(path).rpartition(".")[2])
+    patterns = (
+        [path.rstrip("/") + "/*.parquet"]
+        if files.is_directory(spark, path)
+        else [path, beginning + "*.parquet"]
+    )
+    matches = (files.glob(spark, pattern) for pattern in patterns)
+    found = next(filter(None, matches), None)
+    if found is None:
+        raise FileNotFoundError(f"no Parquet files for {path}")
+    return found if files.base_name(found[0]) != files.base_name(path) else [path]
 
 
 def read_staged(spark: SparkSession, path: str) -> DataFrame:
@@ -45,6 +48,17 @@ def _staged_names() -> list[tuple[str, str | None]]:
     return [(name, f"{name}_json" if name in HISTOGRAM_COLUMNS else None) for name in names]
 
 
+def check_codec(spark: SparkSession, compression: str) -> None:
+    """Raises for a codec that is unknown, or that this installation of Spark lacks."""
+    if compression not in CODECS:
+        raise ValueError(f"compression must be one of {', '.join(CODECS)}")
+    needed = NEEDS_CLASS.get(compression)
+    if needed:
+        loader = spark.sparkContext._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+        if loader.getResource(needed.replace(".", "/") + ".class") is None:
+            raise ValueError(f"compression {compression} needs {needed}, which Spark lacks here")
+
+
 def write_staged(
     rows: DataFrame,
     path: str,
@@ -55,8 +69,7 @@ def write_staged(
     mode: str = "errorifexists",
 ) -> None:
     """Part files of at most ``rows_per_file`` rows in the fixed schema."""
-    if compression not in CODECS:
-        raise ValueError(f"compression must be one of {', '.join(CODECS)}")
+    check_codec(rows.sparkSession, compression)
     (
         rows.selectExpr(
             *[

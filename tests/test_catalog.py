@@ -9,7 +9,9 @@ import pytest
 
 from starscan.plans import catalog
 from starscan.plans.ingest import convert_dump
-from starscan.sources.parquet import read_staged, resolve_inputs, write_staged
+from starscan.sources import files
+from starscan.sources.dump import read_first
+from starscan.sources.parquet import check_codec, read_staged, resolve_inputs, write_staged
 
 
 def write_lines(path, records):
@@ -32,8 +34,9 @@ def test_later_record_and_later_file_win(spark, tmp_path, root):
     write_lines(tmp_path / "b.json", [{"id64": 1, "name": "b1"}, {"id64": 1, "name": "b2"}])
     stats = catalog.import_dump(spark, root, str(tmp_path / "*.json"))
     assert names(spark, root) == {"addr:1": "b2", "addr:2": "only"}
-    assert (stats.systems_seen, stats.systems_written) == (6, 2)
-    assert stats.dump_size_bytes > 100 and stats.systems_per_sec > 0
+    assert (stats.seen, stats.written) == (6, 2)
+    assert stats.size > 100
+    assert float(catalog.get_meta(spark, root, "last_import_systems_per_sec")) > 0
 
 
 def test_patch_updates_inserts_and_keeps(spark, tmp_path, root):
@@ -82,6 +85,7 @@ def test_run_log(spark, root):
     assert catalog.systems(spark, root).count() == 0
 
 
+# --- fixed values: the columns of the exchange format ---
 STAGED = pa.schema([
     ("seq", pa.int64()), ("system_key", pa.string()), ("system_address", pa.int64()),
     ("name", pa.string()), ("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64()),
@@ -92,6 +96,7 @@ STAGED = pa.schema([
     ("body_type_counts_json", pa.string()), ("body_subtype_counts_json", pa.string()),
     ("ring_type_counts_json", pa.string()), ("imported_at", pa.timestamp("us")),
     ("source_tag", pa.string())])
+# --- end of fixed values ---
 
 
 def staged_file(path, *rows):
@@ -110,8 +115,8 @@ def test_foreign_staged_files(spark, tmp_path, root):
     staged_file(tmp_path / "s.part-2.parquet", (3, "k1", "mid"), (4, "k3", "c"))
     stats = catalog.import_source(spark, root, str(tmp_path / "s.parquet"))
     assert names(spark, root) == {"k1": "new", "k2": "b", "k3": "c"}
-    assert (stats.systems_seen, stats.systems_written, stats.parquet_file_count) == (5, 3, 2)
-    assert catalog.get_meta(spark, root, "last_import_source") == "2 parquet files"
+    assert (stats.seen, stats.written, stats.parts) == (5, 3, 2)
+    assert catalog.get_meta(spark, root, "last_import_source") == "s.part-1.parquet, s.part-2.parquet"
     row = catalog.systems(spark, root).first()
     assert row["body_type_counts"] == {"Planet": 2} and row["ring_type_counts"] == {}
     assert row["imported_at"] == datetime(2024, 1, 2, 3, 4, 5, 6)
@@ -167,9 +172,8 @@ def test_versions_are_ordered_in_space(spark, tmp_path, root):
         {"id64": i, "name": f"s{i}", "x": (i * 7919) % 4001 - 2000, "y": 0, "z": 0}
         for i in range(500)])
     catalog.import_dump(spark, root, dump)
-    (version,) = (tmp_path / "catalog" / "versions").iterdir()
     spans = []
-    for part in version.glob("*.parquet"):
+    for part in (tmp_path / "catalog" / "data").glob("*/*.parquet"):
         cells = [x // catalog.LAYOUT_EDGE for x in pq.read_table(part)["x"].to_pylist()]
         assert cells == sorted(cells)
         spans.append((cells[0], cells[-1]))
@@ -188,3 +192,115 @@ def test_typed_tables_and_statistics(spark):
     described = {r[0]: r[1] for r in spark.sql("DESCRIBE EXTENDED typed.systems name").collect()}
     assert described["distinct_count"] == "1"
     spark.sql("DROP DATABASE typed CASCADE")
+
+
+def grid(n):
+    return [{"id64": i, "name": f"S{i}", "x": i * 600.0, "y": 0, "z": 0} for i in range(n)]
+
+
+@pytest.fixture
+def small_files(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def test_patch_rewrites_only_what_it_touches(spark, tmp_path, root, small_files):
+    catalog.import_dump(spark, root, write_lines(tmp_path / "full.json", grid(400)))
+    before = catalog.manifest(spark, root)
+    assert len(before["files"]) > 2
+    patch = [{"id64": 3, "name": "S3b"}, {"id64": 9999, "name": "new", "x": 5.0, "y": 0, "z": 0}]
+    catalog.import_dump(spark, root, write_lines(tmp_path / "patch.json", patch), mode="patch")
+    after = catalog.manifest(spark, root)
+    assert len(set(before["files"]) & set(after["files"])) == len(before["files"]) - 1
+    want = {f"addr:{i}": f"S{i}" for i in range(400)} | {"addr:3": "S3b", "addr:9999": "new"}
+    assert names(spark, root) == want
+    # names of replaced files are gone, others stay
+    found = {r["name_lower"] for r in catalog.names(spark, root).collect()}
+    assert found == {name.lower() for name in want.values()}
+    # the version before is still there, until it is removed
+    assert catalog.systems(spark, root, 1).where("name = 'S3'").count() == 1
+    assert catalog.remove_old_versions(spark, root, keep=1) == 1
+    assert catalog.versions(spark, root) == [2]
+    assert names(spark, root) == want
+
+
+def test_two_loads_at_once(spark, tmp_path, root, monkeypatch):
+    dump = write_lines(tmp_path / "d.json", grid(5))
+    catalog.import_dump(spark, root, dump)
+    ordered = catalog.spatial_order
+
+    def meanwhile(rows):
+        monkeypatch.setattr(catalog, "spatial_order", ordered)
+        catalog.import_dump(spark, root, write_lines(tmp_path / "e.json", grid(7)))
+        return ordered(rows)
+
+    monkeypatch.setattr(catalog, "spatial_order", meanwhile)
+    with pytest.raises(catalog.LoadConflict):
+        catalog.import_dump(spark, root, dump, mode="patch")
+    assert len(names(spark, root)) == 7
+
+
+def test_every_source_is_logged(spark, tmp_path, root):
+    folder = tmp_path / "dumps"
+    folder.mkdir()
+    for i in range(13):
+        write_lines(folder / f"d{i:02}.json", [{"id64": i, "name": f"s{i}"}])
+    (folder / "_SUCCESS").write_text("")
+    catalog.import_dump(spark, root, f"{folder}/d*.json")
+    listed = [f"d{i:02}.json" for i in range(13)]
+    found = catalog.run_sources(spark, root).collect()
+    assert sorted(r["source"].rpartition("/")[2] for r in found) == listed
+    assert catalog.get_meta(spark, root, "last_import_source") == ", ".join(listed)
+    assert [p.rpartition("/")[2] for p in files.inputs(spark, str(folder))] == listed
+
+
+def test_lookup_filter_reaches_the_names(spark, tmp_path, root):
+    catalog.import_dump(spark, root, write_lines(tmp_path / "d.json", grid(50)))
+    plan = catalog.names(spark, root).where("name_lower = 's7'")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(name_lower,s7)" in text
+    assert catalog.reference_points(spark, root, ["S7"]) == [("S7", 4200.0, 0.0, 0.0)]
+    with pytest.raises(ValueError, match="unknown"):
+        catalog.reference_points(spark, root, ["S7", "nowhere"])
+
+
+def test_publish_to_typed_tables(spark, tmp_path, root):
+    spark.sql("CREATE DATABASE IF NOT EXISTS published")
+    dump = write_lines(tmp_path / "d.json", grid(30))
+    for _ in range(2):
+        catalog.import_source(spark, root, dump, database="published")
+        assert spark.table("published.systems").count() == 30
+    meta = {r["key"]: r["value"] for r in spark.table("published.app_meta").collect()}
+    assert meta["last_import_mode"] == "full" and meta["current_version"] == "2"
+    spark.sql("DROP DATABASE published CASCADE")
+
+
+def test_codec_that_spark_lacks(spark, tmp_path):
+    dump = write_lines(tmp_path / "d.json", grid(3))
+    try:
+        check_codec(spark, "brotli")
+    except ValueError as error:
+        assert "brotli needs" in str(error)
+        with pytest.raises(ValueError, match="brotli needs"):
+            convert_dump(spark, dump, str(tmp_path / "b"), compression="brotli")
+    else:
+        convert_dump(spark, dump, str(tmp_path / "b"), compression="brotli")
+
+
+def test_row_group_size(spark, tmp_path):
+    dump = write_lines(tmp_path / "d.json", grid(30_000))
+    convert_dump(spark, dump, str(tmp_path / "p"), row_group_bytes=100_000)
+    assert any(pq.read_metadata(f).num_row_groups > 1 for f in (tmp_path / "p").glob("*.parquet"))
+
+
+def test_first_records_read_no_file_behind_the_cut(spark, tmp_path):
+    for name in "abcd":
+        write_lines(tmp_path / f"{name}.json", [{"name": f"{name}{i}"} for i in range(5)])
+    chosen = read_first(spark, f"{tmp_path}/*.json", n=7)
+    assert {f.rpartition("/")[2] for f in chosen.inputFiles()} <= {"a.json", "b.json", "c.json"}
+    found = [r["n"] for r in chosen.selectExpr("cast(record.name AS string) AS n", "seq").collect()]
+    assert sorted(found) == ["a0", "a1", "a2", "a3", "a4", "b0", "b1"]
+    assert read_first(spark, f"{tmp_path}/*.json", n=0).count() == 0
+    assert read_first(spark, f"{tmp_path}/*.json", n=100).count() == 20

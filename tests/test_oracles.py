@@ -4,9 +4,10 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_module
+from starscan.demo.queries import QUERIES as OWN
 
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+QUERIES = {name: query for name, query in entry_module.queries().items() if name in OWN}
+ORACLES = {name: sql for name, sql in entry_module.oracle_sql().items() if name in OWN}
 
 
 @pytest.fixture(scope="module")

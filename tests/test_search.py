@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starscan.functions.geometry import round2
+from starscan.operators import search as S
 from starscan.operators.latest import keep_latest, upsert
 from starscan.operators.search import (
     clean_references,
@@ -209,3 +210,42 @@ def test_rounding_of_distances(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r[0] for r in df.selectExpr(round2("v")).collect()]
     assert got == [math.floor(v * 100 + 0.5) / 100 for v in values]
+
+
+def test_unknown_references_stop_a_table_search(spark, systems):
+    wanted = spark.createDataFrame([(1, "nowhere at all"), (2, "nor here")], "ref_ord int, reference_system string")
+    located = S.locate(systems, wanted)
+    assert S.unlocated(located).count() == 2
+    with pytest.raises(ValueError, match="nor here and 1 more"):
+        S.search_around(systems, located, 5.0)
+    assert S.search_around(systems, located, 5.0, skip_unknown=True).count() == 0
+
+
+def test_long_reference_lists_become_tables(spark, systems, monkeypatch):
+    names = [r["name"] for r in systems.select("name").where(S.LOCATED).distinct().limit(4).collect()]
+    want = S.search_many(systems, names, 9.0, body_filter="any", limit=3)
+    monkeypatch.setattr(S, "MAX_BROADCAST_REFERENCES", 2)
+    got = S.search_many(systems, names, 9.0, body_filter="any", limit=3)
+    shown = ["ref_ord", "rank", "system_key", "distance_ly", "claimable"]
+    assert sorted(map(tuple, got.select(shown).collect())) == sorted(map(tuple, want.select(shown).collect()))
+    with pytest.raises(ValueError, match="unknown"):
+        S.search_many(systems, [*names, "nowhere"], 9.0)
+
+
+def test_far_references_keep_boxes_of_their_own():
+    origins = [(float(i * 1000), 0.0, 0.0) for i in range(S.MAX_BOXES + 1)]
+    groups = S.clusters(origins, S.MAX_BOXES)
+    assert len(groups) == S.MAX_BOXES and sorted(p for g in groups for p in g) == origins
+    assert max(max(p[0] for p in g) - min(p[0] for p in g) for g in groups) == 1000.0
+    assert S.clusters([(1.0, 2.0, 3.0)] * 50, 32) == [[(1.0, 2.0, 3.0)] * 50]
+
+
+def test_top_k_prunes_at_any_limit(spark, systems):
+    top = S.search_around(systems, S.reference_table(spark, [("x", 0.0, 0.0, 0.0)]), 5.0, limit=200_000)
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_coordinates_beyond_any_guess(spark):
+    points = spark.createDataFrame([("a", 3e12, 0.0, 0.0)], "system_key string, x double, y double, z double")
+    references = S.reference_table(spark, [("r", 3e12 + 1, 0.0, 0.0)])
+    assert S.radius_join(points, references, 2.0).count() == 1
