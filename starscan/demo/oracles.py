@@ -329,8 +329,10 @@ ORACLES: dict[str, str] = {
         "FROM supplier)", 4.0, "ww_or_elw", 5)}
     SELECT reference_system, rank, name, distance_ly, total_bodies FROM hits""",
     "vector_radius": """WITH points AS (
-      SELECT vec_id, label, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y,
-        embedding[3]::DOUBLE * 100 AS z FROM embeddings),
+      SELECT vec_id, label, thirds[1] / 50 AS x, thirds[2] / 50 AS y, thirds[3] / 50 AS z
+      FROM (SELECT vec_id, label, [list_sum([floor(embedding[i]::DOUBLE * 1000)
+        FOR i IN range(n, len(embedding) + 1, 3)])::DOUBLE FOR n IN [1, 2, 3]] AS thirds
+        FROM embeddings)),
     refs AS (SELECT * FROM points
              QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1)
     SELECT r.label AS ref_label, p.vec_id, round(

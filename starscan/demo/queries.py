@@ -194,9 +194,14 @@ def reference_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as points (first three dimensions times 100) around each label's first one."""
+    """Embeddings as points around each label's first one; an axis sums every third component,
+    in whole thousandths so that the order of adding cannot matter."""
+    third = "filter(embedding, (v, i) -> i % 3 = {n})"
+    total = "aggregate({third}, 0L, (sum, v) -> sum + floor(double(v) * 1000))"
     points = table(spark, sf_dir, "embeddings").selectExpr(
-        "vec_id", "label", *[f"double(embedding[{i}]) * 100 AS {a}" for i, a in enumerate(AXES)]
+        "vec_id",
+        "label",
+        *[f"{total.format(third=third.format(n=n))} / 50D AS {a}" for n, a in enumerate(AXES)],
     )
     references = (
         points.groupBy("label")

@@ -148,7 +148,7 @@ def import_source(
     source: str,
     mode: str = "full",
     *,
-    layout: str = "lines",
+    layout: str = "auto",
     database: str | None = None,
 ) -> LoadResult:
     """Parquet files or folders are loaded as staged rows, anything else is read as a dump.
@@ -165,7 +165,7 @@ def import_dump(
     root: str,
     *dumps: str,
     mode: str = "full",
-    layout: str = "lines",
+    layout: str = "auto",
     keep_staging: bool = False,
     database: str | None = None,
 ) -> LoadResult:

@@ -32,7 +32,7 @@ def system_rows(records: DataFrame, imported_at: datetime) -> DataFrame:
     )
 
 
-def stage(spark: SparkSession, staging: str, *dumps: str, layout: str = "lines") -> DataFrame:
+def stage(spark: SparkSession, staging: str, *dumps: str, layout: str = "auto") -> DataFrame:
     """Parses the dumps once into ``staging`` and returns the staged rows.
 
     Later steps (counts, latest per key, load) read the flat copy, so neither a lost shuffle
@@ -57,7 +57,7 @@ def convert_dump(
     rows_per_file: int = 1_000_000,
     row_group_bytes: int = 128 * 1024 * 1024,
     max_systems: int | None = None,
-    layout: str = "lines",
+    layout: str = "auto",
 ) -> dict[str, int]:
     """Dump to Parquet parts in the staged layout; returns records seen and rows written."""
     configure(spark)

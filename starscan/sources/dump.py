@@ -8,6 +8,8 @@ the cluster for parsing. Ship big dumps as several files to unpack them in paral
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,9 @@ _BLANK = r" \t\r\n\uFEFF"
 
 COMPRESSED = (".gz", ".zst", ".zstd")
 
+# Pieces of a file that tell its layout.
+HEAD_PIECES = 500
+
 LINEAGE = ["_metadata.file_path AS source_file", "_metadata.file_name AS source_tag"]
 
 ROW_IN_TASK = "(monotonically_increasing_id() & ((1L << 33) - 1))"
@@ -70,15 +75,17 @@ def scan_dump(spark: SparkSession, *paths: str, layout: str = "lines") -> DataFr
 
     With layout ``lines`` each line must hold whole objects, any number of them; an object
     spread over lines stops the job. Layout ``any`` takes every valid JSON array at the price
-    of shuffling the text.
+    of shuffling the text. ``auto`` looks at the beginning of each file.
 
     ``seq`` is the arrival number: it grows strictly in file order but is not dense, which is
     all that "the later record wins" needs, and costs no second pass over the dump.
     """
+    if layout == "auto":
+        layout = choose_layout(spark, *paths)
     if layout == "any":
         return _scanned(_parsed(record_texts(spark, *paths)))
     if layout != "lines":
-        raise ValueError("layout must be 'lines' or 'any'")
+        raise ValueError("layout must be 'lines', 'any' or 'auto'")
     found = [name for path in paths for name in files.inputs(spark, path)]
     packed = [name for name in found if name.lower().endswith(COMPRESSED)]
     if not packed:
@@ -89,6 +96,35 @@ def scan_dump(spark: SparkSession, *paths: str, layout: str = "lines") -> DataFr
     return _plain_lines(spark, plain).unionByName(_packed_lines(spark, packed))
 
 
+def choose_layout(spark: SparkSession, *paths: str) -> str:
+    """``lines`` if every file begins with whole objects on lines of their own, else ``any``.
+
+    Reads the first ``HEAD_PIECES`` pieces of each file, cut at closing braces.
+    """
+    for name in (name for path in paths for name in files.inputs(spark, path)):
+        rows = spark.read.option("lineSep", "}").text(name).limit(HEAD_PIECES).collect()
+        head = "}".join(row["value"] for row in rows)
+        body = head.strip(" \t\r\n\ufeff").removeprefix("[")
+        ended = len(rows) < HEAD_PIECES
+        if _spread_over_lines(body) or not ("\n" in head or ended):
+            return "any"
+    return "lines"
+
+
+def _spread_over_lines(body: str) -> bool:
+    """Whether an object, or the unfinished text behind the last whole one, holds a line break."""
+    decoder = json.JSONDecoder()
+    while body := body.lstrip(" \t\r\n,]"):
+        try:
+            _, end = decoder.raw_decode(body)
+        except ValueError:
+            end = len(body)
+        if "\n" in body[:end].strip():
+            return True
+        body = body[end:]
+    return False
+
+
 def _parsed(texts: DataFrame) -> DataFrame:
     return texts.selectExpr(
         f"posexplode_outer({parse_records('text')}) AS (position, record)",

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from starscan.session import scratch_path
+
 CHUNK_BITS = 16
 _CHUNK = ["source_file", "block_start", "chunk"]
 
@@ -49,6 +51,22 @@ def _fragments(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
+def staged_fragments(spark: SparkSession, *paths: str) -> DataFrame:
+    """The fragments, read and written once; a file that does not open an array stops here."""
+    path = scratch_path(spark, "fragments")
+    _fragments(spark, *paths).write.parquet(path)
+    staged = spark.read.parquet(path)
+    heads = staged.groupBy("source_file").agg(
+        F.min_by("value", F.struct("block_start", "row_no")).alias("head")
+    )
+    bad = heads.where("NOT startswith(ltrim(' \\t\\r\\n\\uFEFF', head), '[')")
+    first = bad.select("source_file").orderBy("source_file").limit(5).collect()
+    if first:
+        names = ", ".join(row["source_file"] for row in first)
+        raise ValueError(f"{bad.count()} not a top-level JSON array of objects: {names}")
+    return staged
+
+
 def numbered_fragments(spark: SparkSession, *paths: str) -> DataFrame:
     """Fragments with the ``record_no`` (per file, from 0) of the object they belong to."""
     in_chunk = Window.partitionBy(*_CHUNK).orderBy("row_no")
@@ -65,7 +83,7 @@ def numbered_fragments(spark: SparkSession, *paths: str) -> DataFrame:
 
     # relative to a chunk entered outside a string (0) and inside one (1)
     relative = (
-        _fragments(spark, *paths)
+        staged_fragments(spark, *paths)
         .withColumn("inside", total("quotes", before) % 2)
         .withColumn("quotes_through", (F.col("inside") + F.col("quotes")) % 2)
         .withColumn("depth0", total("CASE WHEN inside = 0 THEN gain0 ELSE gain1 END", through))

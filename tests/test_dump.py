@@ -10,7 +10,7 @@ import zstandard
 from starscan.plans.ingest import convert_dump, stage
 from starscan.session import configure, scratch_path
 from starscan.sources import fragments
-from starscan.sources.dump import first_records, read_dump
+from starscan.sources.dump import choose_layout, first_records, read_dump
 from starscan.sources.parquet import read_staged
 
 SPLIT = "spark.sql.files.maxPartitionBytes"
@@ -74,6 +74,23 @@ def test_any_layout(spark, tmp_path, small_splits, monkeypatch, layout):
     assert back(read_dump(spark, str(path), layout="any")) == records
 
 
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layout_is_chosen(spark, tmp_path, layout):
+    path = tmp_path / "dump.json"
+    path.write_text(LAYOUTS[layout](make_records(400)), encoding="utf-8")
+    assert choose_layout(spark, str(path)) == ("lines" if layout == "lines" else "any")
+    path.write_text("[" + "{},\n" * 3 + "{}]")
+    assert choose_layout(spark, str(path)) == "lines"
+
+
+def test_file_without_outer_array_stops_before_any_grouping(spark, tmp_path, monkeypatch):
+    path = tmp_path / "dump.json"
+    path.write_text(json.dumps(make_records(500))[1:])
+    monkeypatch.setattr(fragments, "_net_brackets", lambda pieces, first: "0")
+    with pytest.raises(ValueError, match="not a top-level JSON array"):
+        read_dump(spark, str(path), layout="any")
+
+
 def test_lines_in_many_splits_keep_arrival_order(spark, tmp_path, small_splits):
     sizes = {"a.json": 500, "b.json": 40, "c.json": 3}
     for file, n in sizes.items():
