@@ -20,6 +20,8 @@ from starscan.llm.common import ranges
 
 #: Pieces whose ids a worker remembers between chunks (about 200 bytes each).
 CACHE_PIECES = 700_000
+#: Lists whose ids are laid out at once.
+TAKE_AT_ONCE = 1 << 17
 #: Longer pieces are not remembered.
 CACHE_CHARS = 64
 
@@ -37,15 +39,24 @@ class Ragged:
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def take(self, which: np.ndarray) -> np.ndarray:
-        return self.ids[ranges(self.starts[which], self.lengths[which])]
+        """The ids of some lists on end; the index arrays are made for a part of them at a time."""
+        out = np.empty(int(self.lengths[which].sum()), self.ids.dtype)
+        done = 0
+        for at in range(0, len(which), TAKE_AT_ONCE):
+            part = which[at : at + TAKE_AT_ONCE]
+            found = self.ids[ranges(self.starts[part], self.lengths[part])]
+            out[done : done + len(found)] = found
+            done += len(found)
+        return out
 
 
 class PieceCache:
-    """Ids of strings by an encoder, remembered for the first ``CACHE_PIECES`` strings."""
+    """Ids of strings by an encoder, remembered for the first ``size`` strings."""
 
-    def __init__(self, encode: Callable[[list[str]], list], at_once: int = 2_000):
+    def __init__(self, encode: Callable[[list[str]], list], at_once: int = 2_000, size: int = CACHE_PIECES):
         self.encode = encode
         self.at_once = at_once
+        self.size = size
         self.known: dict[str, np.ndarray] = {}
 
     def __call__(self, pieces: list[str]) -> Ragged:
@@ -55,7 +66,7 @@ class PieceCache:
             part = missing[at : at + self.at_once]
             for i, ids in zip(part, self.encode([pieces[i] for i in part]), strict=True):
                 found[i] = np.asarray(ids, np.int32)
-                if len(self.known) < CACHE_PIECES and len(pieces[i]) <= CACHE_CHARS:
+                if len(self.known) < self.size and len(pieces[i]) <= CACHE_CHARS:
                     self.known[pieces[i]] = found[i]
         ids = np.concatenate(found) if found else np.zeros(0, np.int32)
         return Ragged(ids, np.fromiter(map(len, found), np.int64, len(found)))
