@@ -37,14 +37,14 @@ STEMS = (4, 5)
 SHAPES = 1 << 10
 #: Columns: words, shapes, then share of repeats and share of different words.
 COLUMNS = WORDS + SHAPES + 2
-ROUNDS = 300
+ROUNDS = 600
 #: Plain, different words that every text is taken to have besides its own, in shares.
 SMOOTH = 10
 RATE = 0.15
-PENALTY = 2e-3
+PENALTY = 1e-3
 START = 1e-3
 #: Least probability of the top grade for a document to be kept.
-LEAST = 0.45
+LEAST = 0.5
 
 def word_features(word: str) -> tuple[int, ...]:
     """Hashed columns of a word's letters, its two stems and its shape (runs of A, a, 0 and signs)."""
