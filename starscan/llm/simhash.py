@@ -38,6 +38,8 @@ NODE_ROWS = 1 << 18
 SLICE_BYTES = 1 << 20
 #: A pair of node ranges with at most so many pairs of entries is a leaf.
 LEAF_PAIRS = 64
+#: Ids that are sent to all tasks at once, 8 bytes each; more meet the documents in a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 #: Node pairs and pairs of entries held at once.
 FRONTIER = 1 << 17
 PAIRS_AT_ONCE = 1 << 21
@@ -317,19 +319,21 @@ def keep_one(spark: SparkSession, docs: DataFrame, bits: int = 4, words_per_shin
     Of rows that repeat a doc_id one stays, that with the smallest text. Rows without a doc_id cannot
     be told apart by it and all stay.
     """
-    near = near_duplicates(spark, docs, bits, words_per_shingle)
-    kept = stage(
-        spark,
-        near.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")),
-        "kept",
+    near = stage(spark, near_duplicates(spark, docs, bits, words_per_shingle), "near")
+    per_id = near.where("doc_id is not null").groupBy("doc_id").agg(
+        F.bool_and(F.col("doc_id") == F.col("component_id")).alias("__kept"), F.count("*").alias("__rows")
     )
-    once = docs.join(kept.where("__rows = 1").select("doc_id"), "doc_id", "left_semi")
-    parts = [once.select(*docs.columns), docs.where("doc_id is null")]
-    several = kept.where("__rows > 1").select("doc_id")
-    if not several.isEmpty():
-        rows = docs.join(several, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("r"))
-        parts.append(rows.groupBy("r.doc_id").agg(F.min_by("r", F.struct("r.text")).alias("r")).select("r.*"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    # what goes, or needs a choice among its rows, is the smaller part as a rule
+    apart = stage(spark, per_id.where("not __kept or __rows > 1"), "apart")
+    ids = apart.select("doc_id")
+    if apart.count() <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    out = docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    # rows that repeat an id may differ in text, and so in their group: one that stays is chosen
+    several = apart.where("__rows > 1").select("doc_id")
+    if several.isEmpty():
+        return out
+    chosen = near.where("doc_id = component_id").select("doc_id").distinct().join(several, "doc_id", "left_semi")
+    rows = docs.join(chosen, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("r"))
+    once = rows.groupBy("r.doc_id").agg(F.min_by("r", F.struct("r.text")).alias("r")).select("r.*")
+    return out.unionByName(once)
