@@ -162,15 +162,19 @@ def messages(
     )
     frame_length = f"length(_title) + length(_info) + {len(table_open + table_close) + 1}"
     parts = framed.selectExpr("*", f"{part_starts('_rows', frame_length, cap)} AS _starts")
+    # each part leaves with its own rows only
+    own_rows = """transform(_starts, (start, p) ->
+      slice(_rows, start, coalesce(get(_starts, p + 1), size(_rows) + 1) - start))"""
     with_hits = (
-        parts.selectExpr("*", "posexplode(_starts) AS (_part, _start)")
-        .selectExpr(
-            "*",
-            "_part + 1 AS part_no",
+        parts.selectExpr(
+            "ref_ord",
+            "reference_system",
+            "_title",
+            "_info",
             "size(_starts) AS part_count",
-            "slice(_rows, _start, coalesce(get(_starts, _part + 1), size(_rows) + 1) - _start)"
-            " AS _slice",
+            f"posexplode({own_rows}) AS (_part, _slice)",
         )
+        .withColumn("part_no", F.col("_part") + 1)
         .selectExpr(
             *MESSAGE_COLUMNS[:-1],
             f"""concat(_title,
