@@ -111,12 +111,13 @@ def multi_ref_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     located = _written(spark, S.locate(stars(spark, sf_dir), wanted), "located")
     # bodies are rolled up only for stars in reach of a reference
-    near = S.radius_join(stars(spark, sf_dir).select("system_key", *AXES), located, 4.0)
+    largest = S.largest_of(located)
+    near = S.radius_join(stars(spark, sf_dir).select("system_key", *AXES), located, 4.0, largest)
     catalogue = systems(
         spark, sf_dir, keys=_written(spark, near.select("system_key").distinct(), "near")
     )
     catalogue = _written(spark, catalogue, "catalogue")
-    found = S.search_around(catalogue, located, 4.0, limit=5, skip_unknown=True)
+    found = S.search_around(catalogue, located, 4.0, largest, limit=5, skip_unknown=True)
     return found.select("reference_system", "rank", "name", "distance_ly", "total_bodies")
 
 
