@@ -27,9 +27,9 @@ from starscan.llm.tokens import PieceCache, Ragged, encode_texts
 
 NEVER = np.int64(1 << 40)
 #: Text that is replayed at once, in bytes.
-CORPUS_BYTES = 6 << 20
+CORPUS_BYTES = 3 << 20
 #: Pieces that a worker remembers between corpora.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 
 
 class Vocabulary:
@@ -170,8 +170,7 @@ def replay_encoder(path: str, pattern: str) -> PieceCache:
         flat = words.take(which)
         ends = np.append(0, np.cumsum(words.lengths[which]))
         cuts = ends[np.append(0, np.cumsum(np.fromiter(map(len, split), np.int64, len(split))))].tolist()
-        # copies: what is remembered must not hold the whole corpus
-        return [flat[i:j].copy() for i, j in zip(cuts, cuts[1:], strict=False)]
+        return [flat[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
     return PieceCache(encode, at_once=1 << 30, size=CACHE_PIECES)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from starscan.session import scratch_path
 
 #: Bytes of text that a task handles at once, whatever the size of Spark's batches.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: A key with more than this share of all rows is hot; so there are at most ``1 / HOT_SHARE``.
 HOT_SHARE = 0.001
 
@@ -60,6 +60,8 @@ def text_chunks(
             stop = max(start + 1, int(np.searchsorted(ends, done + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    # a worker lives on for other tasks
+    pa.default_memory_pool().release_unused()
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 from starscan.llm.common import ranges
 
-#: Pieces whose ids a worker remembers between chunks (about 200 bytes each).
-CACHE_PIECES = 700_000
+#: Pieces whose ids a worker remembers between chunks and tasks (about 200 bytes each).
+CACHE_PIECES = 300_000
 #: Lists whose ids are laid out at once.
 TAKE_AT_ONCE = 1 << 17
 #: Longer pieces are not remembered.
@@ -57,7 +57,7 @@ class PieceCache:
         self.encode = encode
         self.at_once = at_once
         self.size = size
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def __call__(self, pieces: list[str]) -> Ragged:
         found = [self.known.get(p) for p in pieces]
@@ -65,11 +65,11 @@ class PieceCache:
         for at in range(0, len(missing), self.at_once):
             part = missing[at : at + self.at_once]
             for i, ids in zip(part, self.encode([pieces[i] for i in part]), strict=True):
-                found[i] = np.asarray(ids, np.int32)
+                found[i] = np.asarray(ids, np.int32).tobytes()
                 if len(self.known) < self.size and len(pieces[i]) <= CACHE_CHARS:
                     self.known[pieces[i]] = found[i]
-        ids = np.concatenate(found) if found else np.zeros(0, np.int32)
-        return Ragged(ids, np.fromiter(map(len, found), np.int64, len(found)))
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return Ragged(np.frombuffer(b"".join(found), np.int32), lengths)
 
 
 def encode_texts(texts: pa.Array, encode: PieceCache, drops_space: bool) -> Ragged:
