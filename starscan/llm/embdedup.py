@@ -94,7 +94,7 @@ def near_copies(
     )
     found = None
     # one run per length of vectors; a table has one as a rule
-    for (width,) in valid.select(F.size("vec")).distinct().limit(64).collect():
+    for (width,) in valid.select(F.size("vec")).distinct().collect():
         part = _links(spark, valid.where(F.size("vec") == width), width, cosine, margin)
         found = part if found is None else found.unionByName(part)
     if found is None:

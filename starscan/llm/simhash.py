@@ -38,7 +38,7 @@ NODE_ROWS = 1 << 18
 SLICE_BYTES = 1 << 20
 #: A pair of node ranges with at most so many pairs of entries is a leaf.
 LEAF_PAIRS = 64
-#: Ids that are sent to all tasks at once, 8 bytes each; more meet the documents in a shuffle.
+#: Ids that are sent to all tasks at once, 8 bytes each; more are joined in a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: Node pairs and pairs of entries held at once.
 FRONTIER = 1 << 17
@@ -270,15 +270,17 @@ def near_links(spark: SparkSession, distinct: DataFrame, bits: int) -> DataFrame
                 ready, rows = rows, None
             else:
                 rows = stage(spark, rows, "nodes")
-                # at most rows / NODE_ROWS nodes, and no more than a thousandth of all rows in the others
-                sizes = rows.groupBy("node").count()
-                limit = max(NODE_ROWS, rows.count() // 1000)
-                crowded = sizes.where(F.col("count") > limit).select("node")
+                # at most a million nodes, which are sent to all tasks
+                limit = max(NODE_ROWS, rows.count() // MAX_BROADCAST_IDS)
+                sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("err").alias("err"))
+                crowded = stage(spark, sizes.where(F.col("n") > limit), "crowded")
                 if crowded.isEmpty():
                     ready, rows = rows, None
                 else:
-                    ready = rows.join(F.broadcast(crowded), "node", "left_anti")
-                    rows = rows.join(F.broadcast(crowded), "node", "left_semi")
+                    ready = rows.join(F.broadcast(crowded.select("node")), "node", "left_anti")
+                    # a node that only others have been sent to has nothing to join
+                    with_home = crowded.where("err = 0").select("node")
+                    rows = rows.join(F.broadcast(with_home), "node", "left_semi")
             found = ready.groupBy("node").applyInArrow(_joiner(order, bits), "a long, b long")
             links = found if links is None else links.unionByName(found)
             if rows is None:

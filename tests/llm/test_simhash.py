@@ -38,7 +38,7 @@ def expected(rows):
     return Counter((d, f"{f:016x}", least.get(g)) for (d, _), f, g in zip(rows, fps, label))
 
 
-@pytest.mark.parametrize("node_rows", [1 << 18, 8])
+@pytest.mark.parametrize("node_rows", [1 << 18, 60])
 def test_query(spark, sf_dir, monkeypatch, node_rows):
     monkeypatch.setattr(simhash, "NODE_ROWS", node_rows)
     rows = some_documents(sf_dir)
@@ -80,7 +80,7 @@ def test_trie_join_against_brute_force(order, spread):
 
 def test_trie_levels_in_spark(spark, monkeypatch):
     """Nodes opened down to the last level, where only equal prefixes and crowds remain."""
-    monkeypatch.setattr(simhash, "NODE_ROWS", 2)
+    monkeypatch.setattr(simhash, "NODE_ROWS", 60)
     rng = np.random.default_rng(9)
     keys = np.uint64(0xFFFF0000FFFF0000) ^ (rng.integers(0, 2**12, 120, dtype=np.uint64) << np.uint64(5))
     keys = np.unique(np.concatenate([keys, rng.integers(0, 2**63, 60, dtype=np.uint64)]))
