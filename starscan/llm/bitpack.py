@@ -33,6 +33,9 @@ ENTRY = np.dtype([("doc", "<i8"), ("ids", "<u8"), ("valid", "u1")])
 #: A block is closed when it holds as many ids; a file when it holds as many blocks (about 8 MB).
 IDS_PER_BLOCK = 1 << 16
 BLOCKS_PER_FILE = 64
+#: Text that is encoded at once, in bytes, and pieces that a worker remembers.
+CORPUS_BYTES = 8 << 20
+KNOWN_PIECES = 600_000
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -99,14 +102,14 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, vocabulary_size: int,
     width = max(1, (vocabulary_size - 1).bit_length())
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(vocabulary)
+        encode = library_encoder(vocabulary, KNOWN_PIECES)
         shard, number, held = TaskContext.get().partitionId(), 0, 0
         names: list = []
         parts: list[np.ndarray] = []
         done = lambda: pa.RecordBatch.from_pydict(
             {"block": pa.array([write_block(shard, number, width, names, parts)], pa.binary())}
         )
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, size=CORPUS_BYTES):
             lists = encode_texts(chunk.column("text"), encode, drops_space=True)
             keys = chunk.column("doc_id").to_pylist()
             for key, start, n in zip(keys, lists.starts.tolist(), lists.lengths.tolist(), strict=True):

@@ -116,7 +116,7 @@ def encode_texts(texts: pa.Array, encode: PieceCache, drops_space: bool) -> Ragg
 
 
 @functools.lru_cache(maxsize=4)
-def library_encoder(path: str) -> PieceCache:
+def library_encoder(path: str, size: int = CACHE_PIECES) -> PieceCache:
     """Encodes by the tokenizers library with the vocabulary file ``path``; one for each worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark fills the cores
     from tokenizers import Tokenizer
@@ -127,4 +127,4 @@ def library_encoder(path: str) -> PieceCache:
     def encode(pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return PieceCache(encode)
+    return PieceCache(encode, size=size)
