@@ -61,13 +61,13 @@ def _slices(data: bytes) -> Iterator[list[bytes]]:
     yield data[at:].split()
 
 
-def fingerprint(text: str, words_per_shingle: int = 4) -> int:
-    """The fingerprint as an unsigned number."""
+def shingle_hashes(text: str, words_per_shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles in order, a slice at a time; none for a text without words."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     carry: list[bytes] = []
-    total, ones = 0, np.zeros(64, np.int64)
+    whole = True
     # bytes.lower and bytes.split know ASCII only
     for words in _slices(text.encode().lower()):
         words = carry + words
@@ -79,15 +79,20 @@ def fingerprint(text: str, words_per_shingle: int = 4) -> int:
         starts = np.append(0, ends[:-1] + 1)
         last = words_per_shingle - 1
         cuts = zip(starts[: len(words) - last].tolist(), ends[last:].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in cuts], "<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in cuts], "<u8")
+        whole = False
+        carry = words[len(words) - last :]
+    if whole and carry:
+        yield np.array([digest(b" ".join(carry), SEED)], "<u8")
+
+
+def fingerprint(text: str, words_per_shingle: int = 4) -> int:
+    """The fingerprint as an unsigned number."""
+    total, ones = 0, np.zeros(64, np.int64)
+    for hashes in shingle_hashes(text, words_per_shingle):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(0, dtype=np.int64)
         total += len(hashes)
-        carry = words[len(words) - last :]
-    if not total:
-        if not carry:
-            return 0
-        return digest(b" ".join(carry), SEED)
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
@@ -298,7 +303,15 @@ def near_duplicates(
         hashed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")),
         "distinct",
     )
-    roots = components(spark, near_links(spark, distinct, bits))
+    return named_groups(spark, hashed, distinct, near_links(spark, distinct, bits))
+
+
+def named_groups(spark: SparkSession, hashed: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (doc_id, fp, component_id) of the staged rows (doc_id, fp), grouped by links between fp.
+
+    ``distinct`` has a row (fp, first: smallest doc_id, n: rows) for each fp.
+    """
+    roots = components(spark, links)
     rooted = stage(
         spark,
         distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
@@ -321,7 +334,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, bits: int = 4, words_per_shin
     Of rows that repeat a doc_id one stays, that with the smallest text. Rows without a doc_id cannot
     be told apart by it and all stay.
     """
-    near = stage(spark, near_duplicates(spark, docs, bits, words_per_shingle), "near")
+    return keep_first(spark, docs, near_duplicates(spark, docs, bits, words_per_shingle))
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, near: DataFrame) -> DataFrame:
+    """``keep_one`` by the groups (doc_id, component_id) of all rows."""
+    near = stage(spark, near, "near")
     per_id = near.where("doc_id is not null").groupBy("doc_id").agg(
         F.bool_and(F.col("doc_id") == F.col("component_id")).alias("__kept"), F.count("*").alias("__rows")
     )
