@@ -37,17 +37,21 @@ CUES = (
     "account", "acct", "iban", "konto", "kontonummer", "compte", "cuenta", "passport", "ssn",
     "customer id", "user id", "token", "api_key", "apikey", "api key", "secret", "password",
 )
-#: Characters of a text that an identifier behind a cue may take.
-LONGEST_IDENTIFIER = 128
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _PHONE = re.compile(r"[0-9][ ().0-9-]+")
 _DIGITS = re.compile(r"[0-9]+")
-_VALUE = re.compile(
-    r"(?:[ \t]*(?:number|nummer|no\.?|nr\.?|id|#))?[ \t]*[:=#]?[ \t]*[\"']?([A-Za-z0-9](?:[ -]?[A-Za-z0-9])+)",
+_LEAD = re.compile(
+    r"(?:[ \t]*+(?:number|nummer|no\.?|nr\.?|id|#))?+[ \t]*+[:=#]?+[ \t]*+[\"']?+",
     re.I,
 )
+_GROUPS = re.compile(r"[0-9]+(?:[ -][0-9]+)*(?!-?[A-Za-z0-9])")
+_IBAN = re.compile(
+    r"[A-Z]{2}[0-9]{2}(?:[ -][A-Z0-9]{4}){2,7}(?:[ -][A-Z0-9]{1,3})?"
+    r"|[a-z]{2}[0-9]{2}(?:[ -][a-z0-9]{4}){2,7}(?:[ -][a-z0-9]{1,3})?"
+)
+_WORD = re.compile(r"[A-Za-z0-9]++(?:-[A-Za-z0-9]++)*+")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$")
 _LOGIN = re.compile(r"[^\s/@:]+(?::[^\s/@]*)?@[A-Za-z0-9.-]+")
 
@@ -137,20 +141,40 @@ def _phones(text: str, plus_signs: list[int]) -> Iterator[Span]:
             yield "phone", plus, end
 
 
+def _iban_end(text: str, start: int) -> int:
+    """Where a grouped IBAN ends, the longest row of groups that passes mod 97; ``start`` if none does."""
+    row = _IBAN.match(text, start)
+    groups = list(re.finditer("[A-Za-z0-9]+", row.group())) if row else []
+    while groups:
+        value = "".join(g.group() for g in groups)
+        end = start + groups.pop().end()
+        whole = not (text[end : end + 1].isascii() and text[end : end + 1].isalnum())
+        if whole and 15 <= len(value) <= 34:
+            if int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1:
+                return end
+    return start
+
+
 def _accounts(text: str, cues: list[tuple[int, int]]) -> Iterator[Span]:
-    done = 0
+    done = rejected = 0
     for start, end in cues:
         if start < done or (start and text[start - 1].isalnum()):
             continue
-        value = _VALUE.match(text, end, end + LONGEST_IDENTIFIER)
-        if value:
-            a, b = value.span(1)
-            # a number may be grouped by spaces, anything else ends at the first space
-            if not all(c in "0123456789 -" for c in text[a:b]) and " " in text[a:b]:
-                b = a + text[a:b].index(" ")
-            if b - a >= 8 and sum("0" <= c <= "9" for c in text[a:b]) >= 4:
-                done = b
-                yield "account", a, b
+        a = _LEAD.match(text, end).end()
+        # the rest of a rejected identifier is rejected as well
+        if a < rejected:
+            continue
+        # digits and IBANs may be grouped by spaces, anything else ends at the first space
+        if (b := _iban_end(text, a)) == a:
+            value = _GROUPS.match(text, a) or _WORD.match(text, a)
+            if not value:
+                continue
+            b = value.end()
+        if b - a >= 8 and sum("0" <= c <= "9" for c in text[a:b]) >= 4:
+            done = b
+            yield "account", a, b
+        else:
+            rejected = b
 
 
 def _logins(text: str, ends: list[int]) -> Iterator[Span]:

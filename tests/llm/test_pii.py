@@ -90,3 +90,16 @@ def test_redact(spark):
     assert got == Counter(
         [(1, "mail [EMAIL] now", 16), (2, None, None), (3, "", 0), (3, "clean", 5), (None, "[PHONE]", 7)]
     )
+
+
+def test_whole_identifiers_behind_cues():
+    long = "ab12" * 100
+    iban = "DE89 3704 0044 0532 0130 00"
+    even = "ES91 2100 0418 4502 0005 1332"
+    assert pii.mask(f"token {long} end") == "token [ACCOUNT] end"
+    assert pii.mask("account 1234 5678 9012 was closed") == "account [ACCOUNT] was closed"
+    assert pii.mask(f"IBAN {iban} und mehr") == "IBAN [ACCOUNT] und mehr"
+    assert pii.mask(f"iban: {even} THEN PAID") == "iban: [ACCOUNT] THEN PAID"
+    assert pii.mask("account 12345678 2nd street") == "account [ACCOUNT] 2nd street"
+    assert pii.mask("account 1234-5678-ab12 x") == "account [ACCOUNT] x"
+    assert pii.mask("IBAN DE88 3702 no") == "IBAN DE88 3702 no"
