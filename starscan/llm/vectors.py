@@ -18,9 +18,13 @@ def is_finite(column: str) -> Column:
 
 
 def one_per_id(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """Rows (id, vec), one per id; of several vectors with one id the smallest array counts."""
+    """Rows (id, vec), one per id; of several vectors with one id the smallest finite array counts.
+
+    An id without a finite vector keeps its row, with a null.
+    """
     return (
         rows.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("vec"))
+        .withColumn("vec", F.when(is_finite("vec"), F.col("vec")))
         .groupBy("id")
         .agg(F.min("vec").alias("vec"))
     )

@@ -126,3 +126,12 @@ def test_empty(spark):
     frame = frame_of(spark, [])
     assert queries.nearest(spark, frame).collect() == []
     assert embdedup.near_copies(spark, frame).collect() == []
+
+
+def test_valid_vector_beside_one_with_null(spark):
+    rows = [(1, [None, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [-INF, 1.0]), (3, [1.0, 0.0]), (4, [None, 2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vectors = topk.integer_vectors(frame, "vec_id", "embedding", 256)
+    assert sorted((r.id, r.vec) for r in vectors.collect()) == [(i, [256, 0]) for i in (1, 2, 3)]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.near_copies(spark, frame).collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
