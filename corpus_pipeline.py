@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starscan.llm import nearcopies, packing, pii, quality
+from starscan.llm import packing, pii, quality, simhash
 from starscan.llm.common import stage
 from starscan.llm.queries import vocabulary
 
@@ -20,8 +20,8 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more of its 5-word shingles."""
-    return nearcopies.keep_one(spark, docs, similarity=0.8, words_per_shingle=5)
+    """One document of each group linked by fingerprints of 4-word shingles that differ in 4 bits or fewer."""
+    return simhash.keep_one(spark, docs, bits=4, words_per_shingle=4)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
