@@ -7,7 +7,21 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starscan.llm import bitpack, bpe, embdedup, lm, packing, pii, quality, simhash, topk, warc
+from starscan.llm import (
+    alignment,
+    bitpack,
+    bpe,
+    embdedup,
+    lexical,
+    lm,
+    merkle,
+    packing,
+    pii,
+    quality,
+    simhash,
+    topk,
+    warc,
+)
 from starscan.session import scratch_path
 
 
@@ -150,6 +164,28 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     )
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of all for each benchmark item."""
+    return lexical.rank_documents(
+        spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20
+    )
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as tokens of two vocabularies, and which cover which."""
+    return alignment.align_documents(
+        spark,
+        _table(spark, sf_dir, "documents"),
+        vocabulary("byte_bpe_50k.json"),
+        vocabulary("piece_bpe_32k.model"),
+    )
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return merkle.fingerprint_documents(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_lm": op2_lm,
@@ -161,8 +197,20 @@ QUERIES = {
     "op8_embdedup": op8_embdedup,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op11_lexical": op11_lexical,
+    "op12_alignment": op12_alignment,
+    "op13_merkle": op13_merkle,
 }
 
+_NODES = """list_aggregate(list_transform(string_split({text}, chr(10) || chr(10)),
+  lambda s: sha256(list_aggregate(list_transform(string_split(s, chr(10)), lambda p: sha256(p)),
+                                  'string_agg', ''))), 'string_agg', '')"""
+_LEAVES = """list_distinct(regexp_extract_all({text}, '(?:[^ \\n]*[^ \\n.!?] ){{0,7}}[^ \\n]+'))"""
+_LIKENESS = """CASE WHEN {a} = {b} THEN 1.0::DOUBLE
+  WHEN len({x}) + len({y}) = len(list_intersect({x}, {y})) THEN 0.0::DOUBLE
+  ELSE len(list_intersect({x}, {y}))
+    / (len({x}) + len({y}) - len(list_intersect({x}, {y})))::DOUBLE END"""
+
 ORACLES = {
     "op3_topk": """
         WITH v AS (
@@ -218,4 +266,63 @@ ORACLES = {
                CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
         FROM d
     """,
+    "op11_lexical": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+            FROM documents
+        ), asked AS (
+            SELECT item_id, t, count(*) AS times FROM (
+                SELECT item_id, unnest(regexp_extract_all(
+                    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+                FROM benchmark) GROUP BY ALL
+        ), total AS (
+            SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM words WHERE len(ts) > 0
+        ), lengths AS (
+            SELECT doc_id, 100 - 25 + (25 * len(ts)::BIGINT * n_docs) // n_terms AS m
+            FROM words, total WHERE len(ts) > 0
+        ), tf AS (
+            SELECT doc_id, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(ts) AS t FROM words)
+            GROUP BY ALL
+        ), weight AS (
+            SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+            FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), total
+        ), score AS (
+            SELECT item_id, doc_id,
+                   sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+            FROM asked JOIN tf USING (t) JOIN weight USING (t) JOIN lengths USING (doc_id)
+            GROUP BY ALL
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+            FROM score WHERE score > 0
+        )
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
+    "op13_merkle": f"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text FROM documents
+        ), o AS (
+            SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next
+            FROM d WINDOW w AS (ORDER BY doc_id DESC)
+        ), e AS (
+            SELECT *, substr(text, 1, length(text) - length(text) // 2)
+                      || substr(next, 1, length(text) // 2) AS edited
+            FROM o
+        ), f AS (
+            SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256,
+                   sha256({_NODES.format(text="text")}) AS fingerprint,
+                   sha256({_NODES.format(text="edited")}) AS edited_fingerprint,
+                   sha256({_NODES.format(text="next")}) AS next_fingerprint,
+                   {_LEAVES.format(text="text")} AS x,
+                   {_LEAVES.format(text="edited")} AS y,
+                   {_LEAVES.format(text="next")} AS z
+            FROM e
+        )
+        SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+               {_LIKENESS.format(a="fingerprint", b="edited_fingerprint", x="x", y="y")} AS near_edited,
+               {_LIKENESS.format(a="fingerprint", b="next_fingerprint", x="x", y="z")} AS near_next
+        FROM f
+    """,
 }
