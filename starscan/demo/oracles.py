@@ -126,6 +126,9 @@ FILTERS = {
     "ww_or_elw": "(water_world_count > 0 OR earthlike_world_count > 0)",
     "ww_and_elw": "(water_world_count > 0 AND earthlike_world_count > 0)",
 }
+SUPPLIERS = (
+    "refs AS (SELECT s_suppkey AS ref_ord, 'STAR ' || s_suppkey AS reference_system FROM supplier)"
+)
 REFS = "refs(ref_ord, reference_system) AS (VALUES (1, 'Star 7'), (2, 'star 42'), (3, 'Star 1000'))"
 
 
@@ -148,6 +151,15 @@ def ranked(
     QUALIFY rank <= {limit})"""
 
 
+def crowd(sql: str) -> str:
+    """The same with every second star pulled towards the origin."""
+    for axis in "xyz":
+        sql = sql.replace(
+            f"::DOUBLE / 8 AS {axis}", f"::DOUBLE / 8 / CASE WHEN o_orderkey % 2 = 0 THEN 32 ELSE 1 END AS {axis}"
+        )
+    return sql
+
+
 def home(body_filter: str, limit: int = 200, claimable_only: bool = False) -> str:
     refs = f"refs(ref_ord, reference_system) AS (VALUES (1, '{HOME}'))"
     return f"""WITH {ranked(refs, RADIUS, body_filter, limit, claimable_only)}
@@ -324,10 +336,16 @@ ORACLES: dict[str, str] = {
     SELECT ref_ord, reference_system, rank, {HITS} FROM hits""",
     "multi_ref_union": f"""WITH {ranked(REFS, RADIUS, "ww_or_elw", 40, True)}
     SELECT ref_ord, rank, {", ".join(RESULT_COLUMNS)} FROM hits ORDER BY ref_ord, rank""",
-    "multi_ref_grid": f"""WITH {ranked(
-        "refs AS (SELECT s_suppkey AS ref_ord, 'STAR ' || s_suppkey AS reference_system "
-        "FROM supplier)", 4.0, "ww_or_elw", 5)}
+    "multi_ref_grid": f"""WITH {ranked(SUPPLIERS, 4.0, "ww_or_elw", 5)}
     SELECT reference_system, rank, name, distance_ly, total_bodies FROM hits""",
+    "radius_crowded": crowd(f"""WITH {STARS}, {SUPPLIERS},
+    located AS (SELECT reference_system, x AS rx, y AS ry, z AS rz
+                FROM refs JOIN stars ON lower(name) = lower(reference_system)),
+    pairs AS (SELECT reference_system, system_key,
+                sqrt(pow(x - rx, 2) + pow(y - ry, 2) + pow(z - rz, 2)) AS exact FROM stars, located)
+    SELECT reference_system, system_key, round(exact, 2) AS distance_ly FROM pairs WHERE exact <= 0.2"""),
+    "nearest_crowded": crowd(f"""WITH {ranked(SUPPLIERS, 4.0, "ww_or_elw", 200)}
+    SELECT reference_system, rank, name, distance_ly, total_bodies FROM hits"""),
     "vector_radius": """WITH points AS (
       SELECT vec_id, label, thirds[1] / 50 AS x, thirds[2] / 50 AS y, thirds[3] / 50 AS z
       FROM (SELECT vec_id, label, [list_sum([floor(embedding[i]::DOUBLE * 1000)
@@ -408,5 +426,6 @@ ORACLES: dict[str, str] = {
     "table_lines": f"""WITH {SYSTEMS} SELECT name, {TABLE_LINE} AS line
     FROM (SELECT *, population / 100.0::DOUBLE AS distance_ly FROM systems)""",
     "pack_messages": packed(RADIUS, 40),
+    "pack_messages_long": packed(100.0, 1_000_000),
     "empty_message": packed(0.05, 200),
 }

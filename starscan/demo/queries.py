@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starscan.demo.records import raw_records, write_dump
-from starscan.demo.starmap import bodies, stars, systems, table
+from starscan.demo.starmap import bodies, crowded, stars, systems, table
 from starscan.functions import counts as C
 from starscan.functions.geometry import AXES, round2
 from starscan.functions.links import fill_template, link_columns, merge_templates
+from starscan.operators import nearest, octree
 from starscan.operators import report as R
 from starscan.operators import search as S
 from starscan.operators.latest import keep_latest, load_counts, upsert
@@ -104,20 +105,41 @@ def multi_ref_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _maps_as_text(found).orderBy("ref_ord", "rank")
 
 
-def multi_ref_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reference per supplier, too many to list on the driver."""
+def _supplier_stars(spark: SparkSession, sf_dir: str, catalogue: DataFrame) -> DataFrame:
+    """One reference per supplier, too many to list on the driver; located among the stars."""
     wanted = table(spark, sf_dir, "supplier").selectExpr(
         "s_suppkey AS ref_ord", "concat('STAR ', s_suppkey) AS reference_system"
     )
-    located = _written(spark, S.locate(stars(spark, sf_dir), wanted), "located")
-    # bodies are rolled up only for stars in reach of a reference
-    largest = S.largest_of(located)
-    near = S.radius_join(stars(spark, sf_dir).select("system_key", *AXES), located, 4.0, largest)
-    catalogue = systems(
-        spark, sf_dir, keys=_written(spark, near.select("system_key").distinct(), "near")
+    return _written(spark, S.locate(catalogue, wanted), "located")
+
+
+def multi_ref_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One cell join of keys and places; bodies are rolled up only for stars in reach."""
+    catalogue = stars(spark, sf_dir)
+    located = _supplier_stars(spark, sf_dir, catalogue)
+    near = S.radius_join(catalogue.select("system_key", *AXES), located, 4.0).select(
+        "ref_ord", "reference_system", "system_key", "distance"
     )
-    catalogue = _written(spark, catalogue, "catalogue")
-    found = S.search_around(catalogue, located, 4.0, largest, limit=5, skip_unknown=True)
+    near = _written(spark, near, "near")
+    reached = systems(spark, sf_dir, keys=near.select("system_key").distinct())
+    found = S.rank_pairs(reached, near, limit=5)
+    return found.select("reference_system", "rank", "name", "distance_ly", "total_bodies")
+
+
+def radius_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stars near each reference, where half of all stars lie in one cell."""
+    catalogue = crowded(stars(spark, sf_dir))
+    located = _supplier_stars(spark, sf_dir, catalogue)
+    points = catalogue.select("system_key", *AXES)
+    pairs = octree.radius_join(points, located, 0.2, leaf_points=256)
+    return pairs.selectExpr("reference_system", "system_key", f"{round2('distance')} AS distance_ly")
+
+
+def nearest_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 200 best stars around each reference, best first, where half of all lie in one cell."""
+    catalogue = _written(spark, crowded(systems(spark, sf_dir)), "catalogue")
+    located = _supplier_stars(spark, sf_dir, catalogue)
+    found = nearest.search_nearest(catalogue, located, 4.0, limit=200, skip_unknown=True, leaf_points=256)
     return found.select("reference_system", "rank", "name", "distance_ly", "total_bodies")
 
 
@@ -487,6 +509,8 @@ QUERIES: dict[str, Query] = {
     "multi_ref_topk": multi_ref_topk,
     "multi_ref_union": multi_ref_union,
     "multi_ref_grid": multi_ref_grid,
+    "radius_crowded": radius_crowded,
+    "nearest_crowded": nearest_crowded,
     "vector_radius": vector_radius,
     "body_totals": star_body_totals,
     "type_hist": partial(star_histogram, label="type"),
@@ -518,5 +542,6 @@ QUERIES: dict[str, Query] = {
     "json_report": json_report,
     "table_lines": table_lines,
     "pack_messages": partial(pack_messages, radius=RADIUS, limit=40),
+    "pack_messages_long": partial(pack_messages, radius=100.0, limit=1_000_000),
     "empty_message": partial(pack_messages, radius=0.05, limit=200),
 }

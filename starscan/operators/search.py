@@ -248,6 +248,29 @@ def search_around(
     return candidates.selectExpr("*", f"{CLAIMABLE} AS claimable").join(best, "system_key")
 
 
+def rank_pairs(
+    systems: DataFrame,
+    pairs: DataFrame,
+    *,
+    body_filter: str = "ww_or_elw",
+    claimable_only: bool = False,
+    limit: int = 200,
+) -> DataFrame:
+    """Top ``limit`` per reference of pairs that are known already.
+
+    ``pairs`` has ``ref_ord``, ``reference_system``, ``system_key`` and ``distance``. Rows of those
+    columns but the last, with ``distance_ly``, ``name``, ``total_bodies`` and ``rank``.
+    """
+    candidates = systems.where(row_filter(body_filter, claimable_only))
+    hits = (
+        pairs.join(candidates.select("system_key", "name", "total_bodies"), "system_key")
+        .where("lower(name) <> lower(reference_system)")
+        .withColumn("distance_ly", F.expr(G.round2("distance")))
+        .drop("distance")
+    )
+    return top_k_per_group(hits, ["ref_ord"], result_order(), limit)
+
+
 def search_many(
     systems: DataFrame,
     references: Iterable[str],

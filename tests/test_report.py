@@ -17,6 +17,7 @@ from starscan.functions.links import (
     merge_templates,
 )
 from starscan.functions.text import number_text, one_decimal, pad_left, query_escape
+from starscan.operators import report
 from starscan.operators.report import (
     CSV_HEADINGS,
     MESSAGE_CAP,
@@ -177,8 +178,11 @@ def plain_message(rows, total, part=""):
             + "\n".join(links)).strip()
 
 
+# with fewer rows to a block than a reference has, blocks are packed for themselves
+@pytest.mark.parametrize("block_rows", [4096, 32])
 @pytest.mark.parametrize("n", [1, 2, 7, 120])
-def test_messages_pack_like_a_plain_loop(spark, results, n):
+def test_messages_pack_like_a_plain_loop(spark, results, n, block_rows, monkeypatch):
+    monkeypatch.setattr(report, "BLOCK_ROWS", block_rows)
     rows = [r.asDict() for r in results.where(f"rank <= {n}").orderBy("rank").collect()]
     parts = [[]]
     for row in rows:
@@ -198,6 +202,44 @@ def test_messages_pack_like_a_plain_loop(spark, results, n):
     )
 
 
+def test_a_long_reference_is_no_array(spark, monkeypatch):
+    """References of many rows: the parts are those of a plain loop over the lengths."""
+    monkeypatch.setattr(report, "BLOCK_ROWS", 256)
+    n = 20_000
+    schema = complete_results(spark.createDataFrame([], HITS)).schema
+    values = {f.name: "null" for f in schema} | {
+        "ref_ord": f"id div {n} + 1", "rank": f"id % {n} + 1", "reference_system": "'R'",
+        "name": "concat('S', repeat('y', id * 7919 % 97))", "distance_ly": "1",
+        "inara_url": "repeat('i', id * 104729 % 1700)", "edgis_url": "''",
+    }
+    hits = spark.range(2 * n).selectExpr(
+        *[f"CAST({values[f.name]} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema]
+    )
+    refs = spark.createDataFrame([(i, "R") for i in (1, 2, 3)], "ref_ord int, reference_system string")
+    got = messages(hits, refs, radius=1.0, body_filter="any", claimable_only=False, limit=n)
+    sizes = got.selectExpr(
+        "ref_ord", "part_no", "part_count",
+        "int((length(content) - length(replace(content, '[Inara]', ''))) / 7) AS n",
+    ).collect()
+    frame = len(f"## R\nRadius: **1.0 ly** | Filter: **any** | Claimable only: **no** | Limit: **{n}** | "
+                f"Treffer: **{n}**\n```text\n{TABLE_HEAD}\n\n```\n")
+    length = f"length({report.table_line()}) + 1 + length({report.LINK_LINE}) AS own"
+    for ref in (1, 2):
+        rows = hits.where(f"ref_ord = {ref}").orderBy("rank").selectExpr(length).collect()
+        packed, used = [], MESSAGE_CAP
+        for row in rows:
+            if used + 1 + row["own"] > MESSAGE_CAP:
+                packed.append(0)
+                used = frame - 1
+            used += 1 + row["own"]
+            packed[-1] += 1
+        found = sorted((r for r in sizes if r["ref_ord"] == ref), key=lambda r: r["part_no"])
+        assert [r["n"] for r in found] == packed
+        assert [r["part_no"] for r in found] == list(range(1, len(packed) + 1))
+        assert {r["part_count"] for r in found} == {len(packed)}
+    assert [r["n"] for r in sizes if r["ref_ord"] == 3] == [0]
+
+
 def test_table_header_width():
     assert len(TABLE_HEADER) == 64
     assert TABLE_HEADER == "System                   Dist  WW  ELW  HMCW  Icy R-Icy  GG  Rng"
