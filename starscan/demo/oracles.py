@@ -317,13 +317,15 @@ ORACLES: dict[str, str] = {
       SELECT 'sTAR ' || (c_custkey * 13) AS reference_system FROM customer)
     SELECT reference_system FROM asked
     WHERE lower(reference_system) NOT IN (SELECT lower(name) FROM stars)""",
-    "run_log_sources": """SELECT 1::BIGINT AS version, 12::BIGINT AS sources
-    UNION ALL SELECT 2, 1""",
+    "run_log_sources": " UNION ALL ".join(
+        f"""SELECT {load}::BIGINT AS load, o_orderkey // {4000 * load} AS file_no, count(*) AS records
+    FROM orders GROUP BY ALL""" for load in (1, 2)),
     "typed_tables": f"""WITH {SYSTEMS} SELECT system_key, name, x, y, z, population,
       {", ".join(COUNT_COLUMNS)} FROM systems""",
     "table_statistics": f"WITH {SYSTEMS} " + " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", min({c})::INT AS least, max({c})::INT AS largest,
-      (count(*) - count({c}))::INT AS nulls FROM systems""" for c in COUNT_COLUMNS),
+      (count(*) - count({c}))::INT AS nulls, 254 AS bins, count({c}) / 254.0::DOUBLE AS rows_per_bin
+    FROM systems""" for c in COUNT_COLUMNS),
     "query_systems_without_links": f"""WITH {ranked(
         f"refs(ref_ord, reference_system) AS (VALUES (1, '{HOME}'))", RADIUS, "ww_or_elw", 50)}
     SELECT name, '' AS edsm_url, 'https://inara.cz/elite/starsystem/?search=' || {escaped("name")}

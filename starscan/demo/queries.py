@@ -176,12 +176,13 @@ def query_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_log_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many files each load has read, of a load of twelve and a patch of one."""
-    root = _loaded(spark, sf_dir)
-    patch = scratch_path(spark, "patch")
-    write_dump(raw_records(spark, sf_dir).where("record_no % 50 = 0"), patch, rows_per_file=1 << 40)
-    catalog.import_dump(spark, root, f"{patch}/*/*", mode="patch")
-    return catalog.run_sources(spark, root).groupBy("version").agg(F.count("*").alias("sources"))
+    """The records of every file that a full load and a patch of all systems have read."""
+    root, dumps = scratch_path(spark, "catalog"), [scratch_path(spark, "dump") for _ in range(2)]
+    for edition, (dump, mode) in enumerate(zip(dumps, ["full", "patch"]), start=1):
+        write_dump(raw_records(spark, sf_dir, edition), dump, rows_per_file=4000 * edition)
+        catalog.import_dump(spark, root, f"{dump}/*/*", mode=mode)
+    file_no = F.regexp_extract("source", "file_no=([0-9]+)", 1).cast("long")
+    return catalog.run_sources(spark, root).select("load", file_no.alias("file_no"), "records")
 
 
 def _published(spark: SparkSession, sf_dir: str) -> str:
@@ -199,14 +200,17 @@ def typed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least and largest value and nulls of the counts, as the session catalog has them."""
+    """Range, nulls and histogram of the counts, as the session catalog has them."""
     database = _published(spark, sf_dir)
     found = []
     for name in COUNT_COLUMNS:
-        rows = spark.sql(f"DESCRIBE EXTENDED {database}.systems {name}").collect()
-        known = {row["info_name"]: row["info_value"] for row in rows}
-        found.append((name, int(known["min"]), int(known["max"]), int(known["num_nulls"])))
-    return spark.createDataFrame(found, "column string, least int, largest int, nulls int")
+        known = catalog.column_statistics(spark, f"{database}.systems", name)
+        height, bins = (part.rpartition(": ")[2] for part in known["histogram"].split(", "))
+        plain = [int(known[key]) for key in ("min", "max", "num_nulls")]
+        found.append((name, *plain, int(bins), float(height)))
+    return spark.createDataFrame(
+        found, "column string, least int, largest int, nulls int, bins int, rows_per_bin double"
+    )
 
 
 def reference_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

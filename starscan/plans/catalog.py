@@ -1,18 +1,17 @@
-"""The systems table under a root folder: versions, run log, full load and patch.
-
-``<root>/data`` holds immutable Parquet files and ``<root>/names`` a narrow copy of each load's names
-and places, sorted by name. ``<root>/versions/<n>`` lists the files of version ``n``. A load writes new
-files and then creates the next version, which fails if another load has created it meanwhile; so
-readers see the old table or the new one, no load is lost unnoticed, and a load that dies leaves only
-unused files. A patch rewrites the files that hold its keys and lists all others again.
+"""The systems table under a root folder: full loads, patches, run log, typed tables.
+
+``<root>/systems/version=<n>`` holds the systems of full load ``n`` as Parquet, partitioned by a bucket
+of the key, ``<root>/names/version=<n>`` a narrow copy by the same buckets, sorted by name. A full load
+writes a new version; the run log then names it current, so readers see the old table or the new one.
+A patch overwrites the partitions that hold its keys, by Spark's dynamic partition overwrite, and
+touches no other. It changes the version it patches: a patch that dies is applied again, which gives
+the same rows. Loads of one catalogue run one after the other.
 ``<root>/run_log`` and ``<root>/run_sources`` are append-only.
 """
 
 from __future__ import annotations
 
-import json
 import time
-import uuid
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -21,21 +20,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starscan.functions.geometry import AXES, cell
+from starscan.functions.text import literal
 from starscan.operators import search
 from starscan.operators.latest import MAX_BROADCAST_KEYS, keep_latest, upsert
 from starscan.plans.ingest import stage, utc_now
-from starscan.schema import NAMES, RUN_LOG, RUN_SOURCES, SCHEMA_VERSION, SYSTEM_COLUMNS, SYSTEMS
-from starscan.session import configure, scratch_path
-from starscan.sources import files
+from starscan.schema import (
+    NAMES,
+    RUN_LOG,
+    RUN_SOURCES,
+    SCHEMA_VERSION,
+    STAGED,
+    STORED,
+    SYSTEM_COLUMNS,
+    SYSTEMS,
+)
+from starscan.session import configure, scratch_path, settings
+from starscan.sources import files, log
 from starscan.sources.parquet import read_staged, resolve_inputs
 
 MODES = ("full", "patch")
-# Edge of the coarse cells that order the files on disk.
+# Edge of the coarse cells that order the rows of a file.
 LAYOUT_EDGE = 256.0
-
-
-class LoadConflict(RuntimeError):
-    """Another load has become current while this one ran; nothing has changed, run it again."""
+# Rows of a bucket, which a patch rewrites as a whole, and the number of buckets.
+BUCKET_ROWS = 1_000_000
+LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 16
+# A file is skipped by parts of this size when a search box or a name lies elsewhere.
+ROW_GROUP_BYTES = 32 << 20
 
 
 class LoadResult(NamedTuple):
@@ -55,16 +65,13 @@ def init_catalog(spark: SparkSession, root: str) -> None:
 
 
 def read_log(spark: SparkSession, root: str) -> DataFrame:
-    path = f"{root}/run_log"
-    if not files.exists(spark, path):
-        return spark.createDataFrame([], RUN_LOG)
-    return spark.read.schema(RUN_LOG).parquet(path)
+    return log.read(spark, f"{root}/run_log", RUN_LOG)
 
 
-def latest_values(log: DataFrame) -> DataFrame:
+def latest_values(entries: DataFrame) -> DataFrame:
     """(key, value): the newest entry of each key."""
     newest = [F.desc("ts"), F.desc("value")]
-    return keep_latest(log, "key", newest).select("key", "value")
+    return keep_latest(entries, "key", newest).select("key", "value")
 
 
 def set_meta(spark: SparkSession, root: str, **values: object) -> None:
@@ -75,8 +82,7 @@ def set_meta(spark: SparkSession, root: str, **values: object) -> None:
             "ts": pa.array([utc_now()] * len(values), pa.timestamp("us")),
         }
     )
-    log = spark.createDataFrame(entries).coalesce(1)
-    log.write.mode("append").parquet(f"{root}/run_log")
+    log.append(spark, f"{root}/run_log", spark.createDataFrame(entries, RUN_LOG))
 
 
 def get_meta(spark: SparkSession, root: str, key: str, default: str = "") -> str:
@@ -84,46 +90,42 @@ def get_meta(spark: SparkSession, root: str, key: str, default: str = "") -> str
     return row["value"] if row else default
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """The versions that have not been removed, in ascending order."""
-    return sorted(int(files.base_name(path)) for path in files.glob(spark, f"{root}/versions/[0-9]*"))
-
-
-def manifest(spark: SparkSession, root: str, version: int | None = None) -> dict:
-    """What a version, by default the current one, consists of."""
-    known = versions(spark, root)
-    if not known:
-        return {"version": 0, "files": [], "names": []}
-    return json.loads(files.read_text(spark, f"{root}/versions/{version or known[-1]:010d}"))
+def current(spark: SparkSession, root: str) -> tuple[int, int]:
+    """The current version and its number of buckets; (0, 0) before the first load."""
+    wanted = read_log(spark, root).where("key IN ('current_version', 'buckets')")
+    found = {row["key"]: int(row["value"]) for row in latest_values(wanted).collect()}
+    return found.get("current_version", 0), found.get("buckets", 0)
 
 
-def _rows(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
-    if not names:
-        return spark.createDataFrame([], SYSTEMS)
-    return spark.read.schema(SYSTEMS).parquet(*[f"{root}/data/{name}" for name in names])
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The versions whose files are there, in ascending order."""
+    return sorted(int(path.rpartition("=")[2]) for path in files.glob(spark, f"{root}/systems/version=*"))
 
 
 def systems(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """The current version of the systems table, or an earlier one that is still there."""
     configure(spark)
-    return _rows(spark, root, manifest(spark, root, version)["files"])
+    return _stored(spark, root, version or current(spark, root)[0]).select(*SYSTEM_COLUMNS)
+
+
+def _stored(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """The rows of a version with their ``bucket``."""
+    if not version:
+        return spark.createDataFrame([], STORED)
+    return spark.read.schema(STORED).parquet(f"{root}/systems/version={version}")
 
 
 def names(spark: SparkSession, root: str) -> DataFrame:
-    """(name_lower, system_key, x, y, z, part) of the current version.
+    """(name_lower, system_key, x, y, z) of the current version.
 
-    Sorted by ``name_lower`` in each load, so that a filter on it reads few row groups. Rows of
-    files that a patch has replaced are left out by a join with the version's list of files.
+    Within a bucket sorted by ``name_lower`` and with a Bloom filter on it, so that a look-up reads
+    few row groups, and none for a name that no bucket holds.
     """
-    current = manifest(spark, root)
-    if not current["names"]:
+    version, _ = current(spark, root)
+    if not version:
         return spark.createDataFrame([], NAMES)
-    found = spark.read.schema(NAMES).parquet(*[f"{root}/names/{load}" for load in current["names"]])
-    if len(current["names"]) == 1:
-        return found
-    live = pa.table({"part": pa.array([files.base_name(name) for name in current["files"]], pa.string())})
-    # one short row per file of the version
-    return found.join(F.broadcast(spark.createDataFrame(live)), "part", "left_semi")
+    found = spark.read.schema(NAMES).parquet(f"{root}/names/version={version}")
+    return found.select(*NAMES.fieldNames())
 
 
 def reference_points(spark: SparkSession, root: str, references: Sequence[str]) -> list[tuple]:
@@ -131,15 +133,49 @@ def reference_points(spark: SparkSession, root: str, references: Sequence[str])
     return search.reference_points(names(spark, root), references)
 
 
-def spatial_order(rows: DataFrame) -> DataFrame:
-    """Rows ordered by coarse cell, so that Parquet min/max statistics skip files and row
-    groups outside a search box. x and the key come last to let a crowded cell be split."""
+def _bucket(buckets: int) -> str:
+    return f"int(pmod(xxhash64(system_key), {buckets})) AS bucket"
+
+
+def write_systems(rows: DataFrame, path: str) -> None:
+    """Overwrites the buckets that occur in ``rows``, and no others.
+
+    A bucket's rows are ordered by coarse cell, so that Parquet min/max statistics skip row groups
+    outside a search box. x and the key come last to let a crowded cell be split.
+    """
     cells = ["_cx", "_cy", "_cz"]
     placed = rows.selectExpr(
         "*", *[f"{place} AS {name}" for name, place in zip(cells, cell(AXES, LAYOUT_EDGE))]
     )
-    order = [*cells, "x", "system_key"]
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop(*cells)
+    order = ["bucket", *cells, "x", "system_key"]
+    _write_buckets(
+        placed.repartitionByRange(*order).sortWithinPartitions(*order).drop(*cells), path, {}
+    )
+
+
+def write_names(rows: DataFrame, path: str, bucket_rows: int) -> None:
+    """The names of ``rows`` (with their ``bucket``), each bucket sorted by name."""
+    order = ["bucket", "name_lower", "system_key"]
+    named = rows.selectExpr("lower(name) AS name_lower", "system_key", *AXES, "bucket")
+    bloom = {
+        "parquet.bloom.filter.enabled#name_lower": "true",
+        "parquet.bloom.filter.expected.ndv#name_lower": str(max(1000, min(bucket_rows, BUCKET_ROWS))),
+        # names hardly repeat
+        "parquet.enable.dictionary#name_lower": "false",
+    }
+    _write_buckets(named.repartitionByRange(*order).sortWithinPartitions(*order), path, bloom)
+
+
+def _write_buckets(rows: DataFrame, path: str, options: dict[str, str]) -> None:
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
+        .option("parquet.block.size", ROW_GROUP_BYTES)
+        .options(**options)
+        .partitionBy("bucket")
+        .parquet(path)
+    )
 
 
 def import_source(
@@ -176,12 +212,13 @@ def import_dump(
     staging = scratch_path(spark, "staging")
     try:
         staged = stage(spark, staging, *dumps, layout=layout)
-        named = staged.where("name IS NOT NULL")
+        named = staged.rows.where("name IS NOT NULL")
         latest = keep_latest(named, "system_key", [F.desc("source_file"), F.desc("seq")])
         paths = [path for dump in dumps for path in files.inputs(spark, dump)]
+        sources = staged.sources.selectExpr("source_file AS source", "objects AS records")
         result = LoadResult(
-            seen=staged.where("is_record").count(),
-            written=_load(spark, root, latest, mode, paths),
+            seen=staged.seen,
+            written=_load(spark, root, latest, mode, sources, staged.named),
             parts=len(files.glob(spark, f"{staging}/*.parquet")),
             size=files.total_size(spark, paths),
             seconds=time.monotonic() - started,
@@ -189,7 +226,7 @@ def import_dump(
     finally:
         if not keep_staging:
             files.delete(spark, staging)
-    return _log_result(spark, root, result, database)
+    return _log_result(spark, root, result, paths, database)
 
 
 def import_parquet(
@@ -204,14 +241,20 @@ def import_parquet(
     newest = [F.desc("seq"), F.desc("source_tag"), F.desc("imported_at")]
     latest = keep_latest(staged, "system_key", newest)
     parts = [part for pattern in inputs for part in files.glob(spark, pattern)]
+    # counted from the footers, written as a row per file
+    counted = scratch_path(spark, "sources")
+    per_file = spark.read.schema(STAGED).parquet(*inputs).groupBy("_metadata.file_path")
+    per_file.agg(F.count("*").alias("records")).toDF("source", "records").write.parquet(counted)
+    sources = spark.read.parquet(counted)
+    seen = sources.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     result = LoadResult(
-        seen=staged.count(),
-        written=_load(spark, root, latest, mode, parts),
+        seen=seen,
+        written=_load(spark, root, latest, mode, sources, seen),
         parts=len(parts),
         size=files.total_size(spark, parts),
         seconds=time.monotonic() - started,
     )
-    return _log_result(spark, root, result, database)
+    return _log_result(spark, root, result, parts, database)
 
 
 def _checked(mode: str) -> str:
@@ -222,113 +265,80 @@ def _checked(mode: str) -> str:
 
 
 def _load(
-    spark: SparkSession, root: str, latest: DataFrame, mode: str, sources: Sequence[str]
+    spark: SparkSession, root: str, latest: DataFrame, mode: str, sources: DataFrame, rows: int
 ) -> int:
-    """Makes the rows ``latest`` the next version, or part of it; returns how many there are."""
-    before = manifest(spark, root)
-    load = uuid.uuid4().hex
-    loaded, kept, written = latest.select(*SYSTEM_COLUMNS), [], None
+    """Makes the rows ``latest``, at most ``rows``, a new version or part of the current one.
+
+    ``sources`` (source, records) is logged. Returns how many rows there are.
+    """
+    version, buckets = current(spark, root)
+    loaded = latest.select(*SYSTEM_COLUMNS)
     staging = scratch_path(spark, "patch")
-    if mode == "patch" and before["files"]:
-        loaded.write.parquet(staging)
-        loaded = spark.read.schema(SYSTEMS).parquet(staging)
-        written = loaded.count()
-        keys = loaded.select("system_key")
-        if written <= MAX_BROADCAST_KEYS:
-            keys = F.broadcast(keys)
-        # one row per file of the base; only its key column is read
-        touched = {
-            row["part"]
-            for row in _rows(spark, root, before["files"])
-            .select("system_key", F.col("_metadata.file_name").alias("part"))
-            .join(keys, "system_key", "left_semi")
-            .select("part")
-            .distinct()
-            .collect()
-        }
-        kept = [name for name in before["files"] if files.base_name(name) not in touched]
-        replaced = _rows(spark, root, [name for name in before["files"] if name not in set(kept)])
+    patch = mode == "patch" and version > 0
+    if patch:
+        loaded.selectExpr("*", _bucket(buckets)).write.parquet(staging)
+        loaded = spark.read.schema(STORED).parquet(staging)
+        # at most one row for each bucket
+        counts = {row["bucket"]: row["count"] for row in loaded.groupBy("bucket").count().collect()}
+        written = sum(counts.values())
+        touched = F.col("bucket").isin(sorted(counts)) if len(counts) < buckets else F.lit(True)
+        replaced = _stored(spark, root, version).where(touched)
         loaded = upsert(replaced, loaded, "system_key", patch_rows=written)
-    data = f"{root}/data/{load}"
-    spatial_order(loaded).write.option("compression", "zstd").parquet(data)
-    added = [f"{load}/{files.base_name(path)}" for path in files.glob(spark, f"{data}/*.parquet")]
-    files.delete(spark, staging)
-    fresh = _rows(spark, root, added)
-    (
-        fresh.selectExpr("lower(name) AS name_lower", "system_key", *AXES, "_metadata.file_name AS part")
-        .repartitionByRange("name_lower", "system_key")
-        .sortWithinPartitions("name_lower", "system_key")
-        .write.option("compression", "zstd")
-        .parquet(f"{root}/names/{load}")
-    )
-    if written is None:  # the new files hold just these rows: their footers know the number
+    else:
+        version = max([version, *versions(spark, root)]) + 1
+        buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS)))
+        loaded, touched = loaded.selectExpr("*", _bucket(buckets)), F.lit(True)
+    write_systems(loaded, f"{root}/systems/version={version}")
+    fresh = _stored(spark, root, version)
+    write_names(fresh.where(touched), f"{root}/names/version={version}", rows // buckets)
+    if patch:
+        files.delete(spark, staging)
+    else:  # the new files hold just these rows: their footers know the number
         written = fresh.count()
-    version = before["version"] + 1
-    contents = {
-        "version": version,
-        "files": kept + added,
-        "names": ([*before["names"], load] if kept else [load]),
-    }
-    if not files.create_new(spark, f"{root}/versions/{version:010d}", json.dumps(contents)):
-        raise LoadConflict(f"version {version} of {root} has been created by another load")
-    listed = pa.table(
-        {
-            "version": pa.array([version] * len(sources), pa.int64()),
-            "source": pa.array(list(sources), pa.string()),
-        }
-    )
-    spark.createDataFrame(listed, RUN_SOURCES).write.mode("append").parquet(f"{root}/run_sources")
+    load = int(get_meta(spark, root, "loads", "0")) + 1
+    listed = sources.selectExpr(f"{load}L AS load", "source", "records")
+    log.append(spark, f"{root}/run_sources", listed.select(*RUN_SOURCES.fieldNames()))
     set_meta(
         spark,
         root,
         schema_version=SCHEMA_VERSION,
         current_version=version,
+        buckets=buckets,
+        loads=load,
         last_import_mode=mode,
-        last_import_source=", ".join(files.base_name(path) for path in sources),
         last_import_finished_utc=utc_now().isoformat(timespec="seconds"),
     )
     return written
 
 
 def run_sources(spark: SparkSession, root: str) -> DataFrame:
-    """(version, source): every file that a load has read."""
-    path = f"{root}/run_sources"
-    if not files.exists(spark, path):
-        return spark.createDataFrame([], RUN_SOURCES)
-    return spark.read.schema(RUN_SOURCES).parquet(path)
+    """(load, source, records): every file that a load has read, and how many records it held."""
+    return log.read(spark, f"{root}/run_sources", RUN_SOURCES)
 
 
 def remove_old_versions(spark: SparkSession, root: str, keep: int = 2) -> int:
-    """Deletes all but the newest versions, and the files that only they hold; returns how many files.
+    """Deletes all but the newest versions, the current one being the last; returns how many.
 
     Readers of a removed version fail, so keep as many as have long-running readers.
     """
-    known = versions(spark, root)
     if keep < 1:
         raise ValueError("at least the current version is kept")
-    held = [manifest(spark, root, version) for version in known[-keep:]]
-    used = {name for version in held for name in version["files"]}
-    named = {load for version in held for load in version["names"]}
-    for version in known[:-keep]:
-        files.delete(spark, f"{root}/versions/{version:010d}")
-    started = {files.base_name(path) for path in files.glob(spark, f"{root}/names/*")}
-    gone = [
-        path
-        for path in files.glob(spark, f"{root}/data/*/*.parquet")
-        if "/".join(path.split("/")[-2:]) not in used and path.split("/")[-2] in started
-    ]
-    for path in gone:
-        files.delete(spark, path)
-    for load in started - named:
-        files.delete(spark, f"{root}/names/{load}")
+    last, _ = current(spark, root)
+    gone = [version for version in versions(spark, root) if version <= last][:-keep]
+    for version in gone:
+        for table in ("names", "systems"):
+            files.delete(spark, f"{root}/{table}/version={version}")
     return len(gone)
 
 
-def _log_result(spark: SparkSession, root: str, result: LoadResult, database: str | None) -> LoadResult:
+def _log_result(
+    spark: SparkSession, root: str, result: LoadResult, sources: Sequence[str], database: str | None
+) -> LoadResult:
     per_second = lambda n: round(n / result.seconds, 2) if result.seconds else 0.0
     set_meta(
         spark,
         root,
+        last_import_source=", ".join(files.base_name(path) for path in sources),
         last_import_systems_seen=result.seen,
         last_import_systems_written=result.written,
         last_import_parquet_file_count=result.parts,
@@ -342,33 +352,70 @@ def _log_result(spark: SparkSession, root: str, result: LoadResult, database: st
     return result
 
 
-def create_tables(spark: SparkSession, database: str = "default") -> None:
-    """The two typed tables in the session catalog, if missing; counts default to 0."""
-    columns = ", ".join(
+def _columns() -> str:
+    return ", ".join(
         f"{f.name} {f.dataType.simpleString()}"
         + (" DEFAULT 0" if f.dataType.simpleString() == "int" else "")
         for f in SYSTEMS.fields
     )
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.systems ({columns}) USING parquet")
+
+
+def create_tables(spark: SparkSession, database: str = "default") -> None:
+    """The two typed tables in the session catalog, if missing; counts default to 0."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.systems ({_columns()}) USING parquet")
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {database}.app_meta (key string, value string) USING parquet"
     )
 
 
 def publish(spark: SparkSession, root: str, database: str) -> None:
-    """Fills the typed tables with the current version and run log, and computes their statistics.
+    """Points the typed table at the current version, fills the run log's, and computes statistics.
 
-    Copies the whole table, for readers that know only the session catalog.
+    ``systems`` is an external table over the version's own files, with the column ``bucket`` at the
+    end: nothing is copied. A patch changes it in place; only its partitions are looked up again.
     """
     create_tables(spark, database)
-    systems(spark, root).write.mode("overwrite").insertInto(f"{database}.systems")
+    version, _ = current(spark, root)
+    table = f"{database}.systems"
+    if version:
+        path = f"{root}/systems/version={version}"
+        shown = spark.sql(f"SHOW TBLPROPERTIES {table}").collect()
+        if dict((row["key"], row["value"]) for row in shown).get("starscan.version") != path:
+            # an external table leaves its files; another one is of create_tables and is filled here
+            spark.sql(f"DROP TABLE {table}")
+            spark.sql(
+                f"CREATE TABLE {table} ({_columns()}, bucket int) USING parquet PARTITIONED BY (bucket) "
+                f"LOCATION {literal(path)} TBLPROPERTIES ('starscan.version' = {literal(path)})"
+            )
+        spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+        spark.catalog.refreshTable(table)
     latest_values(read_log(spark, root)).write.mode("overwrite").insertInto(f"{database}.app_meta")
-    analyze_table(spark, f"{database}.systems")
+    analyze_table(spark, table)
     analyze_table(spark, f"{database}.app_meta")
 
 
 def analyze_table(spark: SparkSession, table: str) -> None:
-    """Row count and size, and column statistics for every column type that has them."""
-    fields = spark.table(table).schema.fields
-    plain = [f.name for f in fields if f.dataType.typeName() not in ("map", "array", "struct")]
-    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR COLUMNS {', '.join(plain)}")
+    """Row count and size, and for every column type that has them statistics of the column:
+    range, nulls, distinct values and, for numbers, a histogram of equal heights."""
+    described = spark.table(table).schema.fields
+    partition = {c.name for c in spark.catalog.listColumns(table) if c.isPartition}
+    plain = [
+        f.name
+        for f in described
+        if f.dataType.typeName() not in ("map", "array", "struct") and f.name not in partition
+    ]
+    with settings(spark, {"spark.sql.statistics.histogram.enabled": "true"}):
+        spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR COLUMNS {', '.join(plain)}")
+
+
+def column_statistics(spark: SparkSession, table: str, column: str) -> dict[str, str]:
+    """What the session catalog knows of a column: min, max, num_nulls, distinct_count, histogram, ..."""
+    rows = spark.sql(f"DESCRIBE EXTENDED {table} {column}").collect()
+    return {row["info_name"]: row["info_value"] for row in rows}
+
+
+def cost_based(spark: SparkSession):
+    """A context in which Spark plans joins by the statistics of analyzed tables, not by file sizes."""
+    return settings(
+        spark, {"spark.sql.cbo.enabled": "true", "spark.sql.cbo.joinReorder.enabled": "true"}
+    )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from starscan.operators.normalise import normalise
@@ -12,7 +13,13 @@ from starscan.operators.rollup import roll_up_nested
 from starscan.schema import SYSTEM_COLUMNS, SYSTEMS
 from starscan.session import configure, scratch_path
 from starscan.sources import files
-from starscan.sources.dump import assert_whole_arrays, read_first, scan_dump
+from starscan.sources.dump import (
+    assert_whole_arrays,
+    is_malformed,
+    read_first,
+    scan_dump,
+    source_counts,
+)
 from starscan.sources.parquet import check_codec, write_staged
 
 
@@ -32,20 +39,55 @@ def system_rows(records: DataFrame, imported_at: datetime) -> DataFrame:
     )
 
 
-def stage(spark: SparkSession, staging: str, *dumps: str, layout: str = "auto") -> DataFrame:
-    """Parses the dumps once into ``staging`` and returns the staged rows.
+class Staged(NamedTuple):
+    """Staged rows, the records of each source (source_file, objects), records and named records."""
 
-    Later steps (counts, latest per key, load) read the flat copy, so neither a lost shuffle
-    file nor a second action parses JSON again. Besides named systems the copy holds nameless
-    records and bracket lines, for the counts and the array check.
+    rows: DataFrame
+    sources: DataFrame
+    seen: int
+    named: int
+
+
+def stage(spark: SparkSession, staging: str, *dumps: str, layout: str = "auto") -> Staged:
+    """Parses the dumps once into ``staging``.
+
+    Later steps (latest per key, load) read the flat copy, so neither a lost shuffle file nor a
+    second action parses JSON again; the records are counted while it is written. Besides named
+    systems the copy holds nameless records and bracket lines, for the array check. Layout
+    ``auto`` reads lines, and starts again with ``any`` if a line anywhere holds no whole objects.
     """
     configure(spark)
+    if layout == "auto":
+        try:
+            return stage(spark, staging, *dumps, layout="lines")
+        except Exception as error:
+            if not is_malformed(error):
+                raise
+            files.delete(spark, staging)
+            return stage(spark, staging, *dumps, layout="any")
     scanned = scan_dump(spark, *dumps, layout=layout)
     rows = system_rows(scanned.withColumn("is_record", F.col("record").isNotNull()), utc_now())
-    rows.write.option("compression", "zstd").parquet(staging)
-    staged = spark.read.parquet(staging)
-    assert_whole_arrays(staged)
-    return staged
+    try:
+        counts = _write_counted(rows, staging)
+    except Exception as error:
+        if layout == "any" and is_malformed(error):
+            raise ValueError(f"Malformed JSON, not a top-level JSON array of objects: {', '.join(dumps)}") from error
+        raise
+    staged = spark.read.schema(rows.schema).parquet(staging)
+    listed = scratch_path(spark, "sources")
+    source_counts(staged).write.parquet(listed)
+    sources = spark.read.parquet(listed)
+    assert_whole_arrays(sources)
+    return Staged(staged, sources.select("source_file", "objects"), **counts)
+
+
+def _write_counted(rows: DataFrame, path: str) -> dict[str, int]:
+    """Writes rows and counts, in the same pass, the records and those with a name."""
+    counted = Observation()
+    rows.observe(
+        counted, F.count_if("is_record").alias("seen"), F.count("name").alias("named")
+    ).write.option("compression", "zstd").parquet(path)
+    return {name: counted.get[name] for name in ("seen", "named")}
 
 
 def convert_dump(
@@ -63,23 +105,33 @@ def convert_dump(
     configure(spark)
     check_codec(spark, compression)
     scratch = scratch_path(spark, "convert")
-    if max_systems is not None:
-        chosen = read_first(spark, dump, n=max_systems, layout=layout)
-        rows = system_rows(chosen.withColumn("is_record", F.lit(True)), utc_now())
-        rows.write.option("compression", "zstd").parquet(scratch)
-        staged = spark.read.parquet(scratch)
-    else:
+    if max_systems is None:
         staged = stage(spark, scratch, dump, layout=layout)
-    named = staged.where("name is not null")
+    else:
+        staged = _stage_first(spark, scratch, dump, max_systems, layout)
     write_staged(
-        named,
+        staged.rows.where("name is not null"),
         parquet_path,
         compression=compression,
         rows_per_file=rows_per_file,
         row_group_bytes=row_group_bytes,
     )
-    counts = staged.agg(
-        F.count_if("is_record").alias("systems_seen"), F.count("name").alias("systems_written")
-    ).first()
     files.delete(spark, scratch)
-    return counts.asDict()
+    return {"systems_seen": staged.seen, "systems_written": staged.named}
+
+
+def _stage_first(spark: SparkSession, staging: str, dump: str, n: int, layout: str) -> Staged:
+    if layout == "auto":
+        try:
+            return _stage_first(spark, staging, dump, n, "lines")
+        except Exception as error:
+            if not is_malformed(error):
+                raise
+            files.delete(spark, staging)
+            return _stage_first(spark, staging, dump, n, "any")
+    chosen = read_first(spark, dump, n=n, layout=layout)
+    rows = system_rows(chosen.withColumn("is_record", F.lit(True)), utc_now())
+    counts = _write_counted(rows, staging)
+    staged = spark.read.schema(rows.schema).parquet(staging)
+    sources = staged.groupBy("source_file").agg(F.count("*").alias("objects"))
+    return Staged(staged, sources, **counts)

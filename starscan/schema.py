@@ -37,6 +37,9 @@ SYSTEMS = T.StructType(
 
 SYSTEM_COLUMNS = SYSTEMS.fieldNames()
 
+# The systems table on disk is partitioned by a bucket of the key.
+STORED = T.StructType([*SYSTEMS.fields, T.StructField("bucket", T.IntegerType())])
+
 # Staged Parquet keeps the arrival number and carries histograms as JSON text.
 STAGED = T.StructType(
     [T.StructField("seq", T.LongType())]
@@ -55,7 +58,11 @@ RUN_LOG = T.StructType(
 )
 
 RUN_SOURCES = T.StructType(
-    [T.StructField("version", T.LongType()), T.StructField("source", T.StringType())]
+    [
+        T.StructField("load", T.LongType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("records", T.LongType()),
+    ]
 )
 
 NAMES = T.StructType(
@@ -63,7 +70,6 @@ NAMES = T.StructType(
         T.StructField("name_lower", T.StringType()),
         T.StructField("system_key", T.StringType()),
         *[T.StructField(axis, T.DoubleType()) for axis in ("x", "y", "z")],
-        T.StructField("part", T.StringType()),
     ]
 )
 

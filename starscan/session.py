@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import SparkSession
 
@@ -34,6 +36,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Runtime settings for a while; what was set before, or nothing, is set again."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def local_session(cores: int | str = "*", app: str = "starscan", **conf: str) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     width = "8" if cores == "*" else str(cores)

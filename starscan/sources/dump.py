@@ -4,18 +4,18 @@ Spark picks the codec by extension (.gz, .zst, .zstd) and cuts plain files into
 ``spark.sql.files.maxPartitionBytes``, so a plain dump is parsed by as many tasks as it has
 splits. A compressed file cannot be cut: one task unpacks it and its lines are then spread over
 the cluster for parsing. Ship big dumps as several files to unpack them in parallel, too.
+
+A dump whose objects spread over lines is read by Spark's multi-line JSON reader: one task per file,
+which holds the rows of that file. Such dumps must come in files that fit a task.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starscan.session import scratch_path
 from starscan.sources import files
-from starscan.sources.fragments import record_texts
 
 # The only fields anything downstream reads. Parsing to these skips the rest of a record
 # (stations, signals, ...) in the JSON tokenizer; VARIANT keeps their loose types.
@@ -42,9 +42,6 @@ _BLANK = r" \t\r\n\uFEFF"
 
 COMPRESSED = (".gz", ".zst", ".zstd")
 
-# Pieces of a file that tell its layout.
-HEAD_PIECES = 500
-
 LINEAGE = ["_metadata.file_path AS source_file", "_metadata.file_name AS source_tag"]
 
 ROW_IN_TASK = "(monotonically_increasing_id() & ((1L << 33) - 1))"
@@ -67,6 +64,11 @@ def parse_records(line: str) -> str:
     return f"from_json({body}, 'array<{RECORD_TYPE}>', map('mode', 'FAILFAST'))"
 
 
+def is_malformed(error: Exception) -> bool:
+    """Whether a job has stopped at JSON that does not parse in the layout it was read in."""
+    return "MALFORMED_RECORD_IN_PARSING" in str(error)
+
+
 def scan_dump(spark: SparkSession, *paths: str, layout: str = "lines") -> DataFrame:
     """Every object of the dumps plus the text that opens and closes an array.
 
@@ -74,18 +76,16 @@ def scan_dump(spark: SparkSession, *paths: str, layout: str = "lines") -> DataFr
     and ``closes`` tell whether the row's text starts with ``[`` or ends with ``]``.
 
     With layout ``lines`` each line must hold whole objects, any number of them; an object
-    spread over lines stops the job. Layout ``any`` takes every valid JSON array at the price
-    of shuffling the text. ``auto`` looks at the beginning of each file.
+    spread over lines stops the job. Layout ``any`` takes every valid JSON array and reads each
+    file in one task; what follows the array in a file is not read.
 
     ``seq`` is the arrival number: it grows strictly in file order but is not dense, which is
     all that "the later record wins" needs, and costs no second pass over the dump.
     """
-    if layout == "auto":
-        layout = choose_layout(spark, *paths)
     if layout == "any":
-        return _scanned(_parsed(record_texts(spark, *paths)))
+        return _array_elements(spark, list(paths))
     if layout != "lines":
-        raise ValueError("layout must be 'lines', 'any' or 'auto'")
+        raise ValueError("layout must be 'lines' or 'any'")
     found = [name for path in paths for name in files.inputs(spark, path)]
     packed = [name for name in found if name.lower().endswith(COMPRESSED)]
     if not packed:
@@ -96,33 +96,34 @@ def scan_dump(spark: SparkSession, *paths: str, layout: str = "lines") -> DataFr
     return _plain_lines(spark, plain).unionByName(_packed_lines(spark, packed))
 
 
-def choose_layout(spark: SparkSession, *paths: str) -> str:
-    """``lines`` if every file begins with whole objects on lines of their own, else ``any``.
-
-    Reads the first ``HEAD_PIECES`` pieces of each file, cut at closing braces.
-    """
-    for name in (name for path in paths for name in files.inputs(spark, path)):
-        rows = spark.read.option("lineSep", "}").text(name).limit(HEAD_PIECES).collect()
-        head = "}".join(row["value"] for row in rows)
-        body = head.strip(" \t\r\n\ufeff").removeprefix("[")
-        ended = len(rows) < HEAD_PIECES
-        if _spread_over_lines(body) or not ("\n" in head or ended):
-            return "any"
-    return "lines"
-
-
-def _spread_over_lines(body: str) -> bool:
-    """Whether an object, or the unfinished text behind the last whole one, holds a line break."""
-    decoder = json.JSONDecoder()
-    while body := body.lstrip(" \t\r\n,]"):
-        try:
-            _, end = decoder.raw_decode(body)
-        except ValueError:
-            end = len(body)
-        if "\n" in body[:end].strip():
-            return True
-        body = body[end:]
-    return False
+def _array_elements(spark: SparkSession, paths: list[str]) -> DataFrame:
+    fields = RECORD_TYPE.removeprefix("struct<").removesuffix(">").replace(":", " ")
+    elements = spark.read.schema(fields).option("multiLine", True).option("mode", "FAILFAST").json(paths)
+    numbered = elements.selectExpr(
+        f"struct({', '.join(RECORD_FIELDS)}) AS record",
+        # a closing bracket that is missing would have stopped the reader
+        "CAST(null AS boolean) AS opens",
+        "true AS closes",
+        f"{ROW_IN_TASK} + 1 AS seq",
+        *LINEAGE,
+    )
+    # the reader would take a lone object for an array of one
+    heads = spark.read.option("lineSep", "[").text(paths)
+    brackets = (
+        heads.selectExpr("value", *LINEAGE, "_metadata.file_block_start AS at", f"{ROW_IN_TASK} AS row_in_task")
+        .where("at = 0")
+        .groupBy("source_file", "source_tag")
+        .agg(F.min_by("value", "row_in_task").alias("head"))
+        .selectExpr(
+            "CAST(null AS " + RECORD_TYPE + ") AS record",
+            f"btrim(head, '{_BLANK}') = '' AS opens",
+            "true AS closes",
+            "0L AS seq",
+            "source_file",
+            "source_tag",
+        )
+    )
+    return numbered.unionByName(brackets).selectExpr("*", "seq >> 16 AS block_start")
 
 
 def _parsed(texts: DataFrame) -> DataFrame:
@@ -174,17 +175,24 @@ def read_dump(spark: SparkSession, *paths: str, layout: str = "lines") -> DataFr
     return scanned.where("record IS NOT NULL").drop("opens", "closes")
 
 
-def assert_whole_arrays(scanned: DataFrame) -> None:
-    """Each file must open with ``[``, close with ``]`` and hold at least one object.
+def source_counts(scanned: DataFrame) -> DataFrame:
+    """(source_file, opens, closes, objects): how each file begins and ends and what it holds.
 
     Reads only lineage columns; run it on the staged copy of ``scan_dump``, not on the dump.
     """
-    files = scanned.groupBy("source_file").agg(
+    return scanned.groupBy("source_file").agg(
         F.min_by("opens", "seq").alias("opens"),
         F.max_by("closes", "seq").alias("closes"),
         F.count_if("is_record").alias("objects"),
     )
-    bad = files.where("not opens or not closes or objects = 0")
+
+
+def assert_whole_arrays(scanned: DataFrame) -> None:
+    """Each file must open with ``[``, close with ``]`` and hold at least one object.
+
+    ``scanned`` has a row per file: ``source_counts``.
+    """
+    bad = scanned.where("not opens or not closes or objects = 0")
     first = bad.orderBy("source_file").limit(5).collect()
     if first:
         names = ", ".join(row["source_file"] for row in first)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -43,32 +42,6 @@ def base_name(path: str) -> str:
     return path.rstrip("/").rpartition("/")[2]
 
 
-def create_new(spark: SparkSession, path: str, text: str) -> bool:
-    """Writes a small file unless one of that name exists; tells whether it did."""
-    hadoop_path, fs = _path(spark, path)
-    try:
-        out = fs.create(hadoop_path, False)
-    except Py4JJavaError as error:
-        if "already exists" in str(error.java_exception):
-            return False
-        raise
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-    return True
-
-
-def read_text(spark: SparkSession, path: str) -> str:
-    """A small file, on the driver."""
-    hadoop_path, fs = _path(spark, path)
-    stream = fs.open(hadoop_path)
-    try:
-        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-    finally:
-        stream.close()
-
-
 def total_size(spark: SparkSession, paths: list[str]) -> int:
     total = 0
     for path in paths:

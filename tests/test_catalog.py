@@ -9,7 +9,8 @@ import pytest
 
 from starscan.plans import catalog
 from starscan.plans.ingest import convert_dump
-from starscan.sources import files
+from starscan.session import settings
+from starscan.sources import files, log
 from starscan.sources.dump import read_first
 from starscan.sources.parquet import check_codec, read_staged, resolve_inputs, write_staged
 
@@ -167,18 +168,16 @@ def test_staged_round_trip_keeps_types(spark, tmp_path):
     assert again.schema == rows.schema and again.collect() == rows.collect()
 
 
-def test_versions_are_ordered_in_space(spark, tmp_path, root):
+def test_buckets_are_ordered_in_space(spark, tmp_path, root):
     dump = write_lines(tmp_path / "d.json", [
         {"id64": i, "name": f"s{i}", "x": (i * 7919) % 4001 - 2000, "y": 0, "z": 0}
         for i in range(500)])
     catalog.import_dump(spark, root, dump)
-    spans = []
-    for part in (tmp_path / "catalog" / "data").glob("*/*.parquet"):
-        cells = [x // catalog.LAYOUT_EDGE for x in pq.read_table(part)["x"].to_pylist()]
+    parts = list((tmp_path / "catalog" / "systems" / "version=1").glob("bucket=*/*.parquet"))
+    assert len({part.parent for part in parts}) == catalog.LEAST_BUCKETS
+    for part in parts:
+        cells = [x // catalog.LAYOUT_EDGE for x in pq.ParquetFile(part).read()["x"].to_pylist()]
         assert cells == sorted(cells)
-        spans.append((cells[0], cells[-1]))
-    spans.sort()
-    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
 def test_typed_tables_and_statistics(spark):
@@ -198,48 +197,76 @@ def grid(n):
     return [{"id64": i, "name": f"S{i}", "x": i * 600.0, "y": 0, "z": 0} for i in range(n)]
 
 
-@pytest.fixture
-def small_files(spark):
-    key = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(key, "false")
-    yield
-    spark.conf.unset(key)
+def stored_files(tmp_path, table="systems"):
+    return {p: p.stat().st_mtime_ns for p in (tmp_path / "catalog" / table).rglob("*.parquet")}
 
 
-def test_patch_rewrites_only_what_it_touches(spark, tmp_path, root, small_files):
+def test_patch_overwrites_only_the_partitions_it_touches(spark, tmp_path, root):
     catalog.import_dump(spark, root, write_lines(tmp_path / "full.json", grid(400)))
-    before = catalog.manifest(spark, root)
-    assert len(before["files"]) > 2
-    patch = [{"id64": 3, "name": "S3b"}, {"id64": 9999, "name": "new", "x": 5.0, "y": 0, "z": 0}]
+    before = stored_files(tmp_path) | stored_files(tmp_path, "names")
+    patch = [{"id64": 3, "name": "S3b"}]
     catalog.import_dump(spark, root, write_lines(tmp_path / "patch.json", patch), mode="patch")
-    after = catalog.manifest(spark, root)
-    assert len(set(before["files"]) & set(after["files"])) == len(before["files"]) - 1
-    want = {f"addr:{i}": f"S{i}" for i in range(400)} | {"addr:3": "S3b", "addr:9999": "new"}
+    after = stored_files(tmp_path) | stored_files(tmp_path, "names")
+    gone = {p.parent for p in before if after.get(p) != before[p]}
+    assert len(gone) == 2 and {p.parent for p in set(after) - set(before)} == gone
+    want = {f"addr:{i}": f"S{i}" for i in range(400)} | {"addr:3": "S3b"}
     assert names(spark, root) == want
-    # names of replaced files are gone, others stay
+    # names that have been replaced are gone, others stay
     found = {r["name_lower"] for r in catalog.names(spark, root).collect()}
     assert found == {name.lower() for name in want.values()}
-    # the version before is still there, until it is removed
-    assert catalog.systems(spark, root, 1).where("name = 'S3'").count() == 1
-    assert catalog.remove_old_versions(spark, root, keep=1) == 1
-    assert catalog.versions(spark, root) == [2]
+    assert catalog.current(spark, root) == (1, catalog.LEAST_BUCKETS)
+
+
+def test_old_versions_stay_until_they_are_removed(spark, tmp_path, root):
+    for n in (5, 7, 9):
+        catalog.import_dump(spark, root, write_lines(tmp_path / "d.json", grid(n)))
+    assert catalog.versions(spark, root) == [1, 2, 3]
+    assert catalog.systems(spark, root, 1).count() == 5
+    # a load that died before it was logged is no version, and its number is not used again
+    (tmp_path / "catalog" / "systems" / "version=4").mkdir()
+    assert catalog.remove_old_versions(spark, root) == 1
+    assert catalog.versions(spark, root) == [2, 3, 4]
+    assert len(names(spark, root)) == 9
+    catalog.import_dump(spark, root, write_lines(tmp_path / "d.json", grid(11)))
+    assert catalog.current(spark, root)[0] == 5 and len(names(spark, root)) == 11
+    with pytest.raises(ValueError, match="kept"):
+        catalog.remove_old_versions(spark, root, keep=0)
+
+
+def test_a_patch_that_died_is_applied_again(spark, tmp_path, root, monkeypatch):
+    catalog.import_dump(spark, root, write_lines(tmp_path / "full.json", grid(40)))
+    patch = write_lines(tmp_path / "p.json", [{"id64": i, "name": f"P{i}"} for i in range(0, 60, 3)])
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(catalog, "write_names", dies)
+        with pytest.raises(RuntimeError, match="lost"):
+            catalog.import_dump(spark, root, patch, mode="patch")
+    catalog.import_dump(spark, root, patch, mode="patch")
+    want = {f"addr:{i}": f"S{i}" for i in range(40)} | {f"addr:{i}": f"P{i}" for i in range(0, 60, 3)}
     assert names(spark, root) == want
-
-
-def test_two_loads_at_once(spark, tmp_path, root, monkeypatch):
-    dump = write_lines(tmp_path / "d.json", grid(5))
-    catalog.import_dump(spark, root, dump)
-    ordered = catalog.spatial_order
-
-    def meanwhile(rows):
-        monkeypatch.setattr(catalog, "spatial_order", ordered)
-        catalog.import_dump(spark, root, write_lines(tmp_path / "e.json", grid(7)))
-        return ordered(rows)
-
-    monkeypatch.setattr(catalog, "spatial_order", meanwhile)
-    with pytest.raises(catalog.LoadConflict):
-        catalog.import_dump(spark, root, dump, mode="patch")
-    assert len(names(spark, root)) == 7
+    assert {r["name_lower"] for r in catalog.names(spark, root).collect()} == {n.lower() for n in want.values()}
+
+
+def test_many_loads_leave_few_files(spark, root, monkeypatch):
+    """The log is read while it grows: every entry is there once, in a bounded number of files."""
+    monkeypatch.setattr(log, "MOST_FILES", 4)
+    most = 0
+    for n in range(1, 31):
+        catalog.set_meta(spark, root, n=n, even=n - n % 2)
+        entries = catalog.read_log(spark, root)
+        # a reader that has listed the files before the next entry comes
+        if n % 7 == 0:
+            listed, seen = entries, n
+        if n % 7 == 2 and n > 7:
+            assert listed.count() == 2 * seen
+        most = max(most, len(files.glob(spark, f"{root}/run_log/*/*.parquet")))
+    assert most <= 2 * 4 + 1
+    assert catalog.get_meta(spark, root, "n") == "30" and catalog.get_meta(spark, root, "even") == "30"
+    found = [int(r["value"]) for r in catalog.read_log(spark, root).where("key = 'n'").collect()]
+    assert sorted(found) == list(range(1, 31))
 
 
 def test_every_source_is_logged(spark, tmp_path, root):
@@ -252,6 +279,7 @@ def test_every_source_is_logged(spark, tmp_path, root):
     listed = [f"d{i:02}.json" for i in range(13)]
     found = catalog.run_sources(spark, root).collect()
     assert sorted(r["source"].rpartition("/")[2] for r in found) == listed
+    assert {(r["load"], r["records"]) for r in found} == {(1, 1)}
     assert catalog.get_meta(spark, root, "last_import_source") == ", ".join(listed)
     assert [p.rpartition("/")[2] for p in files.inputs(spark, str(folder))] == listed
 
@@ -266,6 +294,77 @@ def test_lookup_filter_reaches_the_names(spark, tmp_path, root):
         catalog.reference_points(spark, root, ["S7", "nowhere"])
 
 
+def scan_metric(df, name):
+    """A metric of the plan's only scan, after it has run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Adaptive" in plan.getClass().getName():
+        plan = plan.finalPhysicalPlan()
+    scan = plan.collectLeaves().head()
+    return scan.metrics().get(name).get().value()
+
+
+def test_absent_names_read_no_row(spark, tmp_path, root):
+    """Within the range of names of every row group, so that only the Bloom filters tell."""
+    rows = [{"id64": i, "name": f"S{i:05}", "x": 0, "y": 0, "z": 0} for i in range(0, 4000, 2)]
+    catalog.import_dump(spark, root, write_lines(tmp_path / "d.json", rows))
+    stored = catalog.names(spark, root)
+    # one bucket holds it, and the filters of the others may pass one in a hundred names
+    assert scan_metric(stored.where("name_lower = 's01998'"), "numOutputRows") < 2000 / 2
+    absent = [scan_metric(stored.where(f"name_lower = 's{i:05}'"), "numOutputRows") for i in range(1001, 1041, 2)]
+    assert sum(n == 0 for n in absent) >= 15
+    key = "parquet.filter.bloom.enabled"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set(key, "false")
+    try:
+        plain = catalog.names(spark, root).where("name_lower = 's01001'")
+        assert scan_metric(plain, "numOutputRows") > 0
+    finally:
+        conf.unset(key)
+
+
+def test_statistics_change_the_side_that_is_broadcast(spark, tmp_path, root):
+    """Nearly all systems are empty: only a histogram tells that few have more than a few bodies."""
+    bodies = [{"type": "Star"}] * 40
+    rows = [{"id64": i, "name": f"S{i}", "bodies": bodies if i % 200 == 0 else []} for i in range(4000)]
+    spark.sql("CREATE DATABASE IF NOT EXISTS planned")
+    dump = write_lines(tmp_path / "d.json", rows)
+    catalog.import_source(spark, root, dump, database="planned")
+    assert "num_of_bins: 254" in catalog.column_statistics(spark, "planned.systems", "total_bodies")["histogram"]
+    spark.sql("CREATE TABLE planned.visits (system_key string, note string) USING parquet")
+    visits = spark.range(600).selectExpr("concat('addr:', id) AS system_key", "repeat('n', 40) AS note")
+    visits.write.insertInto("planned.visits")
+    catalog.analyze_table(spark, "planned.visits")
+
+    def built(spark):
+        rich = spark.table("planned.systems").where("total_bodies > 30").select("system_key")
+        joined = rich.join(spark.table("planned.visits"), "system_key")
+        text = joined._jdf.queryExecution().sparkPlan().toString()
+        assert joined.count() == 3
+        return [side for side in ("BuildLeft", "BuildRight") if side in text]
+
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": str(1 << 30)}):
+        assert built(spark) == ["BuildRight"]
+        with catalog.cost_based(spark):
+            assert built(spark) == ["BuildLeft"]
+    spark.sql("DROP DATABASE planned CASCADE")
+
+
+def test_patch_changes_the_published_table_in_place(spark, tmp_path, root):
+    spark.sql("CREATE DATABASE IF NOT EXISTS inplace")
+    catalog.import_dump(spark, root, write_lines(tmp_path / "f.json", grid(40)), database="inplace")
+    before = stored_files(tmp_path)
+    patch = write_lines(tmp_path / "p.json", [{"id64": 7, "name": "New"}])
+    catalog.import_dump(spark, root, patch, mode="patch", database="inplace")
+    assert spark.table("inplace.systems").where("system_key = 'addr:7'").first()["name"] == "New"
+    assert spark.table("inplace.systems").count() == 40
+    assert len(set(before) & set(stored_files(tmp_path))) >= len(before) - 2
+    assert catalog.column_statistics(spark, "inplace.systems", "name")["distinct_count"] == "40"
+    spark.sql("DROP DATABASE inplace CASCADE")
+    # the files are the catalogue's, not the table's
+    assert len(names(spark, root)) == 40
+
+
 def test_publish_to_typed_tables(spark, tmp_path, root):
     spark.sql("CREATE DATABASE IF NOT EXISTS published")
     dump = write_lines(tmp_path / "d.json", grid(30))

@@ -9,8 +9,7 @@ import zstandard
 
 from starscan.plans.ingest import convert_dump, stage
 from starscan.session import configure, scratch_path
-from starscan.sources import fragments
-from starscan.sources.dump import choose_layout, first_records, read_dump
+from starscan.sources.dump import first_records, read_dump, read_first
 from starscan.sources.parquet import read_staged
 
 SPLIT = "spark.sql.files.maxPartitionBytes"
@@ -65,8 +64,7 @@ def back(df):
 
 
 @pytest.mark.parametrize("layout", LAYOUTS)
-def test_any_layout(spark, tmp_path, small_splits, monkeypatch, layout):
-    monkeypatch.setattr(fragments, "CHUNK_BITS", 3)
+def test_any_layout(spark, tmp_path, small_splits, layout):
     records = make_records()
     path = tmp_path / "dump.json"
     path.write_text(LAYOUTS[layout](records), encoding="utf-8")
@@ -74,21 +72,38 @@ def test_any_layout(spark, tmp_path, small_splits, monkeypatch, layout):
     assert back(read_dump(spark, str(path), layout="any")) == records
 
 
-@pytest.mark.parametrize("layout", LAYOUTS)
-def test_layout_is_chosen(spark, tmp_path, layout):
-    path = tmp_path / "dump.json"
-    path.write_text(LAYOUTS[layout](make_records(400)), encoding="utf-8")
-    assert choose_layout(spark, str(path)) == ("lines" if layout == "lines" else "any")
-    path.write_text("[" + "{},\n" * 3 + "{}]")
-    assert choose_layout(spark, str(path)) == "lines"
-
-
-def test_file_without_outer_array_stops_before_any_grouping(spark, tmp_path, monkeypatch):
-    path = tmp_path / "dump.json"
-    path.write_text(json.dumps(make_records(500))[1:])
-    monkeypatch.setattr(fragments, "_net_brackets", lambda pieces, first: "0")
-    with pytest.raises(ValueError, match="not a top-level JSON array"):
-        read_dump(spark, str(path), layout="any")
+def test_several_files_in_any_layout_keep_arrival_order(spark, tmp_path):
+    configure(spark)
+    sizes = {"a": 7, "b": 300, "c": 1, "d": 50}
+    for (name, n), layout in zip(sizes.items(), LAYOUTS.values()):
+        (tmp_path / f"{name}.json").write_text(layout(make_records(n)), encoding="utf-8")
+    (tmp_path / "e.json.gz").write_bytes(gzip.compress(LAYOUTS["pretty"](make_records(9)).encode()))
+    (tmp_path / "f.json").write_bytes(b"\xef\xbb\xbf" + LAYOUTS["pretty"](make_records(3)).encode())
+    df = read_dump(spark, str(tmp_path), layout="any")
+    everything = [r for n in [*sizes.values(), 9, 3] for r in make_records(n)]
+    assert back(df) == everything
+    assert df.select("source_file", "seq").distinct().count() == len(everything)
+    assert back(read_first(spark, f"{tmp_path}/*.json", n=290, layout="any")) == everything[:290]
+
+
+@pytest.mark.parametrize("change_at", [None, 0, 350])
+def test_layout_is_found_in_the_whole_file(spark, tmp_path, change_at):
+    """Records that spread over lines are found wherever they begin."""
+    records = make_records(400)
+    texts = [json.dumps(r, indent=1 if change_at is not None and i >= change_at else None)
+             for i, r in enumerate(records)]
+    (tmp_path / "d.json").write_text("[\n" + ",\n".join(texts) + "\n]\n")
+    staged = stage(spark, scratch_path(spark, "staging"), str(tmp_path / "d.json"))
+    assert (staged.seen, staged.named) == (400, 400)
+    assert [r["objects"] for r in staged.sources.collect()] == [400]
+    assert {r["name"] for r in staged.rows.where("is_record").collect()} == {f"s{i}" for i in range(400)}
+    done = convert_dump(spark, str(tmp_path / "d.json"), str(tmp_path / "first"), max_systems=370)
+    assert done == {"systems_seen": 370, "systems_written": 370}
+
+
+def test_other_errors_are_no_reason_to_read_again(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)path"):
+        stage(spark, scratch_path(spark, "staging"), str(tmp_path / "missing.json"))
 
 
 def test_lines_in_many_splits_keep_arrival_order(spark, tmp_path, small_splits):
