@@ -30,18 +30,44 @@ def count_where(items: str, condition: str) -> str:
     return f"size(filter({items}, i -> {condition}))"
 
 
+def _bound(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _runs(items: str, key: str) -> str:
+    """Where runs of equal keys start in sorted ``items``; ``key`` is an expression of ``item``."""
+    previous = key.replace("item", f"get({items}, i - 1)")
+    return f"""filter(sequence(0, size({items}) - 1), i -> i = 0
+      OR {key.replace("item", f"get({items}, i)")} <> {previous})"""
+
+
 def histogram(labels: str) -> str:
-    """array<string> without nulls -> map of label to number of occurrences."""
-    return f"""map_from_entries(transform(sort_array(array_distinct({labels})),
-      label -> struct(label, {count_where(labels, "i = label")})))"""
+    """array<string> without nulls -> map of label to number of occurrences.
+
+    Sorts the labels and counts runs of equal ones, so the work does not grow with the number of
+    different labels.
+    """
+    counted = """map_from_arrays(
+      transform(starts, i -> get(sorted, i)),
+      transform(starts, (start, n) -> coalesce(get(starts, n + 1), size(sorted)) - start))"""
+    runs = _bound(_runs("sorted", "item"), "starts", counted)
+    return _bound(
+        f"sort_array({labels})", "sorted", f"CASE WHEN size(sorted) = 0 THEN {NO_COUNTS} ELSE {runs} END"
+    )
 
 
 def merged_histogram(parts: str, label: str) -> str:
-    """Adds up partial counts: array<struct<label, n>> -> map of label to total."""
-    return f"""map_from_entries(transform(
-      sort_array(array_distinct(transform({parts}, p -> p.{label}))),
-      k -> struct(k, aggregate(filter({parts}, p -> p.{label} = k), 0,
-                               (total, p) -> total + CAST(p.n AS int)))))"""
+    """Adds up partial counts: array<struct<label, n>> -> map of label to total, by runs."""
+    summed = f"""map_from_arrays(
+      transform(starts, i -> get(sorted, i).{label}),
+      transform(starts, (start, k) -> aggregate(
+        slice(sorted, start + 1, coalesce(get(starts, k + 1), size(sorted)) - start), 0,
+        (total, p) -> total + CAST(p.n AS int))))"""
+    runs = _bound(_runs("sorted", f"item.{label}"), "starts", summed)
+    return _bound(
+        f"sort_array({parts})", "sorted", f"CASE WHEN size(sorted) = 0 THEN {NO_COUNTS} ELSE {runs} END"
+    )
 
 
 def canonical_json(counts: str) -> str:

@@ -1,10 +1,12 @@
 """Loosely typed records, one by one, with values worked out by hand."""
 
 import json
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from starscan.functions.counts import canonical_json
+from starscan.functions.counts import canonical_json, histogram, merged_histogram
 from starscan.plans.ingest import system_rows, utc_now
 from starscan.sources.dump import parse_records
 
@@ -112,3 +114,15 @@ def test_canonical_json_is_sorted_and_spaced(spark):
     df = spark.createDataFrame([(counts,), ({},)], "m map<string,int>")
     got = [r[0] for r in df.selectExpr(canonical_json("m")).collect()]
     assert got == [json.dumps(counts, ensure_ascii=False, sort_keys=True), "{}"]
+
+
+@pytest.mark.parametrize("n, different", [(0, 1), (1, 1), (7, 3), (40_000, 10_000)])
+def test_histograms_of_many_labels(spark, n, different):
+    """By rows and merged from parts; the work grows with the bodies, not with bodies x labels."""
+    labels = spark.range(n).selectExpr(f"concat('é', id * 7919 % {different}) AS l")
+    one = labels.agg(F.collect_list("l").alias("l"))
+    want = dict(Counter(f"é{i * 7919 % different}" for i in range(n)))
+    assert one.selectExpr(f"{histogram('l')} AS h").first()["h"] == want
+    parts = one.selectExpr("transform(concat(l, l), v -> struct(v AS type, 3L AS n)) AS p")
+    merged = parts.selectExpr(f"{merged_histogram('p', 'type')} AS h").first()["h"]
+    assert merged == {label: 6 * count for label, count in want.items()}
