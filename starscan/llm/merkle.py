@@ -33,8 +33,10 @@ LEAF_WORDS = 8
 #: A leaf: words of which only the last may end a sentence.
 LEAF = r"(?:[^ \n]*[^ \n.!?] ){0,%d}[^ \n]+" % (LEAF_WORDS - 1)
 #: Bytes of text in a bucket of neighbours; above so many buckets they grow instead.
-BUCKET_BYTES = 16 << 20
-MAX_BUCKETS = 1 << 16
+BUCKET_BYTES = 2 << 20
+MAX_BUCKETS = 1 << 18
+#: Buckets that a task takes, several, so that tasks differ less in size.
+TASK_BUCKETS = 8
 
 
 def _digest(text: Column) -> Column:
@@ -98,8 +100,8 @@ def edited(text: Column, follower: Column) -> Column:
     return F.concat(kept, F.substring(follower, F.lit(1), half))
 
 
-def bucket_of(rows: DataFrame) -> tuple[Column, int]:
-    """The bucket of each row (doc_id, text, fingerprint), and how many there are.
+def bucket_of(rows: DataFrame, least: int = 1) -> tuple[Column, int]:
+    """The bucket of each row (doc_id, text, fingerprint), and how many there are, about ``least`` or more.
 
     Buckets follow each other in the order of descending doc_id, null last, then fingerprint: quantiles
     of doc_id, measured in one pass, cut the ids, and an id that spans several quantiles, or null, is cut
@@ -108,7 +110,7 @@ def bucket_of(rows: DataFrame) -> tuple[Column, int]:
     n, known, size = rows.agg(
         F.count("*"), F.count("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
     ).first()
-    wanted = min(MAX_BUCKETS, max(1, -(-size // BUCKET_BYTES)))
+    wanted = min(MAX_BUCKETS, max(least, -(-size // BUCKET_BYTES)))
     shares = [i / wanted for i in range(wanted - 1, 0, -1)]
     bounds = []
     if shares and known:
@@ -187,13 +189,14 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     successor, the document with the next smaller doc_id; after the last one comes the first.
     """
     rows = with_fingerprints(docs)
-    bucket, buckets = bucket_of(rows)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucket, buckets = bucket_of(rows, least=tasks * TASK_BUCKETS)
     order = [F.desc_nulls_last("doc_id"), F.asc("fingerprint")]
     window = Window.partitionBy("bucket").orderBy(*order)
     follower = F.struct("fingerprint", "text", "leaves")
     neighbours = (
         rows.withColumn("bucket", bucket)
-        .repartition(buckets, "bucket")
+        .repartition(-(-buckets // TASK_BUCKETS), "bucket")
         .withColumns(
             {"next": F.lead(follower).over(window), "is_first": F.row_number().over(window) == 1}
         )
