@@ -113,53 +113,99 @@ def encode_by_spaces(texts: pa.Array, encode: PieceCache) -> Ragged:
 
 
 class Aligned(NamedTuple):
-    """An aligned window: its groups as text, how many, and its links (A id << 32 | B id)."""
+    """Aligned windows: the groups of each as text, how many, and how many links; ``links`` of all
+    windows on end (A id << 32 | B id)."""
 
-    groups: bytes
-    n_groups: int
+    groups: list[bytes]
+    n_groups: np.ndarray
+    n_links: np.ndarray
     links: np.ndarray
 
 
-def align(a: Sequence[int], b: Sequence[int], a_lengths: np.ndarray, b_lengths: np.ndarray) -> Aligned:
-    """Two token sequences that spell the same bytes, given the lengths of all tokens of either side."""
-    groups, links = [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = a_lengths[a[0]], b_lengths[b[0]]
-    while True:
-        links.append(a[i] << 32 | b[j])
-        behind_a, behind_b = end_a <= end_b, end_b <= end_a
-        i += behind_a
-        j += behind_b
-        if behind_a and behind_b:
-            groups.append(
-                f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}".encode()
-            )
-            first_a, first_b = i, j
-            if i == len(a):
-                return Aligned(b";".join(groups), len(groups), np.array(links, np.int64))
-        if behind_a:
-            end_a += a_lengths[a[i]]
-        if behind_b:
-            end_b += b_lengths[b[j]]
+#: What may follow an id in the text of groups.
+_MARKS = (",", "|", ";", "")
+_NEXT, _SIDES, _GROUP, _END = range(len(_MARKS))
+
+
+@functools.lru_cache(maxsize=2)
+def _id_texts(n: int) -> pa.Array:
+    """Every id below ``n`` with every mark: id ``i`` with mark ``m`` is entry ``len(_MARKS) * i + m``."""
+    return pa.array([f"{i}{mark}".encode() for i in range(n) for mark in _MARKS], pa.binary())
+
+
+def align(keys: Sequence[bytes], a_side: Side, b_side: Side) -> Aligned:
+    """Windows given as the bytes of their ids: those of A, -1, those of B, which spell the same."""
+    flat = np.frombuffer(b"".join(keys), np.int32).astype(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)) // 4)
+    starts, cuts = np.append(0, ends)[:-1], np.flatnonzero(flat < 0)
+    n_a, n_b = cuts - starts, ends - cuts - 1
+    a, b = flat[ranges(starts, n_a)], flat[ranges(cuts + 1, n_b)]
+    a_ends, b_ends = np.cumsum(a_side.lengths[a]), np.cumsum(b_side.lengths[b])
+    # the B tokens that a token of A overlaps
+    first = np.searchsorted(b_ends, a_ends - a_side.lengths[a], "right")
+    last = np.searchsorted(b_ends, a_ends)
+    wide = last - first + 1
+    links = np.repeat(a, wide) << 32 | b[ranges(first, wide)]
+    # a group closes where both end
+    a_closes = b_ends[last] == a_ends
+    b_closes = np.zeros(len(b), bool)
+    b_closes[last[a_closes]] = True
+    window_a, window_b = np.cumsum(n_a), np.cumsum(n_b)
+    marks_a = np.where(a_closes, _SIDES, _NEXT)
+    marks_b = np.where(b_closes, _GROUP, _NEXT)
+    marks_b[window_b - 1] = _END
+    # the tokens of a group follow each other, those of A first
+    closed_a, closed_b = np.flatnonzero(a_closes) + 1, np.flatnonzero(b_closes) + 1
+    place_a = np.arange(len(a)) + np.append(0, closed_b)[np.cumsum(a_closes) - a_closes]
+    place_b = np.arange(len(b)) + closed_a[np.cumsum(b_closes) - b_closes]
+    order = np.empty(len(a) + len(b), np.int64)
+    order[place_a] = len(_MARKS) * a + marks_a
+    order[place_b] = len(_MARKS) * b + marks_b
+    texts = _id_texts(max(len(a_side.lengths), len(b_side.lengths))).take(pa.array(order))
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[np.append(0, window_a + window_b)]
+    groups = pa.Array.from_buffers(
+        pa.binary(), len(keys), [None, pa.py_buffer(bounds), texts.buffers()[2]]
+    )
+
+    def per_window(counts: np.ndarray) -> np.ndarray:
+        return np.diff(np.append(0, np.cumsum(counts))[window_a], prepend=0)
+
+    return Aligned(groups.to_pylist(), per_window(a_closes), per_window(wide), links)
 
 
 class Memo:
-    """Aligned windows by the bytes of their ids: those of A, -1, those of B."""
+    """Aligned windows by the bytes of their ids."""
 
     def __init__(self, a: Side, b: Side):
-        # plain lists: single elements are read
-        self.a_lengths, self.b_lengths = a.lengths.tolist(), b.lengths.tolist()
-        self.known: dict[bytes, Aligned] = {}
-
-    def __call__(self, window: bytes) -> Aligned:
-        found = self.known.get(window)
-        if found is None:
-            ids = np.frombuffer(window, np.int32)
-            cut = int(np.flatnonzero(ids == -1)[0])
-            found = align(ids[:cut].tolist(), ids[cut + 1 :].tolist(), self.a_lengths, self.b_lengths)
-            if len(self.known) < MEMO_WINDOWS and len(ids) <= MEMO_TOKENS:
-                self.known[window] = found
-        return found
+        self.sides = a, b
+        self.known: dict[bytes, int] = {}
+        nothing = np.zeros(0, np.int64)
+        self.aligned = Aligned([], nothing, nothing, nothing)
+
+    def __call__(self, keys: list[bytes]) -> tuple[Aligned, np.ndarray]:
+        """Aligned windows that hold those of ``keys``, and the place of each among them."""
+        place = np.fromiter((self.known.get(key, -1) for key in keys), np.int64, len(keys))
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return self.aligned, place
+        # short ones first: they may be remembered
+        short = np.array([len(keys[i]) <= 4 * MEMO_TOKENS for i in new.tolist()])
+        new = np.concatenate([new[short], new[~short]])
+        found = align([keys[i] for i in new.tolist()], *self.sides)
+        place[new] = len(self.aligned.groups) + np.arange(len(new))
+        both = Aligned(
+            self.aligned.groups + found.groups,
+            *[np.concatenate(pair) for pair in zip(self.aligned[1:], found[1:], strict=True)],
+        )
+        room = min(max(0, MEMO_WINDOWS - len(self.known)), int(short.sum()))
+        if room:
+            n = len(self.known)
+            self.known |= {keys[i]: n + at for at, i in enumerate(new[:room].tolist())}
+            n += room
+            self.aligned = Aligned(
+                both.groups[:n], both.n_groups[:n], both.n_links[:n], both.links[: both.n_links[:n].sum()]
+            )
+        return both, place
 
 
 def spelled(texts: pa.Array, lists: Ragged, side: Side) -> np.ndarray:
@@ -229,16 +275,16 @@ def align_chunk(texts: pa.Array, a: Ragged, b: Ragged, a_side: Side, b_side: Sid
     a, b = _kept(a, good), _kept(b, good)
     n_docs = len(a.lengths)
     found, per_doc = windows(a, b, a_side, b_side)
-    aligned = [memo(key) for key in found.dictionary.to_pylist()]
+    aligned, place = memo(found.dictionary.to_pylist())
     which = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     doc = np.repeat(np.arange(n_docs), per_doc)
+    # the windows of this chunk, out of all that are remembered
+    n_groups, n_links = aligned.n_groups[place], aligned.n_links[place]
+    first_link = (np.cumsum(aligned.n_links) - aligned.n_links)[place]
+    pair, number = np.unique(aligned.links[ranges(first_link, n_links)], return_inverse=True)
     # each different window of a document, and how often it occurs
-    cells, often = np.unique(doc * len(aligned) + which, return_counts=True)
-    doc_of, window = np.divmod(cells, max(len(aligned), 1))
-    n_links = np.array([len(x.links) for x in aligned], np.int64)
-    n_groups = np.array([x.n_groups for x in aligned], np.int64)
-    all_links = np.concatenate([x.links for x in aligned]) if aligned else np.zeros(0, np.int64)
-    pair, number = np.unique(all_links, return_inverse=True)
+    cells, often = np.unique(doc * len(place) + which, return_counts=True)
+    doc_of, window = np.divmod(cells, max(len(place), 1))
     link = ranges((np.cumsum(n_links) - n_links)[window], n_links[window])
     cells = np.repeat(doc_of, n_links[window]) * len(pair) + number[link]
     # the links of a document, each pair once
@@ -247,23 +293,24 @@ def align_chunk(texts: pa.Array, a: Ragged, b: Ragged, a_side: Side, b_side: Sid
     first = np.flatnonzero(np.diff(cells, prepend=-1))
     times = np.add.reduceat(often_of_link, first) if len(first) else np.zeros(0, np.int64)
     pair_doc, pair_number = np.divmod(cells[first], max(len(pair), 1))
-    groups = np.array([x.groups for x in aligned], object)[which].tolist()
+    texts_of_window = [aligned.groups[i] for i in place.tolist()]
+    groups = [texts_of_window[i] for i in which.tolist()]
     bounds = np.concatenate([[0], np.cumsum(per_doc)]).tolist()
     digests = [
         hashlib.sha256(b";".join(groups[s:e])).hexdigest() for s, e in zip(bounds, bounds[1:], strict=False)
     ]
-    place = np.flatnonzero(good)
+    kept = np.flatnonzero(good)
 
     def spread(values: np.ndarray) -> np.ndarray:
         out = np.zeros(len(good), np.int64)
-        out[place] = values
+        out[kept] = values
         return out
 
     def total(values: np.ndarray) -> np.ndarray:
         return spread(np.bincount(doc, values[which], n_docs).astype(np.int64))
 
     texts_of = [""] * len(good)
-    for at, digest in zip(place.tolist(), digests, strict=True):
+    for at, digest in zip(kept.tolist(), digests, strict=True):
         texts_of[at] = digest
     n_pairs = spread(np.bincount(pair_doc, minlength=n_docs))
     offsets = pa.array(np.concatenate([[0], np.cumsum(n_pairs)]), pa.int32())

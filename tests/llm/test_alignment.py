@@ -118,21 +118,44 @@ def test_words_as_whole_texts():
     assert found == loaded()[1].encode(texts)
 
 
-def test_every_overlap_is_a_link():
+@pytest.mark.parametrize("remembered", [0, 30, 10_000])
+def test_every_overlap_is_a_link(monkeypatch, remembered):
+    """Windows of random cuts, again and again, with a memo that is full, half full or large."""
+    monkeypatch.setattr(alignment, "MEMO_WINDOWS", remembered)
+    monkeypatch.setattr(alignment, "MEMO_TOKENS", 9)
     pick = random.Random(5)
-    for _ in range(200):
-        size = pick.randrange(1, 30)
-        cuts = [sorted({size, *pick.choices(range(1, size + 1), k=pick.randrange(6))}) for _ in range(2)]
-        # ids name their lengths
-        a, b = ([e - s for s, e in zip([0, *ends], ends)] for ends in cuts)
-        lengths = np.arange(40)
-        found = alignment.align(a, b, lengths, lengths)
-        ends_a, ends_b = cuts
-        links = [
-            (x, y)
-            for x, e in zip(a, ends_a)
-            for y, f in zip(b, ends_b)
-            if e - x < f and f - y < e
+    # ids name their lengths
+    side = alignment._side([b" " + b"x" * (i - 1) for i in range(40)])
+    memo = alignment.Memo(side, side)
+    for _ in range(20):
+        keys, want = [], []
+        for _ in range(25):
+            size = pick.randrange(1, 9) if pick.random() < 0.5 else pick.randrange(1, 30)
+            cuts = [sorted({size, *pick.choices(range(1, size + 1), k=pick.randrange(9))}) for _ in range(2)]
+            a, b = ([e - s for s, e in zip([0, *ends], ends)] for ends in cuts)
+            key = np.array([*a, -1, *b], np.int32).tobytes()
+            if key in keys:
+                continue
+            keys.append(key)
+            links = [(x, y) for x, e in zip(a, cuts[0]) for y, f in zip(b, cuts[1]) if e - x < f and f - y < e]
+            shared = sorted(set(cuts[0]) & set(cuts[1]))
+            groups = ";".join(
+                "|".join(
+                    ",".join(str(x) for x, e in zip(ids, ends) if low < e <= high)
+                    for ids, ends in ((a, cuts[0]), (b, cuts[1]))
+                )
+                for low, high in zip([0, *shared], shared)
+            )
+            want.append((groups.encode(), len(shared), links))
+        aligned, place = memo(keys)
+        start = np.cumsum(aligned.n_links) - aligned.n_links
+        found = [
+            (
+                aligned.groups[i],
+                aligned.n_groups[i],
+                [(v >> 32, v & 0xFFFFFFFF) for v in aligned.links[start[i] :][: aligned.n_links[i]].tolist()],
+            )
+            for i in place.tolist()
         ]
-        assert [(v >> 32, v & 0xFFFFFFFF) for v in found.links.tolist()] == links
-        assert found.n_groups == len(set(ends_a) & set(ends_b)) == found.groups.count(b"|")
+        assert found == want
+    assert len(memo.known) <= remembered
