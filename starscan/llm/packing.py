@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starscan.llm.common import stage, text_chunks
-from starscan.llm.tokens import encode_texts, library_encoder
+from starscan.llm.tokens import CACHE_PIECES, encode_texts, library_encoder
 
 #: Fillings that are tried for one largest length, and steps of the whole search.
 BRANCHES = 3
@@ -156,11 +156,13 @@ PIECE_DDL = (
 )
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with_ids: bool) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with_ids: bool, memory: int = CACHE_PIECES
+) -> DataFrame:
     """Documents (doc_id, text) as pieces of at most ``capacity`` ids, numbered per task and length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(vocabulary)
+        encode = library_encoder(vocabulary, memory)
         task = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for chunk in text_chunks(batches):
@@ -242,9 +244,13 @@ def pack_documents(
     end_id: int,
     capacity: int = 1024,
     with_ids: bool = False,
+    memory: int = CACHE_PIECES,
 ) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), with ``ids`` if asked for."""
-    pieces = token_pieces(docs, vocabulary, end_id, capacity, with_ids)
+    """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset), with ``ids`` if asked for.
+
+    ``memory``: stretches of text whose ids a worker remembers.
+    """
+    pieces = token_pieces(docs, vocabulary, end_id, capacity, with_ids, memory)
     if not with_ids:
         pieces = pieces.drop("ids")
     return pack_pieces(spark, stage(spark, pieces, "pieces"), capacity)

@@ -101,7 +101,11 @@ def quality_grades(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces packed into sequences of at most 1024 ids."""
     return packing.pack_documents(
-        spark, _table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2
+        spark,
+        _table(spark, sf_dir, "documents"),
+        vocabulary("byte_bpe_50k.json"),
+        end_id=2,
+        memory=700_000,
     )
 
 
