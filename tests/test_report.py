@@ -81,6 +81,18 @@ def test_link_templates(spark, tmp_path):
     ]
 
 
+def test_map_addresses_without_a_system():
+    host = "https://edgis.elitedangereuse.fr"
+    useless = [host, f"{host}/", "HTTP://EDGIS.elitedangereuse.fr", f"{host}/static/sysmap.html?system=",
+               f" {host}/static/SYSMAP.html?system= "]
+    useful = [f"{host}/static/sysmap.html?system={{name}}", f"{host}/{{name_path}}",
+              f"{host}/static/sysmap.html?system=Sol", "https://example.org", f"{host}.example.org/"]
+    for text in useless:
+        assert merge_templates({"edgis": text})["edgis"] == DEFAULT_TEMPLATES["edgis"]
+    for text in useful:
+        assert merge_templates({"EDGIS": text})["edgis"] == text
+
+
 def test_counts_from_json_text(spark):
     texts = [None, "", "null", "[1]", "7", "{", '{"a":1} x', '{"a":1},{"b":2}', '{"A":1,"a":"2","b":4.9}',
              '{"a":null,"A":"no"}']
