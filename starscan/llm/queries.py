@@ -162,7 +162,10 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     return warc.read_archive(spark, path).select(
         F.col("id").alias("page_id"),
         "payload_bytes",
-        F.coalesce("found_digest", "digest").alias("payload_digest"),
+        # a revisit has no payload of its own; that of a response is what was read, never what it declares
+        F.when(F.col("kind") == "revisit", F.col("digest")).otherwise(F.col("found_digest")).alias(
+            "payload_digest"
+        ),
         F.col("kind").alias("record_type"),
         "refers_to",
     )

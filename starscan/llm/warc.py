@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starscan.llm.common import lookup, stage
+from starscan.session import configure
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads below this many bytes are never written as revisits.
 MIN_REVISIT_BYTES = 1000
-#: Repeated payloads up to this many are joined by broadcast (about 60 bytes each).
+#: Repeated payloads, or pieces of torn records, up to this many are joined by broadcast (about 60 bytes each).
 MAX_BROADCAST_KEEPERS = 200_000
 RECORDS_PER_FILE = 100_000
 
@@ -238,8 +239,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Verified records of the WARC files below ``path``.
 
     Columns file, at (byte offset), id, kind, refers_to, digest (as declared), payload_bytes,
-    found_digest (of the payload read; null for revisits).
+    found_digest (of the payload read; null for revisits). The files are scanned twice if payloads hold
+    version lines, and ``configure`` keeps the splits of both scans alike.
     """
+    configure(spark)
     staged = stage(spark, _pieces(spark, path).mapInArrow(_candidates, CANDIDATE_DDL), "candidates")
     # where a split's first piece lies in its file: all pieces and separators of the splits before
     spans = staged.groupBy("file", "block").agg(
@@ -261,8 +264,9 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         "file", "at", "skip", "payload_bytes"
     )
     if not torn.isEmpty():
+        owners = stage(spark, _owners(staged, bases, records, torn), "owners")
         records = records.join(
-            _joined_payloads(spark, path, bases, torn), ["file", "at"], "left"
+            _joined_payloads(spark, path, owners), ["file", "at"], "left"
         ).withColumn("found_digest", F.coalesce("found_digest", "torn_digest"))
     return records.select(
         "file", "at", "id", "kind", "refers_to", "digest", "payload_bytes", "found_digest"
@@ -277,23 +281,54 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _joined_payloads(spark: SparkSession, path: str, bases: DataFrame, torn: DataFrame) -> DataFrame:
-    """(file, at, torn_digest) of records whose payload holds version lines, from all their pieces."""
-    placed = (
-        _pieces(spark, path)
-        .mapInArrow(_positions, "file string, block long, pos long, piece binary")
-        .join(bases, ["file", "block"])
-        .select("file", (F.col("base") + F.col("pos")).alias("start"), "piece")
+def _owners(staged: DataFrame, bases: DataFrame, records: DataFrame, torn: DataFrame) -> DataFrame:
+    """(file, block, pos, at, skip, payload_bytes): the torn record that each of its pieces lies in.
+
+    Narrow rows only. A piece belongs to the last record that starts at or before it: in its own block,
+    or else the last one of the blocks before.
+    """
+    starts = records.select("file", "at", F.lit(True).alias("is_record"))
+    pieces = (
+        staged.join(bases, ["file", "block"])
+        .select("file", "block", "pos", (F.col("base") + F.col("pos") - len(MAGIC)).alias("at"))
+        .join(starts, ["file", "at"], "left")
     )
-    inside = placed.join(torn, "file").where(
-        "start >= at + 10 and start <= at + 10 + skip + payload_bytes"
+    own = F.when(F.col("is_record"), F.col("at"))
+    blocks = pieces.groupBy("file", "block").agg(F.max(own).alias("last"))
+    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select("file", "block", F.max("last").over(in_file).alias("carried"))
+    in_block = Window.partitionBy("file", "block").orderBy("pos")
+    owned = pieces.join(carried, ["file", "block"]).select(
+        "file",
+        "block",
+        "pos",
+        F.col("at").alias("here"),
+        F.coalesce(F.last(own, ignorenulls=True).over(in_block), F.col("carried")).alias("at"),
     )
-    whole = inside.groupBy("file", "at").agg(
-        F.sort_array(F.collect_list(F.struct("start", "piece"))).alias("parts"),
-        F.first("skip").alias("skip"),
-        F.first("payload_bytes").alias("size"),
+    return owned.join(torn, ["file", "at"]).where("here <= at + skip + payload_bytes").drop("here")
+
+
+def _joined_payloads(spark: SparkSession, path: str, owners: DataFrame) -> DataFrame:
+    """(file, at, torn_digest) of records whose payload holds version lines, from all their pieces.
+
+    Only pieces of such records are grouped. A few owners are sent to the scan; many are joined to it in
+    a shuffle by piece.
+    """
+    pieces = _pieces(spark, path).mapInArrow(_positions, "file string, block long, pos long, piece binary")
+    if owners.count() <= MAX_BROADCAST_KEEPERS:
+        owners = F.broadcast(owners)
+    whole = (
+        pieces.join(owners, ["file", "block", "pos"])
+        .groupBy("file", "at")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("block", "pos", "piece"))).alias("parts"),
+            F.first("skip").alias("skip"),
+            F.first("payload_bytes").alias("size"),
+        )
     )
     # strings only in name: neither the casts nor the join look at the bytes
     joined = F.array_join(F.transform("parts", lambda part: part["piece"].cast("string")), MAGIC)
     payload = F.substring(joined.cast("binary"), F.col("skip") + 1, F.col("size"))
-    return whole.select("file", "at", F.sha1(payload).alias("torn_digest"))
+    # a file may end before the payload does
+    digest = F.when(F.octet_length(payload) == F.col("size"), F.sha1(payload))
+    return whole.select("file", "at", digest.alias("torn_digest"))

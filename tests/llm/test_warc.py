@@ -58,6 +58,34 @@ def test_round_trip(spark, split_bytes):
     assert found == expected(PAGES)
 
 
+def test_many_torn_records(spark, monkeypatch):
+    """Every payload holds version lines, some over several splits; owners are joined in a shuffle."""
+    monkeypatch.setattr(warc, "MAX_BROADCAST_KEEPERS", 0)
+    pages = [(i, "http://t", FAKE * (i % 5) + f"{i}" * (i * 31 % 900) + "WARC/1.1\r\n") for i in range(40)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "1500")
+    try:
+        found = rows_of(queries.warc_round_trip(spark, frame.coalesce(1)))
+    finally:
+        spark.conf.set(key, old)
+    assert found == expected(pages)
+
+
+def test_digest_of_a_response_is_never_the_declared_one(spark, tmp_path):
+    """A payload that does not match its header is seen, and so is one that was cut off."""
+    body = "HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nabc"
+    record = (
+        "WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:lie\r\n"
+        f"Content-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
+    )
+    (tmp_path / "a.warc").write_bytes((record + record[:-20]).encode())
+    rows = warc.read_archive(spark, str(tmp_path)).orderBy("at").collect()
+    assert [(r.digest, r.found_digest) for r in rows] == [
+        ("lie", hashlib.sha1(b"abc").hexdigest()), ("lie", None)]
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "page_id long, url string, html string")
     assert queries.warc_round_trip(spark, frame).collect() == []
