@@ -3,9 +3,11 @@
 Only lengths matter, and there are at most ``capacity`` of them: the plan is made for the histogram of
 lengths, by bin completion with branch and bound. Around the largest length left, undominated fillings
 (largest lengths first) are tried in order of their waste; a filling is applied as often as the counts
-allow; a branch is cut when its waste exceeds what a solution better than the incumbent can afford.
-The incumbent comes from best fit on the same histogram. Work and memory of the plan depend on
-``capacity`` only. The pieces then find their place by their rank among pieces of equal length.
+allow, then less often; a branch is cut when its waste exceeds what a solution better than the
+incumbent can afford. The incumbent comes from best fit on the same histogram. A search ends when it
+finds a plan, when everything has been tried, which proves that there is none, or after ``STEPS``
+fillings. Work and memory of the plan depend on ``capacity`` only. The pieces then find their place by
+their rank among pieces of equal length.
 
 Defined results. Null text: empty, so only the end id. Null doc_id: kept. Repeated rows and ids: packed
 each for itself. Empty table: no piece. Other columns of the input are ignored.
@@ -14,8 +16,9 @@ each for itself. Empty table: no piece. Other columns of the input are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from itertools import islice
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +29,27 @@ from pyspark.sql import functions as F
 from starscan.llm.common import stage, text_chunks
 from starscan.llm.tokens import CACHE_PIECES, encode_texts, library_encoder
 
-#: Fillings that are tried for one largest length, and steps of the whole search.
-BRANCHES = 3
+#: Fillings that a search looks at, dominated ones included.
 STEPS = 4_000
 
 Plan = list[tuple[tuple[int, ...], int]]
 
 
+class Search(NamedTuple):
+    """A plan, or None; in that case whether it is proven that there is none."""
+
+    plan: Plan | None
+    proven: bool
+
+
+class Packing(NamedTuple):
+    """A plan, its sequences, and the least number of sequences that is proven to be needed."""
+
+    plan: Plan
+    sequences: int
+    bound: int
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     """Around the largest length, always the largest length that still fits."""
     left, plan = dict(counts), []
@@ -82,61 +99,114 @@ def fillings(counts: dict[int, int], room: int, most_waste: int) -> Iterator[tup
         yield from extend(0, room - waste)
 
 
-def bin_completion(counts: dict[int, int], capacity: int, bins: int, steps: int = STEPS) -> Plan | None:
-    """A plan of at most ``bins`` sequences, or None if none is found within ``steps``."""
+def _sums(sizes: Iterable[int], room: int) -> int:
+    """Bit ``s`` is set if some of the lengths sum to ``s``; at most ``room``."""
+    bits = 1
+    for size in sizes:
+        bits |= bits << size
+    return bits & ((1 << (room + 1)) - 1)
+
+
+def dominated(filling: tuple[int, ...], counts: dict[int, int], room: int) -> bool:
+    """Whether a longer piece could take the place of some of the filling, or join it.
+
+    Such a filling is never needed: with the two exchanged, the other sequences only have it easier.
+    ``counts`` are the pieces available, those of the filling included.
+    """
+    waste = room - sum(filling)
+
+    def replaced(others: Iterable[int]) -> int:
+        """Bit ``x`` is set if pieces out of ``others`` of a length from ``x - waste`` to ``x`` can go."""
+        bits, width = _sums(others, room), 1
+        while width <= waste:
+            bits |= bits << min(width, waste + 1 - width)
+            width *= 2
+        return bits
+
+    used = Counter(filling)
+    bits = replaced(filling)
+    for size, n in counts.items():
+        if size > room or n <= used[size]:
+            continue
+        # a piece is no replacement for its like
+        if (replaced(s for s in filling if s != size) if used[size] else bits) >> size & 1:
+            return True
+    return False
+
+
+def bin_completion(counts: dict[int, int], capacity: int, bins: int, steps: int = STEPS) -> Search:
+    """Looks for a plan of at most ``bins`` sequences."""
     slack = bins * capacity - sum(s * n for s, n in counts.items())
     if slack < 0:
-        return None
+        return Search(None, True)
+    looked_at = 0
 
-    def options(left: dict[int, int], slack: int) -> Iterator[tuple[tuple[int, ...], int, int]]:
+    def options(left: dict[int, int], slack: int) -> Iterator[tuple[tuple[int, ...], int, int] | None]:
+        nonlocal looked_at
         largest = max(left)
         rest = {s: c for s, n in left.items() if (c := n - (s == largest))}
         room = capacity - largest
-        for filling in islice(fillings(rest, room, slack), BRANCHES):
+        for filling in fillings(rest, room, slack):
+            looked_at += 1
+            if dominated(filling, rest, room):
+                if looked_at >= steps:
+                    return
+                continue
             whole = (largest, *filling)
-            times = min(left[s] // whole.count(s) for s in set(whole))
+            most = min(left[s] // whole.count(s) for s in set(whole))
             if waste := room - sum(filling):
-                times = min(times, slack // waste)
-            yield whole, times, waste * times
+                most = min(most, slack // waste)
+            for times in range(most, 0, -1):
+                yield whole, times, waste * times
 
     path: list = []
     branches: list[Iterator] = []
     states = [(dict(counts), slack)]
-    while steps:
+    while looked_at < steps:
         left, slack = states[-1]
         if not left:
-            return [(whole, times) for whole, times, _ in path]
+            return Search([(whole, times) for whole, times, _ in path], False)
         if len(branches) < len(states):
             branches.append(options(left, slack))
-        steps -= 1
         choice = next(branches[-1], None)
+        if looked_at >= steps:
+            break
         if choice is None:
             branches.pop()
             states.pop()
             if not states:
-                return None
+                return Search(None, True)
             path.pop()
             continue
+        looked_at += 1
         whole, times, lost = choice
         path.append(choice)
         used = {s: whole.count(s) * times for s in set(whole)}
         states.append(({s: c for s, n in left.items() if (c := n - used.get(s, 0))}, slack - lost))
-    return None
+    return Search(None, False)
 
 
-def make_plan(counts: dict[int, int], capacity: int) -> Plan:
+def make_plan(counts: dict[int, int], capacity: int, steps: int = STEPS) -> Packing:
     """Fillings and how often each is used, for a histogram length -> pieces."""
     if not counts:
-        return []
+        return Packing([], 0, 0)
     best = best_fit(counts, capacity)
-    least = -(-sum(s * n for s, n in counts.items()) // capacity)
-    least = max(least, sum(n for s, n in counts.items() if 2 * s > capacity))
     most = sum(times for _, times in best)
-    # the bound, then ever larger shares of the way from the bound to the incumbent
-    for bins in sorted({least + (most - least) * share // 64 for share in (0, 1, 4, 16, 32)} | {least + 1}):
-        if bins < most and (found := bin_completion(counts, capacity, bins)):
-            return found
-    return best
+    bound = -(-sum(s * n for s, n in counts.items()) // capacity)
+    bound = max(bound, sum(n for s, n in counts.items() if 2 * s > capacity))
+    # the bound, one more for as long as that is proven impossible, then ever larger shares of the
+    # way to the incumbent
+    while bound < most:
+        found = bin_completion(counts, capacity, bound, steps)
+        if found.plan:
+            return Packing(found.plan, bound, bound)
+        if not found.proven:
+            break
+        bound += 1
+    for bins in sorted({bound + 1, *(bound + (most - bound) * share // 64 for share in (1, 4, 16, 32))}):
+        if bound < bins < most and (found := bin_completion(counts, capacity, bins, steps)).plan:
+            return Packing(found.plan, sum(times for _, times in found.plan), bound)
+    return Packing(best, most, bound)
 
 
 PIECE = pa.schema(
@@ -194,7 +264,7 @@ def pack_pieces(spark: SparkSession, pieces: DataFrame, capacity: int) -> DataFr
     bases = per_task.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     # at most ``capacity`` rows
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    place = _places(make_plan(counts, capacity))
+    place = _places(make_plan(counts, capacity).plan)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

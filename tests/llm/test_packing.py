@@ -65,7 +65,7 @@ def fewest(sizes, capacity):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=7))
 def test_plan_is_complete_and_short(sizes):
-    plan = packing.make_plan(dict(Counter(sizes)), 20)
+    plan, sequences, bound = packing.make_plan(dict(Counter(sizes)), 20)
     used = Counter()
     for filling, times in plan:
         assert sum(filling) <= 20 and times > 0
@@ -73,13 +73,50 @@ def test_plan_is_complete_and_short(sizes):
             used[size] += times
     assert used == Counter(sizes)
     least = fewest(tuple(sorted(sizes, reverse=True)), 20)
-    assert sum(times for _, times in plan) == least
+    assert sum(times for _, times in plan) == sequences == least
+    assert bound <= least
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(2, 20), min_size=1, max_size=7), st.integers(1, 6))
+def test_a_search_that_ends_early_proves_nothing(sizes, steps):
+    counts, least = dict(Counter(sizes)), fewest(tuple(sorted(sizes, reverse=True)), 20)
+    assert packing.bin_completion(counts, 20, least - 1) == packing.Search(None, True)
+    found = packing.bin_completion(counts, 20, least, steps)
+    assert not found.proven and (found.plan is None or sum(t for _, t in found.plan) <= least)
+    # with too few steps the incumbent stays, and it is complete
+    cut = packing.make_plan(counts, 20, steps)
+    assert sum(len(f) * t for f, t in cut.plan) == len(sizes)
+    assert cut.bound <= least <= cut.sequences
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=6), st.integers(5, 16))
+def test_dominated_fillings(sizes, room):
+    """By trying every subset of the filling against every piece that is left."""
+    counts = dict(Counter(sizes))
+    for filling in packing.fillings(counts, room, room):
+        left = Counter(sizes) - Counter(filling)
+        waste = room - sum(filling)
+        want = any(
+            x - waste <= sum(out) <= x and out != (x,)
+            for x in left
+            for n in range(len(filling) + 1)
+            for out in combinations(filling, n)
+            if x <= room
+        )
+        assert packing.dominated(filling, counts, room) == want
+
+
+def test_the_branches_of_a_length():
+    """Of (201, 201), (201, 200), (400) and (200, 200) in 500 two are dominated."""
+    counts = {400: 1, 399: 1, 201: 2, 200: 2}
+    tried = [f for f in packing.fillings(counts, 500, 100) if not packing.dominated(f, counts, 500)]
+    assert tried == [(201, 201), (400,)]
 
 
 def test_large_histogram_reaches_the_bound():
     rng = np.random.default_rng(3)
     counts = {int(s): int(rng.integers(1, 10**9)) for s in range(1, 1025)}
-    plan = packing.make_plan(counts, 1024)
-    total = sum(s * n for s, n in counts.items())
-    big = sum(n for s, n in counts.items() if 2 * s > 1024)
-    assert sum(times for _, times in plan) <= 1.02 * max(-(-total // 1024), big)
+    plan, sequences, bound = packing.make_plan(counts, 1024)
+    assert sum(times for _, times in plan) == sequences <= 1.02 * bound
