@@ -92,9 +92,15 @@ def get_meta(spark: SparkSession, root: str, key: str, default: str = "") -> str
 
 def current(spark: SparkSession, root: str) -> tuple[int, int]:
     """The current version and its number of buckets; (0, 0) before the first load."""
-    wanted = read_log(spark, root).where("key IN ('current_version', 'buckets')")
+    return _state(spark, root)[:2]
+
+
+def _state(spark: SparkSession, root: str) -> tuple[int, int, int]:
+    """The current version, its number of buckets, and how many loads there have been."""
+    keys = ["current_version", "buckets", "loads"]
+    wanted = read_log(spark, root).where(F.col("key").isin(keys))
     found = {row["key"]: int(row["value"]) for row in latest_values(wanted).collect()}
-    return found.get("current_version", 0), found.get("buckets", 0)
+    return tuple(found.get(key, 0) for key in keys)
 
 
 def versions(spark: SparkSession, root: str) -> list[int]:
@@ -148,9 +154,9 @@ def write_systems(rows: DataFrame, path: str) -> None:
         "*", *[f"{place} AS {name}" for name, place in zip(cells, cell(AXES, LAYOUT_EDGE))]
     )
     order = ["bucket", *cells, "x", "system_key"]
-    _write_buckets(
-        placed.repartitionByRange(*order).sortWithinPartitions(*order).drop(*cells), path, {}
-    )
+    # whole buckets to a task, or parts of a large one
+    dealt = placed.hint("rebalance", "bucket").sortWithinPartitions(*order)
+    _write_buckets(dealt.drop(*cells), path, {})
 
 
 def write_names(rows: DataFrame, path: str, bucket_rows: int) -> None:
@@ -163,7 +169,7 @@ def write_names(rows: DataFrame, path: str, bucket_rows: int) -> None:
         # names hardly repeat
         "parquet.enable.dictionary#name_lower": "false",
     }
-    _write_buckets(named.repartitionByRange(*order).sortWithinPartitions(*order), path, bloom)
+    _write_buckets(named.hint("rebalance", "bucket").sortWithinPartitions(*order), path, bloom)
 
 
 def _write_buckets(rows: DataFrame, path: str, options: dict[str, str]) -> None:
@@ -216,9 +222,10 @@ def import_dump(
         latest = keep_latest(named, "system_key", [F.desc("source_file"), F.desc("seq")])
         paths = [path for dump in dumps for path in files.inputs(spark, dump)]
         sources = staged.sources.selectExpr("source_file AS source", "objects AS records")
+        written, entries = _load(spark, root, latest, mode, sources, staged.named)
         result = LoadResult(
             seen=staged.seen,
-            written=_load(spark, root, latest, mode, sources, staged.named),
+            written=written,
             parts=len(files.glob(spark, f"{staging}/*.parquet")),
             size=files.total_size(spark, paths),
             seconds=time.monotonic() - started,
@@ -226,7 +233,7 @@ def import_dump(
     finally:
         if not keep_staging:
             files.delete(spark, staging)
-    return _log_result(spark, root, result, paths, database)
+    return _log_result(spark, root, result, entries, paths, database)
 
 
 def import_parquet(
@@ -247,14 +254,15 @@ def import_parquet(
     per_file.agg(F.count("*").alias("records")).toDF("source", "records").write.parquet(counted)
     sources = spark.read.parquet(counted)
     seen = sources.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    written, entries = _load(spark, root, latest, mode, sources, seen)
     result = LoadResult(
         seen=seen,
-        written=_load(spark, root, latest, mode, sources, seen),
+        written=written,
         parts=len(parts),
         size=files.total_size(spark, parts),
         seconds=time.monotonic() - started,
     )
-    return _log_result(spark, root, result, parts, database)
+    return _log_result(spark, root, result, entries, parts, database)
 
 
 def _checked(mode: str) -> str:
@@ -266,12 +274,13 @@ def _checked(mode: str) -> str:
 
 def _load(
     spark: SparkSession, root: str, latest: DataFrame, mode: str, sources: DataFrame, rows: int
-) -> int:
+) -> tuple[int, dict[str, object]]:
     """Makes the rows ``latest``, at most ``rows``, a new version or part of the current one.
 
-    ``sources`` (source, records) is logged. Returns how many rows there are.
+    ``sources`` (source, records) is logged. Returns how many rows there are, and the entries of the
+    run log that make the load count.
     """
-    version, buckets = current(spark, root)
+    version, buckets, loads = _state(spark, root)
     loaded = latest.select(*SYSTEM_COLUMNS)
     staging = scratch_path(spark, "patch")
     patch = mode == "patch" and version > 0
@@ -295,20 +304,16 @@ def _load(
         files.delete(spark, staging)
     else:  # the new files hold just these rows: their footers know the number
         written = fresh.count()
-    load = int(get_meta(spark, root, "loads", "0")) + 1
-    listed = sources.selectExpr(f"{load}L AS load", "source", "records")
+    listed = sources.selectExpr(f"{loads + 1}L AS load", "source", "records")
     log.append(spark, f"{root}/run_sources", listed.select(*RUN_SOURCES.fieldNames()))
-    set_meta(
-        spark,
-        root,
-        schema_version=SCHEMA_VERSION,
-        current_version=version,
-        buckets=buckets,
-        loads=load,
-        last_import_mode=mode,
-        last_import_finished_utc=utc_now().isoformat(timespec="seconds"),
-    )
-    return written
+    return written, {
+        "schema_version": SCHEMA_VERSION,
+        "current_version": version,
+        "buckets": buckets,
+        "loads": loads + 1,
+        "last_import_mode": mode,
+        "last_import_finished_utc": utc_now().isoformat(timespec="seconds"),
+    }
 
 
 def run_sources(spark: SparkSession, root: str) -> DataFrame:
@@ -332,12 +337,18 @@ def remove_old_versions(spark: SparkSession, root: str, keep: int = 2) -> int:
 
 
 def _log_result(
-    spark: SparkSession, root: str, result: LoadResult, sources: Sequence[str], database: str | None
+    spark: SparkSession,
+    root: str,
+    result: LoadResult,
+    entries: dict[str, object],
+    sources: Sequence[str],
+    database: str | None,
 ) -> LoadResult:
     per_second = lambda n: round(n / result.seconds, 2) if result.seconds else 0.0
     set_meta(
         spark,
         root,
+        **entries,
         last_import_source=", ".join(files.base_name(path) for path in sources),
         last_import_systems_seen=result.seen,
         last_import_systems_written=result.written,
