@@ -1,7 +1,7 @@
 """The best rows around many references without making every pair within the radius.
 
 Each reference looks at the leaves of a counted octree in shells of growing distance: first those
-within the width of its own leaf, which is small where stars are crowded, then twice as far, and so on. It is finished when its last place is nearer than anything a next shell can hold, so that a
+within the width of its own leaf, which is small where stars are crowded, then half as far again, and so on. It is finished when its last place is nearer than anything a next shell can hold, so that a
 reference in a crowd meets some multiple of ``limit`` stars however many lie within its radius.
 """
 
@@ -26,7 +26,7 @@ from starscan.operators.topk import top_k_per_group
 from starscan.session import scratch_path
 
 #: How much farther the next shell reaches.
-GROWTH = 2.0
+GROWTH = 1.5
 
 
 class Nearest(NamedTuple):
