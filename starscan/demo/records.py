@@ -8,6 +8,7 @@ bodies that are no objects. Which form a record takes follows from its own colum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from starscan.demo.starmap import table
 
@@ -78,7 +79,12 @@ def raw_records(spark: SparkSession, sf_dir: str, edition: int = 1) -> DataFrame
 def write_dump(
     records: DataFrame, path: str, *, rows_per_file: int = 50_000, compression: str = "none"
 ) -> None:
-    """Records as JSON-array dump files, one object per line, in ``record_no`` order."""
+    """Records as JSON-array dump files, one object per line, in ``record_no`` order.
+
+    The files' ends, 16 bytes a file, are broadcast. After a join by shuffle Spark would take the
+    union for dealt by file already and leave the repartition out; once adaptive execution has
+    turned that join into a broadcast, each file's lines would lie in several tasks.
+    """
     lines = records.selectExpr(
         f"record_no div {rows_per_file} AS file_no", "record_no AS line_no", "value"
     )
@@ -87,7 +93,7 @@ def write_dump(
         "file_no",
         "inline(array(struct(-1L AS line_no, '[' AS value), struct(last + 1 AS line_no, ']' AS value)))",
     )
-    separated = lines.join(ends, "file_no").selectExpr(
+    separated = lines.join(F.broadcast(ends), "file_no").selectExpr(
         "file_no", "line_no", "concat(value, CASE WHEN line_no < last THEN ',' ELSE '' END) AS value"
     )
     (

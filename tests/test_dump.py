@@ -7,8 +7,9 @@ import random
 import pytest
 import zstandard
 
+from starscan.demo.records import write_dump
 from starscan.plans.ingest import convert_dump, stage
-from starscan.session import configure, scratch_path
+from starscan.session import configure, scratch_path, settings
 from starscan.sources.dump import first_records, read_dump, read_first
 from starscan.sources.parquet import read_staged
 
@@ -179,3 +180,19 @@ def test_convert_counts_nameless_records(spark, tmp_path):
     assert first == {"systems_seen": 2, "systems_written": 1}
     assert [r.name for r in read_staged(spark, str(tmp_path / "whole")).orderBy("seq").collect()] == [
         "a", "b", "c"]
+
+
+def test_written_dump_keeps_a_file_whole_when_its_join_turns_into_a_broadcast(spark, tmp_path):
+    """Each file was written by several tasks, so that brackets came in the wrong places."""
+    source = spark.range(0, 4000, numPartitions=8).selectExpr(
+        "id AS record_no", "concat('{\"name\": \"', id, '\"}') AS value"
+    )
+    source.write.parquet(f"{tmp_path}/source")
+    # between the size of the source and that of its files' ends
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "3000"}):
+        write_dump(spark.read.parquet(f"{tmp_path}/source"), f"{tmp_path}/dump", rows_per_file=500)
+    for folder in sorted(tmp_path.glob("dump/file_no=*")):
+        (part,) = folder.glob("*.txt")
+        number = int(folder.name.rpartition("=")[2])
+        names = [record["name"] for record in json.loads(part.read_text())]
+        assert names == [str(i) for i in range(500 * number, 500 * number + 500)]
