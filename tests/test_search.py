@@ -4,9 +4,11 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from starscan.functions.geometry import round2
+from starscan.operators import topk
 from starscan.operators import search as S
 from starscan.operators.latest import keep_latest, upsert
 from starscan.operators.search import (
@@ -19,6 +21,7 @@ from starscan.operators.search import (
     search_one,
 )
 from starscan.operators.topk import top_k_per_group
+from starscan.session import settings
 
 SCHEMA = """system_key string, name string, x double, y double, z double, total_bodies int,
     water_world_count int, earthlike_world_count int, controlling_faction string, faction_count int"""
@@ -249,3 +252,25 @@ def test_coordinates_beyond_any_guess(spark):
     points = spark.createDataFrame([("a", 3e12, 0.0, 0.0)], "system_key string, x double, y double, z double")
     references = S.reference_table(spark, [("r", 3e12 + 1, 0.0, 0.0)])
     assert S.radius_join(points, references, 2.0).count() == 1
+
+
+def test_top_k_of_a_large_limit_is_ranked_by_ranges(spark, monkeypatch):
+    """One task sorted all rows of a group, here 5,000 of them."""
+    monkeypatch.setattr(topk, "MAX_TASK_ROWS", 100)
+    df = spark.range(12_000).repartition(8).selectExpr(
+        "CASE WHEN id % 2 = 0 THEN 0 WHEN id % 3 = 0 THEN null ELSE id % 5 END AS g",
+        "CASE WHEN id % 7 > 0 THEN id % 50 END AS v",
+        "id",
+    )
+    order = [F.desc_nulls_last("v"), F.asc("id")]
+    window = Window.partitionBy("g").orderBy(*order)
+    want = df.withColumn("rank", F.row_number().over(window)).where("rank <= 5000")
+    with settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        top = top_k_per_group(df, ["g"], order, 5000)
+        assert top.dtypes == want.dtypes
+        assert sorted(map(str, top.collect())) == sorted(map(str, want.collect()))
+        # the largest group is numbered in several tasks
+        plan = top._jdf.queryExecution().executedPlan().toString()
+        assert "Window [row_number()" in plan and "_range" in plan
+        tasks = top.where("g = 0").select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks > 1
