@@ -1,7 +1,8 @@
 """The best rows around many references without making every pair within the radius.
 
 Each reference looks at the leaves of a counted octree in shells of growing distance: first those
-within the width of its own leaf, which is small where stars are crowded, then half as far again, and so on. It is finished when its last place is nearer than anything a next shell can hold, so that a
+within a part of the width of its own leaf, about as far as ``limit`` stars reach and small where stars
+are crowded, then half as far again, and so on. It is finished when its last place is nearer than anything a next shell can hold, so that a
 reference in a crowd meets some multiple of ``limit`` stars however many lie within its radius.
 """
 
@@ -30,7 +31,7 @@ GROWTH = 1.5
 
 
 class Nearest(NamedTuple):
-    """Rows (ref_ord, reference_system, system_key, distance_ly, rank), and what they took."""
+    """Rows (ref_ord, reference_system, system_key, name, total_bodies, distance_ly, rank), and what they took."""
 
     rows: DataFrame
     pairs: int
@@ -54,6 +55,7 @@ def best_first(
         tree, references.selectExpr("ref_ord", *[f"r{axis} AS {axis}" for axis in G.AXES])
     )
     width = tree.node_edge(f"int(shiftright(leaf, {3 * octree.BITS}))")
+    width = f"{width} * {G.number(min(1.0, (limit / tree.leaf_points) ** (1 / 3)))}"
     near = own_leaf.groupBy("ref_ord").agg(F.min(F.expr(f"least({G.number(radius)}, {width})")).alias("reach"))
     active = _written(references.join(near, "ref_ord").selectExpr("*", "-1D AS seen"), "active")
     best, finished, pairs, rounds = None, [], 0, 0
@@ -91,11 +93,11 @@ def best_first(
         best = best.join(active.select("ref_ord"), "ref_ord", "left_semi")
     if not finished:
         nothing = references.selectExpr(
-            "ref_ord", "reference_system", "'' AS system_key", "0D AS distance_ly", "0 AS rank"
-        )
+            "ref_ord", "reference_system", "'' AS system_key", "'' AS name", "0 AS total_bodies",
+            "0D AS distance_ly", "0 AS rank",
+        )
         return Nearest(nothing.limit(0), 0, 0)
-    rows = functools.reduce(DataFrame.unionByName, finished).drop("name", "total_bodies")
-    return Nearest(rows, pairs, rounds)
+    return Nearest(functools.reduce(DataFrame.unionByName, finished), pairs, rounds)
 
 
 def search_nearest(
@@ -118,5 +120,5 @@ def search_nearest(
     candidates = systems.where(row_filter(body_filter, claimable_only))
     narrow = candidates.select("system_key", "name", "total_bodies", *G.AXES)
     listed = references.select("ref_ord", "reference_system", *G.REF_AXES)
-    best = best_first(narrow, listed, radius, limit, leaf_points).rows
+    best = best_first(narrow, listed, radius, limit, leaf_points).rows.drop("name", "total_bodies")
     return candidates.selectExpr("*", f"{CLAIMABLE} AS claimable").join(best, "system_key")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from starscan.functions.geometry import round2
-from starscan.operators import topk
+from starscan.operators import nearest, topk
 from starscan.operators import search as S
 from starscan.operators.latest import keep_latest, upsert
 from starscan.operators.search import (
@@ -274,3 +274,20 @@ def test_top_k_of_a_large_limit_is_ranked_by_ranges(spark, monkeypatch):
         assert "Window [row_number()" in plan and "_range" in plan
         tasks = top.where("g = 0").select(F.spark_partition_id().alias("t")).distinct().count()
     assert tasks > 1
+
+
+def test_few_places_meet_few_pairs(spark):
+    """The first shell was as wide as the leaf, however few places there were to fill."""
+    points = spark.range(20_000).selectExpr(
+        "string(id) AS system_key", "string(id) AS name", "1 AS total_bodies",
+        *[f"pmod(xxhash64(id, {i}), 100003) / 10000D AS {axis}" for i, axis in enumerate("xyz")],
+    )
+    references = points.where("system_key % 100 = 0").selectExpr(
+        "int(system_key) AS ref_ord", "name AS reference_system", "x AS rx", "y AS ry", "z AS rz"
+    )
+    found = nearest.best_first(points, references, 4.0, 5, leaf_points=64)
+    near = S.radius_join(points, references, 4.0).where("name <> reference_system")
+    ranked = near.selectExpr("*", "round(distance * 100) / 100 AS distance_ly")
+    want = top_k_per_group(ranked, ["ref_ord"], S.result_order(), 5).select("ref_ord", "rank", "name")
+    assert sorted(found.rows.select("ref_ord", "rank", "name").collect()) == sorted(want.collect())
+    assert found.pairs < 200 * 600
