@@ -4,9 +4,10 @@ Classes: the end of a text, the most frequent words, and for all other words a b
 last letters. Words with a class, and so vectors, of their own are as many as the square root of the
 training tokens, so they grow with the corpus while all pairs of classes grow no faster than it. The
 model scores the next class by ``(r_h * c) . q_w + b_w`` with one context class h. Spark counts the
-class bigrams of the whole training corpus; numpy trains on draws from them, in proportion to their
-counts, against noise shared by a batch. Drawn are bigrams out of a threshold sample: those of a count
-above a share are all in it, others by chance and with the weight that makes up for it.
+class bigrams of the whole training corpus, and every one of them is trained on, with its count, against
+all classes as noise in proportion to theirs: nothing is drawn. With the classes' vectors given each context
+is a regression of its own, and the other way round; so tasks improve all contexts, then all classes, a
+block at a time, in turn. A step is a gradient in units of the curvature that all share, of limited length.
 The sums that normalise the probabilities are computed by tasks, a block of contexts each.
 A word inside a bucket has the share ``(count + 1) / (N_b + V_b + 1)``, an unseen word the share of a
 count of zero, so that the probabilities of all texts sum to one with the unseen words as one.
@@ -42,16 +43,16 @@ BUCKETS = 256
 SUFFIX = 3
 #: Fewest words with a class of their own, if there are as many.
 LEAST_OWN = 768
-#: Draws in training, and bigrams that they are made from: some at any size, and more for each class.
-DRAWS, DRAWS_PER_CLASS = 1_000_000, 384
+#: Bigrams that ``class_bigrams`` shows on the driver: some at any size, and more for each class.
 SAMPLE, SAMPLE_PER_CLASS = 1_000_000, 64
-#: No bigram that the corpus holds once is drawn more often than this.
-DRAWS_PER_TOKEN = 60
-#: Training: width of the vectors, draws and shared noise of a batch, noise per draw, rate.
+#: Training: width of the vectors, noise per bigram, turns of contexts and classes, steps in each.
 WIDTH = 32
-BATCH, SHARED = 1024, 128
 NOISE = 10.0
-RATE = 0.1
+ROUNDS, STEPS = 6, 5
+#: Part of a step that is taken, its greatest length, and bigrams that speak for the start of a vector.
+DAMPING, LONGEST, PRIOR = 0.5, 0.5, 10.0
+#: Contexts or classes whose bigrams make a row of work.
+BLOCK = 64
 #: Contexts that make a row of work, scores that are held at once, and tokens that are scored at once.
 CONTEXTS = 256
 CELLS = 1 << 20
@@ -144,8 +145,8 @@ class Bigrams:
     unigrams: np.ndarray
 
 
-def class_bigrams(spark: SparkSession, texts: DataFrame, lexicon: Lexicon, unigrams: np.ndarray) -> Bigrams:
-    """Which class follows which over the whole column ``text``, as a threshold sample."""
+def bigram_counts(spark: SparkSession, texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Rows (pair, n): how often which class follows which over the whole column ``text``."""
     n = lexicon.classes
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +157,15 @@ def class_bigrams(spark: SparkSession, texts: DataFrame, lexicon: Lexicon, unigr
             yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(times)], ["pair", "n"])
 
     found = texts.select("text").mapInArrow(counted, "pair long, n long").groupBy("pair")
-    table = stage(spark, found.agg(F.sum("n").alias("n")), "bigrams")
-    share = (table.agg(F.sum("n")).first()[0] or 0) / (SAMPLE + SAMPLE_PER_CLASS * n)
+    return stage(spark, found.agg(F.sum("n").alias("n")), "bigrams")
+
+
+def class_bigrams(spark: SparkSession, texts: DataFrame, lexicon: Lexicon, unigrams: np.ndarray) -> Bigrams:
+    """A threshold sample of the bigrams for a look on the driver; ``train_all`` does not use it."""
+    table = bigram_counts(spark, texts, lexicon)
+    share = (table.agg(F.sum("n")).first()[0] or 0) / (SAMPLE + SAMPLE_PER_CLASS * lexicon.classes)
     chance = F.pmod(F.xxhash64("pair"), F.lit(1 << 31)) / float(1 << 31)
-    # about SAMPLE + SAMPLE_PER_CLASS * n rows
+    # about SAMPLE + SAMPLE_PER_CLASS * classes rows
     rows = table.where(chance * share < F.col("n")).select("pair", F.greatest("n", F.lit(share)).alias("n"))
     rows = rows.orderBy("pair").toArrow()
     return Bigrams(rows.column("pair").to_numpy(), rows.column("n").to_numpy(), unigrams)
@@ -191,53 +197,156 @@ class Model:
         return self.scores(contexts) - self.log_sums(contexts)[:, None]
 
 
-def _descend(value: np.ndarray, past: np.ndarray, rows: np.ndarray, slopes: np.ndarray, rate: float) -> None:
-    """One step of Adagrad on some rows; slopes of the same row add up."""
-    order = np.argsort(rows, kind="stable")
-    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    touched = rows[order][first]
-    slope = np.add.reduceat(slopes[order], first, axis=0)
-    past[touched] += slope * slope
-    value[touched] -= rate * slope / np.sqrt(past[touched])
+@dataclass
+class Turn:
+    """One side of the model, ``own``, to be improved while the other, ``fixed``, stays.
+
+    A score less its logarithm of the noise is ``own . fixed + own_shift + fixed_shift``; the noise of a
+    pair counts ``own_share * fixed_share`` times, the bigrams of a row of ``own`` together ``mass`` times.
+    """
+
+    own: np.ndarray
+    fixed: np.ndarray
+    own_shift: np.ndarray
+    fixed_shift: np.ndarray
+    own_share: np.ndarray
+    fixed_share: np.ndarray
+    mass: np.ndarray
+    start: np.ndarray
+
+    def __post_init__(self):
+        weighted = self.fixed * (self.fixed_share / self.fixed_share.sum())[:, None]
+        curve = weighted.T @ self.fixed * (NOISE / (NOISE + 1))
+        self.curve = curve + np.eye(len(curve)) * (1e-4 * np.trace(curve) / len(curve) + 1e-12)
+        self.inverse = np.linalg.inv(self.curve)
+
+    def improved(self, owners: np.ndarray, at: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """New vectors of some rows; ``times[k]`` bigrams lie at the place ``at[k]``, ascending, of the
+        scores owners x fixed."""
+        n = len(self.fixed)
+        out = self.own[owners]
+        at_once = max(1, CELLS // n)
+        for first in range(0, len(owners), at_once):
+            rows = owners[first : first + at_once]
+            low, high = np.searchsorted(at, [first * n, (first + len(rows)) * n])
+            here, counts = at[low:high] - first * n, times[low:high]
+            shift, share = self.own_shift[rows, None], self.own_share[rows, None]
+            weight, start, x = self.mass[rows, None] + PRIOR, self.start[rows], out[first : first + at_once]
+            for _ in range(STEPS):
+                slopes = x @ self.fixed.T
+                slopes += self.fixed_shift
+                slopes += shift
+                slopes = _logistic(slopes)
+                real = counts * (slopes.reshape(-1)[here] - 1)
+                slopes *= self.fixed_share
+                slopes *= share
+                slopes.reshape(-1)[here] += real
+                step = (slopes @ self.fixed @ self.inverse + PRIOR * (x - start)) / weight
+                length = np.sqrt(((step @ self.curve) * step).sum(1, keepdims=True))
+                x = x - step * np.minimum(DAMPING, LONGEST / np.maximum(length, 1e-12))
+            out[first : first + at_once] = x
+        return out
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _take_turns(unigrams: np.ndarray, contexts: np.ndarray, improve) -> Model:
+    """Noise-contrastive estimation. ``improve(side, turn)`` gives the new vectors of all contexts (side 0)
+    or classes (side 1), of which there are ``contexts`` and ``unigrams`` in the bigrams."""
+    n, total = len(unigrams), contexts.sum()
+    noise = unigrams + 0.1
+    noise = noise / noise.sum()
+    shift, none = -np.log(NOISE * noise), np.zeros(n)
+    context, scale = np.zeros((n, WIDTH)), np.ones(WIDTH)
+    # a class is its vector and its bias, which meets a one
+    first = np.column_stack([np.zeros((n, WIDTH)), np.log(noise)])
+    classes = first.copy()
+    if total:
+        classes[:, :-1] = np.random.default_rng(7).normal(0, 0.3, (n, WIDTH))
+        for _ in range(ROUNDS):
+            target, bias = classes[:, :-1], classes[:, -1]
+            context = improve(
+                0, Turn(context, target, none, bias + shift, contexts, NOISE * noise, contexts, np.zeros((n, WIDTH)))
+            )
+            ones = np.column_stack([context, np.ones(n)])
+            classes = improve(1, Turn(classes, ones, shift, none, NOISE * noise, contexts, noise * total, first))
+        scale = np.sqrt((context**2 * (contexts / total)[:, None]).sum(0))
+        scale = np.where(scale > 0, scale, 1.0)
+    return Model(context / scale, scale, classes[:, :-1].copy(), classes[:, -1].copy())
 
 
 def train(bigrams: Bigrams) -> Model:
-    """Noise-contrastive estimation on bigrams drawn by weight, in batches with shared noise."""
-    rng = np.random.default_rng(7)
+    """The model of bigrams that are held here."""
     n = len(bigrams.unigrams)
-    noise = bigrams.unigrams + 0.1
-    noise = noise / noise.sum()
-    shift = np.log(NOISE * noise).astype(np.float32)
-    context = rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
-    target = rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
-    scale, bias = np.ones(WIDTH, np.float32), np.log(noise).astype(np.float32)
-    past = [np.full_like(v, 1e-3) for v in (context, target, scale, bias)]
-    drawn, chance = np.cumsum(bigrams.weights), np.cumsum(noise)
-    total = bigrams.unigrams.sum()
-    batches = int(min(DRAWS + DRAWS_PER_CLASS * n, DRAWS_PER_TOKEN * total)) // BATCH
-    for batch in range(batches if len(drawn) else 0):
-        rate = RATE * (1 - batch / batches)
-        at = np.searchsorted(drawn, rng.random(BATCH) * drawn[-1], "right")
-        h, w = np.divmod(bigrams.pairs[np.minimum(at, len(drawn) - 1)], n)
-        v = np.minimum(np.searchsorted(chance, rng.random(SHARED) * chance[-1], "right"), n - 1)
-        plain, near, far = context[h], target[w], target[v]
-        scaled = plain * scale
-        # the slope of the loss by the score of each real pair, and of each with a noise class
-        real = _logistic((scaled * near).sum(1) + bias[w] - shift[w]) - 1
-        fake = NOISE / SHARED * _logistic(scaled @ far.T + (bias[v] - shift[v]))
-        back = real[:, None] * near + fake @ far
-        classes = np.concatenate([w, v])
-        _descend(context, past[0], h, back * scale, rate)
-        _descend(target, past[1], classes, np.concatenate([real[:, None] * scaled, fake.T @ scaled]), rate)
-        _descend(bias, past[3], classes, np.concatenate([real, fake.sum(0)]), rate * 0.3)
-        slope = (back * plain).sum(0)
-        past[2] += slope * slope
-        scale -= 0.1 * rate * slope / np.sqrt(past[2])
-    return Model(*(x.astype(np.float64) for x in (context, scale, target, bias)))
+    blocks = -(-n // BLOCK)
+    sides = np.divmod(bigrams.pairs, n)
+    dealt = []
+    for own, other in (sides, sides[::-1]):
+        at = own // blocks * n + other
+        order = np.lexsort((at, own % blocks))
+        ends = np.searchsorted(own[order] % blocks, np.arange(blocks + 1))
+        dealt.append([(at[o], bigrams.weights[o]) for o in (order[a:b] for a, b in zip(ends, ends[1:]))])
+
+    def improve(side: int, turn: Turn) -> np.ndarray:
+        out = turn.own.copy()
+        for block, (at, times) in enumerate(dealt[side]):
+            owners = np.arange(block, n, blocks)
+            out[owners] = turn.improved(owners, at, times)
+        return out
+
+    return _take_turns(bigrams.unigrams, np.bincount(sides[0], bigrams.weights, n), improve)
+
+
+def train_all(spark: SparkSession, bigrams: DataFrame, unigrams: np.ndarray) -> Model:
+    """The model of all rows (pair, n) of a staged table; equal to that of ``train``.
+
+    The bigrams are dealt to blocks of contexts once, to blocks of classes once; then only vectors move.
+    """
+    n = len(unigrams)
+    blocks = -(-n // BLOCK)
+
+    def packed(rows: pa.Table) -> pa.Table:
+        block = rows.column("block")[:1]
+        rows = rows.filter(pc.is_valid(rows.column("at"))).sort_by("at")
+        at, times = (rows.column(c).to_numpy().astype(t) for c, t in (("at", "<i4"), ("n", "<i8")))
+        return pa.table({"block": block, "at": [at.tobytes()], "times": [times.tobytes()]})
+
+    # a block without bigrams has its row as well
+    each = spark.range(blocks).selectExpr("id AS block", "CAST(NULL AS bigint) AS at", "CAST(NULL AS bigint) AS n")
+    halves = bigrams.selectExpr(f"pair div {n} AS h", f"pair % {n} AS w", "n")
+    dealt = []
+    for own, other in ("hw", "wh"):
+        rows = halves.selectExpr(f"{own} % {blocks} AS block", f"{own} div {blocks} * {n} + {other} AS at", "n")
+        rows = rows.unionByName(each).repartition(min(blocks, 1000), "block").groupBy("block")
+        dealt.append(stage(spark, rows.applyInArrow(packed, "block long, at binary, times binary"), "dealt"))
+
+    def improve(side: int, turn: Turn) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(turn)
+
+        def improved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, at, times in zip(*batch.columns):
+                    owners = np.arange(block.as_py(), n, blocks)
+                    places = np.frombuffer(at.as_buffer(), "<i4").astype(np.int64)
+                    found = sent.value.improved(owners, places, np.frombuffer(times.as_buffer(), "<i8").astype(float))
+                    columns = [pa.array(owners), pa.array(list(found), pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["owner", "vector"])
+
+        rows = dealt[side].mapInArrow(improved, "owner long, vector array<double>").toArrow()
+        sent.destroy()
+        out = np.empty_like(turn.own)
+        vectors = rows.column("vector").combine_chunks().flatten().to_numpy()
+        out[rows.column("owner").to_numpy()] = vectors.reshape(-1, out.shape[1])
+        return out
+
+    return _take_turns(unigrams, unigrams, improve)
 
 
 def log_sums(spark: SparkSession, model) -> np.ndarray:
@@ -324,7 +433,8 @@ def score_texts(
     share = np.zeros(classes)
     share[1 : buckets + 1] = -np.log10(in_bucket[1:])
 
-    model = spark.sparkContext.broadcast(train(class_bigrams(spark, training, lexicon, occurs)))
+    # every class is a context as often as it occurs: the end stands before a text's first token
+    model = spark.sparkContext.broadcast(train_all(spark, bigram_counts(spark, training, lexicon), occurs))
     sums = spark.sparkContext.broadcast(log_sums(spark, model))
     end_log = float(np.log10(ends + 1))
 

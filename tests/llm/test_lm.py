@@ -161,6 +161,35 @@ def test_a_threshold_sample_keeps_the_weights(spark, sf_dir, monkeypatch):
     assert {p for p, c in at.items() if c > share} <= set(some.pairs.tolist())
 
 
+def test_every_bigram_is_trained_on(spark, sf_dir, monkeypatch):
+    """No sample, however small, has a say in the scores."""
+    frame = documents_frame(spark, [(d, t) for d, t in some_documents(sf_dir, 50)])
+    sizes = {"frequent_words": 40, "own_words": 30, "buckets": 8}
+    scores = lambda: sorted((str(r.doc_id), r.score) for r in lm.score_texts(spark, frame, **sizes).collect())
+    whole = scores()
+    monkeypatch.setattr(lm, "SAMPLE", 20)
+    monkeypatch.setattr(lm, "SAMPLE_PER_CLASS", 0)
+    assert [s for _, s in scores()] == pytest.approx([s for _, s in whole], abs=1e-6)
+
+
+def test_training_by_tasks_equals_training_here(spark, monkeypatch):
+    """Blocks of four rows, some without any bigram."""
+    monkeypatch.setattr(lm, "BLOCK", 4)
+    monkeypatch.setattr(lm, "ROUNDS", 2)
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 9, (30, 30))
+    counts[1::8], counts[:, 1::8] = 0, 0
+    # as many contexts as classes
+    counts = counts + counts.T
+    pairs = np.flatnonzero(counts)
+    times, occurs = counts.reshape(-1)[pairs], counts.sum(0).astype(float)
+    here = lm.train(lm.Bigrams(pairs, times.astype(float), occurs))
+    table = spark.createDataFrame(list(zip(pairs.tolist(), times.tolist())), "pair long, n long")
+    there = lm.train_all(spark, table, occurs)
+    for name in ("context", "scale", "target", "bias"):
+        assert np.allclose(getattr(here, name), getattr(there, name), atol=1e-9)
+
+
 def test_better_than_base_on_held_out_texts(spark):
     found = QUERIES["op2_lm"](spark, "/root/testdata/sf0.01").where("held_out").collect()
     tokens = sum(r.n_tokens for r in found)
