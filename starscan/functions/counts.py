@@ -82,11 +82,16 @@ def parse_counts(json_text: str) -> str:
 
     Values that are not numbers become null, which ``alias_sum`` counts as zero. The parser
     would ignore anything after the first value, so the text is parsed as an array's only item.
+    Values that are numbers are read at once; the lambda for the others is not compiled by Spark,
+    which would parse again there for every use.
     """
-    items = f"try_variant_get(try_parse_json(concat('[', {json_text}, ']')), '$', 'array<variant>')"
+    parsed = f"try_parse_json(concat('[', {json_text}, ']'))"
+    numbers = f"try_variant_get({parsed}, '$', 'array<map<string,int>>')"
+    items = f"try_variant_get({parsed}, '$', 'array<variant>')"
     members = f"try_variant_get(get({items}, 0), '$', 'map<string,variant>')"
     counts = f"transform_values({members}, (k, v) -> try_variant_get(v, '$', 'int'))"
-    return f"coalesce(CASE WHEN size({items}) = 1 THEN {counts} END, {NO_COUNTS})"
+    return f"""coalesce(CASE WHEN size({numbers}) = 1 THEN get({numbers}, 0)
+      WHEN size({items}) = 1 THEN {counts} END, {NO_COUNTS})"""
 
 
 def alias_sum(counts: str, aliases: Iterable[str]) -> str:

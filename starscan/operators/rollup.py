@@ -5,11 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starscan.functions import variants as V
-from starscan.functions.counts import NO_COUNTS, count_where, histogram, merged_histogram
+from starscan.functions.counts import NO_COUNTS, count_where, histogram
 
 # --- fixed values: labels with a count column of their own ---
 PLANET = "Planet"
@@ -66,24 +66,23 @@ def roll_up_nested(rows: DataFrame, bodies: str) -> DataFrame:
     )
 
 
-def _totals(weight: str) -> list:
-    conditions = {
-        "total_bodies": "true",
-        "total_planets": f"type = '{PLANET}'",
-        "total_stars": f"type = '{STAR}'",
-        "ringed_body_count": "ring IS NOT NULL",
-        "water_world_count": f"subtype = '{WATER_WORLD}'",
-        "earthlike_world_count": f"subtype = '{EARTHLIKE_WORLD}'",
-    }
-    return [
-        F.expr(f"CAST(sum(CASE WHEN {condition} THEN {weight} ELSE 0 END) AS int) AS {name}")
-        for name, condition in conditions.items()
-    ]
+_CONDITIONS = {
+    "total_bodies": "true",
+    "total_planets": f"type = '{PLANET}'",
+    "total_stars": f"type = '{STAR}'",
+    "ringed_body_count": "ring IS NOT NULL",
+    "water_world_count": f"subtype = '{WATER_WORLD}'",
+    "earthlike_world_count": f"subtype = '{EARTHLIKE_WORLD}'",
+}
+
+
+def _total(condition: str, weight: str, name: str) -> Column:
+    return F.expr(f"CAST(sum(CASE WHEN {condition} THEN {weight} ELSE 0 END) AS int) AS {name}")
 
 
 def body_totals(bodies: DataFrame, key: str) -> DataFrame:
     """The six counts per system from body rows (``type``, ``subtype``, ``ring``)."""
-    return bodies.groupBy(key).agg(*_totals("1"))
+    return bodies.groupBy(key).agg(*[_total(held, "1", name) for name, held in _CONDITIONS.items()])
 
 
 def label_counts(bodies: DataFrame, key: str, label: str) -> DataFrame:
@@ -94,22 +93,37 @@ def label_counts(bodies: DataFrame, key: str, label: str) -> DataFrame:
 def roll_up_rows(bodies: DataFrame, key: str) -> DataFrame:
     """Counts and histogram maps per system from body rows.
 
-    Bodies are first counted per (system, type, subtype, ring), which combines map-side, so a
-    system with very many bodies reaches its final group as a handful of rows.
+    Bodies are first counted per (system, kind of label, label), which combines map-side, so a
+    system with very many bodies reaches its final group as a handful of rows. These go to their
+    system as plain rows: gathered before the shuffle, each would travel as a list of its own.
     """
     labels = {
         "type": "body_type_counts",
         "subtype": "body_subtype_counts",
         "ring": "ring_type_counts",
     }
-    combos = bodies.groupBy(key, *labels).agg(F.count("*").alias("n"))
-    # collect_list skips nulls: combinations without the label
+    kinds = ", ".join(f"'{label}', {label}" for label in labels)
+    counted = (
+        bodies.selectExpr(f"`{key}`", f"stack({len(labels)}, {kinds}) AS (kind, label)")
+        # a body without a type is a body all the same
+        .where("kind = 'type' OR label IS NOT NULL")
+        .groupBy(key, "kind", "label")
+        .agg(F.count("*").alias("n"))
+    )
+    totals = []
+    for name, held in _CONDITIONS.items():
+        label, _, rest = held.partition(" ")
+        condition = f"kind = '{label}' AND label {rest}" if rest else "kind = 'type'"
+        totals.append(_total(condition, "n", name))
+    # collect_list skips nulls; a label comes once, so it alone sets the order
     gathered = [
-        F.expr(f"collect_list(CASE WHEN {label} IS NOT NULL THEN struct({label}, n) END) AS {name}")
+        F.expr(
+            "map_from_entries(sort_array(collect_list(CASE WHEN"
+            f" kind = '{label}' AND label IS NOT NULL THEN struct(label, CAST(n AS int) AS n) END))) AS {name}"
+        )
         for label, name in labels.items()
     ]
-    merged = {name: F.expr(merged_histogram(name, label)) for label, name in labels.items()}
-    return combos.groupBy(key).agg(*_totals("n"), *gathered).withColumns(merged)
+    return counted.repartition(key).groupBy(key).agg(*totals, *gathered)
 
 
 def without_bodies(rows: DataFrame, counts: list[str], histograms: list[str]) -> DataFrame:

@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from starscan.functions.counts import canonical_json, histogram, merged_histogram
+from starscan.functions.counts import NO_COUNTS, canonical_json, histogram, merged_histogram, parse_counts
+from starscan.operators.rollup import roll_up_rows
 from starscan.plans.ingest import system_rows, utc_now
 from starscan.sources.dump import parse_records
 
@@ -126,3 +127,26 @@ def test_histograms_of_many_labels(spark, n, different):
     parts = one.selectExpr("transform(concat(l, l), v -> struct(v AS type, 3L AS n)) AS p")
     merged = parts.selectExpr(f"{merged_histogram('p', 'type')} AS h").first()["h"]
     assert merged == {label: 6 * count for label, count in want.items()}
+
+
+def test_lists_are_gathered_behind_the_last_shuffle(spark):
+    """Labels travel as plain counted rows, not as a list from every task."""
+    rows = [(1, "Planet", "Water world", "Icy"), (1, "Planet", None, None), (1, None, "x", "Icy"), (None, "Star", None, None)]
+    bodies = spark.createDataFrame(rows * 3, "k long, type string, subtype string, ring string")
+    rolled = roll_up_rows(bodies, "k")
+    executed = rolled._jdf.queryExecution().executedPlan().toString()
+    assert executed.rindex("partial_collect_list") < executed.index("Exchange")
+    got = {r["k"]: r.asDict() for r in rolled.collect()}
+    assert got[1]["total_bodies"] == 9 and got[1]["ringed_body_count"] == 6 and got[1]["water_world_count"] == 3
+    assert got[1]["body_type_counts"] == {"Planet": 6} and got[1]["total_planets"] == 6
+    assert got[1]["body_subtype_counts"] == {"Water world": 3, "x": 3} and got[1]["ring_type_counts"] == {"Icy": 6}
+    assert got[None]["total_stars"] == 3 and got[None]["body_subtype_counts"] == {}
+
+
+def test_counts_of_numbers_are_read_at_once(spark):
+    """No lambda for maps of numbers; other values are null, one by one."""
+    texts = {'{"b": 2, "a": "1"}': {"a": 1, "b": 2}, '{"a": 1, "b": [2]}': {"a": 1, "b": None}, '{"a": 1} {}': {}, "null": {}}
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["c"] for r in frame.selectExpr("t", f"{parse_counts('t')} AS c").collect()}
+    assert got == texts
+    assert "map<string,int>" in parse_counts("t").replace(NO_COUNTS, "")
