@@ -56,7 +56,9 @@ BLOCK = 64
 #: Contexts that make a row of work, scores that are held at once, and tokens that are scored at once.
 CONTEXTS = 256
 CELLS = 1 << 20
-TOKENS = 1 << 15
+TOKENS = 1 << 11
+#: Tokens whose bigrams a task holds before it counts them.
+HELD_TOKENS = 1 << 21
 
 
 @dataclass
@@ -118,8 +120,10 @@ class Lexicon:
         at = at.to_numpy(zero_copy_only=False).astype(np.int64)
         classes = at + 1 + self.buckets
         rest = np.flatnonzero((at < 0) | (at >= self.own_class))
-        texts = distinct.take(pa.array(rest)).to_pylist()
-        classes[rest] = [bucket_of(t, self.buckets) for t in texts]
+        # far fewer endings than words
+        endings = pc.utf8_slice_codeunits(distinct.take(pa.array(rest)), -SUFFIX).dictionary_encode()
+        found = np.array([bucket_of(t, self.buckets) for t in endings.dictionary.to_pylist()], np.int64)
+        classes[rest] = found[endings.indices.to_numpy(zero_copy_only=False)]
         return at, classes
 
 
@@ -145,16 +149,36 @@ class Bigrams:
     unigrams: np.ndarray
 
 
+def count_pairs(pairs: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Batches (pair, n), each over as many of the arrays as make ``HELD_TOKENS`` pairs."""
+    held, size = [], 0
+
+    def counted() -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], ["pair", "n"])
+
+    for some in pairs:
+        held.append(some)
+        size += len(some)
+        if size >= HELD_TOKENS:
+            yield counted()
+            held, size = [], 0
+    if held:
+        yield counted()
+
+
 def bigram_counts(spark: SparkSession, texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Rows (pair, n): how often which class follows which over the whole column ``text``."""
     n = lexicon.classes
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for chunk in text_chunks(batches):
             words = split_words(chunk.column("text"))
             tokens, before, _ = _sequence(words, lexicon.place(words.distinct)[1])
-            pairs, times = np.unique(before * n + tokens, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(times)], ["pair", "n"])
+            yield before * n + tokens
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return count_pairs(pairs_of(batches))
 
     found = texts.select("text").mapInArrow(counted, "pair long, n long").groupBy("pair")
     return stage(spark, found.agg(F.sum("n").alias("n")), "bigrams")
@@ -370,10 +394,10 @@ def log_sums(spark: SparkSession, model) -> np.ndarray:
 def pair_logs(model: Model, sums: np.ndarray, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """The natural logarithm of the probability of each token behind the one before."""
     out = np.empty(len(tokens))
+    scaled = model.context * model.scale
     for at in range(0, len(tokens), TOKENS):
         h, w = before[at : at + TOKENS], tokens[at : at + TOKENS]
-        scaled = model.context[h] * model.scale
-        out[at : at + TOKENS] = np.einsum("ij,ij->i", scaled, model.target[w]) + model.bias[w] - sums[h]
+        out[at : at + TOKENS] = np.einsum("ij,ij->i", scaled[h], model.target[w]) + model.bias[w] - sums[h]
     return out
 
 

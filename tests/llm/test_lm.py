@@ -60,6 +60,28 @@ def test_bucket_expression(spark):
     assert found == {w: lm.bucket_of(w, 256) for w in words}
 
 
+def test_a_bucket_is_found_once_an_ending(monkeypatch):
+    words = [f"w{i}{end}" for i in range(500) for end in ("ing", "xyé", "😀bc")] + ["a", "é", "ing"]
+    lexicon = lm.Lexicon(words[:5], [1] * 5, 1 + 8 + 2, 8)
+    want = [1 + 8 + i if i < 2 else lm.bucket_of(w, 8) for i, w in enumerate(words)]
+    asked = []
+    monkeypatch.setattr(lm, "bucket_of", lambda word, n, found=lm.bucket_of: asked.append(word) or found(word, n))
+    at, classes = lexicon.place(pa.array(words))
+    assert classes.tolist() == want and at.tolist() == [0, 1, 2, 3, 4] + [-1] * (len(words) - 5)
+    assert len(asked) == 5
+    assert [a.tolist() for a in lexicon.place(pa.array([], pa.string()))] == [[], []]
+
+
+def test_bigrams_of_several_chunks_are_counted_together(monkeypatch):
+    arrays = [np.array(a, np.int64) for a in ([3, 1, 3], [3], [], [1, 9], [3])]
+    found = [b.to_pydict() for b in lm.count_pairs(iter(arrays))]
+    assert found == [{"pair": [1, 3, 9], "n": [2, 4, 1]}]
+    monkeypatch.setattr(lm, "HELD_TOKENS", 4)
+    found = [b.to_pydict() for b in lm.count_pairs(iter(arrays))]
+    assert found == [{"pair": [1, 3], "n": [1, 3]}, {"pair": [1, 3, 9], "n": [1, 1, 1]}]
+    assert list(lm.count_pairs(iter([]))) == []
+
+
 def test_training_approaches_the_bigrams():
     rng = np.random.default_rng(0)
     # two groups of classes that follow each other only within the group
