@@ -42,6 +42,29 @@ def test_every_pair_of_a_crowd(spark, radius):
     assert found == pairs_by_hand(points, references[:-1], radius)
 
 
+def test_points_that_coincide_are_compared_once(spark, monkeypatch):
+    """Lists of at most ``TOGETHER`` rows meet, not rows; equal rows, nulls and signs of zeros come out as they are."""
+    monkeypatch.setattr(octree, "TOGETHER", 8)
+    places = [(0.0, 1.0, 2.0), (-0.0, 1.0, 2.0), (0.5, 1.0, 2.0), (9.0, 9.0, 9.0)]
+    points = [(i % 7 or None, *places[i % 4]) for i in range(400)]
+    references = [(f"r{i % 3}" if i % 5 else None, *places[i % 3]) for i in range(30)]
+    left = spark.createDataFrame(points, "id int, x double, y double, z double")
+    right = spark.createDataFrame(references, "reference_system string, rx double, ry double, rz double")
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def halved(distance):
+        asked.add(1)
+        return distance / 2
+
+    spark.udf.register("halved_distance", halved)
+    got = octree.radius_join(left, right, 0.6, leaf_points=64, measure="halved_distance(distance)").collect()
+    want = [(*p, *r, math.dist(p[1:], r[1:]) / 2) for p in points for r in references if math.dist(p[1:], r[1:]) <= 0.6]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) == 9000
+    # 200 + 100 points near are 25 + 13 lists, 20 + 10 references 3 + 2; rows would make 9000 pairs
+    assert asked.value == (25 + 13) * (3 + 2)
+
+
 def test_no_points(spark):
     none = spark.createDataFrame([], "id int, x double, y double, z double")
     references = S.reference_table(spark, [("r", 0.0, 0.0, 0.0)])
