@@ -30,6 +30,11 @@ def count_where(items: str, condition: str) -> str:
     return f"size(filter({items}, i -> {condition}))"
 
 
+def count_equal(items: str, label: str) -> str:
+    """Number of elements equal to a label; compiled, unlike a lambda."""
+    return f"(size({items}) - size(array_remove({items}, '{label}')))"
+
+
 def _bound(value: str, name: str, body: str) -> str:
     """``body`` with ``name`` standing for ``value``, which is computed once."""
     return f"get(transform(array({value}), {name} -> {body}), 0)"
@@ -46,15 +51,17 @@ def histogram(labels: str) -> str:
     """array<string> without nulls -> map of label to number of occurrences.
 
     Sorts the labels and counts runs of equal ones, so the work does not grow with the number of
-    different labels.
+    different labels. Labels that all differ need no runs; lambdas are not compiled by Spark.
     """
     counted = """map_from_arrays(
       transform(starts, i -> get(sorted, i)),
       transform(starts, (start, n) -> coalesce(get(starts, n + 1), size(sorted)) - start))"""
     runs = _bound(_runs("sorted", "item"), "starts", counted)
-    return _bound(
-        f"sort_array({labels})", "sorted", f"CASE WHEN size(sorted) = 0 THEN {NO_COUNTS} ELSE {runs} END"
-    )
+    in_runs = _bound(f"sort_array({labels})", "sorted", runs)
+    return f"""CASE WHEN size({labels}) = 0 THEN {NO_COUNTS}
+      WHEN size(array_distinct({labels})) = size({labels})
+        THEN map_from_arrays(sort_array({labels}), array_repeat(1, size({labels})))
+      ELSE {in_runs} END"""
 
 
 def merged_histogram(parts: str, label: str) -> str:

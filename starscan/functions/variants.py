@@ -50,6 +50,19 @@ def first_filled(*texts: str) -> str:
     return f"coalesce({', '.join(f"nullif({t}, '')" for t in texts)})"
 
 
+# How the text of a JSON number, boolean, array or object begins; some strings begin like that, too.
+_NO_STRING = r"(?m)^(?:[-0-9\[{]|true|false|NaN|Infinity)"
+
+
+def all_strings(*texts: str) -> str:
+    """Whether no text of some arrays<string> can stand for anything but a JSON string.
+
+    The texts are VARIANT values read as ``string``, which is cheaper than to ask each for its kind.
+    False says nothing: the kinds must be asked for.
+    """
+    return f"NOT array_join(concat({', '.join(texts)}), '\\n') RLIKE r'{_NO_STRING}'"
+
+
 def objects(value: str, struct_type: str) -> str:
     """The object elements of an array value as structs; [] when it is not an array."""
     items = as_type(value, f"array<{struct_type}>")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starscan.functions import variants as V
-from starscan.functions.counts import NO_COUNTS, count_where, histogram
+from starscan.functions.counts import NO_COUNTS, count_equal, count_where, histogram
 
 # --- fixed values: labels with a count column of their own ---
 PLANET = "Planet"
@@ -24,15 +24,19 @@ _BODY = "struct<type:variant,subType:variant,subtype:variant,rings:variant>"
 _BODY_RENAMED = "array<struct<type:variant,subtype:variant,subtype_alt:variant,rings:variant>>"
 _RING = "struct<type:variant,ringType:variant>"
 
+# The same with texts for labels.
+_PLAIN = "array<struct<type:string,subType:string,subtype:string,rings:array<struct<type:string,ringType:string>>>>"
+_PLAIN_RENAMED = "array<struct<type:string,subtype:string,alt:string,rings:array<struct<type:string,alt:string>>>>"
 
-def roll_up_nested(rows: DataFrame, bodies: str) -> DataFrame:
-    """Adds the six counts and three histogram maps for a VARIANT column of bodies."""
+
+def _loose_bodies(bodies: str) -> str:
+    """array<struct<type, subtype, ringed, rings>> of bodies whose labels may be any JSON value."""
     # inner transforms read each VARIANT field once, outer ones clean up the plain values
     ring_labels = f"""transform(
       transform(filter(b.rings, r -> r IS NOT NULL), r -> struct(
         {V.loose_text("r.type")} AS type, {V.loose_text("r.ringType")} AS alt)),
       r -> coalesce({V.first_filled("r.type", "r.alt")}, '{UNKNOWN}'))"""
-    reduced = f"""transform(
+    return f"""transform(
       transform(CAST({V.objects(bodies, _BODY)} AS {_BODY_RENAMED}), b -> struct(
         {V.loose_text("b.type")} AS type,
         {V.loose_text("b.subtype")} AS subtype,
@@ -46,20 +50,52 @@ def roll_up_nested(rows: DataFrame, bodies: str) -> DataFrame:
           ELSE coalesce({V.loose_text("b.any_rings")} <> '', false) END AS ringed,
         CASE WHEN b.rings IS NULL THEN CAST(array() AS array<string>)
           ELSE {ring_labels} END AS rings))"""
-    labelled = rows.selectExpr("*", f"{reduced} AS _bodies").selectExpr(
+
+
+def roll_up_nested(rows: DataFrame, bodies: str) -> DataFrame:
+    """Adds the six counts and three histogram maps for a VARIANT column of bodies.
+
+    Where every label is a string and ``rings`` a list, as in nearly all records, the bodies are read as
+    texts at once; asking each value for its kind took most of an import's time.
+    """
+    first = rows.selectExpr(
+        "*", f"array_compact(CAST({V.as_type(bodies, _PLAIN)} AS {_PLAIN_RENAMED})) AS _read"
+    ).selectExpr("*", "array_compact(_read.rings) AS _lists")
+    second = first.selectExpr("*", "array_compact(flatten(_lists)) AS _read_rings")
+    labels = V.all_strings(
+        "_read.type", "_read.subtype", "_read.alt", "_read_rings.type", "_read_rings.alt"
+    )
+    any_rings = f"{V.as_type(bodies, 'array<struct<rings:string>>')}.rings"
+    third = second.selectExpr(
+        "*",
+        # a body without a list of rings may hold something else there
+        f"""_read IS NULL OR {labels} AND (size(_lists) = size(_read)
+          OR size(_lists) = size(array_compact({any_rings}))) AS _plain""",
+    ).selectExpr("*", f"CASE WHEN NOT _plain THEN {_loose_bodies(bodies)} END AS _bodies")
+    ring_label = f"coalesce({V.first_filled('r.type', 'r.alt')}, '{UNKNOWN}')"
+    none = "CAST(array() AS array<string>)"
+    labelled = third.selectExpr(
         "*",
-        "_bodies.type AS _types",
-        "array_compact(_bodies.subtype) AS _subtypes",
-        "flatten(_bodies.rings) AS _rings",
+        f"""CASE WHEN _read IS NULL THEN {none}
+          WHEN _plain THEN transform(_read.type, t -> coalesce({V.first_filled("t")}, '{UNKNOWN}'))
+          ELSE _bodies.type END AS _types""",
+        f"""CASE WHEN _read IS NULL THEN {none}
+          WHEN _plain THEN array_compact(transform(_read, b -> {V.first_filled("b.subtype", "b.alt")}))
+          ELSE array_compact(_bodies.subtype) END AS _subtypes""",
+        f"""CASE WHEN _read IS NULL THEN {none}
+          WHEN _plain THEN transform(_read_rings, r -> {ring_label})
+          ELSE flatten(_bodies.rings) END AS _rings""",
+        f"""CASE WHEN _read IS NULL THEN 0 WHEN _plain THEN {count_where("_lists", "size(i) > 0")}
+          ELSE {count_where("_bodies.ringed", "i")} END AS _ringed""",
     )
     return labelled.selectExpr(
         *[f"`{name}`" for name in rows.columns],
-        "size(_bodies) AS total_bodies",
-        f"{count_where('_types', f"i = '{PLANET}'")} AS total_planets",
-        f"{count_where('_types', f"i = '{STAR}'")} AS total_stars",
-        f"{count_where('_bodies.ringed', 'i')} AS ringed_body_count",
-        f"{count_where('_subtypes', f"i = '{WATER_WORLD}'")} AS water_world_count",
-        f"{count_where('_subtypes', f"i = '{EARTHLIKE_WORLD}'")} AS earthlike_world_count",
+        "size(_types) AS total_bodies",
+        f"{count_equal('_types', PLANET)} AS total_planets",
+        f"{count_equal('_types', STAR)} AS total_stars",
+        "_ringed AS ringed_body_count",
+        f"{count_equal('_subtypes', WATER_WORLD)} AS water_world_count",
+        f"{count_equal('_subtypes', EARTHLIKE_WORLD)} AS earthlike_world_count",
         f"{histogram('_types')} AS body_type_counts",
         f"{histogram('_subtypes')} AS body_subtype_counts",
         f"{histogram('_rings')} AS ring_type_counts",

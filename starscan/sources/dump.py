@@ -60,7 +60,11 @@ def parse_records(line: str) -> str:
     """SQL expression: array<struct of RECORD_FIELDS> of the objects on one line, [] for a
     bracket-only line. Malformed JSON, or an element that is not an object, raises.
     """
-    body = f"concat('[', btrim({line}, '{_BLANK},[]'), ']')"
+    # trimming a set of characters is dear: nearly all lines need none, or lose a comma
+    body = f"""concat('[', CASE
+      WHEN startswith({line}, '{{') AND endswith({line}, '}}') THEN {line}
+      WHEN startswith({line}, '{{') AND endswith({line}, '}},') THEN left({line}, length({line}) - 1)
+      ELSE btrim({line}, '{_BLANK},[]') END, ']')"""
     return f"from_json({body}, 'array<{RECORD_TYPE}>', map('mode', 'FAILFAST'))"
 
 
@@ -129,8 +133,8 @@ def _array_elements(spark: SparkSession, paths: list[str]) -> DataFrame:
 def _parsed(texts: DataFrame) -> DataFrame:
     return texts.selectExpr(
         f"posexplode_outer({parse_records('text')}) AS (position, record)",
-        f"startswith(ltrim('{_BLANK}', text), '[') AS opens",
-        f"endswith(rtrim('{_BLANK}', text), ']') AS closes",
+        f"NOT startswith(text, '{{') AND startswith(ltrim('{_BLANK}', text), '[') AS opens",
+        f"NOT endswith(text, ',') AND NOT endswith(text, '}}') AND endswith(rtrim('{_BLANK}', text), ']') AS closes",
         *[name for name in texts.columns if name != "text"],
     )
 

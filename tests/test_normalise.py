@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starscan.functions.counts import NO_COUNTS, canonical_json, histogram, merged_histogram, parse_counts
+from starscan.operators import rollup
 from starscan.operators.rollup import roll_up_rows
 from starscan.plans.ingest import system_rows, utc_now
 from starscan.sources.dump import parse_records
@@ -150,3 +151,26 @@ def test_counts_of_numbers_are_read_at_once(spark):
     got = {r["t"]: r["c"] for r in frame.selectExpr("t", f"{parse_counts('t')} AS c").collect()}
     assert got == texts
     assert "map<string,int>" in parse_counts("t").replace(NO_COUNTS, "")
+
+
+def test_only_odd_labels_are_asked_for_their_kind(spark, monkeypatch):
+    """Texts tell the labels of plain bodies; the reading by kinds stays for the others."""
+    plain = [7, {"type": "Star", "rings": ["r", {}]}, {"type": "", "subtype": "Icy body", "rings": None}, None]
+    odd = [[{"type": 5}], [{"type": "true"}], [{"subType": False}], [{"rings": "x"}], [{"rings": [{"type": 0}]}]]
+    want = rows(spark, *[{"name": "A", "bodies": bodies} for bodies in [plain, *odd]])
+    assert want[0]["body_type_counts"] == {"Star": 1, "Unknown": 1} and want[0]["ring_type_counts"] == {"Unknown": 1}
+    assert [r["ringed_body_count"] for r in want] == [1, 0, 0, 0, 1, 1]
+    assert [r["body_type_counts"] for r in want[1:3]] == [{"5": 1}, {"true": 1}]
+
+    typed = "array<struct<type:string,subtype:string,ringed:boolean,rings:array<string>>>"
+    monkeypatch.setattr(rollup, "_loose_bodies", lambda bodies: f"CAST(raise_error('asked') AS {typed})")
+    assert one(spark, {"name": "A", "bodies": plain})["body_type_counts"] == want[0]["body_type_counts"]
+    for bodies in odd:
+        with pytest.raises(Exception, match="asked"):
+            rows(spark, {"name": "A", "bodies": bodies})
+
+
+def test_what_stands_around_an_object(spark):
+    afters = ["", ",", " ,", ", \t", "\r", "]", ",\ufeff"]
+    lines = [before + '{"name": "é}"}' + after for before in ("", " ", "[", "\ufeff[ ") for after in afters]
+    assert [r["name"] for r in rows(spark, *lines)] == ["é}"] * len(lines)
