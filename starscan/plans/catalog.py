@@ -36,7 +36,7 @@ from starscan.schema import (
 )
 from starscan.session import configure, scratch_path, settings
 from starscan.sources import files, log
-from starscan.sources.parquet import read_staged, resolve_inputs
+from starscan.sources.parquet import parse_staged, resolve_inputs
 
 MODES = ("full", "patch")
 # Edge of the coarse cells that order the rows of a file.
@@ -244,13 +244,14 @@ def import_parquet(
     mode = _checked(mode)
     configure(spark)
     inputs = resolve_inputs(spark, path)
-    staged = read_staged(spark, path)
+    staged = spark.read.schema(STAGED).parquet(*inputs)
     newest = [F.desc("seq"), F.desc("source_tag"), F.desc("imported_at")]
-    latest = keep_latest(staged, "system_key", newest)
+    # the JSON text of the histograms is parsed for the rows that stay only
+    latest = parse_staged(keep_latest(staged, "system_key", newest))
     parts = [part for pattern in inputs for part in files.glob(spark, pattern)]
     # counted from the footers, written as a row per file
     counted = scratch_path(spark, "sources")
-    per_file = spark.read.schema(STAGED).parquet(*inputs).groupBy("_metadata.file_path")
+    per_file = staged.groupBy("_metadata.file_path")
     per_file.agg(F.count("*").alias("records")).toDF("source", "records").write.parquet(counted)
     sources = spark.read.parquet(counted)
     seen = sources.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]

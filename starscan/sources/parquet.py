@@ -36,7 +36,11 @@ def resolve_inputs(spark: SparkSession, path: str) -> list[str]:
 
 def read_staged(spark: SparkSession, path: str) -> DataFrame:
     """Staged rows, all parts as one relation, histograms as maps."""
-    staged = spark.read.schema(STAGED).parquet(*resolve_inputs(spark, path))
+    return parse_staged(spark.read.schema(STAGED).parquet(*resolve_inputs(spark, path)))
+
+
+def parse_staged(staged: DataFrame) -> DataFrame:
+    """Rows as they are in staged files with their histograms as maps."""
     return staged.selectExpr(
         *[f"{parse_counts(text)} AS {name}" if text else name for name, text in _staged_names()]
     )

@@ -123,6 +123,18 @@ def test_foreign_staged_files(spark, tmp_path, root):
     assert row["imported_at"] == datetime(2024, 1, 2, 3, 4, 5, 6)
 
 
+def test_histograms_are_parsed_for_the_latest_rows_only(spark, tmp_path, root, monkeypatch):
+    staged_file(tmp_path / "a.parquet", (1, "k1", "old"), (2, "k1", "new"))
+    seen, keep = [], catalog.keep_latest
+    monkeypatch.setattr(
+        catalog, "keep_latest", lambda rows, *order: seen.append((rows.columns, keep(rows, *order))) or seen[-1][1]
+    )
+    catalog.import_source(spark, root, str(tmp_path / "a.parquet"))
+    columns, latest = next(found for found in seen if "seq" in found[0])
+    assert "body_type_counts_json" in columns and latest.count() == 1
+    assert catalog.systems(spark, root).first()["body_type_counts"] == {"Planet": 2}
+
+
 def test_path_rules(spark, tmp_path):
     folder = tmp_path / "dir"
     (folder / "deep").mkdir(parents=True)
